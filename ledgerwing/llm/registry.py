@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerwing.llm import bpe
+from ledgerwing.llm import bpe, language, mixing, sharding, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,13 +21,35 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.held_out_languages(_read(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_read(spark, sf_dir, "documents"), mixing.CORPUS_MIXTURE)
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.byte_shards(_read(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.page_verdicts(_read(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def queries() -> dict[str, Query]:
-    return {"op10_bpe": op10_bpe}
+    return {
+        "op3_language": op3_language,
+        "op5_mixing": op5_mixing,
+        "op6_sharding": op6_sharding,
+        "op9_url_filter": op9_url_filter,
+        "op10_bpe": op10_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mixing": mixing.oracle_sql(mixing.CORPUS_MIXTURE), "op9_url_filter": urlfilter.ORACLE_SQL}
