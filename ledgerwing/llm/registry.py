@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerwing.llm import bpe, language, mixing, sharding, urlfilter
+from ledgerwing.llm import bpe, language, mixing, multiprobe, sharding, urlfilter, voronoi
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,10 +21,18 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.scaled_top10(_read(spark, sf_dir, "embeddings"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_languages(_read(spark, sf_dir, "documents"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiprobe.nearest5(_read(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_read(spark, sf_dir, "documents"), mixing.CORPUS_MIXTURE)
 
@@ -43,7 +51,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_topk": op2_topk,
         "op3_language": op3_language,
+        "op4_ann": op4_ann,
         "op5_mixing": op5_mixing,
         "op6_sharding": op6_sharding,
         "op9_url_filter": op9_url_filter,
@@ -52,4 +62,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.oracle_sql(mixing.CORPUS_MIXTURE), "op9_url_filter": urlfilter.ORACLE_SQL}
+    return {
+        "op2_topk": voronoi.ORACLE_SQL,
+        "op5_mixing": mixing.oracle_sql(mixing.CORPUS_MIXTURE),
+        "op9_url_filter": urlfilter.ORACLE_SQL,
+    }
