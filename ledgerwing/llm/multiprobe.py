@@ -118,7 +118,7 @@ def nearest_by_cosine(
     is_query: Column,
     k: int = 5,
     tables: int = 3,
-    goal: float = 0.96,
+    goal: float = 0.98,
     seed: int = 7,
     sample_rows: int = 8192,
     most_probes: int = 2000,
