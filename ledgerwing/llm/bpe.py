@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import heapq
 import json
+from collections.abc import Callable
 from functools import lru_cache
-from itertools import chain
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 #: Fixed value: what byte-level BPE vocabularies of this kind split on. Letters come first, as no other branch
 #: can match where they do and most pieces are words.
 SPLIT_PATTERN = r""" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Distinct pieces of text whose tokens a worker remembers before it starts anew.
-PIECE_CACHE = 500_000
+#: Distinct pieces of text whose tokens a worker remembers, in each of two generations.
+PIECE_CACHE = 450_000
 #: Bits of a queue entry that hold the position; the rank stands above them.
 POSITION_BITS = 32
 
@@ -31,6 +32,26 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class PieceCache(dict):
+    """Piece -> its token ids as packed int32. When it is full, it becomes the older generation of a new one."""
+
+    def __init__(self, merge: Callable[[bytes], tuple[int, ...]]):
+        self.merge, self.older = merge, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            ids = self.merge(piece.encode("utf-8"))
+            found = pack(f"={len(ids)}i", *ids)
+            if len(piece) > 64:
+                return found
+        if len(self) >= PIECE_CACHE:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = found
+        return found
+
+
 class ByteBpe:
     """One vocabulary, read from a tokenizer file; lives in a worker and serves all its batches."""
 
@@ -58,7 +79,7 @@ class ByteBpe:
         self.blob = np.frombuffer(b"".join(self.pieces.get(i, b"") for i in range(len(lengths))), np.uint8)
         self.split = regex.compile(SPLIT_PATTERN).findall
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache = PieceCache(self.merge)
 
     def merge(self, data: bytes) -> tuple[int, ...]:
         """Tokens of one piece: the pair of least rank, leftmost first, merges until none is left."""
@@ -88,25 +109,16 @@ class ByteBpe:
                 heapq.heappush(queue, found << POSITION_BITS | before)
         return tuple([x for x in ids if x >= 0])
 
-    def _plain(self, text: str) -> list[tuple[int, ...]]:
-        cache, merge = self.cache, self.merge
-        out = []
-        for piece in self.split(text):
-            found = cache.get(piece)
-            if found is None:
-                found = merge(piece.encode("utf-8"))
-                if len(piece) <= 64:
-                    if len(cache) >= PIECE_CACHE:
-                        cache.clear()
-                    cache[piece] = found
-            out.append(found)
-        return out
-
-    def encode(self, text: str) -> list[int]:
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.cache.__getitem__, self.split(text)))
+
+    def encode(self, text: str) -> np.ndarray:
         if self.split_special and any(s in text for s in self.special):
             parts = self.split_special(text)
-            return [i for k, part in enumerate(parts) for i in ([self.special[part]] if k % 2 else chain.from_iterable(self._plain(part)))]
-        return list(chain.from_iterable(self._plain(text)))
+            packed = b"".join(pack("=i", self.special[part]) if k % 2 else self._plain(part) for k, part in enumerate(parts))
+        else:
+            packed = self._plain(text)
+        return np.frombuffer(packed, np.int32)
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of the ids' vocabulary strings, joined."""
@@ -132,7 +144,7 @@ def encode_column(text: Column, path: str) -> Column:
         offsets, parts = np.zeros(len(texts) + 1, np.int32), []
         for k, x in enumerate(texts):
             data = x.as_py()
-            ids = np.array(bpe.encode(data.decode("utf-8", "replace")) if data else [], np.int32)
+            ids = bpe.encode(data.decode("utf-8", "replace"))
             parts.append(ids)
             offsets[k + 1] = offsets[k] + len(ids)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
