@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerwing.llm import bpe, language, mixing, multiprobe, nearjoin, sharding, urlfilter, voronoi
+from ledgerwing.llm import bpe, language, mixing, multiprobe, nearjoin, ngramlm, sharding, urlfilter, voronoi
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(_read(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramlm.held_out_scores(_read(spark, sf_dir, "documents"))
+
+
 def op8_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.link(_read(spark, sf_dir, "documents"), nearjoin.Similarity(n=3, percent=90))
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Query]:
         "op4_ann": op4_ann,
         "op5_mixing": op5_mixing,
         "op6_sharding": op6_sharding,
+        "op7_lm_score": op7_lm_score,
         "op8_near_join": op8_near_join,
         "op9_url_filter": op9_url_filter,
         "op10_bpe": op10_bpe,
