@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import heapq
 import json
 from collections.abc import Callable
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from struct import pack
 
 import numpy as np
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 SPLIT_PATTERN = r""" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct pieces of text whose tokens a worker remembers, in each of two generations.
 PIECE_CACHE = 450_000
-#: Bits of a queue entry that hold the position; the rank stands above them.
-POSITION_BITS = 32
+#: Bits of a queue entry that hold the position, in short pieces and in others; the rank stands above them.
+SHORT_BITS, LONG_BITS = 13, 40
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -69,8 +69,8 @@ class ByteBpe:
         self.byte_ids = [0] * 256
         for char, byte in alphabet.items():
             self.byte_ids[byte] = vocab[char]
-        #: left id << 32 | right id -> rank, and the merged id of each rank
-        self.ranks = {vocab[a] << 32 | vocab[b]: rank for rank, (a, b) in enumerate(pairs)}
+        #: rank of a pair of ids, and the merged id of each rank
+        self.rank_of = {(vocab[a], vocab[b]): rank for rank, (a, b) in enumerate(pairs)}.get
         self.merged = [vocab[a + b] for a, b in pairs]
         lengths = np.zeros(max(self.pieces) + 1, np.int64)
         for i, piece in self.pieces.items():
@@ -83,30 +83,41 @@ class ByteBpe:
 
     def merge(self, data: bytes) -> tuple[int, ...]:
         """Tokens of one piece: the pair of least rank, leftmost first, merges until none is left."""
-        byte_ids, rank_of, merged_id = self.byte_ids, self.ranks.get, self.merged
+        byte_ids, rank_of, merged_id = self.byte_ids, self.rank_of, self.merged
         ids = [byte_ids[b] for b in data]
         n = len(ids)
-        queue = [rank << POSITION_BITS | i for i, rank in enumerate(map(rank_of, [a << 32 | b for a, b in zip(ids, ids[1:], strict=False)])) if rank is not None]
+        shift = SHORT_BITS if n >> SHORT_BITS == 0 else LONG_BITS
+        mask = (1 << shift) - 1
+        #: rank of the pair that starts at each symbol, None if it has none or was merged away
+        current = [rank_of(pair) for pair in zip(ids, ids[1:], strict=False)]
+        queue = [rank << shift | i for i, rank in enumerate(current) if rank is not None]
         if not queue:
             return tuple(ids)
-        heapq.heapify(queue)
+        heapify(queue)
+        current.append(None)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         while queue:
-            entry = heapq.heappop(queue)
-            rank, i = entry >> POSITION_BITS, entry & ((1 << POSITION_BITS) - 1)
-            symbol, j = ids[i], right[i]
-            if symbol < 0 or j >= n or rank_of(symbol << 32 | ids[j]) != rank:
+            entry = heappop(queue)
+            i, rank = entry & mask, entry >> shift
+            if current[i] != rank:
                 continue  # stale: one side has merged with another symbol meanwhile
-            ids[i] = symbol = merged_id[rank]
+            j = right[i]
+            symbol = ids[i] = merged_id[rank]
             ids[j] = -1
+            current[j] = None
             after = right[i] = right[j]
             if after < n:
                 left[after] = i
-                if (found := rank_of(symbol << 32 | ids[after])) is not None:
-                    heapq.heappush(queue, found << POSITION_BITS | i)
+                found = current[i] = rank_of((symbol, ids[after]))
+                if found is not None:
+                    heappush(queue, found << shift | i)
+            else:
+                current[i] = None
             before = left[i]
-            if before >= 0 and (found := rank_of(ids[before] << 32 | symbol)) is not None:
-                heapq.heappush(queue, found << POSITION_BITS | before)
+            if before >= 0:
+                found = current[before] = rank_of((ids[before], symbol))
+                if found is not None:
+                    heappush(queue, found << shift | before)
         return tuple([x for x in ids if x >= 0])
 
     def _plain(self, text: str) -> bytes:
@@ -142,8 +153,7 @@ def encode_column(text: Column, path: str) -> Column:
     def encode(texts: pa.Array) -> pa.Array:
         bpe = _bpe(path)
         offsets, parts = np.zeros(len(texts) + 1, np.int32), []
-        for k, x in enumerate(texts):
-            data = x.as_py()
+        for k, data in enumerate(texts.to_pylist()):
             ids = bpe.encode(data.decode("utf-8", "replace"))
             parts.append(ids)
             offsets[k + 1] = offsets[k] + len(ids)

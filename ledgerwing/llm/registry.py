@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerwing.llm import bpe, language, mixing, multiprobe, nearjoin, ngramlm, sharding, urlfilter, voronoi
+from ledgerwing.llm import bpe, language, mixing, multiprobe, nearjoin, ngramlm, sharding, suffixdedup, urlfilter, voronoi
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.repeat_digests(_read(spark, sf_dir, "documents"))
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi.scaled_top10(_read(spark, sf_dir, "embeddings"))
 
@@ -59,6 +63,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_repeats": op1_repeats,
         "op2_topk": op2_topk,
         "op3_language": op3_language,
         "op4_ann": op4_ann,
