@@ -8,10 +8,53 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerwing.llm import bpe, language, mixing, nearjoin, suffixdedup
+from ledgerwing.llm.registry import tokenizer_path
+from ledgerwing.llm.storage import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+#: A language that the model gives less than this goes: no language of four or more stands out then.
+LEAST_LANGUAGE_SCORE = 0.35
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; the model learns from all labelled documents."""
+    return language.keep_identified(docs, language.fit(docs, F.lit(True)), LEAST_LANGUAGE_SCORE)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose five-word shingles are similar to 0.8 or more."""
+    return nearjoin.keep_one(docs, nearjoin.Similarity(n=5, percent=80))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 200 bytes or more that occur elsewhere too."""
+    return suffixdedup.remove_repeats(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the target mixture takes."""
+    return mixing.select_documents(docs, mixing.PIPELINE_MIXTURE)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids, and the digest of the decoded text."""
+    path = tokenizer_path()
+    rows = docs.select("doc_id", "lang", "source", bpe.encode_column(F.col("text"), path).alias("ids"))
+    decoded = F.sha2(bpe.decode_column(F.col("ids"), path).cast("binary"), 256)
+    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", decoded.alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", identify_language),
+    ("near duplicates", drop_near_duplicates),
+    ("repeated passages", cut_repeats),
+    ("mixture", mix_sources),
+    ("tokens", tokenize),
+]
 
 #: SQL cannot express the fitted language model; tests/llm holds the stages against brute-force versions.
 ORACLE_SQL = None
@@ -19,8 +62,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each one's result written to the shared folder and read by the next."""
-    from ledgerwing.llm.storage import materialize
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

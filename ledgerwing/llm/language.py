@@ -3,29 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerwing.llm.storage import id_bucket
 
 UNDETERMINED = "und"
 WORD_CACHE = 300_000
 
-PREDICTION = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("held_out", T.BooleanType()),
-        T.StructField("lang_pred", T.StringType()),
-        T.StructField("score", T.DoubleType()),
-    ]
-)
-
 
 @dataclass
 class LanguageModel:
@@ -146,27 +135,35 @@ def fit(
     return LanguageModel(languages, *matrix(word_rows), *matrix(gram_rows), longest)
 
 
+def predict_column(docs: DataFrame, model: LanguageModel, text: Column) -> Column:
+    """struct<lang_pred, score> of a text column, by the whole text; the bounded model is broadcast."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def predict(texts: pa.Array) -> pa.Array:
+        import regex
+
+        words_of, model = regex.compile(r"\p{L}+").findall, shared.value
+        found = [model.predict(words_of(x.lower())) if x else (UNDETERMINED, 0.0) for x in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["lang_pred", "score"])
+
+    return predict(text)
+
+
 def identify(docs: DataFrame, model: LanguageModel, held_out: Column, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document, by its whole text alone; no shuffle.
 
     A null text, or one without a letter, is `und` with score 0, as is everything where nothing was learned.
     Repeated rows repeat; other columns are left out.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), predict_column(docs, model, F.col(text_col)).alias("p"))
+    return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
 
-        words_of, model = regex.compile(r"\p{L}+").findall, shared.value
-        for batch in batches:
-            found = [model.predict(words_of(text.lower())) if (text := x.as_py()) else (UNDETERMINED, 0.0) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                names=PREDICTION.names,
-            )
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(predict, PREDICTION)
+def keep_identified(docs: DataFrame, model: LanguageModel, least_score: float) -> DataFrame:
+    """The documents, all columns, whose language is found with at least least_score; `und` goes."""
+    p = docs.withColumn("_language", predict_column(docs, model, F.col("text")))
+    return p.filter((F.col("_language.lang_pred") != UNDETERMINED) & (F.col("_language.score") >= least_score)).drop("_language")
 
 
 def held_out_languages(docs: DataFrame, folds: int = 3, fold: int = 1, **parameters) -> DataFrame:
