@@ -1,0 +1,12 @@
+"""Views of the driver's tables and the registered queries over them."""
+
+from __future__ import annotations
+
+from types import ModuleType
+
+
+def load_all() -> ModuleType:
+    """The catalog, with every query module imported."""
+    from ledgerwing.plans import catalog, decision_queries, event_queries, text_queries  # noqa: F401
+
+    return catalog
