@@ -94,7 +94,11 @@ def _scan(docs: DataFrame, key: str, text: str, patterns: tuple[tuple[str, str],
 
     A document in which nothing matches never has its lines taken apart.
     """
-    found = [F.transform(F.regexp_extract_all("line", F.lit(f"(?i)({p})"), F.lit(1)), lambda m, n=name: F.struct(F.lit(n).alias("pattern_name"), m.alias("matched_text"))) for name, p in patterns]
+
+    def matches(name: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("line", F.lit(f"(?i)({pattern})"), F.lit(1)), lambda m: F.struct(F.lit(name).alias("pattern_name"), m.alias("matched_text")))
+
+    found = [matches(name, p) for name, p in patterns]
     any_match = F.lit(False)
     for _, p in patterns:
         any_match = any_match | F.col(text).rlike("(?i)" + p)
