@@ -30,7 +30,7 @@ class Settings:
     counts that are broadcast; all rarer words are looked up by a join.
     """
 
-    filter_bytes: int = 64 << 20
+    filter_bytes: int = 32 << 20
     bits_per_entry: int = 10
     probes: int = 5
     base: float = 1.4
@@ -78,6 +78,31 @@ def segment(h: np.ndarray, counts: np.ndarray, least: int, bound: int, s: Settin
     return bits, np.packbits(table)
 
 
+def frequent_counts(unigrams: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and exact counts of the most frequent words, at most `most` of them.
+
+    The least count comes from a histogram over steps of count, of which there are at most a thousand.
+    """
+    step = F.floor(F.log2("c") * 16).cast("int")
+    histogram = sorted(((r["step"], r["n"]) for r in unigrams.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, total = None, 0
+    for at, n in histogram:
+        if total + n > most:
+            break
+        least, total = at, total + n
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()], pa.binary()) for c in batch.columns], names=["h", "c"])
+
+    rows = unigrams.filter(step >= least).mapInArrow(pack, "h binary, c binary").collect()
+    h, c = [np.frombuffer(b"".join(bytes(r[k]) for r in rows), np.int64) for k in ("h", "c")]
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
 @dataclass
 class Filter:
     """All segments end to end; kind and leading bits of a hash say which one holds an n-gram."""
@@ -141,8 +166,9 @@ def count_ngrams(train: DataFrame, s: Settings, buckets: int) -> DataFrame:
             sums: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {UNIGRAM: [], BIGRAM: []}
             for _, run in textwords.blocks(batch.column(0).to_pylist()):
                 h, before, _ = tokens(run)
-                sums[UNIGRAM].append(np.unique(h, return_counts=True))
-                sums[BIGRAM].append(np.unique(textwords.pair_hash(before, h), return_counts=True))
+                for kind, grams in ((UNIGRAM, h), (BIGRAM, textwords.pair_hash(before, h))):
+                    codes, distinct = pd.factorize(grams)
+                    sums[kind].append((distinct, np.bincount(codes, minlength=len(distinct))))
             for kind, parts in sums.items():
                 h, c = _merged(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
                 c = c.astype(np.uint32)
@@ -187,50 +213,53 @@ def unigram_table(counted: DataFrame) -> DataFrame:
 
 def load_filter(counted: DataFrame, s: Settings, buckets: int) -> Filter:
     """The segments, gathered: at most filter_bytes whatever the input."""
-    rows = counted.select("kind", "bucket", "bits", "segment").toPandas()
+    place = F.col("kind") * buckets + F.col("bucket")
     sizes = np.zeros(2 * buckets, np.int64)
-    parts: list[np.ndarray] = [np.zeros(0, np.uint8)] * (2 * buckets)
-    for kind, bucket, bits, data in rows.itertuples(index=False):
-        sizes[kind * buckets + bucket], parts[kind * buckets + bucket] = bits, np.frombuffer(data, np.uint8)
+    for row in counted.select(place.alias("place"), "bits").collect():
+        sizes[row["place"]] = row["bits"]
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    return Filter(np.concatenate(parts), starts, sizes, buckets, level_values(s.base), s.probes)
+    data = np.zeros(int(sizes.sum()) // 8, np.uint8)
+    for row in counted.select(place.alias("place"), "segment").toLocalIterator():
+        at = starts[row["place"]] // 8
+        data[at : at + sizes[row["place"]] // 8] = np.frombuffer(row["segment"], np.uint8)
+    return Filter(data, starts, sizes, buckets, level_values(s.base), s.probes)
 
 
 @dataclass
 class Model:
-    """What workers score with. shares[level of the context] is the weight of the bigram estimate."""
+    """What workers score with."""
 
     filter: Filter
     total: float
     distinct: float
     starts: float
-    shares: np.ndarray
 
     def parts(self, h: np.ndarray, before: np.ndarray, seen: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Unigram probability, bigram estimate and context level of each token; seen: own occurrences to leave out."""
         f = self.filter
-        known, at = np.unique(h, return_inverse=True)
+        at, known = pd.factorize(h)
         count = f.values[f.level(known, UNIGRAM)][at]
         p1 = (np.maximum(count - seen, 0) + 0.5) / (self.total + 0.5 * (self.distinct + 1))
-        contexts, where = np.unique(before, return_inverse=True)
+        where, contexts = pd.factorize(before)
         level = f.level(contexts, UNIGRAM)
         context_count = f.values[level]
         if self.starts > 0:
             context_count = np.where(contexts == START, self.starts, context_count)
-            level = np.where(contexts == START, len(self.shares) - 1, level)
+            level = np.where(contexts == START, N_LEVELS - 1, level)
         both = f.values[f.level(textwords.pair_hash(before, h), BIGRAM)]
         both = np.where(both - seen >= 2 - (seen == 0), both - seen, 0.0)
         p2 = np.minimum(both / np.maximum(context_count[where] - seen, 1.0), 1.0)
-        return p1, p2, np.minimum(level[where], len(self.shares) - 1)
+        return p1, p2, np.minimum(level[where], N_LEVELS - 1)
 
-    def log10(self, h: np.ndarray, before: np.ndarray) -> np.ndarray:
+    def log10(self, h: np.ndarray, before: np.ndarray, shares: np.ndarray) -> np.ndarray:
+        """shares[level of the context] is the weight of the bigram estimate."""
         p1, p2, level = self.parts(h, before)
-        share = self.shares[level]
+        share = shares[level]
         return np.log10(share * p2 + (1 - share) * p1)
 
 
-SHARES = np.array([0.0, 0.001, 0.003, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9])
 N_LEVELS = 64
+SHARES = np.array([0.0, 0.001, 0.003, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9])
 
 
 def tune(train: DataFrame, model: Broadcast, s: Settings) -> np.ndarray:
@@ -282,13 +311,9 @@ def score_documents(docs: DataFrame, held_out: Column, settings: Settings | None
     unigrams = materialize(unigram_table(counted), "unigrams")
     total, distinct = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = unigrams.filter(F.col("hash") == int(END.astype(np.int64))).first()
-    model = Model(load_filter(counted, s, buckets), float(total), float(distinct), float(ends["c"]) if ends else 0.0, np.zeros(N_LEVELS))
-    first = spark.sparkContext.broadcast(model)
-    model.shares = tune(train, first, s)
-    first.unpersist()
-    shared = spark.sparkContext.broadcast(model)
-    top = unigrams.orderBy(F.desc("c"), "hash").limit(s.frequent_words).toPandas().sort_values("hash")
-    frequent = spark.sparkContext.broadcast((top["hash"].to_numpy(np.int64), top["c"].to_numpy(np.int64)))
+    shared = spark.sparkContext.broadcast(Model(load_filter(counted, s, buckets), float(total), float(distinct), float(ends["c"]) if ends else 0.0))
+    shares = tune(train, shared, s)
+    frequent = spark.sparkContext.broadcast(frequent_counts(unigrams, s.frequent_words))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, (top_hash, top_count) = shared.value, frequent.value
@@ -297,10 +322,12 @@ def score_documents(docs: DataFrame, held_out: Column, settings: Settings | None
                 h, before, offsets = tokens(run)
                 n = len(run)
                 owner = np.repeat(np.arange(n), np.diff(offsets))
-                log_p = np.add.reduceat(model.log10(h, before), offsets[:-1])
+                log_p = np.add.reduceat(model.log10(h, before, shares), offsets[:-1])
                 signed = h.view(np.int64)
-                place = np.minimum(np.searchsorted(top_hash, signed), max(len(top_hash) - 1, 0))
-                hit = top_hash[place] == signed if len(top_hash) else np.zeros(len(h), bool)
+                codes, distinct = pd.factorize(signed)
+                place = np.minimum(np.searchsorted(top_hash, distinct), max(len(top_hash) - 1, 0))
+                found = top_hash[place] == distinct if len(top_hash) else np.zeros(len(distinct), bool)
+                hit, place = found[codes], place[codes]
                 base = np.bincount(owner[hit], np.log10(top_count[place[hit]] + 0.5), n)
                 known = np.bincount(owner[hit], minlength=n)
                 rare_owner, rare = owner[~hit], signed[~hit]
