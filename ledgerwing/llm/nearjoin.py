@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwing.llm import textwords
@@ -110,11 +110,16 @@ def _sets(docs: DataFrame, s: Similarity, sketch: np.ndarray) -> DataFrame:
 
 
 def _passes(a: str, b: str, s: Similarity) -> Column:
-    """Length and positional filter for two sets that share a token at pos in their prefixes."""
+    """Length and positional filter for two sets that share a token at pos in their prefixes.
+
+    live counts the earlier tokens of a prefix that some other prefix holds too. The other set cannot share the rest:
+    what stands before the common token in the order would stand in the other's prefix as well. So the sets share at
+    most the fewer live tokens, the common one, and the fewer of those behind it.
+    """
     na, nb, pa_, pb = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.pos"), F.col(f"{b}.pos")
     length = (100 * F.least(na, nb)) >= (s.percent * F.greatest(na, nb))
-    # before the token either set has at most pos shingles that the other may share
-    return length & ((F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)) >= _overlap(na, nb, s))
+    most = F.least(F.col(f"{a}.live"), F.col(f"{b}.live")) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
+    return length & (most >= _overlap(na, nb, s))
 
 
 def _suffix_filter(pairs: DataFrame, reps: DataFrame, s: Similarity) -> DataFrame:
@@ -177,15 +182,17 @@ def link(docs: DataFrame, s: Similarity) -> DataFrame:
     reps = materialize(reps, "reps")
 
     postings = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
-    hub = F.min(F.struct("pos", "rep", "n")).alias("hub")
-    hubs = postings.groupBy("token").agg(hub, F.count("*").alias("m")).filter("m > 1").drop("m")
-    shared = materialize(postings.join(hubs, "token"), "shared")
+    common = postings.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
+    earlier = Window.partitionBy("rep", "n").orderBy("pos")
+    met = materialize(postings.join(common, "token").withColumn("live", F.row_number().over(earlier) - 1), "met")
+    hubs = met.groupBy("token").agg(F.min(F.struct("pos", "rep", "n", "live")).alias("hub"))
+    shared = met.join(hubs, "token")
     to_hub = shared.alias("x").filter((F.col("rep") != F.col("hub.rep")) & _passes("x", "hub", s))
     first = to_hub.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
     links = _verified(_suffix_filter(first, reps, s), docs, s)
     grouped = materialize(components(links), "components")
 
-    placed = shared.select("token", "rep", "n", "pos").join(grouped.withColumnRenamed("id", "rep"), "rep", "left")
+    placed = met.join(grouped.withColumnRenamed("id", "rep"), "rep", "left")
     placed = placed.withColumn("component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
     placed = materialize(placed.join(mixed, "token"), "placed")
