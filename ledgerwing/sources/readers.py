@@ -102,7 +102,7 @@ def invalid_pair_reasons(pairs: DataFrame) -> DataFrame:
 
 def read_source_tree(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("py",)) -> DataFrame:
     """path (below root), source of every file of a tree, without skipped folders and tests."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").text(root, wholetext=True)
     path = F.regexp_replace(F.col("_metadata.file_path"), "^(file:)?/*" + root.removeprefix("file://").strip("/") + "/", "")
     skip = path.rlike(r"(^|/)(" + "|".join(x.replace(".", r"\.") for x in SKIPPED) + ")/") | path.rlike(r"(^|/)tests?/|(^|/)test_[^/]*$")
     return files.select(path.alias("path"), F.col("value").alias("source")).filter(~skip)
