@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-#: Spark drops an execution's shuffle files once it ends; safe for a table that has been written.
-CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What holds while a table is written. Spark drops an execution's shuffle files once it ends, which is safe for a
+#: table that has been written; and rows of long texts go to Python in small batches.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -23,16 +24,18 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def _shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(CLEANUP_KEY, None)
-    spark.conf.set(CLEANUP_KEY, "true")
+def _held(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP_KEY)
-        else:
-            spark.conf.set(CLEANUP_KEY, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -42,7 +45,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
-    with _shuffle_cleanup(spark):
+    with _held(spark, WHILE_WRITING):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

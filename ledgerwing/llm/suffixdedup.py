@@ -25,7 +25,7 @@ from ledgerwing.llm.storage import drop_materialized, materialize, shuffle_width
 LENGTH = 200
 CORE = 100
 #: Anchors that make up one run at most.
-RUN_ANCHORS = 150_000
+RUN_ANCHORS = 60_000
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -436,7 +436,7 @@ def with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     meet only as one record a run.
     """
     width = shuffle_width(docs.sparkSession)
-    buckets = max(64, 4 * width)
+    buckets = max(64, 8 * width)
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     key = F.xxhash64(F.col(id_col), F.col(id_col).isNull(), data)
     keyed = docs.select(key.alias("key"), data.alias("data")).filter(F.octet_length("data") >= LENGTH)
