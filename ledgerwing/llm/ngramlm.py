@@ -33,7 +33,7 @@ class Settings:
     filter_bytes: int = 32 << 20
     bits_per_entry: int = 10
     probes: int = 5
-    base: float = 1.4
+    base: float = 1.6
     least_bigram: int = 2
     frequent_words: int = 500_000
     tuning_docs: int = 1000
@@ -54,10 +54,16 @@ def level_values(base: float, most: int = 128) -> np.ndarray:
     return out
 
 
-def _bits(h: np.ndarray, level: int, probe: int, sizes: np.ndarray) -> np.ndarray:
+def _seeds(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 32-bit hashes of n-grams at a level, from which all probes follow."""
     with np.errstate(over="ignore"):
-        g = textwords.mix(h + np.uint64((level * 64 + probe + 1) * 0x9E3779B97F4A7C15 % 2**64))
-    return g % sizes
+        g = textwords.mix(h + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
+    return g & np.uint64(0xFFFFFFFF), (g >> np.uint64(32)) | np.uint64(1)
+
+
+def _bits(first: np.ndarray, step: np.ndarray, probe: int, sizes: np.ndarray) -> np.ndarray:
+    """Places of the probe-th bit in segments of the given sizes (below 2^32)."""
+    return (((first + np.uint64(probe) * step) & np.uint64(0xFFFFFFFF)) * sizes >> np.uint64(32)).astype(np.int64)
 
 
 def segment(h: np.ndarray, counts: np.ndarray, least: int, bound: int, s: Settings) -> tuple[int, np.ndarray]:
@@ -72,9 +78,9 @@ def segment(h: np.ndarray, counts: np.ndarray, least: int, bound: int, s: Settin
     table = np.zeros(bits, bool)
     h = h[kept]
     for level in range(1, int(q.max(initial=0)) + 1):
-        at = h[q >= level]
+        first, step = _seeds(h[q >= level], level)
         for probe in range(s.probes):
-            table[_bits(at, level, probe, np.uint64(bits)).astype(np.int64)] = True
+            table[_bits(first, step, probe, np.uint64(bits))] = True
     return bits, np.packbits(table)
 
 
@@ -118,14 +124,16 @@ class Filter:
         """The highest level up to which all probes of all levels hit; 0 for an n-gram that was never entered."""
         place = kind * self.buckets + bucket_of(h, self.buckets)
         found = np.zeros(len(h), np.int64)
-        alive = np.flatnonzero(self.sizes[place] > 0)
+        all_sizes, all_starts = self.sizes[place].astype(np.uint64), self.starts[place]
+        alive = np.flatnonzero(all_sizes)
         level = 1
         while len(alive) and level < len(self.values) - 1:
-            sizes, starts = self.sizes[place[alive]].astype(np.uint64), self.starts[place[alive]]
+            first, step = _seeds(h[alive], level)
             for probe in range(self.probes):
-                at = starts + _bits(h[alive], level, probe, sizes).astype(np.int64)
-                hit = (self.data[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
-                alive, sizes, starts = alive[hit], sizes[hit], starts[hit]
+                at = all_starts[alive] + _bits(first, step, probe, all_sizes[alive])
+                hit = np.flatnonzero((self.data[at >> 3] << (at & 7).astype(np.uint8)) & np.uint8(0x80))
+                if len(hit) < len(alive):
+                    alive, first, step = alive[hit], first[hit], step[hit]
             found[alive] = level
             level += 1
         return found
@@ -238,18 +246,17 @@ class Model:
         """Unigram probability, bigram estimate and context level of each token; seen: own occurrences to leave out."""
         f = self.filter
         at, known = pd.factorize(h)
-        count = f.values[f.level(known, UNIGRAM)][at]
-        p1 = (np.maximum(count - seen, 0) + 0.5) / (self.total + 0.5 * (self.distinct + 1))
-        where, contexts = pd.factorize(before)
-        level = f.level(contexts, UNIGRAM)
+        own_level = f.level(known, UNIGRAM)[at]
+        p1 = (np.maximum(f.values[own_level] - seen, 0) + 0.5) / (self.total + 0.5 * (self.distinct + 1))
+        # the token before is the one at the place before, but for the first of a text
+        level = np.concatenate([[0], own_level[:-1]])
         context_count = f.values[level]
-        if self.starts > 0:
-            context_count = np.where(contexts == START, self.starts, context_count)
-            level = np.where(contexts == START, N_LEVELS - 1, level)
+        begins = before == START
+        level[begins], context_count[begins] = N_LEVELS - 1, self.starts
         both = f.values[f.level(textwords.pair_hash(before, h), BIGRAM)]
         both = np.where(both - seen >= 2 - (seen == 0), both - seen, 0.0)
-        p2 = np.minimum(both / np.maximum(context_count[where] - seen, 1.0), 1.0)
-        return p1, p2, np.minimum(level[where], N_LEVELS - 1)
+        p2 = np.minimum(both / np.maximum(context_count - seen, 1.0), 1.0)
+        return p1, p2, np.minimum(level, N_LEVELS - 1)
 
     def log10(self, h: np.ndarray, before: np.ndarray, shares: np.ndarray) -> np.ndarray:
         """shares[level of the context] is the weight of the bigram estimate."""
