@@ -87,13 +87,13 @@ def leaf_budgets(leaf_tokens: DataFrame, mixture: Mixture) -> DataFrame:
     whole subtree lacks reaches the siblings of its root.
     """
     room = leaf_tokens.withColumn("room", F.col("tokens") * mixture.max_epochs)
-    total = leaf_tokens.agg(F.coalesce(F.expr(f"sum(tokens) * {mixture.budget_parts} div {mixture.budget_of}"), F.lit(0)).alias("given"))
+    total = (leaf_tokens.agg(F.sum("tokens")).first()[0] or 0) * mixture.budget_parts // mixture.budget_of
     weights = (mixture.domain_weights, mixture.lang_weights, mixture.source_weights)
-    given, parent = total, []
+    given, parent = None, []
     for level, names in zip(LEVELS, weights, strict=True):
         keys = [*parent, level]
         nodes = room.groupBy(*keys).agg(F.sum("room").alias("room"))
-        nodes = nodes.join(F.broadcast(given), parent) if parent else nodes.crossJoin(F.broadcast(given))
+        nodes = nodes.join(F.broadcast(given), parent) if parent else nodes.withColumn("given", F.lit(total).cast("long"))
         nodes = nodes.select(*keys, F.col(level).alias("name"), _weight(F.col(level), names).alias("weight"), "room", "given")
         given = water_fill(nodes, parent or [F.lit(0)]).select(*keys, F.col("budget").alias("given"))
         parent = keys

@@ -47,16 +47,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
     with _held(spark, WHILE_WRITING):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
 
 
-def drop_materialized(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a table made by materialize(), once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if parent.startswith(checkpoint_root(spark).replace("file:///", "file:/")) or parent.startswith(checkpoint_root(spark)):
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_materialized(table: DataFrame) -> None:
+    """Delete the files behind a table that materialize() returned, once nothing reads it any more."""
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(table._written_to)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_text(col: Column) -> Column:

@@ -16,8 +16,8 @@ def finite(vector: Column) -> Column:
 
 def same_length(rows: DataFrame, column: str) -> DataFrame:
     """The rows whose vectors have the greatest length of all: vectors of another length cannot be compared."""
-    longest = rows.agg(F.max(F.size(column)).alias("_longest"))
-    return rows.crossJoin(F.broadcast(longest)).filter(F.size(column) == F.col("_longest")).drop("_longest")
+    longest = rows.agg(F.max(F.size(column))).first()[0]
+    return rows.filter(F.size(column) == F.lit(longest))
 
 
 def smallest_of_copies(rows: DataFrame, keep: int) -> DataFrame:
