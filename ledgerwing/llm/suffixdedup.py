@@ -25,7 +25,7 @@ from ledgerwing.llm.storage import drop_materialized, materialize, shuffle_width
 LENGTH = 200
 CORE = 100
 #: Anchors that make up one run at most.
-RUN_ANCHORS = 60_000
+RUN_ANCHORS = 30_000
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -436,16 +436,16 @@ def with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     meet only as one record a run.
     """
     width = shuffle_width(docs.sparkSession)
-    buckets = max(64, 8 * width)
+    buckets = max(64, 16 * width)
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     key = F.xxhash64(F.col(id_col), F.col(id_col).isNull(), data)
     keyed = docs.select(key.alias("key"), data.alias("data")).filter(F.octet_length("data") >= LENGTH)
     cores = materialize(_core_runs(keyed, buckets), "core-runs")
     candidates = _candidates(cores, _repeated_cores(cores))
     runs = materialize(_suffix_runs(keyed, candidates, buckets), "suffix-runs")
-    drop_materialized(docs.sparkSession, cores)
+    drop_materialized(cores)
     found = materialize(_document_spans(runs, _merged_spans(runs)), "spans")
-    drop_materialized(docs.sparkSession, runs)
+    drop_materialized(runs)
     named = found.select(F.col("key").alias("_key"), F.col("n_bytes").alias("_bytes"), _union(F.col("raw")).alias("spans"))
     rows = docs.drop("data", "spans").withColumn("data", data)
     key = F.xxhash64(F.col(id_col), F.col(id_col).isNull(), F.col("data"))

@@ -16,7 +16,7 @@ LOWER[0x41:0x5B] += 0x20
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Texts are hashed in blocks of about so many bytes.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 _powers = _inverse = np.ones(1, np.uint64)
 
 
