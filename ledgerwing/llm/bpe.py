@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: can match where they do and most pieces are words.
 SPLIT_PATTERN = r""" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct pieces of text whose tokens a worker remembers, in each of two generations.
-PIECE_CACHE = 450_000
+PIECE_CACHE = 250_000
 #: Bits of a queue entry that hold the position, in short pieces and in others; the rank stands above them.
 SHORT_BITS, LONG_BITS = 13, 40
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ledgerwing.llm.storage import id_bucket
 
 UNDETERMINED = "und"
-WORD_CACHE = 300_000
+WORD_CACHE = 100_000
 
 
 @dataclass
@@ -85,8 +85,8 @@ def fit(
     lang_col: str = "lang",
     id_col: str = "doc_id",
     docs_per_language: int = 4000,
-    words_per_language: int = 40_000,
-    grams_per_language: int = 20_000,
+    words_per_language: int = 25_000,
+    grams_per_language: int = 8_000,
     longest: int = 5,
     penalty: float = -7.0,
 ) -> LanguageModel:
