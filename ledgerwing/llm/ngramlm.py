@@ -13,30 +13,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwing.llm import textwords
-from ledgerwing.llm.storage import id_bucket, materialize, shuffle_width
+from ledgerwing.llm.storage import WHILE_WRITING, drop_materialized, held, id_bucket, materialize, shuffle_width
 
 END = np.uint64(0x1B873593CC9E2D51)
 START = np.uint64(0x2545F4914F6CDD1D)
 UNIGRAM, BIGRAM = 0, 1
+#: Bits of a segment that a 32-bit place can name.
+MOST_BITS = 1 << 32
+#: Texts travel in chunks of about so many bytes, and n-grams of a segment are looked up in runs of about so many.
+CHUNK = 1 << 20
+#: Rows of an Arrow batch where a row is a chunk.
+CHUNKS_PER_BATCH = 32
 
 
 @dataclass(frozen=True)
 class Settings:
     """Size and accuracy of the filter.
 
-    filter_bytes bounds what is broadcast. Each n-gram takes bits_per_entry bits for each level of its count. Bigrams
-    seen less than least_bigram times are left out at every size of input; only if the filter would still be over
-    its bound does a segment raise that limit, and the unigrams' too, until it fits. frequent_words bounds the exact
-    counts that are broadcast; all rarer words are looked up by a join.
+    Each n-gram takes bits_per_entry bits for each level of its count, so the filter grows with the n-grams counted.
+    Bigrams seen less than least_bigram times are left out at every size of input, and no others. frequent_words
+    bounds the exact counts that are broadcast; all rarer words are looked up by a join.
     """
 
-    filter_bytes: int = 32 << 20
     bits_per_entry: int = 10
     probes: int = 5
     base: float = 1.6
     least_bigram: int = 2
     frequent_words: int = 500_000
-    tuning_docs: int = 1000
 
 
 def levels(counts: np.ndarray, base: float) -> np.ndarray:
@@ -67,14 +70,15 @@ def _bits(first: np.ndarray, step: np.ndarray, probe: int, sizes: np.ndarray) ->
 
 
 def segment(h: np.ndarray, counts: np.ndarray, least: int, bound: int, s: Settings) -> tuple[int, np.ndarray]:
-    """One segment of the filter as (bits, bytes): every n-gram of at least `least` once for each of its levels."""
-    while True:
-        kept = counts >= least
-        q = levels(counts[kept], s.base)
-        bits = -(-int(q.sum()) * s.bits_per_entry // 64) * 64
-        if bits <= bound or not kept.any():
-            break
-        least += 1
+    """One segment of the filter as (bits, bytes): every n-gram of at least `least` once for each of its levels.
+
+    A segment over bound bits is an error: more buckets are needed, as none is left out to make it fit.
+    """
+    kept = counts >= least
+    q = levels(counts[kept], s.base)
+    bits = -(-int(q.sum()) * s.bits_per_entry // 64) * 64
+    if bits > bound:
+        raise ValueError(f"a segment of {bits} bits is over the {bound} that its places can name")
     table = np.zeros(bits, bool)
     h = h[kept]
     for level in range(1, int(q.max(initial=0)) + 1):
@@ -111,7 +115,7 @@ def frequent_counts(unigrams: DataFrame, most: int) -> tuple[np.ndarray, np.ndar
 
 @dataclass
 class Filter:
-    """All segments end to end; kind and leading bits of a hash say which one holds an n-gram."""
+    """Segments end to end; kind and leading bits of a hash say which one holds an n-gram."""
 
     data: np.ndarray
     starts: np.ndarray
@@ -192,15 +196,13 @@ def count_ngrams(train: DataFrame, s: Settings, buckets: int) -> DataFrame:
                     names=["kind", "bucket", "hashes", "counts"],
                 )
 
-    bound = s.filter_bytes * 8 // (2 * buckets)
-
     def add(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kind, bucket = int(key[0]), int(key[1])
         h, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for part in parts:
             more = [np.frombuffer(x, np.uint64) for x in part["hashes"]], [np.frombuffer(x, np.uint32).astype(np.int64) for x in part["counts"]]
             h, c = _merged(np.concatenate([h, *more[0]]), np.concatenate([c, *more[1]]))
-        bits, table = segment(h, c, 1 if kind == UNIGRAM else s.least_bigram, bound, s)
+        bits, table = segment(h, c, 1 if kind == UNIGRAM else s.least_bigram, MOST_BITS, s)
         exact = (h.tobytes(), c.tobytes()) if kind == UNIGRAM else (b"", b"")
         yield pd.DataFrame({"kind": [kind], "bucket": [bucket], "hashes": [exact[0]], "counts": [exact[1]], "bits": [bits], "segment": [table.tobytes()]})
 
@@ -219,83 +221,216 @@ def unigram_table(counted: DataFrame) -> DataFrame:
     return counted.filter(F.col("kind") == UNIGRAM).select("hashes", "counts").mapInArrow(unpack, "hash long, c long")
 
 
-def load_filter(counted: DataFrame, s: Settings, buckets: int) -> Filter:
-    """The segments, gathered: at most filter_bytes whatever the input."""
-    place = F.col("kind") * buckets + F.col("bucket")
-    sizes = np.zeros(2 * buckets, np.int64)
-    for row in counted.select(place.alias("place"), "bits").collect():
-        sizes[row["place"]] = row["bits"]
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    data = np.zeros(int(sizes.sum()) // 8, np.uint8)
-    for row in counted.select(place.alias("place"), "segment").toLocalIterator():
-        at = starts[row["place"]] // 8
-        data[at : at + sizes[row["place"]] // 8] = np.frombuffer(row["segment"], np.uint8)
-    return Filter(data, starts, sizes, buckets, level_values(s.base), s.probes)
+def pack_chunks(named: DataFrame) -> DataFrame:
+    """chunk, body: runs of rows (uid, doc_id, held_out, text), each as one Arrow stream and named by its first uid."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.cumsum([len(x or b"") for x in batch.column(3).to_pylist()])
+            cuts = np.flatnonzero(np.diff(sizes // CHUNK, prepend=0, append=-1))
+            cuts = np.unique(np.concatenate([[0], cuts[cuts < len(sizes)], [len(sizes)]]))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as out:
+                    out.write_batch(batch.slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 1), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "body"])
+
+    return materialize(named.mapInArrow(pack, "chunk long, body binary"), "lm-chunks")
+
+
+def _unpack(body: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(body) as stream:
+        return stream.read_next_batch()
+
+
+def _kinds(h: np.ndarray, before: np.ndarray) -> tuple[tuple[int, np.ndarray], ...]:
+    return (UNIGRAM, h), (BIGRAM, textwords.pair_hash(before, h))
+
+
+def look_up(chunks: DataFrame, counted: DataFrame, s: Settings, buckets: int) -> DataFrame:
+    """chunk, kind, bucket, levels: the levels of each chunk's distinct n-grams in the order of their hashes.
+
+    The n-grams go to the segments, bucket by bucket, so no task holds more than one segment of the filter.
+    """
+    values = level_values(s.base)
+
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h, before, _ = tokens([x or b"" for x in _unpack(body.as_py()).column(3).to_pylist()])
+                for kind, grams in _kinds(h, before):
+                    distinct = np.unique(grams)
+                    cuts = np.searchsorted(bucket_of(distinct, buckets), np.arange(buckets + 1))
+                    found = np.flatnonzero(np.diff(cuts))
+                    n = len(found)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(n, kind, np.int32)),
+                            pa.array(found.astype(np.int32)),
+                            pa.array(np.full(n, chunk, np.int64)),
+                            pa.array([distinct[cuts[k] : cuts[k + 1]].tobytes() for k in found], pa.binary()),
+                            pa.nulls(n, pa.int64()),
+                            pa.nulls(n, pa.binary()),
+                        ],
+                        names=["kind", "bucket", "chunk", "hashes", "bits", "segment"],
+                    )
+
+    def levels_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, run, size = None, None, [], 0
+
+        def answer() -> pa.RecordBatch:
+            h = [np.frombuffer(x, np.uint64) for _, x in run]
+            every = np.concatenate(h)
+            level = (held.level(every, 0) if held else np.zeros(len(every), np.int64)).astype(np.uint8)
+            ends = np.cumsum([len(x) for x in h])
+            parts = [x.tobytes() for x in np.split(level, ends[:-1])]
+            n = len(run)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([c for c, _ in run], pa.int64()), pa.array([key[0]] * n, pa.int32()), pa.array([key[1]] * n, pa.int32()), pa.array(parts, pa.binary())],
+                names=["chunk", "kind", "bucket", "levels"],
+            )
+
+        for batch in batches:
+            kinds, places, chunk_ids = (batch.column(k).to_pylist() for k in range(3))
+            for k in range(batch.num_rows):
+                if (kinds[k], places[k]) != key or size >= CHUNK:
+                    if run:
+                        yield answer()
+                    held = held if (kinds[k], places[k]) == key else None
+                    key, run, size = (kinds[k], places[k]), [], 0
+                if batch.column(5)[k].is_valid:
+                    bits = batch.column(4)[k].as_py()
+                    data = np.frombuffer(batch.column(5)[k].as_py(), np.uint8)
+                    held = Filter(data, np.array([0]), np.array([bits]), 1, values, s.probes)
+                else:
+                    run.append((chunk_ids[k], batch.column(3)[k].as_py()))
+                    size += len(run[-1][1]) // 8
+        if run:
+            yield answer()
+
+    asked = chunks.mapInArrow(probes, "kind int, bucket int, chunk long, hashes binary, bits long, segment binary")
+    segments = counted.select("kind", "bucket", F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("binary").alias("hashes"), "bits", "segment")
+    # nulls first: a segment comes before all that is asked of it
+    dealt = segments.unionByName(asked).repartition(shuffle_width(chunks.sparkSession), "kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk")
+    return materialize(dealt.mapInArrow(levels_of, "chunk long, kind int, bucket int, levels binary"), "lm-levels", CHUNKS_PER_BATCH)
+
+
+N_LEVELS = 64
+SHARES = np.array([0.0, 0.001, 0.003, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9])
 
 
 @dataclass
 class Model:
-    """What workers score with."""
+    """What turns levels into probabilities."""
 
-    filter: Filter
+    values: np.ndarray
     total: float
     distinct: float
     starts: float
 
-    def parts(self, h: np.ndarray, before: np.ndarray, seen: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Unigram probability, bigram estimate and context level of each token; seen: own occurrences to leave out."""
-        f = self.filter
-        at, known = pd.factorize(h)
-        own_level = f.level(known, UNIGRAM)[at]
-        p1 = (np.maximum(f.values[own_level] - seen, 0) + 0.5) / (self.total + 0.5 * (self.distinct + 1))
-        # the token before is the one at the place before, but for the first of a text
-        level = np.concatenate([[0], own_level[:-1]])
-        context_count = f.values[level]
-        begins = before == START
-        level[begins], context_count[begins] = N_LEVELS - 1, self.starts
-        both = f.values[f.level(textwords.pair_hash(before, h), BIGRAM)]
+    def parts(self, context: np.ndarray, own: np.ndarray, pair: np.ndarray, seen: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Unigram probability and bigram estimate of tokens by their levels; seen: own occurrences to leave out."""
+        p1 = (np.maximum(self.values[own] - seen, 0) + 0.5) / (self.total + 0.5 * (self.distinct + 1))
+        context_count = np.where(context == N_LEVELS - 1, self.starts, self.values[context])
+        both = self.values[pair]
         both = np.where(both - seen >= 2 - (seen == 0), both - seen, 0.0)
-        p2 = np.minimum(both / np.maximum(context_count - seen, 1.0), 1.0)
-        return p1, p2, np.minimum(level, N_LEVELS - 1)
-
-    def log10(self, h: np.ndarray, before: np.ndarray, shares: np.ndarray) -> np.ndarray:
-        """shares[level of the context] is the weight of the bigram estimate."""
-        p1, p2, level = self.parts(h, before)
-        share = shares[level]
-        return np.log10(share * p2 + (1 - share) * p1)
+        return p1, np.minimum(both / np.maximum(context_count - seen, 1.0), 1.0)
 
 
-N_LEVELS = 64
-SHARES = np.array([0.0, 0.001, 0.003, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9])
+def _combinations(own: list[bytes], pair: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Levels of many texts: which combination each token has, the context, own and pair level of each combination,
+    and where each text begins. The context of a text's first token is the text's start, as level N_LEVELS - 1."""
+    offsets = np.cumsum([0, *[len(x) for x in own]])
+    each, both = (np.frombuffer(b"".join(x), np.uint8).astype(np.int64) for x in (own, pair))
+    context = np.minimum(np.concatenate([[0], each[:-1]]), N_LEVELS - 1)
+    context[offsets[:-1]] = N_LEVELS - 1
+    at, found = pd.factorize((context << 16) | (each << 8) | both)
+    return at, found >> 16, (found >> 8) & 255, found & 255, offsets
 
 
-def tune(train: DataFrame, model: Broadcast, s: Settings) -> np.ndarray:
+def tune(train: DataFrame, model: Model) -> np.ndarray:
     """The share of the bigram estimate for each level of the context's count.
 
-    That of greatest likelihood on a bounded sample of tuning_docs training documents (least hashed id), each token's
-    own occurrence left out of the counts.
+    That of greatest likelihood over all training documents, each token's own occurrence left out of the counts.
     """
-    chosen = train.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.tuning_docs).distinct()
-    sample = train.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((N_LEVELS, len(SHARES)))
         for batch in batches:
-            for _, run in textwords.blocks(batch.column(0).to_pylist()):
-                h, before, _ = tokens(run)
-                p1, p2, level = model.value.parts(h, before, 1)
-                for k, share in enumerate(SHARES):
-                    sums[:, k] += np.bincount(level, np.log(share * p2 + (1 - share) * p1), N_LEVELS)
+            if not batch.num_rows:
+                continue
+            at, context, own, pair, _ = _combinations(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            times = np.bincount(at, minlength=len(context))
+            p1, p2 = model.parts(context, own, pair, 1)
+            for k, share in enumerate(SHARES):
+                sums[:, k] += np.bincount(context, times * np.log(share * p2 + (1 - share) * p1), N_LEVELS)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(N_LEVELS), len(SHARES))), pa.array(np.tile(np.arange(len(SHARES)), N_LEVELS)), pa.array(sums.ravel())], names=["level", "k", "ll"])
 
-    rows = sample.mapInArrow(likelihood, "level long, k long, ll double").groupBy("level", "k").agg(F.sum("ll").alias("ll")).collect()
+    with held(train.sparkSession, WHILE_WRITING):
+        rows = train.select("own", "pair").mapInArrow(likelihood, "level long, k long, ll double").groupBy("level", "k").agg(F.sum("ll").alias("ll")).collect()
     table = np.zeros((N_LEVELS, len(SHARES)))
     for r in rows:
         table[r["level"], r["k"]] = r["ll"]
     return SHARES[table.argmax(axis=1)]
 
 
-SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, hash long, tf long"
+LEVELLED = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, own binary, pair binary, hash long, tf long"
+
+
+def level_documents(chunks: DataFrame, answers: DataFrame, frequent: Broadcast) -> DataFrame:
+    """Each row's levels token by token and the base score of its frequent words; each rarer word in a row of its own."""
+
+    def levelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top_hash, top_count = frequent.value
+        names = [f.split()[0] for f in LEVELLED.split(", ")]
+        body, parts = None, {}
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            rows = _unpack(body)
+            h, before, offsets = tokens([x or b"" for x in rows.column(3).to_pylist()])
+            n = rows.num_rows
+            owner = np.repeat(np.arange(n), np.diff(offsets))
+            level = {}
+            for kind, grams in _kinds(h, before):
+                place = np.unique(grams, return_inverse=True)[1]
+                level[kind] = np.frombuffer(b"".join(parts[kind]), np.uint8)[place]
+            signed = h.view(np.int64)
+            codes, distinct = pd.factorize(signed)
+            place = np.minimum(np.searchsorted(top_hash, distinct), max(len(top_hash) - 1, 0))
+            found = top_hash[place] == distinct if len(top_hash) else np.zeros(len(distinct), bool)
+            hit, place = found[codes], place[codes]
+            base = np.bincount(owner[hit], np.log10(top_count[place[hit]] + 0.5), n)
+            known = np.bincount(owner[hit], minlength=n)
+            rare_owner, rare = owner[~hit], signed[~hit]
+            order = np.lexsort((rare, rare_owner))
+            rare_owner, rare = rare_owner[order], rare[order]
+            new = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (rare_owner[1:] != rare_owner[:-1])])) if len(rare) else np.zeros(0, np.int64)
+            tf = np.diff(np.concatenate([new, [len(rare)]]))
+            own, pair = ([level[kind][a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] for kind in (UNIGRAM, BIGRAM))
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0), rows.column(1), rows.column(2), pa.array(np.diff(offsets)), pa.array(known), pa.array(base), pa.array(own, pa.binary()), pa.array(pair, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
+                names=names,
+            )
+            m, uid = len(new), rows.column(0).to_numpy()
+            empty = [pa.nulls(m, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(uid[rare_owner[new]]), *empty, pa.array(rare[new]), pa.array(tf)], names=names)
+
+        for batch in batches:
+            kinds = batch.column(1).to_pylist()
+            for k in range(batch.num_rows):
+                if kinds[k] is None:
+                    if body is not None:
+                        yield from finish()
+                    body, parts = batch.column(3)[k].as_py(), {UNIGRAM: [], BIGRAM: []}
+                else:
+                    parts[kinds[k]].append(batch.column(3)[k].as_py())
+        if body is not None:
+            yield from finish()
+
+    bodies = chunks.select("chunk", F.lit(None).cast("int").alias("kind"), F.lit(None).cast("int").alias("bucket"), F.col("body").alias("levels"))
+    # nulls first: a chunk comes before its answers
+    dealt = bodies.unionByName(answers).repartition(shuffle_width(chunks.sparkSession), "chunk").sortWithinPartitions("chunk", "kind", "bucket")
+    return materialize(dealt.mapInArrow(levelled, LEVELLED), "lm-scores")
 
 
 def score_documents(docs: DataFrame, held_out: Column, settings: Settings | None = None) -> DataFrame:
@@ -306,59 +441,46 @@ def score_documents(docs: DataFrame, held_out: Column, settings: Settings | None
     come from a log-frequency Bloom filter, which reads a count too high now and then but never too low by more than
     its level, and are mixed with the unigrams by shares fitted for each level of the context's count.
 
-    The filter and the exact counts of the most frequent words are broadcast, both of bounded size; other words'
-    counts are joined. Repeated rows repeat. Without training documents all counts are zero.
+    The filter holds every n-gram of the fixed least counts, in segments that n-grams are sent to. Only the exact counts
+    of the most frequent words are broadcast, a bounded number; other words' counts are joined. Repeated rows repeat.
+    Without training documents all counts are zero.
     """
     s = settings or Settings()
     spark = docs.sparkSession
     buckets = max(256, 4 * shuffle_width(spark))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
-    train = rows.filter(~F.col("held_out"))
-    counted = count_ngrams(train, s, buckets)
+    counted = count_ngrams(rows.filter(~F.col("held_out")), s, buckets)
     unigrams = materialize(unigram_table(counted), "unigrams")
     total, distinct = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = unigrams.filter(F.col("hash") == int(END.astype(np.int64))).first()
-    shared = spark.sparkContext.broadcast(Model(load_filter(counted, s, buckets), float(total), float(distinct), float(ends["c"]) if ends else 0.0))
-    shares = tune(train, shared, s)
+    model = Model(level_values(s.base), float(total), float(distinct), float(ends["c"]) if ends else 0.0)
     frequent = spark.sparkContext.broadcast(frequent_counts(unigrams, s.frequent_words))
+    named = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    chunks = pack_chunks(named)
+    answers = look_up(chunks, counted, s, buckets)
+    levelled = level_documents(chunks, answers, frequent)
+    drop_materialized(chunks)
+    drop_materialized(answers)
+    main = levelled.filter("hash is null")
+    shares = tune(main.filter(~F.col("held_out")), model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (top_hash, top_count) = shared.value, frequent.value
         for batch in batches:
-            for at, run in textwords.blocks(batch.column(3).to_pylist()):
-                h, before, offsets = tokens(run)
-                n = len(run)
-                owner = np.repeat(np.arange(n), np.diff(offsets))
-                log_p = np.add.reduceat(model.log10(h, before, shares), offsets[:-1])
-                signed = h.view(np.int64)
-                codes, distinct = pd.factorize(signed)
-                place = np.minimum(np.searchsorted(top_hash, distinct), max(len(top_hash) - 1, 0))
-                found = top_hash[place] == distinct if len(top_hash) else np.zeros(len(distinct), bool)
-                hit, place = found[codes], place[codes]
-                base = np.bincount(owner[hit], np.log10(top_count[place[hit]] + 0.5), n)
-                known = np.bincount(owner[hit], minlength=n)
-                rare_owner, rare = owner[~hit], signed[~hit]
-                order = np.lexsort((rare, rare_owner))
-                rare_owner, rare = rare_owner[order], rare[order]
-                new = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (rare_owner[1:] != rare_owner[:-1])])) if len(rare) else np.zeros(0, np.int64)
-                tf = np.diff(np.concatenate([new, [len(rare)]]))
-                part = batch.slice(at, n)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), pa.array(np.diff(offsets)), pa.array(known), pa.array(base), pa.array(log_p), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
-                    names=[f.split()[0] for f in SCORED.split(", ")],
-                )
-                m, uid = len(new), part.column(0).to_numpy()
-                empty = [pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(uid[rare_owner[new]]), *empty, pa.array(rare[new]), pa.array(tf)], names=[f.split()[0] for f in SCORED.split(", ")])
-
-    named = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    scored = materialize(named.mapInArrow(score, SCORED), "lm-scores")
-    counts = scored.filter("hash is not null").select("uid", "hash", "tf").join(unigrams, "hash", "left")
+            if not batch.num_rows:
+                continue
+            at, context, own, pair, offsets = _combinations(batch.column(6).to_pylist(), batch.column(7).to_pylist())
+            p1, p2 = model.parts(context, own, pair)
+            share = shares[context]
+            log_p = np.add.reduceat(np.log10(share * p2 + (1 - share) * p1)[at], offsets[:-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(log_p)], names=[*batch.schema.names[:6], "score"])
+
+    counts = levelled.filter("hash is not null").select("uid", "hash", "tf").join(unigrams, "hash", "left")
     log_c = F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)
     joined = counts.groupBy("uid").agg(F.sum(log_c).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
     norm = F.log10(F.lit(float(total)) + 0.5 * (F.lit(float(distinct)) + 1))
+    scored = main.drop("hash", "tf").mapInArrow(score, "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double")
     return (
-        scored.filter("hash is null")
+        materialize(scored, "lm-sums")
         .join(joined, "uid", "left")
         .select(
             "doc_id",

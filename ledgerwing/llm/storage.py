@@ -24,7 +24,7 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def _held(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+def held(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
     before = {key: spark.conf.get(key, None) for key in settings}
     for key, value in settings.items():
         spark.conf.set(key, value)
@@ -38,14 +38,15 @@ def _held(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(key, value)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared checkpoint folder and read it back.
 
-    Cuts the lineage: the result survives lost executors, and what follows never recomputes it.
+    Cuts the lineage: the result survives lost executors, and what follows never recomputes it. batch_rows: rows that
+    go to Python at once, where they are larger than documents.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
-    with _held(spark, WHILE_WRITING):
+    with held(spark, WHILE_WRITING | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows)} if batch_rows else {})):
         df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_to = path

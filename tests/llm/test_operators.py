@@ -215,6 +215,32 @@ def test_filter_never_forgets():
     assert (f.level(h, 1) == 0).all()
 
 
+def test_no_ngram_is_left_out_of_a_filter():
+    h = textwords.mix(np.arange(1, 5001, dtype=np.uint64))
+    with pytest.raises(ValueError):
+        ngramlm.segment(h, np.full(5000, 3), 1, 1 << 10, ngramlm.Settings())
+    assert not hasattr(ngramlm.Settings(), "filter_bytes")
+
+
+def test_shares_are_fitted_over_all_training_documents(spark):
+    """1,500 texts: all of them must enter the likelihood, and a segment's levels must come back to every token."""
+    docs = spark.createDataFrame([(i, f"a b w{i % 700} c") for i in range(1500)], "doc_id long, text string")
+    seen = []
+    fit = ngramlm.tune
+
+    def counted(train, *rest):
+        seen.append(train.count())
+        return fit(train, *rest)
+
+    ngramlm.tune = counted
+    try:
+        found = ngramlm.score_documents(docs, F.lit(False)).collect()
+    finally:
+        ngramlm.tune = fit
+    assert seen == [1500] and not hasattr(ngramlm.Settings(), "tuning_docs")
+    assert len(found) == 1500 and all(r["n_tokens"] == 5 and r["n_known"] == 5 and r["score"] > r["base_score"] for r in found)
+
+
 def shingles(text: bytes, n: int) -> frozenset:
     w = WORD.findall(text.translate(LOWER))
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
