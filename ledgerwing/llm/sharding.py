@@ -22,7 +22,7 @@ def assign_shards(docs: DataFrame, shards: int = 8, text_col: str = "text", id_c
     fill more than 1/whole_group_share of a shard; a larger group is cut like any other rows.
 
     A text that more rows share than an average partition holds gets partitions of its own, cut by a hash of
-    doc_id, so that no task gets all of it. At most RANGES texts can be so frequent, which bounds all tables that
+    doc_id, so that no task gets all of it; their totals give the middle byte of its group. At most RANGES texts can be so frequent, which bounds all tables that
     are joined by broadcast. size: UTF-8 bytes plus 1, a null text counts as empty. slot: from 0 without gaps in
     each shard. Repeated rows take a slot each. An empty table gives no rows.
     """
@@ -52,13 +52,19 @@ def assign_shards(docs: DataFrame, shards: int = 8, text_col: str = "text", id_c
     partition_order = [F.asc("range"), F.asc_nulls_last("hot"), F.asc("part")]
     before = Window.orderBy(*partition_order).rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy(*partition).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    # the partitions of a hot text stand together and hold nothing else, so their totals are the text's
+    whole_text = Window.partitionBy("hot")
+    starts = totals.select(
+        *partition,
+        "bytes",
+        F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("byte_start"),
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("row_start"),
+        F.sum("bytes").over(Window.partitionBy()).alias("all_bytes"),
+    )
     starts = materialize(
-        totals.select(
-            *partition,
-            F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("byte_start"),
-            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("row_start"),
-            F.sum("bytes").over(Window.partitionBy()).alias("all_bytes"),
-        ),
+        starts.withColumn("hot_bytes", F.when(F.col("hot").isNotNull(), F.sum("bytes").over(whole_text)))
+        .withColumn("hot_at", F.when(F.col("hot").isNotNull(), F.min("byte_start").over(whole_text)))
+        .drop("bytes"),
         "shard-partitions",
     )
     inside = Window.partitionBy(*partition).orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -66,11 +72,11 @@ def assign_shards(docs: DataFrame, shards: int = 8, text_col: str = "text", id_c
     same_partition = [placed[c].eqNullSafe(starts[c]) for c in partition]
     counted = (
         placed.join(F.broadcast(starts), same_partition)
-        .select(*[placed[c] for c in placed.columns], "byte_start", "row_start", "all_bytes")
+        .select(*[placed[c] for c in placed.columns], "byte_start", "row_start", "all_bytes", "hot_bytes", "hot_at")
         .withColumn("at", F.col("byte_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .withColumn("index", F.col("row_start") + F.coalesce(F.count("*").over(inside), F.lit(0)))
-        .withColumn("group_bytes", F.when(F.col("hot").isNull(), F.sum("size").over(same_text)))
-        .withColumn("group_at", F.min("at").over(same_text))
+        .withColumn("group_bytes", F.coalesce("hot_bytes", F.sum("size").over(same_text)))
+        .withColumn("group_at", F.coalesce("hot_at", F.min("at").over(same_text)))
     )
     whole = F.col("group_bytes") * (whole_group_share * shards) <= F.col("all_bytes")
     twice_middle = F.when(whole, 2 * F.col("group_at") + F.col("group_bytes")).otherwise(2 * F.col("at") + F.col("size"))

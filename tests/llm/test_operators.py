@@ -184,6 +184,16 @@ def test_shards_are_near_equal_and_keep_groups(spark):
     assert cold.groupby("text_crc32")["shard"].nunique().max() == 1
 
 
+def test_texts_of_many_copies_share_a_shard(spark):
+    """Texts of 65 to 100 copies, each far below a twentieth of a shard, stay whole wherever a cut falls."""
+    rows = [(k * 1000 + i, f"text {k} " * 3) for k in range(400) for i in range(65 + k % 36)]
+    found = sharding.byte_shards(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert len(found) == len(rows) and found["shard"].nunique() == 8
+    assert found.groupby("text_crc32")["shard"].nunique().max() == 1
+    for _, part in found.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+
+
 def test_language_model(docs):
     texts = texts_of(docs)
     held = {k: zlib.crc32(str(k if k is not None else "").encode()) % 5 == 1 for k, _ in texts}
