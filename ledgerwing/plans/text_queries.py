@@ -218,6 +218,20 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
     return matching.coverage(reqs, short, "item_id", "r", "id", "text")
 
 
+@query(f"""
+WITH b AS (SELECT item_id, {WORDS3.format('text')} AS w FROM benchmark), q AS (SELECT doc_id, {WORDS3.format('text')} AS w FROM documents),
+bw AS (SELECT item_id, unnest(w) AS t FROM b), qw AS (SELECT doc_id, unnest(w) AS t FROM q),
+c AS (SELECT item_id, doc_id, count(*) AS n FROM bw JOIN qw USING (t) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, n / (len(b.w) + len(q.w) - n)::DOUBLE AS j FROM c JOIN b USING (item_id) JOIN q USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY j DESC, doc_id) AS k FROM s)
+SELECT item_id, doc_id AS best_id, round(j, 6) AS score, CASE WHEN j >= 0.6 THEN 'implemented' WHEN j >= 0.3 THEN 'partial' ELSE 'missing' END AS status FROM r WHERE k = 1
+""")
+def coverage_all(spark: SparkSession, d: str) -> DataFrame:
+    """coverage over every document, whatever its length."""
+    reqs = table(spark, d, "benchmark").select(F.col("item_id"), F.col("text").alias("r"))
+    return matching.coverage(reqs, _docs(spark, d).select(F.col("doc_id").alias("id"), "text"), "item_id", "r", "id", "text")
+
+
 @query("""
 WITH line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_number FROM documents),
 l AS (SELECT doc_id, line_number, trim(line) AS line FROM line),
