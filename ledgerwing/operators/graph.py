@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,11 +49,14 @@ def has_cycle(decisions: DataFrame) -> DataFrame:
     return decisions.select("id", "project").join(chains, "id").groupBy("project").agg(F.bool_or("cyclic").alias("has_cycle"))
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """seed, node, hops: every node that a seed reaches along edges (source, target), the seed itself at 0."""
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """seed, node, hops: every node that a seed reaches along edges (source, target), the seed itself at 0.
+
+    Runs until no new node is met, which is after as many rounds as the longest of the shortest ways.
+    """
     seen = _cut(seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("hops")).distinct())
     frontier = seen
-    for hop in range(1, most_rounds + 1):
+    for hop in itertools.count(1):
         step = frontier.join(edges, frontier["node"] == edges["source"]).select("seed", F.col("target").alias("node")).distinct()
         frontier = _cut(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():

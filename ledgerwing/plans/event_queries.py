@@ -186,6 +186,35 @@ def inclusion_proofs(spark: SparkSession, d: str) -> DataFrame:
     return found.select("log", "idx", "size", (F.size("proof") <= F.ceil(F.log2("size"))).alias("bounded"))
 
 
+@query("SELECT log, idx, true AS verified FROM audit")
+def verify_inclusion_all(spark: SparkSession, d: str) -> DataFrame:
+    """verify_inclusion over every log."""
+    leaves = v.audit_log(spark, d)
+    return integrity.verify_inclusion(integrity.inclusion_proofs(leaves), leaves, integrity.merkle_root(leaves))
+
+
+@query("""
+WITH l0 AS (SELECT log, idx, sha256('\\x00'::BLOB || data::BLOB) AS h FROM audit),
+"""
+    + ",\n".join(
+        f"l{k + 1} AS (SELECT log, idx // 2 AS idx, CASE WHEN count(*) = 2 THEN sha256('\\x01'::BLOB || unhex(min_by(h, idx)) || unhex(max_by(h, idx))) ELSE min(h) END AS h FROM l{k} GROUP BY log, idx // 2)"
+        for k in range(14)
+    )
+    + ", node AS ("
+    + " UNION ALL ".join(f"SELECT log, {k} AS level, idx, h FROM l{k}" for k in range(14))
+    + """),
+asked AS (SELECT log, idx, k AS level, xor(CAST(idx AS BIGINT) >> k, 1::BIGINT) AS sibling FROM audit, (SELECT unnest(range(14))::INT AS k)),
+proof AS (SELECT a.log, a.idx, count(*) AS steps, string_agg(h, '' ORDER BY a.level) AS hashes FROM asked a JOIN node n ON n.log = a.log AND n.level = a.level AND n.idx = a.sibling GROUP BY ALL),
+s AS (SELECT log, count(*) AS size FROM audit GROUP BY log)
+SELECT a.log, a.idx, size, coalesce(steps, 0) AS steps, sha256(coalesce(hashes, '')) AS digest FROM audit a JOIN s USING (log) LEFT JOIN proof p ON p.log = a.log AND p.idx = a.idx
+""")
+def inclusion_proofs_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every leaf's proof, as its number of hashes and a digest of them from the leaf up."""
+    hashes = F.array_join(F.transform("proof", lambda x: F.lower(F.hex(x))), "")
+    digest = F.sha2(hashes.cast("binary"), 256)
+    return integrity.inclusion_proofs(v.audit_log(spark, d)).select("log", "idx", "size", F.size("proof").cast("long").alias("steps"), digest.alias("digest"))
+
+
 @query("SELECT log, true AS consistent FROM audit GROUP BY log HAVING count(*) > 5")
 def verify_consistency(spark: SparkSession, d: str) -> DataFrame:
     leaves = v.audit_log(spark, d)
@@ -235,6 +264,36 @@ def affected_outputs(spark: SparkSession, d: str) -> DataFrame:
     return graph.affected_outputs(edges, e.filter("event_id % 997 = 3").select(F.col("event_id").alias("seed")), durable)
 
 
+@query("""
+WITH RECURSIVE walk(seed, node, hops) AS (
+  SELECT event_id, event_id, 0 FROM event WHERE event_id % 20 = 0
+  UNION ALL SELECT seed, event_id, hops + 1 FROM walk JOIN event ON event_id = (node - 1) // 2 WHERE node > 0
+)
+SELECT seed, node, min(hops) AS hops FROM walk GROUP BY ALL
+""")
+def causal_chain_all(spark: SparkSession, d: str) -> DataFrame:
+    """causal_chain from the seeds whose id 20 divides."""
+    e = v.events(spark, d).select("event_id")
+    edges = e.select(F.col("event_id").alias("source"), F.explode(F.array(F.col("event_id") * 2 + 1, F.col("event_id") * 2 + 2)).alias("target"))
+    return graph.causal_chain(edges, e.filter("event_id % 20 = 0").select(F.col("event_id").alias("seed")))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT event_id, (event_id - 1) // 2 AS parent FROM event WHERE event_id % 5 <> 0 AND event_id > 0),
+walk(seed, node, hops) AS (
+  SELECT event_id, event_id, 0 FROM event WHERE event_id % 20 = 0
+  UNION ALL SELECT seed, event_id, hops + 1 FROM walk JOIN e ON parent = node
+)
+SELECT seed, node, hops FROM walk WHERE hops > 0
+""")
+def affected_outputs_all(spark: SparkSession, d: str) -> DataFrame:
+    """affected_outputs from the seeds whose id 20 divides."""
+    e = v.events(spark, d).select("event_id")
+    edges = e.filter("event_id > 0").select(F.floor((F.col("event_id") - 1) / 2).cast("long").alias("source"), F.col("event_id").alias("target"))
+    durable = e.filter("event_id % 5 = 0").select(F.col("event_id").alias("node"))
+    return graph.affected_outputs(edges, e.filter("event_id % 20 = 0").select(F.col("event_id").alias("seed")), durable)
+
+
 @query("""
 WITH x AS (SELECT agent_id AS s, lead(agent_id) OVER (PARTITION BY target ORDER BY ts, event_id) AS t FROM event), y AS (SELECT s, t FROM x WHERE t IS NOT NULL),
 o AS (SELECT s AS agent, count(DISTINCT t) AS influences FROM y GROUP BY s), b AS (SELECT t AS agent, count(DISTINCT s) AS influenced_by FROM y GROUP BY t)

@@ -96,6 +96,16 @@ def drop_multi_writer(spark: SparkSession, d: str) -> DataFrame:
     return review.drop_multi_writer(t.filter("id % 11 = 0").select("id", "table_name"), t.filter("id % 13 = 0").select("path", "table_name"))
 
 
+@query("""
+WITH t AS (SELECT event_id AS id, json_extract_string(props, '$.k') AS table_name, event_type AS path FROM events)
+SELECT id, table_name FROM t WHERE table_name NOT IN (SELECT table_name FROM t WHERE table_name IS NOT NULL GROUP BY table_name HAVING count(DISTINCT path) > 1)
+""")
+def drop_multi_writer_all(spark: SparkSession, d: str) -> DataFrame:
+    """drop_multi_writer of every finding against every write."""
+    t = table(spark, d, "events").select(F.col("event_id").alias("id"), F.get_json_object("props", "$.k").alias("table_name"), F.col("event_type").alias("path"))
+    return review.drop_multi_writer(t.select("id", "table_name"), t.select("path", "table_name"))
+
+
 @query("""
 WITH i AS (SELECT DISTINCT 'f' || user_id || '.py' AS path, event_type AS module FROM events),
 h AS (SELECT path, CASE WHEN module IN ('view', 'click') THEN 1 ELSE 2 END AS decision_id, module FROM i WHERE module IN ('view', 'error') OR module = 'signup')
@@ -177,6 +187,20 @@ def decisions_for_file(spark: SparkSession, d: str) -> DataFrame:
     return matching.decisions_for_file(files, tiers, globs)
 
 
+@query("""
+WITH s AS (SELECT id, project, row_number() OVER (PARTITION BY project ORDER BY confidence DESC, id) AS k FROM decision), t AS (SELECT *, CASE WHEN k <= 2 THEN 'always' WHEN k <= 6 THEN 'auto' ELSE 'on-demand' END AS tier FROM s),
+f AS (SELECT c_custkey AS project, 'src/' || lower(c_mktsegment) || '/' || c_custkey || '.py' AS path FROM customer)
+SELECT path, id, tier FROM f JOIN t USING (project) WHERE tier = 'always' OR (tier = 'auto' AND path LIKE 'src/' || CASE WHEN id % 2 = 0 THEN 'b' ELSE 'm' END || '%')
+""")
+def decisions_for_file_all(spark: SparkSession, d: str) -> DataFrame:
+    """decisions_for_file for a file of every customer."""
+    scored = v.decisions(spark, d).select("id", "project", F.col("confidence").alias("score"))
+    tiers = seq.assign_tiers(scored, scored, always=2, auto=4)
+    files = table(spark, d, "customer").select(F.col("c_custkey").alias("project"), F.concat(F.lit("src/"), F.lower("c_mktsegment"), F.lit("/"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("path"))
+    globs = scored.select("id", F.when(F.col("id") % 2 == 0, "src/b**").otherwise("src/m**").alias("pattern"))
+    return matching.decisions_for_file(files, tiers, globs)
+
+
 @query("SELECT l_suppkey AS contradiction_id, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_suppkey HAVING count(*) >= 3")
 def recurring_exceptions(spark: SparkSession, d: str) -> DataFrame:
     return agg.recurring_exceptions(table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("contradiction_id")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import inspect
+
+from ledgerwing.operators import graph
 from ledgerwing.plans import load_all
 
 QUERIES = load_all().QUERIES
@@ -18,3 +21,14 @@ def test_a_long_document_or_one_of_unknown_length_can_be_the_best_match(spark, t
     d = written(spark, tmp_path, benchmark=([(1, "alpha beta gamma delta"), (2, "epsilon zeta eta")], "item_id long, text string"), documents=(documents, "doc_id long, text string, n_chars long"))
     found = {r["item_id"]: (r["best_id"], r["score"], r["status"]) for r in QUERIES["coverage_all"](spark, d).collect()}
     assert found == {1: (2, 1.0, "implemented"), 2: (3, 1.0, "implemented")}
+
+
+def test_a_walk_has_no_limit_of_rounds():
+    """A walk past a hundred rounds takes minutes in a local session, so only the parameter's absence is tested."""
+    assert set(inspect.signature(graph.reachable).parameters) == {"edges", "seeds"}
+
+
+def test_every_log_has_its_proofs_checked(spark, sf_dir):
+    logs = {r["log"] for r in QUERIES["merkle_root"](spark, sf_dir).select("log").collect()}
+    found = QUERIES["verify_inclusion_all"](spark, sf_dir).groupBy("log").agg({"verified": "min"}).collect()
+    assert {r[0] for r in found} == logs and all(r[1] for r in found)
