@@ -152,17 +152,19 @@ def as_of(decisions: DataFrame, times: DataFrame, bucket_days: int = 90) -> Data
     return times.join(decisions, "key").filter(inside).select("t", "key", "id")
 
 
-def compare_fingerprints(fingerprints: DataFrame, threshold: float = 0.7) -> DataFrame:
+def compare_fingerprints(fingerprints: DataFrame, threshold: float = 0.7, asked: DataFrame | None = None) -> DataFrame:
     """a, b, similarity, compatible: cosine of the vectors of every two rows of a stated set in one group.
 
-    fingerprints: grp, key, vector. Only rows of one group meet.
+    fingerprints: grp, key, vector. Only rows of one group meet. asked, of the same columns: its rows meet all others of
+    fingerprints instead, as a.
     """
-    x, y = fingerprints.select("grp", F.col("key").alias("a"), F.col("vector").alias("va")), fingerprints.select("grp", F.col("key").alias("b"), F.col("vector").alias("vb"))
+    left = fingerprints if asked is None else asked
+    x, y = left.select("grp", F.col("key").alias("a"), F.col("vector").alias("va")), fingerprints.select("grp", F.col("key").alias("b"), F.col("vector").alias("vb"))
 
     def dot(u: str, v: str) -> Column:
         return F.aggregate(F.zip_with(u, v, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda t, z: t + z)
 
-    pairs = x.join(y, "grp").filter("a < b")
+    pairs = x.join(y, "grp").filter("a < b" if asked is None else "a <> b")
     norm = F.sqrt(dot("va", "va")) * F.sqrt(dot("vb", "vb"))
     return pairs.select("a", "b", F.round(F.when(norm == 0, 0.0).otherwise(dot("va", "vb") / norm), 6).alias("similarity")).withColumn("compatible", F.col("similarity") >= threshold)
 

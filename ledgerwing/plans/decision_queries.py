@@ -282,6 +282,17 @@ def compare_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return pairs.compare_fingerprints(e.select(F.col("label").alias("grp"), F.col("vec_id").alias("key"), F.col("embedding").alias("vector")))
 
 
+@query("""
+WITH x AS (SELECT vec_id, label, list_transform(embedding, lambda e: e::DOUBLE) AS e FROM embeddings)
+SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS similarity, round(list_cosine_similarity(a.e, b.e), 6) >= 0.7 AS compatible
+FROM x a JOIN x b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
+""")
+def compare_fingerprints_all(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors whose id 20 divides against all vectors of their label."""
+    e = table(spark, d, "embeddings").select(F.col("label").alias("grp"), F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    return pairs.compare_fingerprints(e, asked=e.filter("key % 20 = 0"))
+
+
 @query(f"""
 WITH g AS ({OPEN.replace('actionable', 'violations')})
 SELECT project, 'no-new-contradictions' AS rule, 'error' AS severity, violations FROM g

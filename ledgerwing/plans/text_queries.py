@@ -204,6 +204,21 @@ def keyword_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return q.select("doc_id", "item_id", F.round(text.keyword_jaccard(F.col("q"), F.col("b")), 6).alias("similarity"))
 
 
+@query(f"""
+WITH b AS (SELECT item_id, {WORDS3.format('text')} AS w FROM benchmark), q AS (SELECT doc_id, {WORDS3.format('text')} AS w FROM documents),
+bw AS (SELECT item_id, len(w) AS nb, unnest(w) AS t FROM b), qw AS (SELECT doc_id, len(w) AS nq, unnest(w) AS t FROM q)
+SELECT doc_id, item_id, round(count(*) / (any_value(nb) + any_value(nq) - count(*))::DOUBLE, 6) AS similarity FROM bw JOIN qw USING (t) GROUP BY doc_id, item_id
+""")
+def keyword_jaccard_all(spark: SparkSession, d: str) -> DataFrame:
+    """keyword_jaccard of all documents and all benchmark items that share a word."""
+    b = table(spark, d, "benchmark").select("item_id", text.words3(F.col("text")).alias("w"))
+    q = _docs(spark, d).select("doc_id", text.words3(F.col("text")).alias("w"))
+    bw = b.select("item_id", F.size("w").alias("nb"), F.explode("w").alias("t"))
+    qw = q.select("doc_id", F.size("w").alias("nq"), F.explode("w").alias("t"))
+    shared = bw.join(qw, "t").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.first("nb").alias("nb"), F.first("nq").alias("nq"))
+    return shared.select("doc_id", "item_id", F.round(F.col("n") / (F.col("nb") + F.col("nq") - F.col("n")), 6).alias("similarity"))
+
+
 @query(f"""
 WITH b AS (SELECT item_id, {WORDS3.format('text')} AS w FROM benchmark), q AS (SELECT doc_id, {WORDS3.format('text')} AS w FROM documents WHERE n_chars < 2000),
 bw AS (SELECT item_id, unnest(w) AS t FROM b), qw AS (SELECT doc_id, unnest(w) AS t FROM q),

@@ -32,3 +32,10 @@ def test_every_log_has_its_proofs_checked(spark, sf_dir):
     logs = {r["log"] for r in QUERIES["merkle_root"](spark, sf_dir).select("log").collect()}
     found = QUERIES["verify_inclusion_all"](spark, sf_dir).groupBy("log").agg({"verified": "min"}).collect()
     assert {r[0] for r in found} == logs and all(r[1] for r in found)
+
+
+def test_every_document_meets_every_item(spark, tmp_path):
+    documents = [(i, f"alpha beta word{'xyz'[i]}") for i in range(3)]
+    d = written(spark, tmp_path, benchmark=([(7, "alpha beta"), (8, "beta")], "item_id long, text string"), documents=(documents, "doc_id long, text string"))
+    found = {(r["doc_id"], r["item_id"]): r["similarity"] for r in QUERIES["keyword_jaccard_all"](spark, d).collect()}
+    assert found == {(i, k): x for i in range(3) for k, x in ((7, 0.666667), (8, 0.333333))}
