@@ -281,7 +281,7 @@ def heuristic_risk(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def predicted_risk(spark: SparkSession, d: str) -> DataFrame:
     features = risk_features(spark, d).withColumn("label", F.col("label").cast("double"))
-    return risk.predict_risk(features, risk.train_risk(features, trees=5))
+    return risk.predict_risk(features, risk.train_risk(features))
 
 
 REQUIREMENTS = [("access control", ["auth"], ["access control"]), ("encryption", ["security"], ["encrypt"]), ("audit", ["logging"], ["audit"]), ("records", [], ["building"])]

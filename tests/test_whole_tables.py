@@ -5,7 +5,7 @@ from __future__ import annotations
 import inspect
 
 from ledgerwing.operators import graph
-from ledgerwing.plans import load_all
+from ledgerwing.plans import governance_queries, load_all
 
 QUERIES = load_all().QUERIES
 
@@ -39,3 +39,11 @@ def test_every_document_meets_every_item(spark, tmp_path):
     d = written(spark, tmp_path, benchmark=([(7, "alpha beta"), (8, "beta")], "item_id long, text string"), documents=(documents, "doc_id long, text string"))
     found = {(r["doc_id"], r["item_id"]): r["similarity"] for r in QUERIES["keyword_jaccard_all"](spark, d).collect()}
     assert found == {(i, k): x for i in range(3) for k, x in ((7, 0.666667), (8, 0.333333))}
+
+
+def test_predicted_risk_uses_the_operators_own_trees(spark, sf_dir, monkeypatch):
+    asked = []
+    fit = governance_queries.risk.train_risk
+    monkeypatch.setattr(governance_queries.risk, "train_risk", lambda *a, **k: asked.append(k) or fit(*a, **k))
+    assert QUERIES["predicted_risk"](spark, sf_dir).count() > 0
+    assert asked == [{}]
