@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from struct import pack
 
@@ -13,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerwing.llm import worker
+
 #: Fixed value: what byte-level BPE vocabularies of this kind split on. Letters come first, as no other branch
 #: can match where they do and most pieces are words.
 SPLIT_PATTERN = r""" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Distinct pieces of text whose tokens a worker remembers, in each of two generations.
-PIECE_CACHE = 250_000
+#: Bytes that a worker's remembered pieces may take, in each of two generations; what an entry takes beside its strings.
+CACHE_BYTES, ENTRY_BYTES = 56_000_000, 190
 #: Bits of a queue entry that hold the position, in short pieces and in others; the rank stands above them.
 SHORT_BITS, LONG_BITS = 13, 40
 
@@ -33,22 +34,22 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class PieceCache(dict):
-    """Piece -> its token ids as packed int32. When it is full, it becomes the older generation of a new one."""
+    """Text -> its token ids as packed int32. When it is full, it becomes the older generation of a new one."""
 
-    def __init__(self, merge: Callable[[bytes], tuple[int, ...]]):
-        self.merge, self.older = merge, {}
+    def __init__(self, encode: Callable[[str], bytes], room: int = CACHE_BYTES):
+        self.encode, self.most, self.room, self.older = encode, room, room, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        found = self.older.get(piece)
+    def __missing__(self, text: str) -> bytes:
+        found = self.older.get(text)
         if found is None:
-            ids = self.merge(piece.encode("utf-8"))
-            found = pack(f"={len(ids)}i", *ids)
-            if len(piece) > 64:
+            found = self.encode(text)
+            if len(text) > 64:
                 return found
-        if len(self) >= PIECE_CACHE:
-            self.older = dict(self)
+        self.room -= ENTRY_BYTES + len(text) + len(found)
+        if self.room < 0:
+            self.older, self.room = dict(self), self.most
             self.clear()
-        self[piece] = found
+        self[text] = found
         return found
 
 
@@ -60,6 +61,7 @@ class ByteBpe:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        require_byte_level(spec)
         vocab = spec["model"]["vocab"]
         alphabet = byte_alphabet()
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
@@ -79,13 +81,15 @@ class ByteBpe:
         self.blob = np.frombuffer(b"".join(self.pieces.get(i, b"") for i in range(len(lengths))), np.uint8)
         self.split = regex.compile(SPLIT_PATTERN).findall
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.cache = PieceCache(self.merge)
+        self.cache = PieceCache(self._merged)
 
     def merge(self, data: bytes) -> tuple[int, ...]:
         """Tokens of one piece: the pair of least rank, leftmost first, merges until none is left."""
         byte_ids, rank_of, merged_id = self.byte_ids, self.rank_of, self.merged
         ids = [byte_ids[b] for b in data]
         n = len(ids)
+        if n == 1:
+            return tuple(ids)
         shift = SHORT_BITS if n >> SHORT_BITS == 0 else LONG_BITS
         mask = (1 << shift) - 1
         #: rank of the pair that starts at each symbol, None if it has none or was merged away
@@ -120,6 +124,10 @@ class ByteBpe:
                     heappush(queue, found << shift | before)
         return tuple([x for x in ids if x >= 0])
 
+    def _merged(self, piece: str) -> bytes:
+        ids = self.merge(piece.encode("utf-8"))
+        return pack(f"={len(ids)}i", *ids)
+
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self.cache.__getitem__, self.split(text)))
 
@@ -141,9 +149,35 @@ class ByteBpe:
         return self.blob[at + np.arange(ends[-1])]
 
 
-@lru_cache(maxsize=4)
+def require_byte_level(spec: dict) -> None:
+    """Refuse a tokenizer file of another kind than the one that this module encodes as."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    steps = before.get("pretokenizers", [before])
+    plain = (
+        model.get("type", "BPE") == "BPE"
+        and not spec.get("normalizer")
+        and not model.get("ignore_merges")
+        and not model.get("dropout")
+        and [x.get("type") for x in steps] == ["ByteLevel"]
+        and not steps[0].get("add_prefix_space")
+        and steps[0].get("use_regex", True)
+        and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in spec.get("added_tokens", []))
+    )
+    if not plain:
+        raise ValueError("not a plain byte-level BPE file: " + json.dumps({k: v for k, v in spec.items() if k in ("normalizer", "pre_tokenizer", "added_tokens")})[:500])
+
+
 def _bpe(path: str) -> ByteBpe:
-    return ByteBpe(path)
+    return worker.state(("bpe", path), lambda: ByteBpe(path))
+
+
+def _encoded(texts: pa.Array, bpe: ByteBpe) -> list[np.ndarray]:
+    return [bpe.encode(x.decode("utf-8", "replace")) for x in texts.to_pylist()]
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *[len(x) for x in parts]], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
 
 
 def encode_column(text: Column, path: str) -> Column:
@@ -151,13 +185,7 @@ def encode_column(text: Column, path: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        bpe = _bpe(path)
-        offsets, parts = np.zeros(len(texts) + 1, np.int32), []
-        for k, data in enumerate(texts.to_pylist()):
-            ids = bpe.encode(data.decode("utf-8", "replace"))
-            parts.append(ids)
-            offsets[k + 1] = offsets[k] + len(ids)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
+        return _lists(_encoded(texts, _bpe(path)))
 
     return encode(F.coalesce(text.cast("binary"), F.lit(b"")))
 
@@ -176,12 +204,25 @@ def decode_column(ids: Column, path: str) -> Column:
     return decode(ids)
 
 
+def round_trip_column(text: Column, path: str) -> Column:
+    """struct<ids: array<int>, decoded: string>: both ways in one pass, as a chain of both columns would encode twice."""
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def both(texts: pa.Array) -> pa.Array:
+        bpe = _bpe(path)
+        parts = _encoded(texts, bpe)
+        decoded = pa.array([bpe.decode(x).tobytes().decode("utf-8", "replace") for x in parts], pa.string())
+        return pa.StructArray.from_arrays([_lists(parts), decoded], names=["ids", "decoded"])
+
+    return both(F.coalesce(text.cast("binary"), F.lit(b"")))
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array<int>) of every document, in its partition: no shuffle.
 
     Null and empty texts give an empty array, repeated rows repeat, other columns are left out. A very long
     text is one row; its longest unbroken piece sets the size of the merge queue. The file at path must be on
-    every worker.
+    every worker; a file of another kind is refused.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), encode_column(F.col(text_col), path).alias("ids"))
 
@@ -193,10 +234,10 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 
 def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids joined by commas and of the decoded text."""
-    both = decode(encode(docs, path), path)
+    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), round_trip_column(F.col("text"), path).alias("both"))
     return both.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.size("both.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("both.ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("both.decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
