@@ -43,9 +43,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and the digest of the decoded text."""
     path = tokenizer_path()
-    rows = docs.select("doc_id", "lang", "source", bpe.encode_column(F.col("text"), path).alias("ids"))
-    decoded = F.sha2(bpe.decode_column(F.col("ids"), path).cast("binary"), 256)
-    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", decoded.alias("decoded_sha256"))
+    rows = docs.select("doc_id", "lang", "source", bpe.round_trip_column(F.col("text"), path).alias("both"))
+    decoded = F.sha2(F.col("both.decoded").cast("binary"), 256)
+    return rows.select("doc_id", "lang", "source", F.size("both.ids").cast("long").alias("n_tokens"), F.col("both.ids").alias("ids"), decoded.alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Stage]] = [
