@@ -2,80 +2,205 @@
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass, field
+import unicodedata
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerwing.llm.storage import id_bucket
+from ledgerwing.llm import textwords
+from ledgerwing.llm.storage import WHILE_WRITING, held, id_bucket
 
 UNDETERMINED = "und"
-WORD_CACHE = 100_000
+#: Words are taken from stretches of about so many characters.
+BLOCK = 1 << 18
+#: A mean score counts as the evidence of so many words at most when it becomes odds.
+MOST_WORDS = 10
+BLANK = 0x20
+
+
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Whether a code point is a letter (general category L)."""
+    return np.fromiter((unicodedata.category(chr(i))[0] == "L" for i in range(0x110000)), bool, 0x110000)
+
+
+def _codes(points: np.ndarray) -> np.ndarray:
+    return textwords.mix(points.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
+
+
+@dataclass
+class Stretch:
+    """Words of a stretch of lower-case texts: code points, where words start and end, and the text of each."""
+
+    points: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    owner: np.ndarray
+
+    def hashes(self) -> np.ndarray:
+        return textwords.substring_hashes(textwords.power_sums(_codes(self.points)), self.starts, self.ends)
+
+
+def stretches(texts: list[str | None]) -> Iterator[Stretch]:
+    """The words of all texts, in stretches of about BLOCK characters; a longer text is cut between two words."""
+    parts: list[np.ndarray] = []
+    owners: list[int] = []
+    size = 0
+
+    def found() -> Stretch:
+        points = np.concatenate(parts)
+        inside = letters()[points]
+        edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        first = np.cumsum([0, *[len(x) for x in parts[:-1]]])
+        place = np.searchsorted(first, edges[::2], side="right") - 1
+        return Stretch(points, edges[::2], edges[1::2], np.array(owners)[place])
+
+    for k, text in enumerate(texts):
+        points = np.frombuffer(f"{(text or '').lower()} ".encode("utf-32-le"), np.uint32)
+        at = 0
+        while at < len(points):
+            end = at + BLOCK
+            if end < len(points):
+                gaps = np.flatnonzero(~letters()[points[end:]])
+                end += int(gaps[0]) + 1  # the last character is a blank
+            parts.append(points[at:end])
+            owners.append(k)
+            size += len(parts[-1])
+            at = end
+            if size >= BLOCK:
+                yield found()
+                parts, owners, size = [], [], 0
+    if parts:
+        yield found()
+
+
+def n_grams(s: Stretch, words: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """n from longest to 1: the place in words, and the hash, of each n-gram of those words between two blanks."""
+    lengths = s.ends[words] - s.starts[words] + 2
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    points = np.full(int(lengths.sum()), BLANK, np.uint32)
+    owner = np.repeat(np.arange(len(words)), lengths)
+    place = np.arange(len(points)) - first[owner]
+    inside = (place > 0) & (place < lengths[owner] - 1)
+    points[inside] = s.points[(s.starts[words][owner] + place - 1)[inside]]
+    sums = textwords.power_sums(_codes(points))
+    for n in range(longest, 0, -1):
+        at = np.flatnonzero(place + n <= lengths[owner])
+        yield n, owner[at], textwords.substring_hashes(sums, at, at + n)
+
+
+@dataclass
+class Table:
+    """Sorted hashes of terms, and for each the log10 relative frequency in every language."""
+
+    keys: np.ndarray
+    scores: np.ndarray
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each hash, and whether there is one."""
+        if not len(self.keys):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return at, self.keys[at] == h
 
 
 @dataclass
 class LanguageModel:
-    """Log10 relative frequencies per language. languages are sorted; every row of a matrix follows them."""
+    """tables[0] has the words, tables[n] the n-grams; columns of scores follow the sorted languages."""
 
     languages: list[str]
-    words: dict[str, int]
-    word_scores: np.ndarray
-    grams: dict[str, int]
-    gram_scores: np.ndarray
-    longest: int
-    cache: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def word(self, word: str) -> np.ndarray:
-        """Scores of one lower-case word: its own, else the mean over its longest n-grams that any language knows."""
-        at = self.words.get(word)
-        if at is not None:
-            return self.word_scores[at]
-        found = self.cache.get(word)
-        if found is None:
-            found = self.unseen(word)
-            if len(word) <= 40:
-                if len(self.cache) >= WORD_CACHE:
-                    self.cache.clear()
-                self.cache[word] = found
-        return found
-
-    def unseen(self, word: str) -> np.ndarray:
-        padded, get = f" {word} ", self.grams.get
-        for n in range(min(self.longest, len(padded)), 0, -1):
-            rows = [at for i in range(len(padded) - n + 1) if (at := get(padded[i : i + n])) is not None]
-            if rows:
-                return self.gram_scores[rows].mean(axis=0)
-        return np.zeros(len(self.languages))
-
-    def predict(self, words: list[str]) -> tuple[str, float]:
-        """The language of the highest mean score; a tie goes to the first by name.
-
-        The score is its share when the mean, weighed as at most ten words, becomes odds.
-        """
-        if not words or not self.languages:
-            return UNDETERMINED, 0.0
-        known, rest = [], []
-        get = self.words.get
-        for w in words:
-            at = get(w)
-            if at is None:
-                rest.append(self.word(w))
-            else:
-                known.append(at)
-        total = self.word_scores[known].sum(axis=0) if known else np.zeros(len(self.languages))
-        if rest:
-            total = total + np.sum(rest, axis=0)
-        mean = total / len(words)
-        odds = np.exp((mean - mean.max()) * math.log(10) * min(len(words), 10))
-        best = int(np.argmax(mean))
-        return self.languages[best], float(odds[best] / odds.sum())
-
-
-def _lower_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
+    tables: list[Table]
+
+    def word_scores(self, s: Stretch, words: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """words x languages: a known word's own scores, else the mean over its longest n-grams that any language knows."""
+        at, known = self.tables[0].find(h)
+        out = np.zeros((len(words), len(self.languages)))
+        out[known] = self.tables[0].scores[at[known]]
+        rest = np.flatnonzero(~known)
+        open_ = np.ones(len(rest), bool)
+        for n, owner, grams in n_grams(s, words[rest], len(self.tables) - 1):
+            at, hit = self.tables[n].find(grams)
+            hit &= open_[owner]
+            counts = np.bincount(owner[hit], minlength=len(rest))
+            done = counts > 0
+            for k in range(len(self.languages)):
+                sums = np.bincount(owner[hit], self.tables[n].scores[at[hit], k], len(rest))
+                out[rest[done], k] = sums[done] / counts[done]
+            open_ &= ~done
+            if not open_.any():
+                break
+        return out
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """The language of the highest mean score of each text, a tie to the first by name, and its share of the odds."""
+        if not self.languages:
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        total = np.zeros((len(texts), len(self.languages)))
+        counts = np.zeros(len(texts), np.int64)
+        for s in stretches(texts):
+            codes, distinct = pd.factorize(s.hashes())
+            first = np.zeros(len(distinct), np.int64)
+            first[codes[::-1]] = np.arange(len(codes))[::-1]
+            scores = self.word_scores(s, first, distinct)
+            counts += np.bincount(s.owner, minlength=len(texts))
+            for k in range(len(self.languages)):
+                total[:, k] += np.bincount(s.owner, scores[codes, k], len(texts))
+        mean = total / np.maximum(counts, 1)[:, None]
+        best = mean.argmax(axis=1)
+        odds = np.exp((mean - mean.max(axis=1)[:, None]) * np.log(10) * np.minimum(counts, MOST_WORDS)[:, None])
+        names = [self.languages[k] if n else UNDETERMINED for k, n in zip(best, counts, strict=True)]
+        return names, np.where(counts > 0, 1 / odds.sum(axis=1), 0.0)
+
+
+def _count_terms(languages: list[str], longest: int):
+    """mapInArrow: (lang, text) to lang, n, h, c; n is 0 for words. An n-gram weighs as often as its words occur."""
+    column = {lang: k for k, lang in enumerate(languages)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang = np.array([column[x] for x in batch.column(0).to_pylist()], np.int64)
+            for s in stretches(batch.column(1).to_pylist()):
+                h = s.hashes()
+                for k in np.unique(lang[s.owner]):
+                    mine = np.flatnonzero(lang[s.owner] == k)
+                    codes, distinct = pd.factorize(h[mine])
+                    times = np.bincount(codes, minlength=len(distinct))
+                    first = np.zeros(len(distinct), np.int64)
+                    first[codes[::-1]] = mine[::-1]
+                    terms = [(0, distinct, times)]
+                    for n, owner, grams in n_grams(s, first, longest):
+                        codes, found = pd.factorize(grams)
+                        terms.append((n, found, np.bincount(codes, times[owner], len(found)).astype(np.int64)))
+                    for n, found, c in terms:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(found), k, np.int32)), pa.array(np.full(len(found), n, np.int32)), pa.array(found.view(np.int64)), pa.array(c)],
+                            names=["lang", "n", "h", "c"],
+                        )
+
+    return count
+
+
+def sample_per_language(labelled: DataFrame, limit: int) -> tuple[list[str], DataFrame]:
+    """The languages, and (lang, text) of at most limit documents of each, those of smallest hashed id.
+
+    Ids are first thinned to twice the limit, by the languages' counts, so that a language's ids never meet in one
+    task. Rows of one id count as one document.
+    """
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return [], labelled.select("lang", "text")
+    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, (2 * limit + 100) / n)))])
+    ids = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    thinned = ids.filter(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).distinct()
+    by_hash = Window.partitionBy("lang").orderBy("h", "doc_id")
+    chosen = thinned.withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= limit).select("doc_id").distinct()
+    return sorted(counts), labelled.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
 
 
 def fit(
@@ -85,54 +210,35 @@ def fit(
     lang_col: str = "lang",
     id_col: str = "doc_id",
     docs_per_language: int = 4000,
-    words_per_language: int = 25_000,
-    grams_per_language: int = 8_000,
     longest: int = 5,
     penalty: float = -7.0,
 ) -> LanguageModel:
     """Learn from a bounded sample of the labelled rows that train admits.
 
-    The bounds are parameters: docs_per_language documents, those of smallest hashed id, and of their words and
-    n-grams the most frequent words_per_language and grams_per_language (for each length up to longest). What
-    reaches the driver is thus limited by the number of languages alone. Rows with a null id, label or text
-    teach nothing. penalty is the score of a word or n-gram that a language lacks and another has.
+    The bound is the parameter docs_per_language: whole texts of so many documents of each language, those of smallest
+    hashed id. Every word of theirs and every n-gram up to longest is kept, as a 64-bit hash with a score in single
+    precision for each language, so what reaches the driver and the workers is limited by the sample. Rows with a null
+    id, label or text teach nothing. penalty is the score of a word or n-gram that a language lacks and another has.
     """
-    labelled = docs.filter(train & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    by_hash = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = (
-        labelled.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"))
-        .withColumn("n", F.row_number().over(by_hash))
-        .filter(F.col("n") <= docs_per_language)
-        .select("doc_id")
-        .distinct()
-    )
-    sample = labelled.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id", "left_semi")
-    counts = sample.select("lang", F.explode(_lower_words(F.col("text"))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("c"))
-    top = Window.partitionBy("lang", "n").orderBy(F.desc("c"), "term")
-
-    def most_frequent(df: DataFrame, limit: int) -> DataFrame:
-        whole = df.withColumn("total", F.sum("c").over(Window.partitionBy("lang", "n")))
-        return whole.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= limit).select("lang", "n", "term", (F.log10("c") - F.log10("total")).alias("s"))
-
-    words = most_frequent(counts.withColumn("n", F.lit(0)), words_per_language).persist()
-    # n-grams weigh as often as the word that holds them occurs
-    padded = counts.withColumn("term", F.concat(F.lit(" "), "term", F.lit(" ")))
-    grams = padded.select("lang", "c", "term", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n")).filter(F.length("term") >= F.col("n"))
-    grams = grams.select("lang", "n", "c", F.explode(F.expr("transform(sequence(1, length(term) - n + 1), i -> substring(term, i, n))")).alias("term"))
-    grams = most_frequent(grams.groupBy("lang", "n", "term").agg(F.sum("c").alias("c")), grams_per_language)
-    word_rows, gram_rows = words.toPandas(), grams.toPandas()
-    words.unpersist()
-    languages = sorted(word_rows["lang"].unique().tolist())
-    column = {lang: k for k, lang in enumerate(languages)}
-
-    def matrix(rows) -> tuple[dict[str, int], np.ndarray]:
-        terms = {t: k for k, t in enumerate(dict.fromkeys(rows["term"].tolist()))}
-        scores = np.full((len(terms), len(languages)), penalty)
-        for lang, term, s in zip(rows["lang"], rows["term"], rows["s"], strict=True):
-            scores[terms[term], column[lang]] = s
-        return terms, scores
-
-    return LanguageModel(languages, *matrix(word_rows), *matrix(gram_rows), longest)
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), train.alias("train"))
+    labelled = named.filter(F.col("train") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).drop("train")
+    languages, sample = sample_per_language(labelled, docs_per_language)
+    if not languages:
+        return LanguageModel([], [])
+    terms = sample.filter(F.col("text").isNotNull()).mapInArrow(_count_terms(languages, longest), "lang int, n int, h long, c long")
+    with held(docs.sparkSession, WHILE_WRITING):
+        rows = terms.groupBy("lang", "n", "h").agg(F.sum("c").alias("c")).toArrow()
+    lang, n, h, c = (rows.column(k).to_numpy() for k in ("lang", "n", "h", "c"))
+    h = h.view(np.uint64)
+    tables = []
+    for length in range(longest + 1):
+        mine = n == length
+        keys, at = np.unique(h[mine], return_inverse=True)
+        scores = np.full((len(keys), len(languages)), penalty, np.float32)
+        totals = np.bincount(lang[mine], c[mine], len(languages))
+        scores[at, lang[mine]] = np.log10(c[mine]) - np.log10(totals[lang[mine]])
+        tables.append(Table(keys, scores))
+    return LanguageModel(languages, tables)
 
 
 def predict_column(docs: DataFrame, model: LanguageModel, text: Column) -> Column:
@@ -141,11 +247,8 @@ def predict_column(docs: DataFrame, model: LanguageModel, text: Column) -> Colum
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def predict(texts: pa.Array) -> pa.Array:
-        import regex
-
-        words_of, model = regex.compile(r"\p{L}+").findall, shared.value
-        found = [model.predict(words_of(x.lower())) if x else (UNDETERMINED, 0.0) for x in texts.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["lang_pred", "score"])
+        names, scores = shared.value.predict(texts.to_pylist())
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
     return predict(text)
 
@@ -173,5 +276,3 @@ def held_out_languages(docs: DataFrame, folds: int = 3, fold: int = 1, **paramet
     """
     held_out = id_bucket(F.col("doc_id"), folds) == fold
     return identify(docs, fit(docs, ~held_out, **parameters), held_out)
-
-

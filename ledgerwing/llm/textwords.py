@@ -37,15 +37,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Sums of byte codes times powers of a base, from which any substring's hash follows."""
-    _grow(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
+def power_sums(codes: np.ndarray) -> np.ndarray:
+    """Sums of 64-bit symbol codes times powers of a base, from which any substring's hash follows."""
+    _grow(len(codes) + 1)
+    out = np.zeros(len(codes) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum(_BYTE[data] * _powers[: len(data)], out=out[1:])
+        np.cumsum(codes * _powers[: len(codes)], out=out[1:])
     return out
 
 
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    return power_sums(_BYTE[data])
+
+
 def substring_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix((sums[ends] - sums[starts]) * _inverse[starts])
