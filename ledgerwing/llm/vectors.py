@@ -15,9 +15,11 @@ def finite(vector: Column) -> Column:
 
 
 def same_length(rows: DataFrame, column: str) -> DataFrame:
-    """The rows whose vectors have the greatest length of all: vectors of another length cannot be compared."""
-    longest = rows.agg(F.max(F.size(column))).first()[0]
-    return rows.filter(F.size(column) == F.lit(longest))
+    """The rows whose vectors have the most frequent length, the greater of two that are as frequent: vectors of
+    another length cannot be compared with them."""
+    counts = rows.groupBy(F.size(column).alias("length")).agg(F.count("*").alias("n"))
+    usual = counts.orderBy(F.desc("n"), F.desc("length")).first()
+    return rows.filter(F.size(column) == F.lit(usual["length"] if usual else 0))
 
 
 def smallest_of_copies(rows: DataFrame, keep: int) -> DataFrame:
@@ -63,7 +65,7 @@ def best_of_block(scores: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k:
 
 
 def best_overall(found: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score from what the blocks found."""
+    """query_id, rank, vec_id, score from what the blocks found; the best score of an id that has several."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerwing.llm import language
+from ledgerwing.llm import language, multiprobe, voronoi
 from tests.llm.test_operators import corpus
 
 pytestmark = pytest.mark.filterwarnings("ignore")
@@ -101,3 +101,61 @@ def test_bounded_sample(docs):
     languages, sample = language.sample_per_language(docs.filter("doc_id is not null and lang is not null").select("doc_id", "lang", "text"), 20)
     counts = {r["lang"]: r["n"] for r in sample.join(docs.dropDuplicates(["doc_id"]).select("text", "doc_id"), "text").groupBy("lang").agg(F.countDistinct("doc_id").alias("n")).collect()}
     assert languages == ["de", "en", "xx"] and sample.count() <= 70 and set(counts) == set(languages)
+
+
+def brute_nearest(data: dict[int, np.ndarray], step: int, k: int) -> dict[int, list[int]]:
+    unit = {i: v / np.linalg.norm(v) for i, v in data.items()}
+    return {q: [i for _, i in sorted((-round(float(unit[q] @ unit[i]), 12), i) for i in data if i != q)[:k]] for q in data if q % step == 0}
+
+
+def vector_cases() -> dict[str, np.ndarray]:
+    rng = np.random.default_rng(11)
+    outliers = rng.normal(0, 1e-3, (400, 8)) + 1.0
+    outliers[[0, 50, 100, 150]] = rng.normal(0, 1, (4, 8))
+    centres = rng.normal(0, 1, (20, 8))
+    mixed = centres[rng.integers(0, 20, 1000)] + rng.normal(0, 0.05, (1000, 8))
+    diffuse = rng.random(1000) < 0.05
+    mixed[diffuse] = rng.normal(0, 1, (int(diffuse.sum()), 8))
+    return {"outliers": outliers, "mixed": mixed, "few": rng.normal(0, 1, (4, 8)), "one": rng.normal(0, 1, (1, 8)), "copies": np.repeat(rng.normal(0, 1, (3, 8)), 60, axis=0)}
+
+
+@pytest.mark.parametrize("name", sorted(vector_cases()))
+def test_every_query_gets_its_neighbours(spark, name):
+    """Far-off queries, clusters of mixed density, fewer rows than k, and copies: k rows each, or all candidates."""
+    data = dict(enumerate(vector_cases()[name]))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in data.items()], "vec_id long, embedding array<double>")
+    found = collections.defaultdict(list)
+    for r in sorted(multiprobe.nearest5(table).collect(), key=lambda r: r["rank"]):
+        found[r["query_id"]].append(r["vec_id"])
+    expected = brute_nearest(data, 50, 5)
+    assert all(len(found[q]) == min(5, len(data) - 1) for q in expected) and set(found) <= set(expected)
+    total = sum(len(x) for x in expected.values())
+    assert sum(len(set(found[q]) & set(x)) for q, x in expected.items()) >= 0.9 * total
+
+
+def test_reach_is_the_distance_found_with_the_goal():
+    """Pairs at the reach share a visited bucket as often as promised, measured on real vectors and functions."""
+    rng = np.random.default_rng(3)
+    for functions, tables, probes in ((2, 3, 40), (4, 3, 40), (8, 2, 40)):
+        far = multiprobe.reach(functions, tables, probes, 0.9, 7)
+        hits = []
+        for _ in range(30):  # the promise is over the draw of the functions too
+            x, step = rng.standard_normal((100, 16)), rng.standard_normal((100, 16))
+            y = x + 0.7 * step / np.linalg.norm(step, axis=1)[:, None]
+            index = multiprobe.Index(rng.standard_normal((tables, functions, 16)), rng.uniform(0, 1, (tables, functions)), 0.7 / far, probes, far)
+            keys = multiprobe.bucket_key(np.floor(index.positions(y)).astype(np.int64))
+            hits.append((multiprobe.probe_keys(index, x) == keys[:, :, None]).any(axis=2).any(axis=1).mean())
+        hit = np.mean(hits)
+        assert abs(hit - 0.9) < 0.06
+
+
+def test_a_vector_of_another_length_empties_nothing(spark):
+    """One longer vector is left out; the usual ones keep their answers, in both searches."""
+    rng = np.random.default_rng(4)
+    data = {i: rng.normal(0, 1, 8) for i in range(201)}
+    rows = [(i, v.tolist()) for i, v in data.items()]
+    plain = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    odd = spark.createDataFrame([*rows, (900, [1.0] * 9), (1000, [2.0] * 7)], "vec_id long, embedding array<double>")
+    for search in (multiprobe.nearest5, voronoi.scaled_top10):
+        found = sorted(tuple(r) for r in search(odd).collect())
+        assert found == sorted(tuple(r) for r in search(plain).collect()) and found

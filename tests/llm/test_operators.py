@@ -145,8 +145,9 @@ def test_nearest_neighbours(spark, vectors):
 
 def test_perturbations_come_in_order_of_cost():
     low = np.array([0.2, 0.5, 0.9])
-    costs = [sum((low[f] if s < 0 else 1 - low[f]) ** 2 for f, s in moves) for moves in multiprobe.perturbations(low, 27)]
-    assert costs == sorted(costs) and len(costs) == 27
+    found = multiprobe.perturbations(low[None, :], 27)[0]
+    costs = [sum((low[f] if s < 0 else 1 - low[f]) ** 2 for f, s in enumerate(steps) if s) for steps in found]
+    assert costs == sorted(costs) and len({tuple(x) for x in found}) == 27 and not found[0].any()
 
 
 def test_language(docs):
