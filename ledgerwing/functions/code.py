@@ -129,37 +129,78 @@ def await_in_sync(files: DataFrame, key: str = "path", text: str = "source") ->
 
 
 FEATURES = "path string, name string, line_number int, features array<string>"
+# Names that a function's features are read from.
+DB_METHODS = "execute commit query filter filter_by fetchone fetchall fetchmany scalar add add_all merge flush rollback bulk_create update_or_create get_or_create".split()
+HTTP_MODULES = "requests httpx urllib aiohttp fetch".split()
+HTTP_VERBS = "get post put patch delete head options request".split()
+HTTP_RECEIVERS = "client session http conn connection resp response req request api".split()
+CONVERSIONS = "int float str bool bytes list tuple dict set".split()
+FILE_METHODS = "read_text read_bytes write_text write_bytes read write readlines writelines".split()
+PATH_FUNCTIONS = "exists isfile isdir join abspath dirname basename splitext getsize".split()
+LOG_METHODS = "debug info warning error critical exception log warn".split()
+VALIDATION_ERRORS = "ValueError TypeError ValidationError AssertionError AttributeError".split()
+
+
+def _path(node: ast.AST) -> tuple[str, ...]:
+    """a.b.c as its names; what is not a name, such as a call, is an empty one."""
+    if isinstance(node, ast.Attribute):
+        return (*_path(node.value), node.attr)
+    return (node.id,) if isinstance(node, ast.Name) else ("",)
+
+
+def _call_features(path: tuple[str, ...]) -> Iterator[str]:
+    """What a call of this dotted name tells about the function around it."""
+    *before, name = path
+    if not before:
+        if name in ("open", "isinstance", "fetch") or name in CONVERSIONS:
+            yield {"open": "file_io", "isinstance": "validation", "fetch": "http_call"}.get(name, "type_conversion")
+        return
+    first, last, single = before[0], before[-1], len(before) == 1
+    yield from (
+        feature
+        for feature, told in (
+            ("db_call", name in DB_METHODS),
+            ("logging", name in LOG_METHODS and (last in ("logger", "log") or (single and last == "logging"))),
+            ("http_call", len(before) <= 2 and first in HTTP_MODULES),
+            ("http_call", single and name in HTTP_VERBS and any(x in first.lower() for x in HTTP_RECEIVERS)),
+            ("file_io", name in FILE_METHODS or (before == ["os", "path"] and name in PATH_FUNCTIONS)),
+            ("env_access", path == ("os", "getenv") or path == ("os", "environ", "get")),
+            ("type_conversion", name in ("encode", "decode")),
+        )
+        if told
+    )
+
+
+def _node_features(node: ast.AST) -> Iterator[str]:
+    match node:
+        case ast.Try(handlers=[_, *_]) | ast.TryStar(handlers=[_, *_]):
+            yield "try_except"
+        case ast.Call():
+            yield from _call_features(_path(node.func))
+        case ast.Compare():
+            if any(isinstance(op, (ast.Is, ast.IsNot)) and isinstance(c, ast.Constant) and c.value is None for op, c in zip(node.ops, node.comparators, strict=True)):
+                yield "null_check"
+        case ast.If():
+            if isinstance(node.test, ast.UnaryOp) and isinstance(node.test.op, ast.Not):
+                yield "null_check"
+            if any(isinstance(x, ast.Return) for x in ast.walk(node)):
+                yield "return_early"
+        case ast.Assert():
+            yield "validation"
+        case ast.Raise(exc=ast.Call(func=error)) if _path(error)[-1] in VALIDATION_ERRORS:
+            yield "validation"
+        case ast.Raise(exc=ast.Name(id=error)) if error in VALIDATION_ERRORS:
+            yield "validation"
+        case ast.Subscript() if _path(node.value) == ("os", "environ"):
+            yield "env_access"
 
 
 def function_features(files: DataFrame) -> DataFrame:
-    """path, name, line_number, features of every Python function, from its syntax tree; files that do not parse give none."""
-
-    def tags(node: ast.AST) -> list[str]:
-        found = set()
-        for x in ast.walk(node):
-            if isinstance(x, ast.Try):
-                found.add("handles_errors")
-            elif isinstance(x, ast.Raise):
-                found.add("raises")
-            elif isinstance(x, (ast.For, ast.While, ast.AsyncFor)):
-                found.add("loops")
-            elif isinstance(x, ast.Await):
-                found.add("awaits")
-            elif isinstance(x, (ast.With, ast.AsyncWith)):
-                found.add("manages_resource")
-            elif isinstance(x, ast.Return) and x.value is not None:
-                found.add("returns_value")
-            elif isinstance(x, ast.Assert):
-                found.add("asserts")
-            elif isinstance(x, ast.Call):
-                name = x.func.attr if isinstance(x.func, ast.Attribute) else getattr(x.func, "id", "")
-                if name in ("debug", "info", "warning", "error", "exception"):
-                    found.add("logs")
-                elif name == "open":
-                    found.add("opens_file")
-        if ast.get_docstring(node):
-            found.add("documented")
-        return sorted(found)
+    """path, name, line_number, features of every Python function that has any of ten features, from its syntax tree.
+
+    try_except, null_check, return_early, validation, db_call, http_call, file_io, env_access, logging and
+    type_conversion. Files that do not parse give none.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -169,7 +210,11 @@ def function_features(files: DataFrame) -> DataFrame:
                     tree = ast.parse(source or "")
                 except (SyntaxError, ValueError, RecursionError):
                     continue
-                out += [(path, x.name, x.lineno, tags(x)) for x in ast.walk(tree) if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef))]
+                for x in ast.walk(tree):
+                    if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                        found = sorted({f for node in ast.walk(x) for f in _node_features(node)})
+                        if found:
+                            out.append((path, x.name, x.lineno, found))
             yield pd.DataFrame(out, columns=["path", "name", "line_number", "features"])
 
     return files.select("path", "source").mapInPandas(parse, FEATURES)

@@ -162,18 +162,25 @@ def new_deps(diff: DataFrame, key: str = "doc_id") -> DataFrame:
     return added.select(key, package_name(F.regexp_replace("line", r"^\+\s*[\"']?", "")).alias("package")).distinct()
 
 
+# Words that make a sentence a requirement.
+MODAL = r"(?i)\b(must|shall|should|will|need to|require)\b"
+
+
 def extract_requirements(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 5) -> DataFrame:
-    """key, line_number, section, requirement: items, numbered lines and sentences with must, shall or should.
+    """key, line_number, part, section, requirement: list items, and sentences of other lines that have a modal word.
 
-    A line that starts with # opens a section, which holds for the lines below it.
+    A line of one to six # and a title opens a section, which holds for the lines below it. part counts the sentences
+    of a line that are requirements, from 1; an item is one.
     """
     rows = lines(docs, key, text).withColumn("line", F.trim("line"))
-    header = F.when(F.col("line").rlike(r"^#+\s"), F.trim(F.regexp_replace("line", r"^#+\s*", "")))
+    header = F.when(F.col("line").rlike(r"^#{1,6}\s+.+$"), F.trim(F.regexp_replace("line", r"^#{1,6}\s+", "")))
     order = Window.partitionBy(key).orderBy("line_number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = rows.withColumn("section", F.coalesce(F.last(header, ignorenulls=True).over(order), F.lit("")))
-    body = F.trim(F.regexp_replace("line", r"^([-*]|\d+[.)])\s+", ""))
-    wanted = F.col("line").rlike(r"^([-*]|\d+[.)])\s+") | F.col("line").rlike(r"(?i)\b(must|shall|should)\b")
-    return seen.filter(wanted & (F.length(body) >= least)).select(key, "line_number", "section", body.alias("requirement"))
+    item = r"^(?:\d+[.)]\s+|[-*]\s+)(.+)$"
+    sentences = F.transform(F.filter(F.split("line", r"(?<=[.!?])\s+"), lambda x: x.rlike(MODAL)), F.trim)
+    found = F.when(header.isNull(), F.when(F.col("line").rlike(item), F.array(F.trim(F.regexp_extract("line", item, 1)))).when(F.col("line").rlike(MODAL), sentences))
+    each = seen.select(key, "line_number", "section", F.posexplode(found).alias("n", "requirement"))
+    return each.filter(F.length("requirement") >= least).select(key, "line_number", (F.col("n") + 1).alias("part"), "section", "requirement")
 
 
 def extract_imports(files: DataFrame, key: str = "path", text: str = "source") -> DataFrame:

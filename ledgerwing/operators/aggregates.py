@@ -17,9 +17,9 @@ def _r(col: Column) -> Column:
 
 
 def attribution(decisions: DataFrame, by: str = "project") -> DataFrame:
-    """by, agent, human, total, agent_share: who took the decisions; sources manual and meeting are human."""
-    human = F.col("source_type").isin("manual", "meeting")
-    out = decisions.groupBy(by).agg(_n(~human).alias("agent"), _n(human).alias("human"), F.count("*").alias("total"))
+    """by, agent, human, total, agent_share: who took the decisions; sources agent and scan are agents, all others people."""
+    agent = F.coalesce(F.col("source_type").isin("agent", "scan"), F.lit(False))
+    out = decisions.groupBy(by).agg(_n(agent).alias("agent"), _n(~agent).alias("human"), F.count("*").alias("total"))
     return out.withColumn("agent_share", _r(F.col("agent") / F.col("total")))
 
 

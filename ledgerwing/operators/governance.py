@@ -8,38 +8,95 @@ from pyspark.sql import functions as F
 from ledgerwing.functions.labels import first_match
 from ledgerwing.operators.aggregates import missing_share
 
-# Days until a waiver of each tier runs out (none: never), and whether it needs a review.
-TIER_DAYS = {"auto": 30, "team": 90, "architecture": 180, "permanent": None}
-# Roles that must approve what needs dual authorisation.
-CRITICAL_DIMENSIONS = ("security", "auth", "database", "deployment")
-# Capabilities of each trust level, each level having those of the levels before it.
-TRUST = (("untrusted", ("read",)), ("basic", ("propose",)), ("trusted", ("decide", "resolve")), ("privileged", ("approve", "administer")))
+# Hours until a waiver of each tier runs out (none: never), the approvals it needs, and whether it is reviewed afterwards.
+TIERS = {
+    "auto_waiver": (None, 0, False),
+    "standard": (720, 1, False),
+    "elevated": (2160, 2, False),
+    "break_glass": (72, 1, True),
+}
+# Dimensions whose conflicts people decide.
+CRITICAL_DIMENSIONS = ("auth", "security", "deployment")
+# The capabilities that each trust level has.
+TRUST = {
+    "untrusted": ("read_decisions",),
+    "basic": ("read_decisions", "write_decisions"),
+    "verified": ("read_decisions", "write_decisions", "detect_contradictions"),
+    "trusted": ("read_decisions", "write_decisions", "detect_contradictions", "resolve_contradictions", "execute_code"),
+    "privileged": (
+        "read_decisions",
+        "write_decisions",
+        "detect_contradictions",
+        "resolve_contradictions",
+        "modify_governance",
+        "execute_code",
+        "access_external",
+        "manage_agents",
+    ),
+}
+# The ways to settle a pair of each verdict, with their impact.
 RESOLUTIONS = {
-    "contradiction": ("supersede_a", "supersede_b", "merge", "escalate"),
-    "tension": ("scope_split", "merge", "accept"),
-    "compatible": ("dismiss",),
+    "contradiction": (("pick_a", "high"), ("pick_b", "high"), ("accept_exception", "low")),
+    "tension": (("accept_exception", "low"), ("update_decision", "medium"), ("defer", "low")),
+    "compatible": (("dismiss", "low"),),
+}
+# The status of a contradiction after each action.
+STATUS_AFTER = {
+    "pick_a": "resolved",
+    "pick_b": "resolved",
+    "accept_exception": "ignored",
+    "defer": "deferred",
+    "dismiss": "resolved",
+    "update_decision": "deferred",
 }
+# Decisions that each context level lets an agent see; other levels show all.
+CONTEXT_ROWS = {"minimal": 5, "relevant": 10}
+
+
+def _texts(values: tuple[str, ...]) -> Column:
+    return F.array(*[F.lit(x) for x in values]) if values else F.array().cast("array<string>")
 
 
 def exception_status(exceptions: DataFrame, as_of: Column) -> DataFrame:
-    """id, expires_at, expired, active, pending_review, errors for waivers (id, tier, reason, approvers, created_at, reviewed)."""
-    days = first_match([(F.col("tier") == t, d) for t, d in TIER_DAYS.items() if d], F.lit(None).cast("int"))
-    expires = F.when(days.isNotNull(), F.timestamp_micros(F.unix_micros("created_at") + days.cast("long") * 86_400_000_000))
+    """id, expires_at, expired, fully_approved, active, pending_review, errors for waivers.
+
+    exceptions: id, contradiction_id, tier, reason, approvers, created_at, reviewed. A waiver is active while it has
+    its approvals and has not run out, expiry itself being out. Only tiers with a mandatory review can await one.
+    """
+    tier = F.col("tier")
+    hours = first_match([(tier == t, F.lit(h)) for t, (h, _, _) in TIERS.items() if h], F.lit(None).cast("int"))
+    needed = first_match([(tier == t, F.lit(n)) for t, (_, n, _) in TIERS.items()], F.lit(0))
+    reviewed_tier = tier.isin(*[t for t, (_, _, review) in TIERS.items() if review])
+    expires = F.timestamp_micros(F.unix_micros("created_at") + hours.cast("long") * 3_600_000_000)
     expired = F.coalesce(expires <= as_of, F.lit(False))
+    got = F.coalesce(F.size("approvers"), F.lit(0))
     errors = F.array_compact(
         F.array(
-            F.when(F.trim(F.coalesce("reason", F.lit(""))) == "", "reason is empty"),
-            F.when((F.col("tier") != "auto") & (F.size("approvers") == 0), "no approver"),
-            F.when((F.col("tier") == "permanent") & (F.size("approvers") < 2), "permanent needs two approvers"),
+            F.when(F.coalesce("contradiction_id", F.lit("")) == "", "no contradiction_id"),
+            F.when(F.coalesce("reason", F.lit("")) == "", "no reason"),
+            F.when(got < needed, F.format_string("%s approvals of %s", got, needed)),
         )
     )
-    return exceptions.select("id", expires.alias("expires_at"), expired.alias("expired"), (~expired & (F.size(errors) == 0)).alias("active"), (~expired & ~F.col("reviewed") & (F.col("tier") != "auto")).alias("pending_review"), errors.alias("errors"))
+    approved = got >= needed
+    return exceptions.select("id", expires.alias("expires_at"), expired.alias("expired"), approved.alias("fully_approved"), (approved & ~expired).alias("active"), (reviewed_tier & ~F.coalesce("reviewed", F.lit(False))).alias("pending_review"), errors.alias("errors"))
 
 
-def context_cut(ranked: DataFrame, level: Column, low: int = 5, middle: int = 10) -> DataFrame:
-    """Rows that a context level admits: low the first few by rank, middle some more, else all."""
-    most = F.when(level == "low", low).when(level == "medium", middle)
-    return ranked.filter(most.isNull() | (F.col("rank") <= most))
+def context_cut(decisions: DataFrame, agents: DataFrame) -> DataFrame:
+    """agent_id, id, rank: the decisions that each agent is shown.
+
+    decisions: project, id, dimensions, created_at. agents: agent_id, project, context_level, allowed_dimensions,
+    restricted_dimensions. With allowed dimensions, only decisions of those or the restricted ones count, or decisions
+    without any. The newest come first, ties by id; the context level says how many are shown.
+    """
+    none = F.array().cast("array<string>")
+    allowed = F.coalesce("allowed_dimensions", none)
+    open_to = F.concat(allowed, F.coalesce("restricted_dimensions", none))
+    has = F.coalesce("dimensions", none)
+    fits = (F.size(allowed) == 0) | (F.size(has) == 0) | F.arrays_overlap(has, open_to)
+    seen = decisions.select("project", "id", "dimensions", "created_at").join(agents, "project").filter(fits)
+    ranked = seen.withColumn("rank", F.row_number().over(Window.partitionBy("agent_id").orderBy(F.desc("created_at"), "id")))
+    most = first_match([(F.col("context_level") == level, F.lit(n)) for level, n in CONTEXT_ROWS.items()], F.lit(None).cast("int"))
+    return ranked.filter(most.isNull() | (F.col("rank") <= most)).select("agent_id", "id", "rank")
 
 
 def auto_resolve(pairs: DataFrame, excluded: tuple[str, ...] = ("security", "auth"), least_confidence: float = 0.8, most_blast: int = 3) -> DataFrame:
@@ -65,18 +122,20 @@ def auto_resolve(pairs: DataFrame, excluded: tuple[str, ...] = ("security", "aut
 
 
 def negotiate(contradictions: DataFrame, critical: tuple[str, ...] = CRITICAL_DIMENSIONS) -> DataFrame:
-    """id, outcome: contradictions and critical dimensions escalate, other tensions resolve, the rest is deferred."""
-    hit = F.arrays_overlap("shared_dimensions", F.array(*[F.lit(x) for x in critical]))
-    return contradictions.select("id", first_match([(F.col("verdict") == "contradiction", "escalated"), (hit, "escalated"), (F.col("verdict") == "tension", "auto_resolved")], "deferred").alias("outcome"))
+    """id, outcome, winner: contradictions and critical dimensions escalate, other tensions resolve, the rest is deferred.
+
+    A resolved tension goes to the more confident decision, of equal ones to the newer, of those to a.
+    """
+    hit = F.arrays_overlap("shared_dimensions", _texts(critical))
+    outcome = first_match([((F.col("verdict") == "contradiction") | hit, "escalated"), (F.col("verdict") == "tension", "auto_resolved")], "deferred")
+    a_wins = (F.col("a_confidence") > F.col("b_confidence")) | ((F.col("a_confidence") == F.col("b_confidence")) & (F.col("a_at") >= F.col("b_at")))
+    return contradictions.select("id", outcome.alias("outcome"), F.when(outcome == "auto_resolved", F.when(a_wins, F.col("a_id")).otherwise(F.col("b_id"))).alias("winner"))
 
 
 def check_capability(requests: DataFrame, identities: DataFrame) -> DataFrame:
     """request_id, allowed, reason: the capabilities of an identity's trust level and its own extra ones."""
-    granted, have = [], []
-    for level, names in TRUST:
-        have.extend(names)
-        granted.append((F.col("trust") == level, F.array(*[F.lit(x) for x in have])))
-    capabilities = F.array_union(first_match(granted, F.array().cast("array<string>")), F.coalesce("extra", F.array().cast("array<string>")))
+    by_level = first_match([(F.col("trust") == level, _texts(names)) for level, names in TRUST.items()], F.array().cast("array<string>"))
+    capabilities = F.array_union(by_level, F.coalesce("extra", F.array().cast("array<string>")))
     j = requests.join(identities.select("agent_id", "trust", "extra"), "agent_id", "left")
     known, ok = F.col("trust").isNotNull(), F.array_contains(capabilities, F.col("capability"))
     return j.select("request_id", (known & ok).alias("allowed"), first_match([(~known, "unknown identity"), (ok, "granted")], "not granted").alias("reason"))
@@ -100,28 +159,31 @@ def check_tokens(requests: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def approval_status(requests: DataFrame, approvals: DataFrame) -> DataFrame:
-    """request_id, pending_roles, dissent, approved: every required role has approved and none has refused."""
-    got = approvals.groupBy("request_id").agg(F.collect_set(F.when(F.col("approved"), F.col("role"))).alias("roles"), F.bool_or(~F.col("approved")).alias("dissent"))
+    """request_id, pending_roles, dissent, approved: every required role has answered; dissent is told apart.
+
+    approvals: request_id, role, dissenting. Any answer counts as its role's, a dissenting one too.
+    """
+    got = approvals.groupBy("request_id").agg(F.collect_set("role").alias("roles"), F.bool_or("dissenting").alias("dissent"))
     j = requests.join(got, "request_id", "left")
-    pending = F.sort_array(F.array_except("required_roles", F.coalesce("roles", F.array().cast("array<string>"))))
-    dissent = F.coalesce("dissent", F.lit(False))
-    return j.select("request_id", pending.alias("pending_roles"), dissent.alias("dissent"), ((F.size(pending) == 0) & ~dissent).alias("approved"))
+    pending = F.array_except("required_roles", F.coalesce("roles", F.array().cast("array<string>")))
+    return j.select("request_id", pending.alias("pending_roles"), F.coalesce("dissent", F.lit(False)).alias("dissent"), (F.size(pending) == 0).alias("approved"))
 
 
 def resolution_paths(contradictions: DataFrame) -> DataFrame:
-    """id, action, rank: what can be done about each contradiction, best first."""
-    table = F.create_map(*[x for k, names in RESOLUTIONS.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in names]))])
-    return contradictions.select("id", F.posexplode(F.element_at(table, F.col("verdict"))).alias("n", "action")).select("id", "action", (F.col("n") + 1).alias("rank"))
+    """id, action, impact, rank: what can be done about each contradiction, in the order of offer."""
+    table = F.create_map(*[x for k, ways in RESOLUTIONS.items() for x in (F.lit(k), F.array(*[F.struct(F.lit(a).alias("action"), F.lit(i).alias("impact")) for a, i in ways]))])
+    offered = contradictions.select("id", F.posexplode(F.element_at(table, F.col("verdict"))).alias("n", "way"))
+    return offered.select("id", "way.action", "way.impact", (F.col("n") + 1).alias("rank"))
 
 
 def apply_resolutions(contradictions: DataFrame, decisions: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Contradictions and decisions after actions (id, action): a dismissal resolves, an acceptance ignores.
+    """Contradictions and decisions after actions (id, action).
 
-    The decision that a supersede action names loses its validity.
+    Picking a side supersedes the other decision, which loses its validity. Actions of other names change nothing.
     """
     c = contradictions.join(actions, "id", "left")
-    status = first_match([(F.col("action").isNull(), F.col("status")), (F.col("action") == "accept", F.lit("ignored")), (F.col("action") == "escalate", F.col("status"))], F.lit("resolved"))
-    lost = c.filter(F.col("action").isin("supersede_a", "supersede_b")).select(F.when(F.col("action") == "supersede_a", F.col("a_id")).otherwise(F.col("b_id")).alias("id")).distinct()
+    status = first_match([(F.col("action") == a, F.lit(after)) for a, after in STATUS_AFTER.items()], F.col("status"))
+    lost = c.filter(F.col("action").isin("pick_a", "pick_b")).select(F.when(F.col("action") == "pick_a", F.col("b_id")).otherwise(F.col("a_id")).alias("id")).distinct()
     marked = decisions.join(lost.withColumn("_lost", F.lit(True)), "id", "left")
     kept = marked.withColumn("valid", F.col("valid") & F.col("_lost").isNull()).withColumn("status", F.when(F.col("_lost"), "superseded").otherwise(F.col("status"))).drop("_lost")
     return c.withColumn("status", status).select(*contradictions.columns), kept
@@ -184,11 +246,26 @@ def churn(commits: DataFrame) -> DataFrame:
     return per.crossJoin(F.broadcast(most)).select("path", "commits", F.round(1 + F.col("commits") / F.col("most"), 6).alias("factor"))
 
 
+def with_ancestors(modules: DataFrame) -> DataFrame:
+    """module, in_degree: the greatest in-degree of each module or of any below it (a.b has that of a.b.c)."""
+    parts = F.split("module", r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
+    return modules.select(F.explode(prefixes).alias("module"), "in_degree").groupBy("module").agg(F.max("in_degree").alias("in_degree"))
+
+
 def assumption_priority(findings: DataFrame, modules: DataFrame, churned: DataFrame) -> DataFrame:
-    """id, priority = severity x centrality x churn: centrality 1 + ln(1 + in-degree) of the file's module."""
-    j = findings.join(modules.select(F.col("module").alias("m"), "in_degree"), F.col("module") == F.col("m"), "left").join(churned.select(F.col("path").alias("p"), "factor"), F.col("file") == F.col("p"), "left")
-    centrality = 1 + F.log(1.0 + F.coalesce("in_degree", F.lit(0)))
-    return j.select("id", F.round(F.col("severity_rank") * centrality * F.coalesce("factor", F.lit(1.0)), 6).alias("priority"))
+    """id, centrality, priority = severity x centrality x churn.
+
+    findings: id, severity_rank, module, file, a row for each piece of evidence. Centrality is 1 + the best in-degree
+    of an evidence's module over the greatest of all; a package has that of the modules below it. Churn is the best
+    factor of an evidence's file, 1 at least.
+    """
+    credit = with_ancestors(modules).select(F.col("module").alias("m"), "in_degree")
+    most = modules.agg(F.max("in_degree").alias("most"))
+    j = findings.join(credit, F.col("module") == F.col("m"), "left").join(churned.select(F.col("path").alias("p"), "factor"), F.col("file") == F.col("p"), "left")
+    best = j.groupBy("id").agg(F.max("severity_rank").alias("severity"), F.coalesce(F.max("in_degree"), F.lit(0)).alias("degree"), F.greatest(F.coalesce(F.max("factor"), F.lit(1.0)), F.lit(1.0)).alias("churn"))
+    centrality = 1 + F.coalesce(F.try_divide(F.col("degree"), F.col("most")), F.lit(0.0))
+    return best.crossJoin(most).select("id", F.round(centrality, 6).alias("centrality"), F.round(F.col("severity") * centrality * F.col("churn"), 6).alias("priority"))
 
 
 def missing_patterns(sets: DataFrame, itemsets: DataFrame) -> DataFrame:
@@ -230,11 +307,19 @@ def requirements_met(configs: DataFrame, requirements: DataFrame) -> DataFrame:
     return j.select("org", "requirement", F.coalesce(by_dimension | by_control, F.lit(False)).alias("met"))
 
 
-def compliance_scores(met: DataFrame) -> DataFrame:
-    """org, met, total, coverage, risk, ready: risk = 1 - coverage; ready from 80 %."""
-    out = met.groupBy("org").agg(F.count(F.when(F.col("met"), 1)).alias("met"), F.count("*").alias("total"))
-    coverage = F.col("met") / F.col("total")
-    return out.select("org", "met", "total", F.round(coverage, 6).alias("coverage"), F.round(1 - coverage, 6).alias("risk"), (coverage >= 0.8).alias("ready"))
+def compliance_scores(requirements: DataFrame, detections: DataFrame, weight: float, most_penalty: float = 0.5) -> DataFrame:
+    """org, met, total, coverage, risk, ready of each organisation (org, requirement, status: met, partial or unmet).
+
+    coverage counts partial ones as half; ready from 80 %. risk is the unmet share plus weight for each detection of
+    protected data (org, n), most_penalty at most, 1 in all. Fixed values: weight is 0.1 for health and 0.15 for card
+    data.
+    """
+    hits = detections.groupBy("org").agg(F.sum("n").alias("n"))
+    counted = requirements.groupBy("org").agg(*[F.count_if(F.col("status") == k).alias(k) for k in ("met", "partial", "unmet")], F.count("*").alias("total"))
+    out = counted.join(hits, "org", "left")
+    coverage = (F.col("met") + 0.5 * F.col("partial")) / F.col("total")
+    risk = F.col("unmet") / F.col("total") + F.least(F.coalesce("n", F.lit(0)) * F.lit(weight), F.lit(most_penalty))
+    return out.select("org", "met", "total", F.round(coverage, 6).alias("coverage"), F.round(F.least(F.lit(1.0), risk), 6).alias("risk"), (coverage >= 0.8).alias("ready"))
 
 
 def framework_status(flags: DataFrame, keys: list[str]) -> DataFrame:

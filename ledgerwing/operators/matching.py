@@ -13,8 +13,8 @@ def coverage(requirements: DataFrame, decisions: DataFrame, req_id: str, req_tex
     """req_id, best_id, score, status: the decision of highest keyword similarity for each requirement.
 
     Candidates share a word, so sizes and common words come from one equi-join on words. Of decisions only words that
-    a requirement has are kept, by a join with the requirements' words; ties go to the smaller id. Requirements that
-    share no word with any decision give no row.
+    a requirement has are kept, by a join with the requirements' words; ties go to the smaller id. A requirement that
+    shares no word with any decision is not_started, with score 0 and no best_id.
     """
     r = requirements.select(F.col(req_id).alias("r"), words3(F.col(req_text)).alias("w"))
     q = decisions.select(F.col(dec_id).alias("d"), words3(F.col(dec_text)).alias("w"))
@@ -23,8 +23,9 @@ def coverage(requirements: DataFrame, decisions: DataFrame, req_id: str, req_tex
     common = rw.join(qw, "t").groupBy("r", "d").agg(F.count("*").alias("n"), F.first("nr").alias("nr"), F.first("nd").alias("nd"))
     score = F.col("n") / (F.col("nr") + F.col("nd") - F.col("n"))
     best = common.withColumn("j", score).withColumn("k", F.row_number().over(Window.partitionBy("r").orderBy(F.desc("j"), "d"))).filter("k = 1")
-    status = F.when(F.col("j") >= full, "implemented").when(F.col("j") >= partial, "partial").otherwise("missing")
-    return best.select(F.col("r").alias(req_id), F.col("d").alias("best_id"), F.round("j", 6).alias("score"), status.alias("status"))
+    status = F.when(F.col("j") >= full, "implemented").when(F.col("j") >= partial, "partial").otherwise("not_started")
+    whole = r.select("r").join(best, "r", "left")
+    return whole.select(F.col("r").alias(req_id), F.col("d").alias("best_id"), F.round(F.coalesce("j", F.lit(0.0)), 6).alias("score"), status.alias("status"))
 
 
 def coverage_percent(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -7,18 +7,24 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerwing.functions.labels import first_match
+
+# The number of each agent type; other types count as custom.
+AGENT_TYPES = {"coding": 0, "review": 1, "scan": 2, "orchestrator": 3, "custom": 4, "human": 5}
 FEATURES = ("dimension_overlap_count", "decision_density", "historical_contradiction_rate", "agent_type_numeric", "hours_since_last", "total_active", "dimension_count")
 
 
 def risk_features(decisions: DataFrame, bridge: DataFrame, contradictions: DataFrame, as_of: Column) -> DataFrame:
-    """id, the seven features, and label (1: part of a contradiction) of every decision.
+    """id, the seven features, and label (1: part of a contradiction) of every decision up to as_of.
 
-    A dimension's density and contradiction rate are those of the project; both come from per-dimension aggregates
-    that join back on (project, dimension).
+    decisions has agent_type. A dimension's density and contradiction rate are those of the project; both come from
+    per-dimension aggregates that join back on (project, dimension). hours_since_last is the time since the project's
+    latest earlier decision with one of the dimensions, 0 if there is none; decisions of one time follow their ids.
     """
+    decisions = decisions.filter(F.col("created_at") <= as_of)
     live = bridge.join(decisions.filter("valid").select("id"), "id")
     density = live.groupBy("project", "dimension").agg(F.count("*").alias("n"))
     per = contradictions.select("project", F.explode("shared_dimensions").alias("dimension"), (F.col("verdict") == "contradiction").cast("double").alias("c"))
@@ -33,8 +39,11 @@ def risk_features(decisions: DataFrame, bridge: DataFrame, contradictions: DataF
     active = decisions.filter("valid").groupBy("project").agg(F.count("*").alias("total_active"))
     sides = contradictions.filter("verdict = 'contradiction'").select(F.explode(F.array("a_id", "b_id")).alias("id")).distinct().withColumn("label", F.lit(1))
     base = decisions.join(agg, "id").join(active, "project", "left").join(sides, "id", "left")
-    hours = (F.unix_micros(as_of) - F.unix_micros("created_at")) / F.lit(3600e6)
-    kind = F.when(F.col("source_type") == "manual", 5).when(F.col("source_type") == "agent", 0).otherwise(2)
+    in_order = Window.partitionBy("project", "dimension").orderBy("created_at", "id")
+    gaps = bridge.join(decisions.select("id", "created_at"), "id").withColumn("gap", F.unix_micros("created_at") - F.unix_micros(F.lag("created_at").over(in_order)))
+    base = base.join(gaps.groupBy("id").agg(F.min("gap").alias("gap")), "id", "left")
+    hours = F.coalesce(F.col("gap") / F.lit(3600e6), F.lit(0.0))
+    kind = first_match([(F.col("agent_type") == name, F.lit(n)) for name, n in AGENT_TYPES.items()], F.lit(AGENT_TYPES["custom"]))
     return base.select(
         "id",
         "dimension_overlap_count",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwing.functions import code, text
+from ledgerwing.plans import views as v
 from ledgerwing.plans.catalog import query
 from ledgerwing.session import table
 
@@ -61,6 +62,25 @@ def boundary_violations(spark: SparkSession, d: str) -> DataFrame:
     return code.boundary_violations(_files(spark, d), layers).distinct()
 
 
-@query()
+#: Bodies of small functions, and the features that each has.
+BODIES = (
+    ("x = 1", ()),
+    ("try:\n        x = int(y)\n    except ValueError:\n        raise TypeError('x')", ("try_except", "type_conversion", "validation")),
+    ("if x is None:\n        return session.get(url)\n    db.commit()", ("db_call", "http_call", "null_check", "return_early")),
+    ("if not x:\n        logger.info(os.environ['A'])", ("env_access", "logging", "null_check")),
+    ("return open(os.path.join(a, b)).read().decode()", ("file_io", "type_conversion")),
+    ("self.log.warning(requests.x(os.getenv('B')))", ("env_access", "http_call", "logging")),
+    ("assert isinstance(x, int)\n    cache.get(x)", ("validation",)),
+    ("import httpx\n    raise errors.ValueError", ()),
+)
+
+
+@query(f"""WITH b(k, features) AS (VALUES {', '.join(f"({n}, '{','.join(tags)}')" for n, (_, tags) in enumerate(BODIES))})
+SELECT 'f' || user_id || '.py' AS path, 'handle_' || event_id AS name, features FROM events JOIN b ON k = event_id % {len(BODIES)} WHERE features <> '' AND user_id % 50 <> 7""")
 def function_features(spark: SparkSession, d: str) -> DataFrame:
-    return code.function_features(_files(spark, d))
+    """A file per user, a function an event; files of every fiftieth user do not parse."""
+    body = F.concat(F.lit("def handle_"), "event_id", F.lit("():\n    "), v.pick(tuple(b for b, _ in BODIES), F.col("event_id") % len(BODIES)))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", body.alias("b")))), lambda e: e["b"]), "\n\n")
+    files = table(spark, d, "events").groupBy("user_id").agg(F.concat(whole, F.when(F.col("user_id") % 50 == 7, "\ndef (").otherwise("")).alias("source"))
+    found = code.function_features(files.select(F.concat(F.lit("f"), "user_id", F.lit(".py")).alias("path"), "source"))
+    return found.select("path", "name", F.array_join("features", ",").alias("features"))

@@ -157,8 +157,8 @@ def assign_tiers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT project, count(*) FILTER (source_type NOT IN ('manual', 'meeting')) AS agent, count(*) FILTER (source_type IN ('manual', 'meeting')) AS human,
-       count(*) AS total, round(count(*) FILTER (source_type NOT IN ('manual', 'meeting')) / count(*)::DOUBLE, 6) AS agent_share FROM decision GROUP BY project
+SELECT project, count(*) FILTER (source_type IN ('agent', 'scan')) AS agent, count(*) FILTER (source_type NOT IN ('agent', 'scan')) AS human,
+       count(*) AS total, round(count(*) FILTER (source_type IN ('agent', 'scan')) / count(*)::DOUBLE, 6) AS agent_share FROM decision GROUP BY project
 """)
 def attribution(spark: SparkSession, d: str) -> DataFrame:
     return agg.attribution(v.decisions(spark, d))

@@ -11,38 +11,54 @@ from ledgerwing.plans import views as v
 from ledgerwing.plans.catalog import query
 from ledgerwing.session import table
 
-TIERS = ("auto", "team", "architecture", "permanent")
+TIERS = ("auto_waiver", "standard", "elevated", "break_glass")
 
 
 @query(f"""
-WITH x AS (SELECT o_orderkey AS id, {v._case(TIERS, 'o_orderkey % 4')} AS tier, CASE WHEN o_orderkey % 5 = 0 THEN ' ' ELSE 'because' END AS reason,
-  CAST(o_orderkey % 3 AS INT) AS n, o_orderdate AS created_at, o_orderstatus = 'F' AS reviewed FROM orders),
-y AS (SELECT *, CASE tier WHEN 'auto' THEN created_at + INTERVAL 30 DAY WHEN 'team' THEN created_at + INTERVAL 90 DAY WHEN 'architecture' THEN created_at + INTERVAL 180 DAY END AS expires_at,
-  list_filter([CASE WHEN trim(reason) = '' THEN 'reason is empty' END, CASE WHEN tier <> 'auto' AND n = 0 THEN 'no approver' END, CASE WHEN tier = 'permanent' AND n < 2 THEN 'permanent needs two approvers' END], lambda e: e IS NOT NULL) AS errors FROM x)
-SELECT id, expires_at, coalesce(expires_at <= TIMESTAMP '1998-01-01', false) AS expired, NOT coalesce(expires_at <= TIMESTAMP '1998-01-01', false) AND len(errors) = 0 AS active,
-  NOT coalesce(expires_at <= TIMESTAMP '1998-01-01', false) AND NOT reviewed AND tier <> 'auto' AS pending_review, errors FROM y
+WITH x AS (SELECT o_orderkey AS id, {v._case(TIERS, 'o_orderkey % 4')} AS tier, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'because' END AS reason, CASE WHEN o_orderkey % 11 <> 0 THEN 'c' ELSE '' END AS c,
+  CAST(o_orderkey // 4 % 3 AS INT) AS n, o_orderdate AS created_at, o_orderstatus = 'F' AS reviewed FROM orders),
+y AS (SELECT *, CASE tier WHEN 'standard' THEN created_at + INTERVAL 30 DAY WHEN 'elevated' THEN created_at + INTERVAL 90 DAY WHEN 'break_glass' THEN created_at + INTERVAL 72 HOUR END AS expires_at,
+  CASE tier WHEN 'auto_waiver' THEN 0 WHEN 'elevated' THEN 2 ELSE 1 END AS need FROM x),
+z AS (SELECT *, coalesce(expires_at <= TIMESTAMP '1998-01-01', false) AS expired FROM y)
+SELECT id, expires_at, expired, n >= need AS fully_approved, n >= need AND NOT expired AS active, tier = 'break_glass' AND NOT reviewed AS pending_review,
+  list_filter([CASE WHEN c = '' THEN 'no contradiction_id' END, CASE WHEN reason = '' THEN 'no reason' END, CASE WHEN n < need THEN n || ' approvals of ' || need END], lambda e: e IS NOT NULL) AS errors FROM z
 """)
 def exception_status(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
-    rows = o.select(
-        F.col("o_orderkey").alias("id"),
-        v.pick(TIERS, F.col("o_orderkey") % 4).alias("tier"),
-        F.when(F.col("o_orderkey") % 5 == 0, " ").otherwise("because").alias("reason"),
-        F.array_repeat(F.lit("lead"), (F.col("o_orderkey") % 3).cast("int")).alias("approvers"),
+    key = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(
+        key.alias("id"),
+        F.when(key % 11 != 0, "c").otherwise("").alias("contradiction_id"),
+        v.pick(TIERS, key % 4).alias("tier"),
+        F.when(key % 5 == 0, "").otherwise("because").alias("reason"),
+        F.array_repeat(F.lit("lead"), (F.floor(key / 4) % 3).cast("int")).alias("approvers"),
         F.col("o_orderdate").cast("timestamp").alias("created_at"),
         (F.col("o_orderstatus") == "F").alias("reviewed"),
     )
     return gov.exception_status(rows, F.lit("1998-01-01 00:00:00").cast("timestamp"))
 
 
-@query("""
-WITH r AS (SELECT project, id, row_number() OVER (PARTITION BY project ORDER BY confidence DESC, id) AS rank FROM decision)
-SELECT project, id, CAST(rank AS INT) AS rank FROM r WHERE CASE project % 3 WHEN 0 THEN rank <= 5 WHEN 1 THEN rank <= 10 ELSE true END
+LEVELS = ("minimal", "relevant", "full")
+
+
+@query(f"""
+WITH dims AS (SELECT id, list(dimension) AS dims FROM bridge GROUP BY id), dec AS (SELECT d.id, project, created_at, coalesce(dims, []) AS dims FROM decision d LEFT JOIN dims USING (id)),
+ag AS (SELECT c_custkey AS project, {v._case(LEVELS, 'c_custkey % 3')} AS level, CASE WHEN c_custkey % 2 = 0 THEN ['auth', 'database', 'testing'] ELSE [] END AS ok, ['security'] AS restricted FROM customer),
+seen AS (SELECT project, level, id, created_at FROM dec JOIN ag USING (project) WHERE len(ok) = 0 OR len(dims) = 0 OR list_has_any(dims, list_concat(ok, restricted))),
+r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY created_at DESC, id) AS rank FROM seen)
+SELECT 'a' || project AS agent_id, id, CAST(rank AS INT) AS rank FROM r WHERE CASE level WHEN 'minimal' THEN rank <= 5 WHEN 'relevant' THEN rank <= 10 ELSE true END
 """)
 def context_cut(spark: SparkSession, d: str) -> DataFrame:
-    ranked = v.decisions(spark, d).select("project", "id", F.row_number().over(Window.partitionBy("project").orderBy(F.desc("confidence"), "id")).alias("rank"))
-    level = F.when(F.col("project") % 3 == 0, "low").when(F.col("project") % 3 == 1, "medium").otherwise("full")
-    return gov.context_cut(ranked, level)
+    dims = v.bridge(spark, d).groupBy("id").agg(F.collect_set("dimension").alias("dimensions"))
+    decisions = v.decisions(spark, d).select("id", "project", "created_at").join(dims, "id", "left")
+    key = F.col("c_custkey")
+    agents = table(spark, d, "customer").select(
+        F.concat(F.lit("a"), key).alias("agent_id"),
+        key.alias("project"),
+        v.pick(LEVELS, key % 3).alias("context_level"),
+        F.when(key % 2 == 0, F.array(F.lit("auth"), F.lit("database"), F.lit("testing"))).alias("allowed_dimensions"),
+        F.array(F.lit("security")).alias("restricted_dimensions"),
+    )
+    return gov.context_cut(decisions, agents)
 
 
 @query("""
@@ -54,34 +70,42 @@ z AS (SELECT id, CASE WHEN verdict <> 'tension' THEN 'verdict' WHEN list_contain
 SELECT id, rejection IS NULL AS eligible, rejection, CASE WHEN rejection IS NULL THEN win END AS winner FROM z
 """)
 def auto_resolve(spark: SparkSession, d: str) -> DataFrame:
-    dec = v.decisions(spark, d).select("id", "confidence", "created_at")
-    c = v.contradictions(spark, d).join(dec.toDF("a_id", "a_confidence", "a_at"), "a_id").join(dec.toDF("b_id", "b_confidence", "b_at"), "b_id")
+    c = _sides(spark, d)
     return gov.auto_resolve(c.withColumn("blast", F.col("a_id") % 5).withColumn("a_dependents", F.col("a_id") % 2).withColumn("b_dependents", F.col("b_id") % 2))
 
 
+def _sides(spark: SparkSession, d: str) -> DataFrame:
+    """Contradictions with the confidence and time of both decisions."""
+    dec = v.decisions(spark, d).select("id", "confidence", "created_at")
+    return v.contradictions(spark, d).join(dec.toDF("a_id", "a_confidence", "a_at"), "a_id").join(dec.toDF("b_id", "b_confidence", "b_at"), "b_id")
+
+
 @query("""
-SELECT id, CASE WHEN verdict = 'contradiction' OR list_has_any(shared_dimensions, ['security', 'auth', 'database', 'deployment']) THEN 'escalated' WHEN verdict = 'tension' THEN 'auto_resolved' ELSE 'deferred' END AS outcome FROM contra
+WITH x AS (SELECT c.*, a.confidence > b.confidence OR (a.confidence = b.confidence AND a.created_at >= b.created_at) AS a_wins FROM contra c JOIN decision a ON a.id = a_id JOIN decision b ON b.id = b_id),
+y AS (SELECT *, CASE WHEN verdict = 'contradiction' OR list_has_any(shared_dimensions, ['auth', 'security', 'deployment']) THEN 'escalated' WHEN verdict = 'tension' THEN 'auto_resolved' ELSE 'deferred' END AS outcome FROM x)
+SELECT id, outcome, CASE WHEN outcome = 'auto_resolved' THEN CASE WHEN a_wins THEN a_id ELSE b_id END END AS winner FROM y
 """)
 def negotiate(spark: SparkSession, d: str) -> DataFrame:
-    return gov.negotiate(v.contradictions(spark, d))
+    return gov.negotiate(_sides(spark, d))
 
 
-CAPABILITIES = ("read", "propose", "decide", "approve")
+LEVELS5 = ("untrusted", "basic", "verified", "trusted", "privileged")
+CAPABILITIES = ("read_decisions", "write_decisions", "detect_contradictions", "resolve_contradictions", "modify_governance", "execute_code", "access_external", "manage_agents")
 
 
 @query(f"""
-WITH r AS (SELECT event_id AS request_id, 's' || event_id % 120 AS agent_id, {v._case(CAPABILITIES, 'event_id % 4')} AS cap FROM events),
-i AS (SELECT 's' || s_suppkey AS agent_id, CAST(s_suppkey % 4 AS INT) AS lvl, s_suppkey % 10 = 0 AS extra FROM supplier)
-SELECT request_id, lvl IS NOT NULL AND (CASE cap WHEN 'read' THEN true WHEN 'propose' THEN lvl >= 1 WHEN 'decide' THEN lvl >= 2 ELSE lvl >= 3 OR extra END) AS allowed,
-  CASE WHEN lvl IS NULL THEN 'unknown identity' WHEN CASE cap WHEN 'read' THEN true WHEN 'propose' THEN lvl >= 1 WHEN 'decide' THEN lvl >= 2 ELSE lvl >= 3 OR extra END THEN 'granted' ELSE 'not granted' END AS reason
-FROM r LEFT JOIN i USING (agent_id)
+WITH r AS (SELECT event_id AS request_id, 's' || event_id % 120 AS agent_id, {v._case(CAPABILITIES, 'event_id % 8')} AS cap FROM events),
+i AS (SELECT 's' || s_suppkey AS agent_id, CAST(s_suppkey % 5 AS INT) AS lvl, s_suppkey % 10 = 0 AS extra FROM supplier),
+x AS (SELECT request_id, lvl, CASE cap WHEN 'read_decisions' THEN true WHEN 'write_decisions' THEN lvl >= 1 WHEN 'detect_contradictions' THEN lvl >= 2 WHEN 'resolve_contradictions' THEN lvl >= 3 WHEN 'execute_code' THEN lvl >= 3
+  ELSE lvl >= 4 OR (extra AND cap = 'manage_agents') END AS ok FROM r LEFT JOIN i USING (agent_id))
+SELECT request_id, lvl IS NOT NULL AND ok AS allowed, CASE WHEN lvl IS NULL THEN 'unknown identity' WHEN ok THEN 'granted' ELSE 'not granted' END AS reason FROM x
 """)
 def check_capability(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier")
-    level = v.pick(("untrusted", "basic", "trusted", "privileged"), F.col("s_suppkey") % 4)
-    identities = s.select(F.concat(F.lit("s"), "s_suppkey").alias("agent_id"), level.alias("trust"), F.when(F.col("s_suppkey") % 10 == 0, F.array(F.lit("approve"))).alias("extra"))
+    level = v.pick(LEVELS5, F.col("s_suppkey") % 5)
+    identities = s.select(F.concat(F.lit("s"), "s_suppkey").alias("agent_id"), level.alias("trust"), F.when(F.col("s_suppkey") % 10 == 0, F.array(F.lit("manage_agents"))).alias("extra"))
     e = table(spark, d, "events")
-    return gov.check_capability(e.select(F.col("event_id").alias("request_id"), F.concat(F.lit("s"), F.col("event_id") % 120).alias("agent_id"), v.pick(CAPABILITIES, F.col("event_id") % 4).alias("capability")), identities)
+    return gov.check_capability(e.select(F.col("event_id").alias("request_id"), F.concat(F.lit("s"), F.col("event_id") % 120).alias("agent_id"), v.pick(CAPABILITIES, F.col("event_id") % 8).alias("capability")), identities)
 
 
 @query("""
@@ -117,35 +141,50 @@ def check_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT l_orderkey AS request_id, ['qa', 'ciso', 'pm'][CAST(l_partkey % 3 AS INT) + 1] AS role, l_returnflag <> 'R' AS ok FROM lineitem),
-g AS (SELECT request_id, list(DISTINCT role) FILTER (ok) AS roles, bool_or(NOT ok) AS dissent FROM a GROUP BY request_id),
-p AS (SELECT o_orderkey AS request_id, list_sort(list_filter(['ciso', 'qa'], lambda x: NOT coalesce(list_contains(roles, x), false))) AS pending_roles, coalesce(dissent, false) AS dissent FROM orders LEFT JOIN g ON request_id = o_orderkey)
-SELECT *, len(pending_roles) = 0 AND NOT dissent AS approved FROM p
+WITH a AS (SELECT l_orderkey AS request_id, ['qa', 'ciso', 'pm'][CAST(l_partkey % 3 AS INT) + 1] AS role, l_returnflag = 'R' AS dissenting FROM lineitem),
+g AS (SELECT request_id, list(DISTINCT role) AS roles, bool_or(dissenting) AS dissent FROM a GROUP BY request_id)
+SELECT o_orderkey AS request_id, list_filter(['qa', 'ciso'], lambda x: NOT coalesce(list_contains(roles, x), false)) AS pending_roles, coalesce(dissent, false) AS dissent,
+  coalesce(list_contains(roles, 'qa') AND list_contains(roles, 'ciso'), false) AS approved FROM orders LEFT JOIN g ON request_id = o_orderkey
 """)
 def approval_status(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
-    approvals = li.select(F.col("l_orderkey").alias("request_id"), v.pick(("qa", "ciso", "pm"), F.col("l_partkey") % 3).alias("role"), (F.col("l_returnflag") != "R").alias("approved"))
-    requests = table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.array(F.lit("ciso"), F.lit("qa")).alias("required_roles"))
+    approvals = li.select(F.col("l_orderkey").alias("request_id"), v.pick(("qa", "ciso", "pm"), F.col("l_partkey") % 3).alias("role"), (F.col("l_returnflag") == "R").alias("dissenting"))
+    requests = table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.array(F.lit("qa"), F.lit("ciso")).alias("required_roles"))
     return gov.approval_status(requests, approvals)
 
 
-@query(f"""WITH r(verdict, action, rank) AS (VALUES {', '.join(f"('{k}', '{a}', {n + 1})" for k, names in gov.RESOLUTIONS.items() for n, a in enumerate(names))}) SELECT id, action, rank FROM contra JOIN r USING (verdict)""")
+@query("""
+SELECT id, unnest(CASE verdict WHEN 'contradiction' THEN ['pick_a', 'pick_b', 'accept_exception'] WHEN 'tension' THEN ['accept_exception', 'update_decision', 'defer'] ELSE ['dismiss'] END) AS action,
+  unnest(CASE verdict WHEN 'contradiction' THEN ['high', 'high', 'low'] WHEN 'tension' THEN ['low', 'medium', 'low'] ELSE ['low'] END) AS impact, unnest(CASE verdict WHEN 'compatible' THEN [1] ELSE [1, 2, 3] END) AS rank FROM contra
+""")
 def resolution_paths(spark: SparkSession, d: str) -> DataFrame:
     return gov.resolution_paths(v.contradictions(spark, d))
 
 
-ACTIONS = ("supersede_a", "dismiss", "accept", "escalate", "supersede_b")
+ACTIONS = ("pick_a", "dismiss", "accept_exception", "defer", "pick_b", "update_decision", "unheard of")
+TAKEN = f"SELECT id, {v._case(ACTIONS, 'a_id % 7')} AS action, a_id, b_id FROM contra WHERE status = 'unresolved' AND b_id % 3 = 0"
 
 
 @query(f"""
-WITH act AS (SELECT id, {v._case(ACTIONS, 'a_id % 5')} AS action, a_id, b_id FROM contra WHERE status = 'unresolved' AND b_id % 3 = 0),
-lost AS (SELECT CASE action WHEN 'supersede_a' THEN a_id ELSE b_id END AS id FROM act WHERE action LIKE 'supersede%')
+WITH act AS ({TAKEN}), lost AS (SELECT CASE action WHEN 'pick_a' THEN b_id ELSE a_id END AS id FROM act WHERE action LIKE 'pick%')
 SELECT id, valid AND id NOT IN (SELECT id FROM lost) AS valid, CASE WHEN id IN (SELECT id FROM lost) THEN 'superseded' ELSE status END AS status FROM decision
 """)
 def apply_resolutions(spark: SparkSession, d: str) -> DataFrame:
+    return _applied(spark, d)[1].select("id", "valid", "status")
+
+
+@query(f"""
+WITH act AS ({TAKEN}) SELECT c.id, CASE action WHEN 'pick_a' THEN 'resolved' WHEN 'pick_b' THEN 'resolved' WHEN 'dismiss' THEN 'resolved' WHEN 'accept_exception' THEN 'ignored' WHEN 'defer' THEN 'deferred'
+  WHEN 'update_decision' THEN 'deferred' ELSE status END AS status FROM contra c LEFT JOIN act ON act.id = c.id
+""")
+def resolved_contradictions(spark: SparkSession, d: str) -> DataFrame:
+    return _applied(spark, d)[0].select("id", "status")
+
+
+def _applied(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = v.contradictions(spark, d)
-    actions = c.filter("status = 'unresolved' and b_id % 3 = 0").select("id", v.pick(ACTIONS, F.col("a_id") % 5).alias("action"))
-    return gov.apply_resolutions(c, v.decisions(spark, d), actions)[1].select("id", "valid", "status")
+    actions = c.filter("status = 'unresolved' and b_id % 3 = 0").select("id", v.pick(ACTIONS, F.col("a_id") % 7).alias("action"))
+    return gov.apply_resolutions(c, v.decisions(spark, d), actions)
 
 
 @query("""
@@ -218,12 +257,16 @@ def churn(spark: SparkSession, d: str) -> DataFrame:
     return gov.churn(table(spark, d, "events").select(F.col("user_id").alias("path")))
 
 
-@query(f"""WITH {CHURN}, m AS (SELECT event_type AS module, count(DISTINCT user_id) AS k FROM events GROUP BY event_type)
-SELECT event_id AS id, round(event_id % 4 * (1 + ln(1.0 + CASE WHEN user_id % 2 = 0 THEN k ELSE 0 END)) * factor + 1e-9, 6) AS priority FROM events JOIN m ON module = event_type JOIN churn ON path = user_id""")
+@query(f"""WITH {CHURN}, m AS (SELECT 'app.' || event_type || '.m' || user_id % 4 AS module, count(DISTINCT user_id) AS k FROM events GROUP BY ALL),
+named AS (SELECT event_id AS id, event_id % 4 AS severity, user_id AS file, CASE user_id % 4 WHEN 0 THEN 'app.' || event_type WHEN 1 THEN 'app.' || event_type || '.m1' WHEN 2 THEN 'lib' ELSE 'ap' END AS module FROM events),
+best AS (SELECT f.module, max(k) AS k FROM (SELECT DISTINCT module FROM named) f JOIN m ON m.module = f.module OR starts_with(m.module, f.module || '.') GROUP BY f.module)
+SELECT id, round(1 + coalesce(k, 0) / (SELECT max(k) FROM m)::DOUBLE, 6) AS centrality, round(severity * (1 + coalesce(k, 0) / (SELECT max(k) FROM m)::DOUBLE) * factor + 1e-9, 6) AS priority
+FROM named LEFT JOIN best USING (module) JOIN churn ON path = file""")
 def assumption_priority(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    module = F.when(F.col("user_id") % 2 == 0, F.col("event_type"))
-    modules = gov.module_in_degree(e.select(F.col("event_type").alias("module"), F.col("user_id").alias("path")))
+    package = F.concat(F.lit("app."), "event_type")
+    modules = gov.module_in_degree(e.select(F.concat(package, F.lit(".m"), F.col("user_id") % 4).alias("module"), F.col("user_id").alias("path")))
+    module = F.when(F.col("user_id") % 4 == 0, package).when(F.col("user_id") % 4 == 1, F.concat(package, F.lit(".m1"))).when(F.col("user_id") % 4 == 2, "lib").otherwise("ap")
     findings = e.select(F.col("event_id").alias("id"), module.alias("module"), F.col("user_id").alias("file"), (F.col("event_id") % 4).alias("severity_rank"))
     out = gov.assumption_priority(findings, modules, gov.churn(e.select(F.col("user_id").alias("path"))))
     return out.withColumn("priority", F.round(F.col("priority") + 1e-9, 6))
@@ -260,13 +303,16 @@ def missing_patterns(spark: SparkSession, d: str) -> DataFrame:
 WITH live AS (SELECT b.project, dimension, count(*) AS n FROM bridge b JOIN decision d ON d.id = b.id WHERE d.valid GROUP BY ALL),
 rate AS (SELECT project, dimension, avg((verdict = 'contradiction')::INT) AS rate FROM (SELECT *, unnest(shared_dimensions) AS dimension FROM contra) GROUP BY ALL),
 a AS (SELECT b.id, count(*) FILTER (n > 0) AS o, avg(coalesce(n, 0)) AS dens, avg(coalesce(rate, 0.0)) AS r, count(*) AS k FROM bridge b LEFT JOIN live USING (project, dimension) LEFT JOIN rate USING (project, dimension) GROUP BY b.id),
-act AS (SELECT project, count(*) AS total FROM decision WHERE valid GROUP BY project), hit AS (SELECT DISTINCT unnest([a_id, b_id]) AS id FROM contra WHERE verdict = 'contradiction')
-SELECT d.id, o AS dimension_overlap_count, round(dens, 6) AS decision_density, round(r, 6) AS historical_contradiction_rate, CASE source_type WHEN 'manual' THEN 5 WHEN 'agent' THEN 0 ELSE 2 END AS agent_type_numeric,
-  round(epoch_us(TIMESTAMP '2002-01-01' - created_at) / 3600000000.0::DOUBLE, 6) AS hours_since_last, coalesce(total, 0) AS total_active, k AS dimension_count, CASE WHEN hit.id IS NULL THEN 0 ELSE 1 END AS label
-FROM decision d JOIN a ON a.id = d.id LEFT JOIN act USING (project) LEFT JOIN hit ON hit.id = d.id
+act AS (SELECT project, count(*) AS total FROM decision WHERE valid GROUP BY project), hit AS (SELECT DISTINCT unnest([a_id, b_id]) AS id FROM contra WHERE verdict = 'contradiction'),
+gap AS (SELECT id, min(g) AS g FROM (SELECT b.id, epoch_us(created_at) - epoch_us(lag(created_at) OVER (PARTITION BY b.project, dimension ORDER BY created_at, b.id)) AS g FROM bridge b JOIN decision d ON d.id = b.id) GROUP BY id)
+SELECT d.id, o AS dimension_overlap_count, round(dens, 6) AS decision_density, round(r, 6) AS historical_contradiction_rate, CASE d.project % 7 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 5 THEN 5 ELSE 4 END AS agent_type_numeric,
+  round(coalesce(g / 3600000000.0::DOUBLE, 0.0), 6) AS hours_since_last, coalesce(total, 0) AS total_active, k AS dimension_count, CASE WHEN hit.id IS NULL THEN 0 ELSE 1 END AS label
+FROM decision d JOIN a ON a.id = d.id LEFT JOIN gap ON gap.id = d.id LEFT JOIN act USING (project) LEFT JOIN hit ON hit.id = d.id
 """)
 def risk_features(spark: SparkSession, d: str) -> DataFrame:
-    return risk.risk_features(v.decisions(spark, d), v.bridge(spark, d), v.contradictions(spark, d), v.as_of())
+    kinds = ("coding", "review", "scan", "orchestrator", "custom", "human", "robot")
+    decisions = v.decisions(spark, d).withColumn("agent_type", v.pick(kinds, F.col("project") % 7))
+    return risk.risk_features(decisions, v.bridge(spark, d), v.contradictions(spark, d), v.as_of())
 
 
 @query("""
@@ -300,12 +346,16 @@ def requirements_met(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH m AS (SELECT user_id % 30 AS org, event_type AS c, count(*) > 60 AS met FROM events GROUP BY ALL), s AS (SELECT org, count(*) FILTER (met) AS met, count(*) AS total FROM m GROUP BY org)
-SELECT org, met, total, round(met / total::DOUBLE, 6) AS coverage, round(1 - met / total::DOUBLE, 6) AS risk, met / total::DOUBLE >= 0.8 AS ready FROM s
+WITH m AS (SELECT user_id % 30 AS org, event_type AS c, count(*) AS n FROM events GROUP BY ALL), det AS (SELECT user_id % 30 AS org, count(*) AS n FROM events WHERE value > 490 AND user_id % 3 = 0 GROUP BY ALL),
+s AS (SELECT org, count(*) FILTER (n > 60) AS met, count(*) FILTER (n > 40 AND n <= 60) AS partial, count(*) FILTER (n <= 40) AS unmet, count(*) AS total FROM m GROUP BY org)
+SELECT org, met, total, round((met + 0.5 * partial) / total::DOUBLE, 6) AS coverage, round(least(1.0, unmet / total::DOUBLE + least(coalesce(n, 0) * 0.15::DOUBLE, 0.5)), 6) AS risk, (met + 0.5 * partial) / total::DOUBLE >= 0.8 AS ready FROM s LEFT JOIN det USING (org)
 """)
 def compliance_scores(spark: SparkSession, d: str) -> DataFrame:
-    met = table(spark, d, "events").groupBy((F.col("user_id") % 30).alias("org"), "event_type").agg((F.count("*") > 60).alias("met"))
-    return gov.compliance_scores(met)
+    e = table(spark, d, "events").withColumn("org", F.col("user_id") % 30)
+    n = F.count("*")
+    requirements = e.groupBy("org", "event_type").agg(F.when(n > 60, "met").when(n > 40, "partial").otherwise("unmet").alias("status"))
+    detections = e.filter("value > 490 and user_id % 3 = 0").groupBy("org").agg(F.count("*").alias("n"))
+    return gov.compliance_scores(requirements, detections, 0.15)
 
 
 @query("""

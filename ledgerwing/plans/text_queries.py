@@ -193,24 +193,13 @@ def dangerous_commands(spark: SparkSession, d: str) -> DataFrame:
 WORDS3 = "list_distinct(regexp_extract_all(lower({0}), '[a-z]{{3,}}'))"
 
 
-@query(f"""
-WITH b AS (SELECT item_id, {WORDS3.format('text')} AS w FROM benchmark), q AS (SELECT doc_id, {WORDS3.format('text')} AS w FROM documents)
-SELECT doc_id, item_id, round(len(list_intersect(q.w, b.w)) / (len(q.w) + len(b.w) - len(list_intersect(q.w, b.w)))::DOUBLE, 6) AS similarity FROM q JOIN b ON doc_id % 40 = item_id % 40
-WHERE len(q.w) + len(b.w) > 0
-""")
-def keyword_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("b"), (F.col("item_id") % 40).alias("k"))
-    q = _docs(spark, d).select("doc_id", F.col("text").alias("q"), (F.col("doc_id") % 40).alias("k")).join(b, "k")
-    return q.select("doc_id", "item_id", F.round(text.keyword_jaccard(F.col("q"), F.col("b")), 6).alias("similarity"))
-
-
 @query(f"""
 WITH b AS (SELECT item_id, {WORDS3.format('text')} AS w FROM benchmark), q AS (SELECT doc_id, {WORDS3.format('text')} AS w FROM documents),
 bw AS (SELECT item_id, len(w) AS nb, unnest(w) AS t FROM b), qw AS (SELECT doc_id, len(w) AS nq, unnest(w) AS t FROM q)
 SELECT doc_id, item_id, round(count(*) / (any_value(nb) + any_value(nq) - count(*))::DOUBLE, 6) AS similarity FROM bw JOIN qw USING (t) GROUP BY doc_id, item_id
 """)
-def keyword_jaccard_all(spark: SparkSession, d: str) -> DataFrame:
-    """keyword_jaccard of all documents and all benchmark items that share a word."""
+def keyword_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    """All documents and all benchmark items that share a word; other pairs have 0."""
     b = table(spark, d, "benchmark").select("item_id", text.words3(F.col("text")).alias("w"))
     q = _docs(spark, d).select("doc_id", text.words3(F.col("text")).alias("w"))
     bw = b.select("item_id", F.size("w").alias("nb"), F.explode("w").alias("t"))
@@ -219,40 +208,27 @@ def keyword_jaccard_all(spark: SparkSession, d: str) -> DataFrame:
     return shared.select("doc_id", "item_id", F.round(F.col("n") / (F.col("nb") + F.col("nq") - F.col("n")), 6).alias("similarity"))
 
 
-@query(f"""
-WITH b AS (SELECT item_id, {WORDS3.format('text')} AS w FROM benchmark), q AS (SELECT doc_id, {WORDS3.format('text')} AS w FROM documents WHERE n_chars < 2000),
-bw AS (SELECT item_id, unnest(w) AS t FROM b), qw AS (SELECT doc_id, unnest(w) AS t FROM q),
-c AS (SELECT item_id, doc_id, count(*) AS n FROM bw JOIN qw USING (t) GROUP BY ALL),
-s AS (SELECT item_id, doc_id, n / (len(b.w) + len(q.w) - n)::DOUBLE AS j FROM c JOIN b USING (item_id) JOIN q USING (doc_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY j DESC, doc_id) AS k FROM s)
-SELECT item_id, doc_id AS best_id, round(j, 6) AS score, CASE WHEN j >= 0.6 THEN 'implemented' WHEN j >= 0.3 THEN 'partial' ELSE 'missing' END AS status FROM r WHERE k = 1
-""")
-def coverage(spark: SparkSession, d: str) -> DataFrame:
-    reqs = table(spark, d, "benchmark").select(F.col("item_id"), F.col("text").alias("r"))
-    short = _docs(spark, d).filter("n_chars < 2000").select(F.col("doc_id").alias("id"), "text")
-    return matching.coverage(reqs, short, "item_id", "r", "id", "text")
-
-
 @query(f"""
 WITH b AS (SELECT item_id, {WORDS3.format('text')} AS w FROM benchmark), q AS (SELECT doc_id, {WORDS3.format('text')} AS w FROM documents),
 bw AS (SELECT item_id, unnest(w) AS t FROM b), qw AS (SELECT doc_id, unnest(w) AS t FROM q),
 c AS (SELECT item_id, doc_id, count(*) AS n FROM bw JOIN qw USING (t) GROUP BY ALL),
 s AS (SELECT item_id, doc_id, n / (len(b.w) + len(q.w) - n)::DOUBLE AS j FROM c JOIN b USING (item_id) JOIN q USING (doc_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY j DESC, doc_id) AS k FROM s)
-SELECT item_id, doc_id AS best_id, round(j, 6) AS score, CASE WHEN j >= 0.6 THEN 'implemented' WHEN j >= 0.3 THEN 'partial' ELSE 'missing' END AS status FROM r WHERE k = 1
+SELECT b.item_id, doc_id AS best_id, round(coalesce(j, 0.0), 6) AS score, CASE WHEN j >= 0.6 THEN 'implemented' WHEN j >= 0.3 THEN 'partial' ELSE 'not_started' END AS status FROM b LEFT JOIN (SELECT * FROM r WHERE k = 1) r USING (item_id)
 """)
-def coverage_all(spark: SparkSession, d: str) -> DataFrame:
-    """coverage over every document, whatever its length."""
+def coverage(spark: SparkSession, d: str) -> DataFrame:
     reqs = table(spark, d, "benchmark").select(F.col("item_id"), F.col("text").alias("r"))
     return matching.coverage(reqs, _docs(spark, d).select(F.col("doc_id").alias("id"), "text"), "item_id", "r", "id", "text")
 
 
 @query("""
 WITH line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_number FROM documents),
-l AS (SELECT doc_id, line_number, trim(line) AS line FROM line),
-s AS (SELECT *, coalesce(last_value(CASE WHEN regexp_matches(line, '^#+\\s') THEN trim(regexp_replace(line, '^#+\\s*', '')) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_number ROWS UNBOUNDED PRECEDING), '') AS section,
-  trim(regexp_replace(line, '^([-*]|\\d+[.)])\\s+', '')) AS body FROM l)
-SELECT doc_id, line_number, section, body AS requirement FROM s WHERE (regexp_matches(line, '^([-*]|\\d+[.)])\\s+') OR regexp_matches(line, '(?i)\\b(must|shall|should)\\b')) AND length(body) >= 5
+l AS (SELECT doc_id, line_number, trim(line) AS line, regexp_matches(trim(line), '^#{1,6}\\s+.+$') AS header FROM line),
+s AS (SELECT *, coalesce(last_value(CASE WHEN header THEN trim(regexp_replace(line, '^#{1,6}\\s+', '')) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_number ROWS UNBOUNDED PRECEDING), '') AS section FROM l),
+f AS (SELECT doc_id, line_number, section, CASE WHEN header THEN [] WHEN regexp_matches(line, '^(\\d+[.)]|[-*])\\s+.+$') THEN [trim(regexp_replace(line, '^(\\d+[.)]|[-*])\\s+', ''))]
+  ELSE list_transform(list_filter(string_split(regexp_replace(line, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '(?i)\\b(must|shall|should|will|need to|require)\\b')), lambda x: trim(x)) END AS found FROM s),
+e AS (SELECT doc_id, line_number, section, unnest(found) AS requirement, generate_subscripts(found, 1) AS part FROM f)
+SELECT doc_id, line_number, CAST(part AS INT) AS part, section, requirement FROM e WHERE length(requirement) >= 5
 """)
 def extract_requirements(spark: SparkSession, d: str) -> DataFrame:
     return text.extract_requirements(_docs(spark, d))

@@ -1,4 +1,4 @@
-"""Queries over whole tables, where an older form of the same query takes a subset of ids or lengths."""
+"""Queries run over whole tables: no subset of ids or lengths."""
 
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ def written(spark, folder, **tables) -> str:
 def test_a_long_document_or_one_of_unknown_length_can_be_the_best_match(spark, tmp_path):
     documents = [(1, "alpha beta other words", 22), (2, "alpha beta gamma delta", 5000), (3, "epsilon zeta eta", None)]
     d = written(spark, tmp_path, benchmark=([(1, "alpha beta gamma delta"), (2, "epsilon zeta eta")], "item_id long, text string"), documents=(documents, "doc_id long, text string, n_chars long"))
-    found = {r["item_id"]: (r["best_id"], r["score"], r["status"]) for r in QUERIES["coverage_all"](spark, d).collect()}
+    found = {r["item_id"]: (r["best_id"], r["score"], r["status"]) for r in QUERIES["coverage"](spark, d).collect()}
     assert found == {1: (2, 1.0, "implemented"), 2: (3, 1.0, "implemented")}
 
 
@@ -37,7 +37,7 @@ def test_every_log_has_its_proofs_checked(spark, sf_dir):
 def test_every_document_meets_every_item(spark, tmp_path):
     documents = [(i, f"alpha beta word{'xyz'[i]}") for i in range(3)]
     d = written(spark, tmp_path, benchmark=([(7, "alpha beta"), (8, "beta")], "item_id long, text string"), documents=(documents, "doc_id long, text string"))
-    found = {(r["doc_id"], r["item_id"]): r["similarity"] for r in QUERIES["keyword_jaccard_all"](spark, d).collect()}
+    found = {(r["doc_id"], r["item_id"]): r["similarity"] for r in QUERIES["keyword_jaccard"](spark, d).collect()}
     assert found == {(i, k): x for i in range(3) for k, x in ((7, 0.666667), (8, 0.333333))}
 
 
