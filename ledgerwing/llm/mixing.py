@@ -17,7 +17,7 @@ RANGE_DIGITS = 3
 
 @dataclass(frozen=True)
 class Mixture:
-    """Whole-number weights of the tree's nodes, by name at each level; a name that is not listed weighs 1.
+    """Whole-number weights of the tree's nodes, by name at each level; a name that is not listed weighs 1, 0 leaves out.
 
     budget = tokens available * budget_parts / budget_of, rounded down. A leaf gives its documents at most
     max_epochs times over.
@@ -60,9 +60,11 @@ def water_fill(nodes: DataFrame, parent: list[str]) -> DataFrame:
 
     A node that cannot take its share takes its room, and what it leaves goes to its siblings by weight. Sorted by
     room per weight, the full nodes come first: a node is full if its room per weight is at most what remains per
-    remaining weight. Shares are rounded down, so less than one token a node may stay unplaced.
+    remaining weight. Shares are rounded down, so less than one token a node may stay unplaced. A node of weight 0
+    has no room and gets nothing.
     """
-    by_room = Window.partitionBy(*parent).orderBy(F.col("room") / F.col("weight"), "name")
+    nodes = nodes.withColumn("room", F.when(F.col("weight") > 0, F.col("room")).otherwise(0))
+    by_room = Window.partitionBy(*parent).orderBy(F.col("room") / F.greatest("weight", F.lit(1)), "name")
     earlier = by_room.rowsBetween(Window.unboundedPreceding, -1)
     later = by_room.rowsBetween(0, Window.unboundedFollowing)
     ranked = nodes.select(
@@ -86,14 +88,17 @@ def leaf_budgets(leaf_tokens: DataFrame, mixture: Mixture) -> DataFrame:
     A node's room is what all leaves below it can give, so a shortage is made up by siblings first, and only what a
     whole subtree lacks reaches the siblings of its root.
     """
-    room = leaf_tokens.withColumn("room", F.col("tokens") * mixture.max_epochs)
-    total = (leaf_tokens.agg(F.sum("tokens")).first()[0] or 0) * mixture.budget_parts // mixture.budget_of
     weights = (mixture.domain_weights, mixture.lang_weights, mixture.source_weights)
+    left_out = F.lit(False)
+    for level, names in zip(LEVELS, weights, strict=True):
+        left_out = left_out | (_weight(F.col(level), names) <= 0)
+    room = leaf_tokens.withColumn("room", F.when(left_out, 0).otherwise(F.col("tokens") * mixture.max_epochs))
+    total = (leaf_tokens.agg(F.sum("tokens")).first()[0] or 0) * mixture.budget_parts // mixture.budget_of
     given, parent = None, []
     for level, names in zip(LEVELS, weights, strict=True):
         keys = [*parent, level]
         nodes = room.groupBy(*keys).agg(F.sum("room").alias("room"))
-        nodes = nodes.join(F.broadcast(given), parent) if parent else nodes.withColumn("given", F.lit(total).cast("long"))
+        nodes = nodes.join(given, parent) if parent else nodes.withColumn("given", F.lit(total).cast("long"))
         nodes = nodes.select(*keys, F.col(level).alias("name"), _weight(F.col(level), names).alias("weight"), "room", "given")
         given = water_fill(nodes, parent or [F.lit(0)]).select(*keys, F.col("budget").alias("given"))
         parent = keys
@@ -130,7 +135,7 @@ def _plan(rows: DataFrame, mixture: Mixture) -> DataFrame:
     upto = Window.partitionBy(*leaf).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     last = sums.withColumn("before", F.coalesce(F.sum("t").over(upto), F.lit(0))).filter("before < need and need <= before + t").select(*leaf, "range", "before")
     inside = Window.partitionBy(*leaf).orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    cuts = keyed.join(F.broadcast(last), [*leaf, "range"]).withColumn("upto", F.col("before") + F.sum("n_tokens").over(inside)).filter("upto >= need")
+    cuts = keyed.join(last, [*leaf, "range"]).withColumn("upto", F.col("before") + F.sum("n_tokens").over(inside)).filter("upto >= need")
     return budgets.join(cuts.groupBy(*leaf).agg(F.min("key").alias("cut")), leaf, "left").drop("need")
 
 
@@ -187,7 +192,7 @@ def oracle_sql(mixture: Mixture, table: str = "documents") -> str:
         same = " AND ".join(["1 = 1", *[f"s.{c} = n.{c}" for c in parent]])
         by = f"USING ({', '.join(parent)})" if parent else "ON 1 = 1"
         parts.append(
-            f"node{k} AS (SELECT r.*, p.given FROM (SELECT {', '.join(keys)}, {_case(level, weights)} AS weight, CAST(sum(tokens) * {mixture.max_epochs} AS BIGINT) AS room FROM leaf GROUP BY {', '.join(keys)}) r JOIN level{k} p {by})"
+            f"node{k} AS (SELECT r.*, p.given FROM (SELECT {', '.join(keys)}, {_case(level, weights)} AS weight, CAST(sum(give) * {mixture.max_epochs} AS BIGINT) AS room FROM leaf GROUP BY {', '.join(keys)}) r JOIN level{k} p {by})"
         )
         # a node is full if the rooms of all nodes no roomier per weight, and its share beside the others, fit
         parts.append(
@@ -200,6 +205,7 @@ def oracle_sql(mixture: Mixture, table: str = "documents") -> str:
         )
         parent = keys
     leaf = ", ".join(LEVELS)
+    gives = " AND ".join(f"{_case(level, weights)} > 0" for level, weights in zip(LEVELS, (mixture.domain_weights, mixture.lang_weights, mixture.source_weights), strict=True))
     return f"""
 WITH raw AS (
   SELECT doc_id, coalesce(source, '{UNKNOWN}') AS source, coalesce(lang, '{UNKNOWN}') AS lang,
@@ -209,7 +215,7 @@ WITH raw AS (
   SELECT doc_id, CASE WHEN md5(source)[1] < '6' THEN 'web' WHEN md5(source)[1] < 'b' THEN 'books' ELSE 'code' END AS domain,
          lang, source, CAST(n_tokens AS BIGINT) AS n_tokens
   FROM raw WHERE n_tokens > 0
-), leaf AS (SELECT {leaf}, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM doc GROUP BY {leaf}),
+), leaf AS (SELECT {leaf}, CAST(sum(n_tokens) AS BIGINT) AS tokens, CASE WHEN {gives} THEN CAST(sum(n_tokens) AS BIGINT) ELSE 0 END AS give FROM doc GROUP BY {leaf}),
 {', '.join(parts)},
 budget AS (SELECT {leaf}, given // tokens AS epochs, given % tokens AS need FROM level3 JOIN leaf USING ({leaf})),
 keyed AS (

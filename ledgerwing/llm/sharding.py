@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerwing.llm.storage import materialize
+from ledgerwing.llm.storage import id_text, materialize
 
 #: Partitions of the order: ranges of the leading hex digits of a text's MD5.
 RANGE_DIGITS = 3
@@ -21,9 +21,10 @@ def assign_shards(docs: DataFrame, shards: int = 8, text_col: str = "text", id_c
     holds its middle byte. Equal texts go by the middle byte of their group and so stay in one shard, unless they
     fill more than 1/whole_group_share of a shard; a larger group is cut like any other rows.
 
-    A text that more rows share than an average partition holds gets partitions of its own, cut by a hash of
-    doc_id, so that no task gets all of it; their totals give the middle byte of its group. At most RANGES texts can be so frequent, which bounds all tables that
-    are joined by broadcast. size: UTF-8 bytes plus 1, a null text counts as empty. slot: from 0 without gaps in
+    A text that more rows share than an average partition holds gets partitions of its own, cut by the CRC-32 of
+    doc_id, so that no task gets all of it; they come before the other texts of its range, and their totals give the
+    middle byte of its group. At most RANGES texts can be so frequent, which bounds all tables that are joined by
+    broadcast. size: UTF-8 bytes plus 1, a null text counts as empty. slot: from 0 without gaps in
     each shard. Repeated rows take a slot each. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -45,7 +46,7 @@ def assign_shards(docs: DataFrame, shards: int = 8, text_col: str = "text", id_c
         "key",
         F.conv(F.substring("key", 1, RANGE_DIGITS), 16, 10).cast("int").alias("range"),
         F.when(F.col("parts").isNotNull(), F.col("key")).alias("hot"),
-        F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0)).cast("int").alias("part"),
+        F.coalesce(F.pmod(F.crc32(id_text(F.col("doc_id")).cast("binary")), F.col("parts")), F.lit(0)).cast("int").alias("part"),
     )
     partition = ["range", "hot", "part"]
     # hot texts come before the others of their range; nulls last in both orders below

@@ -26,6 +26,31 @@ LENGTH = 200
 CORE = 100
 #: Anchors that make up one run at most.
 RUN_ANCHORS = 30_000
+#: Bits of a core's rank that hold its place in a piece of text; the bits above them are its hash's, the same number
+#: for all pieces, so that equal windows choose equal anchors wherever they stand.
+PLACE_BITS = 26
+#: Bytes of text for each bucket of cores.
+BUCKET_BYTES = 4 << 20
+
+
+def pieces(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Runs of about textwords.BLOCK bytes: the text that each piece is of, where it starts there, and the pieces.
+
+    A longer text comes in pieces that overlap by LENGTH - 1 bytes, so that each window is in exactly one of them.
+    """
+    owners, starts, run, size = [], [], [], 0
+    for k, text in enumerate(texts):
+        text = text or b""
+        for at in range(0, max(len(text) - LENGTH + 1, 1), textwords.BLOCK):
+            owners.append(k)
+            starts.append(at)
+            run.append(text[at : at + textwords.BLOCK + LENGTH - 1])
+            size += len(run[-1])
+            if size >= textwords.BLOCK:
+                yield np.array(owners), np.array(starts), run
+                owners, starts, run, size = [], [], [], 0
+    if run:
+        yield np.array(owners), np.array(starts), run
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -38,7 +63,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         return none, none, none, none, np.zeros(0, np.uint64)
     at = np.arange(len(data) - CORE + 1)
     h = textwords.substring_hashes(textwords.prefix_sums(data), at, at + CORE)
-    low = np.uint64((1 << int(len(data)).bit_length()) - 1)
+    low = np.uint64((1 << PLACE_BITS) - 1)
     least, width, span = (h & ~low) | at.astype(np.uint64), 1, LENGTH - CORE + 1
     while width * 2 <= span:
         least = np.minimum(least[:-width], least[width:])
@@ -97,9 +122,9 @@ def _core_runs(docs: DataFrame, buckets: int) -> DataFrame:
         ids, held, size = _run_ids(), [], 0
         for batch in batches:
             key = batch.column(0).to_numpy()
-            for at, run in textwords.blocks(batch.column(1).to_pylist()):
+            for texts, starts, run in pieces(batch.column(1).to_pylist()):
                 owner, place, _, _, h = anchors(run)
-                held.append((h, key[at + owner], place))
+                held.append((h, key[texts[owner]], starts[owner] + place))
                 size += len(h)
                 if size >= 4 * RUN_ANCHORS:
                     yield rows(next(ids), *map(np.concatenate, zip(*held, strict=True)))
@@ -336,14 +361,16 @@ def _suffix_runs(docs: DataFrame, candidates: DataFrame, buckets: int) -> DataFr
         ids, held = _run_ids(), []
         for batch in batches:
             keys, wanted = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for at, run in textwords.blocks(batch.column(1).to_pylist()):
+            all_texts = batch.column(1).to_pylist()
+            for texts, starts, run in pieces(all_texts):
                 owner, place, lo, hi, h = anchors(run)
-                ask = np.concatenate([np.asarray(wanted[at + k], np.int64) + (k << 40) for k in range(len(run))])
-                hit = np.flatnonzero(np.isin(place + (owner << 40), ask))
+                of, shift = texts[owner], starts[owner]
+                ask = np.concatenate([np.asarray(wanted[k], np.int64) + (k << 40) for k in np.unique(texts).tolist()])
+                hit = np.flatnonzero(np.isin(shift + place + (of << 40), ask))
                 bucket = bucket_of(h[hit], buckets).tolist()
-                for b, o, a, first, last in zip(bucket, owner[hit].tolist(), place[hit].tolist(), lo[hit].tolist(), hi[hit].tolist(), strict=True):
-                    text = run[o]
-                    held.append((b, text[a : last + LENGTH], text[first:a][::-1], keys[at + o], a, len(text)))
+                for b, o, a, first, last in zip(bucket, of[hit].tolist(), *[(shift + x)[hit].tolist() for x in (place, lo, hi)], strict=True):
+                    text = all_texts[o]
+                    held.append((b, text[a : last + LENGTH], text[first:a][::-1], keys[o], a, len(text)))
                 if len(held) >= RUN_ANCHORS:
                     yield from encode(next(ids), held)
                     held = []
@@ -426,31 +453,34 @@ def kept_bytes(data: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, cut(data, spans)).otherwise(data)
 
 
-def with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with two more columns: data (the text as bytes) and spans (the byte ranges that occur elsewhere too).
+def with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", data_col: str = "data", spans_col: str = "spans") -> DataFrame:
+    """docs with two more columns: data_col (the text as bytes) and spans_col (the byte ranges that occur elsewhere too).
 
-    spans holds each byte covered by a LENGTH-byte string that also starts at another place, in this document or
+    The spans hold each byte covered by a LENGTH-byte string that also starts at another place, in this document or
     another, as sorted ranges with gaps between them. A null text is empty; texts under LENGTH bytes have no spans.
-    Equal rows are each other's copies. An empty table gives no rows. What a task holds is one run of at most
-    RUN_ANCHORS anchors, or one bucket of all runs, in which equal suffixes of a run count once; copies of a passage
-    meet only as one record a run.
+    Equal rows are each other's copies. An empty table gives no rows. The two names must not be columns of docs. A
+    very long text is taken in overlapping pieces. What a task holds is one run of at most RUN_ANCHORS anchors, or
+    one bucket of all runs, of which there is one for BUCKET_BYTES of text; equal suffixes of a run count once there,
+    so copies of a passage meet only as one record a run.
     """
-    width = shuffle_width(docs.sparkSession)
-    buckets = max(64, 16 * width)
+    if {data_col, spans_col} & set(docs.columns):
+        raise ValueError(f"{data_col} and {spans_col} must not be columns of the documents")
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     key = F.xxhash64(F.col(id_col), F.col(id_col).isNull(), data)
     keyed = docs.select(key.alias("key"), data.alias("data")).filter(F.octet_length("data") >= LENGTH)
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()[0]
+    buckets = max(64, 16 * shuffle_width(docs.sparkSession), total // BUCKET_BYTES)
     cores = materialize(_core_runs(keyed, buckets), "core-runs")
     candidates = _candidates(cores, _repeated_cores(cores))
     runs = materialize(_suffix_runs(keyed, candidates, buckets), "suffix-runs")
     drop_materialized(cores)
     found = materialize(_document_spans(runs, _merged_spans(runs)), "spans")
     drop_materialized(runs)
-    named = found.select(F.col("key").alias("_key"), F.col("n_bytes").alias("_bytes"), _union(F.col("raw")).alias("spans"))
-    rows = docs.drop("data", "spans").withColumn("data", data)
-    key = F.xxhash64(F.col(id_col), F.col(id_col).isNull(), F.col("data"))
-    joined = rows.join(named, (key == F.col("_key")) & (F.octet_length("data") == F.col("_bytes")), "left")
-    return joined.drop("_key", "_bytes").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")))
+    named = found.select(F.col("key").alias("_rep_key"), F.col("n_bytes").alias("_rep_bytes"), _union(F.col("raw")).alias(spans_col))
+    rows = docs.withColumn(data_col, data)
+    key = F.xxhash64(F.col(id_col), F.col(id_col).isNull(), F.col(data_col))
+    joined = rows.join(named, (key == F.col("_rep_key")) & (F.octet_length(data_col) == F.col("_rep_bytes")), "left")
+    return joined.drop("_rep_key", "_rep_bytes").withColumn(spans_col, F.coalesce(spans_col, F.array().cast("array<struct<start:bigint,end:bigint>>")))
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
@@ -467,16 +497,25 @@ def repeat_digests(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with each text cut down to what is left of it; where a cut falls inside a character, its rest goes too."""
+    """docs with each text cut down to what is left of it; where a cut falls inside a character, its rest goes too.
+
+    Other columns stay as they are, but n_chars, if there is one, counts the new text where something was cut.
+    """
     columns = docs.columns
-    found = with_repeats(docs)
-    kept = F.when(F.size("spans") > 0, _valid_text(kept_bytes(F.col("data"), F.col("spans")))).otherwise(F.col("text"))
-    found = found.withColumn("text", kept)
+    data, spans = (unused(columns, x) for x in ("_rep_data", "_rep_spans"))
+    found = with_repeats(docs, data_col=data, spans_col=spans)
+    some = F.size(spans) > 0
+    found = found.withColumn("text", F.when(some, _valid_text(kept_bytes(F.col(data), F.col(spans)))).otherwise(F.col("text")))
     if "n_chars" in columns:
-        found = found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        found = found.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return found.select(*columns)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """name, with a number behind it if columns has it."""
+    return next(x for x in (name, *[f"{name}{n}" for n in range(len(columns))]) if x not in columns)
+
+
 def _valid_text(data: Column) -> Column:
     @F.arrow_udf("string")
     def text(column: pa.Array) -> pa.Array:

@@ -159,3 +159,109 @@ def test_a_vector_of_another_length_empties_nothing(spark):
     for search in (multiprobe.nearest5, voronoi.scaled_top10):
         found = sorted(tuple(r) for r in search(odd).collect())
         assert found == sorted(tuple(r) for r in search(plain).collect()) and found
+
+
+def brute_repeats(texts: list[tuple], length: int = 200) -> dict:
+    """What is left of each text, by bytes."""
+    seen = collections.Counter(t[i : i + length] for _, t in texts for i in range(len(t) - length + 1))
+    out = {}
+    for key, t in texts:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i : i + length] = True
+        out[key] = np.frombuffer(t, np.uint8)[~gone].tobytes()
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 18, 700])
+def test_repeats_are_cut_and_other_columns_stay(spark, monkeypatch, block):
+    """Values of the cut texts, in blocks of any size, long texts in pieces; data, spans and n_bytes are the caller's."""
+    from ledgerwing.llm import suffixdedup, textwords
+
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(260))
+    texts = {i: "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(50, 2500))) + (passage if i % 3 == 0 else "") + "é" * (i % 2) for i in range(40)}
+    texts |= {100: "xy" * 2000, 101: passage + "z" + passage, 102: "", 103: "q" * 200}
+    rows = [(i, t, 7, "spans", f"b{i}", len(t)) for i, t in texts.items()] + [(104, None, 7, "spans", "b104", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, data int, spans string, n_bytes string, n_chars long")
+    if block != textwords.BLOCK:  # what the workers run, here in this process
+        monkeypatch.setattr(textwords, "BLOCK", block)
+        found = {}
+        for owners, starts, run in suffixdedup.pieces([t.encode() for t in texts.values()]):
+            owner, place, lo, hi, h = suffixdedup.anchors(run)
+            for o, p, a, b, x in zip(owners[owner].tolist(), (starts[owner] + place).tolist(), (starts[owner] + lo).tolist(), (starts[owner] + hi).tolist(), h.tolist(), strict=True):
+                for w in range(a, b + 1):
+                    assert (o, w) not in found
+                    found[o, w] = (p - w, x)
+        by_window = {}
+        for (o, w), anchor in found.items():
+            window = list(texts.values())[o].encode()[w : w + 200]
+            assert len(window) == 200 and by_window.setdefault(window, anchor) == anchor  # equal windows, equal anchors
+        assert len(found) == sum(max(len(t.encode()) - 199, 0) for t in texts.values())
+        return
+    expected = {k: v.decode("utf-8", "ignore") for k, v in brute_repeats([(i, t.encode()) for i, t in texts.items()]).items()}
+    kept = suffixdedup.remove_repeats(docs)
+    assert kept.columns == docs.columns
+    for r in kept.collect():
+        assert r["text"] == (expected[r["doc_id"]] if r["doc_id"] != 104 else None)
+        assert (r["data"], r["spans"], r["n_bytes"]) == (7, "spans", f"b{r['doc_id']}")
+        assert r["n_chars"] == (len(r["text"]) if r["text"] is not None else None)
+
+
+def test_a_weight_of_zero_leaves_out(spark):
+    import duckdb
+
+    from ledgerwing.llm import mixing
+
+    docs = spark.createDataFrame([(i, "a b c d " * (i % 7 + 1), ["en", "de", "fr"][i % 3], f"s{i % 5}") for i in range(200)], "doc_id long, text string, lang string, source string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    for mixture in (mixing.Mixture((), (("de", 0),), (("s1", 0),), 3, 4), mixing.Mixture((("web", 0), ("books", 0), ("code", 0)), ())):
+        found = sorted(tuple(r) for r in mixing.mixed(docs, mixture).select("doc_id", "lang", "source", "epoch").collect())
+        assert found == sorted(con.sql(f"SELECT doc_id, lang, source, epoch FROM ({mixing.oracle_sql(mixture)})").fetchall())
+        assert not any(lang == "de" or source == "s1" for _, lang, source, _ in found)
+        assert bool(found) == (mixture.budget_of == 4)
+
+
+def brute_shards(rows: list[tuple], shards: int = 8) -> collections.Counter:
+    """doc_id, shard, slot: one sorted list cut at equal byte counts; equal texts go whole up to a twentieth of a shard."""
+    import hashlib
+
+    n = len(rows)
+    copies = collections.Counter(t or "" for _, t in rows)
+    hot = {t: math.ceil(c / max(n / 4096, 64)) for t, c in copies.items() if c > max(n / 4096, 64)}
+
+    def order(row: tuple) -> tuple:
+        key = hashlib.md5((row[1] or "").encode()).hexdigest()
+        parts = hot.get(row[1] or "")
+        part = zlib.crc32(("" if row[0] is None else str(row[0])).encode()) % parts if parts else 0
+        return key[:3], parts is None, key if parts else "", part, key, row[0] is not None, row[0] or 0
+
+    ranked = sorted(rows, key=order)
+    at, starts, group_at = 0, [], {}
+    for _, t in ranked:
+        starts.append(at)
+        group_at.setdefault(t or "", at)
+        at += len((t or "").encode()) + 1
+    out, slots = collections.Counter(), collections.Counter()
+    for (key, t), start in zip(ranked, starts, strict=True):
+        size = len((t or "").encode()) + 1
+        group = copies[t or ""] * size
+        middle = 2 * group_at[t or ""] + group if group * 20 * shards <= at else 2 * start + size
+        shard = min(middle * shards // (2 * at), shards - 1)
+        out[key, shard, slots[shard]] += 1
+        slots[shard] += 1
+    return out
+
+
+def test_shards_against_one_sorted_list(spark):
+    """Copies far below and far above a twentieth of a shard, nulls, empty texts, repeated rows and one long text."""
+    from ledgerwing.llm import sharding
+
+    rng = random.Random(9)
+    rows = [(i, "x" * rng.randrange(0, 60) + str(i % 211)) for i in range(3000)]
+    rows += [(5000 + i, "many copies " * 3) for i in range(900)] + [(7000 + i, f"some {i % 3}") for i in range(210)]
+    rows += [(9000, None), (9001, ""), (None, "no id"), (9002, "long " * 900), (9003, "twice"), (9003, "twice")]
+    found = sharding.byte_shards(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert collections.Counter((r["doc_id"], r["shard"], r["slot"]) for r in found.collect()) == brute_shards(rows)
