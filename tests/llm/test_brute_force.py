@@ -265,3 +265,84 @@ def test_shards_against_one_sorted_list(spark):
     rows += [(9000, None), (9001, ""), (None, "no id"), (9002, "long " * 900), (9003, "twice"), (9003, "twice")]
     found = sharding.byte_shards(spark.createDataFrame(rows, "doc_id long, text string"))
     assert collections.Counter((r["doc_id"], r["shard"], r["slot"]) for r in found.collect()) == brute_shards(rows)
+
+
+def brute_language_model(rows: list[tuple], base: float = 1.6) -> tuple[dict, dict]:
+    """Scores of all texts, and the sum of the probabilities over all words after each context, from dictionaries."""
+    import re
+
+    from ledgerwing.llm import ngramlm
+
+    def level(c: int) -> int:
+        q = 0
+        while c >= base**q - 1e-9:
+            q += 1
+        return q
+
+    values = ngramlm.level_values(base)
+    texts = {key: [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())] + ["end"] for key, t in rows}
+    train = [k for k in texts if zlib.crc32(str(k).encode()) % 5 != 1]
+    one, two = collections.Counter(), collections.Counter()
+    for k in train:
+        one.update(texts[k])
+        two.update(zip(["start", *texts[k]], texts[k]))
+    read1, read2 = {w: values[level(c)] for w, c in one.items()}, {g: values[level(c)] for g, c in two.items()}
+    mass, v = sum(read1.values()), len(one)
+    followers = collections.Counter()
+    for (c, _), x in read2.items():
+        followers[c] += x
+
+    def code(context) -> int:
+        return int(ngramlm.denominator_codes(np.array([followers.get(context, 0.0)]), 0.0)[0])
+
+    codes = {c: code(c) for c in [*one, "start"]}
+
+    def parts(context, w, seen=0):
+        k = codes.get(context, 0)
+        d = 1.001 ** (k - 1) - seen
+        p1 = (max(read1.get(w, 0) - seen, 0) + 0.5) / (mass - seen + 0.5 * (v + 1))
+        p2 = min(max(read2.get((context, w), 0) - seen, 0) / d, 1) if k and d > 0 else 0
+        return k, p1, p2
+
+    likelihood = collections.defaultdict(lambda: np.zeros(len(ngramlm.SHARES)))
+    for k in train:
+        for c, w in zip(["start", *texts[k]], texts[k]):
+            code_, p1, p2 = parts(c, w, 1)
+            likelihood[int(ngramlm.share_class(np.array([code_]))[0])] += np.log(ngramlm.SHARES * p2 + (1 - ngramlm.SHARES) * p1)
+
+    def p(c, w):
+        code_, p1, p2 = parts(c, w)
+        of = int(ngramlm.share_class(np.array([code_]))[0])
+        share = ngramlm.SHARES[likelihood[of].argmax()] if code_ and of in likelihood else 0.0
+        return share * p2 + (1 - share) * p1
+
+    scores = {k: sum(math.log10(p(c, w)) for c, w in zip(["start", *ws], ws)) for k, ws in texts.items()}
+    sums = {c: sum(p(c, w) for w in one) + p(c, "unheard of") for c in [*list(one)[:60], "start", "unheard of"]}
+    return scores, sums
+
+
+def test_language_model_scores(spark):
+    """Scores are what a plain model gives, and its probabilities after any context sum to one."""
+    from ledgerwing.llm import ngramlm
+
+    rng = random.Random(6)
+    words = ["the", "of", "and", *[f"w{i}" for i in range(120)]]
+    rows = [(i, " ".join(rng.choice(words[: rng.choice([4, 20, 123])]) for _ in range(rng.randrange(0, 60))) + (" Unique" + str(i) if i % 7 == 0 else "")) for i in range(400)]
+    rows += [(1000, None), (1001, ""), (1002, rows[3][1]), (1003, "never seen words")]
+    expected, sums = brute_language_model(rows)
+    assert all(0.998 <= x <= 1 + 1e-9 for x in sums.values())
+    found = ngramlm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, ngramlm.Settings(probes=30)).collect()
+    assert {r["doc_id"] for r in found} == set(expected)
+    assert all(abs(r["score"] - expected[r["doc_id"]]) < 1e-6 * max(1, abs(expected[r["doc_id"]])) for r in found)
+
+
+def test_false_readings_are_expected():
+    """A filter of few probes reads about as much for words that were never entered as the denominators allow for."""
+    from ledgerwing.llm import ngramlm, textwords
+
+    s = ngramlm.Settings(probes=4)
+    h = textwords.mix(np.arange(1, 4001, dtype=np.uint64))
+    bits, table = ngramlm.segment(h, np.ones(4000, np.int64), 1 << 30, s)
+    reader = ngramlm.Filter(table, np.array([0]), np.array([bits]), 1, ngramlm.level_values(s.base), s.probes)
+    others = textwords.mix(np.arange(10**6, 10**6 + 200_000, dtype=np.uint64))
+    assert abs((reader.level(others, 0) > 0).mean() / ngramlm.false_share(table, bits, s.probes) - 1) < 0.1

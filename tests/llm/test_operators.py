@@ -218,8 +218,8 @@ def registry_fold(docs):
 def test_filter_never_forgets():
     rng = np.random.default_rng(2)
     h, counts = rng.integers(0, 2**63, 5000, dtype=np.uint64), rng.integers(1, 3000, 5000)
-    s = ngramlm.Settings()
-    bits, data = ngramlm.segment(h, counts, 1, 1 << 30, s)
+    s = ngramlm.Settings(probes=8)
+    bits, data = ngramlm.segment(h, counts, 1 << 30, s)
     f = ngramlm.Filter(data, np.array([0, 0]), np.array([bits, 0]), 1, ngramlm.level_values(s.base), s.probes)
     assert (f.level(h, 0) >= ngramlm.levels(counts, s.base)).all()
     assert (f.level(rng.integers(0, 2**63, 5000, dtype=np.uint64), 0) > 0).mean() < 0.1
@@ -229,7 +229,7 @@ def test_filter_never_forgets():
 def test_no_ngram_is_left_out_of_a_filter():
     h = textwords.mix(np.arange(1, 5001, dtype=np.uint64))
     with pytest.raises(ValueError):
-        ngramlm.segment(h, np.full(5000, 3), 1, 1 << 10, ngramlm.Settings())
+        ngramlm.segment(h, np.full(5000, 3), 1 << 10, ngramlm.Settings(probes=8))
     assert not hasattr(ngramlm.Settings(), "filter_bytes")
 
 
