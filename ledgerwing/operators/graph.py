@@ -7,14 +7,15 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerwing.session import shared_folder
+
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a loop's table in the shared checkpoint folder, where one is set."""
+    """Cut the lineage of a loop's table in the shared checkpoint folder."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if folder and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint()
 
 
 def supersession_chains(decisions: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -26,19 +27,15 @@ def supersession_chains(decisions: DataFrame, most_rounds: int = 40) -> DataFram
     known = decisions.select(F.col("id").alias("k"))
     links = decisions.select("id", F.col("supersedes").alias("next")).join(known, F.col("next") == F.col("k"), "left")
     state = _cut(links.select("id", F.col("k").alias("next"), F.when(F.col("k").isNull(), F.col("id")).otherwise(F.col("k")).alias("root"), F.when(F.col("k").isNull(), 0).otherwise(1).cast("long").alias("depth")))
-    total = state.count()
-    rounds = min(most_rounds, max(1, total).bit_length() + 1)
-    open_ = state.filter("next is not null").count()
-    for _ in range(rounds):
+    total, open_ = state.agg(F.count("*"), F.count("next")).first()
+    # pointers that are still open after log2(n) doublings are on a cycle or lead into one
+    for _ in range(min(most_rounds, max(1, total).bit_length() + 1)):
         if not open_:
             break
         ahead = state.select(F.col("id").alias("next"), F.col("next").alias("n2"), F.col("root").alias("r2"), F.col("depth").alias("d2"))
         moved = state.join(ahead, "next", "left")
         state = _cut(moved.select("id", F.col("n2").alias("next"), F.coalesce("r2", "root").alias("root"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")))
-        left = state.filter("next is not null").count()
-        if left == open_ and left == 0:
-            break
-        open_ = left
+        open_ = state.agg(F.count("next")).first()[0]
     cyclic = F.col("next").isNotNull()
     return state.select("id", F.when(~cyclic, F.col("root")).alias("root"), F.when(~cyclic, F.col("depth")).alias("depth"), cyclic.alias("cyclic"))
 

@@ -19,40 +19,65 @@ def node_hash(left: Column, right: Column) -> Column:
     return F.unhex(F.sha2(F.concat(F.lit(NODE), left, right), 256))
 
 
+#: Levels of a tree that one group folds at once, from an array of so many leaves.
+FOLD = 12
+_HASHES = "array<binary>"
+
+
+def _paired(level: Column) -> Column:
+    """The level above an array of hashes: neighbours are hashed together, an odd last one moves up as it is."""
+
+    def up(i: Column) -> Column:
+        left, right = F.get(level, 2 * i), F.get(level, 2 * i + 1)
+        return F.when(right.isNull(), left).otherwise(node_hash(left, right))
+
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(level) - 1) / 2).cast("int")), up)
+
+
+def _blocks(nodes: DataFrame) -> DataFrame:
+    """log, block, hashes: runs of 2^FOLD neighbouring nodes (log, idx, hash) in order."""
+    block = F.shiftright("idx", FOLD)
+    runs = nodes.groupBy("log", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("idx", "hash"))).alias("run"))
+    return runs.select("log", "block", F.transform("run", lambda x: x["hash"]).alias("hashes"))
+
+
 def tree_levels(leaves: DataFrame) -> DataFrame:
     """log, level, idx, hash of every node of every log's tree, from its leaves (log, idx, data).
 
-    Each level pairs the nodes of the one below by a self-join on (log, idx div 2); an odd last node moves up as it
-    is. The number of rounds is the logarithm of the longest log.
+    A group folds 2^FOLD neighbouring nodes up by FOLD levels and puts all of them out, so a log of n leaves takes
+    log(n) / FOLD shuffles; what is above them starts from their tops alone.
     """
-    level = leaves.select("log", "idx", leaf_hash(F.col("data")).alias("hash"))
-    longest = leaves.agg(F.max("idx")).first()[0]
-    levels, height = [level.withColumn("level", F.lit(0))], 0
-    size = (longest or 0) + 1
-    while size > 1:
-        height += 1
-        parent = F.floor(F.col("idx") / 2).cast("long")
-        halves = level.groupBy("log", parent.alias("idx")).agg(F.min_by("hash", "idx").alias("left"), F.max_by("hash", "idx").alias("right"), F.count("*").alias("n"))
-        level = halves.select("log", "idx", F.when(F.col("n") == 2, node_hash(F.col("left"), F.col("right"))).otherwise(F.col("left")).alias("hash"))
-        levels.append(level.withColumn("level", F.lit(height)))
-        size = (size + 1) // 2
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.unionByName(more)
-    return out
+    nodes, low, out = leaves.select("log", "idx", leaf_hash(F.col("data")).alias("hash")), 0, None
+    size = (leaves.agg(F.max("idx")).first()[0] or 0) + 1
+    while True:
+        empty = F.array().cast(f"array<{_HASHES}>")
+        start = F.struct(F.col("hashes").alias("now"), empty.alias("all"))
+        folded = F.aggregate(F.sequence(F.lit(1), F.lit(FOLD)), start, lambda s, _: F.struct(_paired(s["now"]).alias("now"), F.concat(s["all"], F.array(s["now"])).alias("all")))
+        blocks = _blocks(nodes).select("log", "block", folded.alias("f")).select("log", "block", "f.now", "f.all")
+        each = blocks.select("log", "block", F.posexplode("all").alias("up", "level_hashes")).select("log", "block", "up", F.posexplode("level_hashes").alias("at", "hash"))
+        # above a block's top there is nothing left to fold in it
+        height = min(FOLD, max(0, (size - 1).bit_length()))
+        kept = each.filter(F.col("up") < max(height, 1)).select("log", (F.col("up") + low).alias("level"), (F.expr(f"shiftleft(block, {FOLD} - up)") + F.col("at")).cast("long").alias("idx"), "hash")
+        tops = blocks.select("log", F.col("block").alias("idx"), F.get("now", F.lit(0)).alias("hash"))
+        out = kept if out is None else out.unionByName(kept)
+        if size <= 1 << FOLD:
+            if height:
+                out = out.unionByName(tops.filter("idx = 0").select("log", F.lit(low + height).alias("level"), "idx", "hash"))
+            return out
+        nodes, low, size = tops, low + FOLD, -(-size // (1 << FOLD))
 
 
 def merkle_root(leaves: DataFrame) -> DataFrame:
-    """log, size, root (hex) of every log."""
-    level = leaves.select("log", "idx", leaf_hash(F.col("data")).alias("hash"))
+    """log, size, root (hex) of every log; FOLD levels a shuffle."""
+    nodes = leaves.select("log", "idx", leaf_hash(F.col("data")).alias("hash"))
     sizes = leaves.groupBy("log").agg(F.count("*").alias("size"))
     size = (leaves.agg(F.max("idx")).first()[0] or 0) + 1
-    while size > 1:
-        parent = F.floor(F.col("idx") / 2).cast("long")
-        halves = level.groupBy("log", parent.alias("idx")).agg(F.min_by("hash", "idx").alias("left"), F.max_by("hash", "idx").alias("right"), F.count("*").alias("n"))
-        level = halves.select("log", "idx", F.when(F.col("n") == 2, node_hash(F.col("left"), F.col("right"))).otherwise(F.col("left")).alias("hash"))
-        size = (size + 1) // 2
-    return level.join(sizes, "log").select("log", "size", F.lower(F.hex("hash")).alias("root"))
+    while True:
+        top = F.aggregate(F.sequence(F.lit(1), F.lit(FOLD)), F.col("hashes"), lambda level, _: _paired(level))
+        nodes = _blocks(nodes).select("log", F.col("block").alias("idx"), F.get(top, F.lit(0)).alias("hash"))
+        size = -(-size // (1 << FOLD))
+        if size <= 1:
+            return nodes.join(sizes, "log").select("log", "size", F.lower(F.hex("hash")).alias("root"))
 
 
 def inclusion_proofs(leaves: DataFrame) -> DataFrame:

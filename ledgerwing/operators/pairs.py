@@ -31,12 +31,11 @@ def find_related(decisions: DataFrame, bridge: DataFrame, as_of: Column, k: int
     Related: valid, of the same project, sharing a dimension. Score: shared dimensions times recency, at most 1 as
     reported; ties go to the smaller id. position puts the second best last, where readers look again.
     """
-    left = bridge.select("project", "dimension", "id")
-    right = bridge.select("project", "dimension", F.col("id").alias("related_id"))
+    left = bridge.select("project", "dimension", "id").distinct()
+    valid = decisions.filter("valid").select("id", "created_at")
+    right = left.join(valid, "id").select("project", "dimension", F.col("id").alias("related_id"), "created_at")
     shared = left.join(right, ["project", "dimension"]).filter("id <> related_id")
-    shared = shared.groupBy("id", "related_id").agg(F.countDistinct("dimension").alias("shared_count"))
-    valid = decisions.filter("valid").select(F.col("id").alias("related_id"), "created_at")
-    scored = shared.join(valid, "related_id").withColumn("raw", F.col("shared_count") * recency(F.col("created_at"), as_of))
+    scored = shared.groupBy("id", "related_id").agg(F.count("*").alias("shared_count"), F.first("created_at").alias("created_at")).withColumn("raw", F.col("shared_count") * recency(F.col("created_at"), as_of))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("raw"), "related_id"))).filter(F.col("rank") <= k)
     position = attention_position(F.col("rank"), F.count("*").over(Window.partitionBy("id")))
     return ranked.select("id", "related_id", "rank", position.alias("position"), "shared_count", F.round(F.least(F.lit(1.0), "raw"), 6).alias("score"))
@@ -60,10 +59,9 @@ def blast_radius(decisions: DataFrame, bridge: DataFrame, contradictions: DataFr
 
     impact = min(1, distinct decisions touched / active decisions of its project).
     """
-    pairs = candidate_pairs(bridge)
-    both = pairs.select("project", F.col("a_id").alias("id"), F.col("b_id").alias("other")).union(pairs.select("project", "b_id", "a_id"))
-    live = decisions.filter("valid").select(F.col("id").alias("other"))
-    related = both.join(live, "other").select("id", "other", F.lit("related").alias("why"))
+    live = bridge.join(decisions.filter("valid").select("id"), "id").select("project", "dimension", F.col("id").alias("other"))
+    met = bridge.select("project", "dimension", "id").join(live, ["project", "dimension"]).filter("id <> other")
+    related = met.select("id", "other").distinct().withColumn("why", F.lit("related"))
     against = contradictions.filter("status = 'unresolved'").select(F.explode(F.array(F.struct(F.col("a_id").alias("id"), F.col("b_id").alias("other")), F.struct(F.col("b_id").alias("id"), F.col("a_id").alias("other")))).alias("x"))
     against = against.select("x.id", "x.other", F.lit("contradicting").alias("why"))
     later = decisions.filter("supersedes is not null").select(F.col("supersedes").alias("id"), F.col("id").alias("other"), F.lit("superseded_by").alias("why"))
@@ -82,12 +80,20 @@ def blast_radius(decisions: DataFrame, bridge: DataFrame, contradictions: DataFr
 
 
 def affected_count(contradictions: DataFrame, decisions: DataFrame, bridge: DataFrame) -> DataFrame:
-    """id, affected: valid decisions of the project, outside the pair, that have one of its dimensions."""
-    wanted = contradictions.select("id", "project", "a_id", "b_id", F.explode("shared_dimensions").alias("dimension"))
-    live = bridge.join(decisions.filter("valid").select("id"), "id").select("project", "dimension", F.col("id").alias("other"))
-    hit = wanted.join(live, ["project", "dimension"]).filter("other <> a_id and other <> b_id")
-    counted = hit.groupBy("id").agg(F.countDistinct("other").alias("affected"))
-    return contradictions.select("id").join(counted, "id", "left").select("id", F.coalesce("affected", F.lit(0)).alias("affected"))
+    """id, affected: valid decisions of the project, outside the pair, that have one of its dimensions.
+
+    Decisions are counted once by project and set of dimensions, of which there are few; each distinct set of shared
+    dimensions meets those counts, and the pair's own two decisions are taken off again.
+    """
+    live = bridge.join(decisions.filter("valid").select("id"), "id").groupBy("project", "id").agg(F.sort_array(F.collect_set("dimension")).alias("dims"))
+    kinds = live.groupBy("project", "dims").agg(F.count("*").alias("n"))
+    wanted = contradictions.select("project", F.sort_array("shared_dimensions").alias("shared")).distinct()
+    counted = wanted.join(kinds, "project").filter(F.arrays_overlap("shared", "dims")).groupBy("project", "shared").agg(F.sum("n").alias("n"))
+    sides = [live.select("project", F.col("id").alias(f"{s}_id"), F.col("dims").alias(f"{s}_dims")) for s in ("a", "b")]
+    rows = contradictions.select("id", "project", "a_id", "b_id", F.sort_array("shared_dimensions").alias("shared"))
+    rows = rows.join(counted, ["project", "shared"], "left").join(sides[0], ["project", "a_id"], "left").join(sides[1], ["project", "b_id"], "left")
+    own = sum((F.coalesce(F.arrays_overlap("shared", f"{s}_dims"), F.lit(False)).cast("long") for s in ("a", "b")), F.lit(0))
+    return rows.select("id", (F.coalesce("n", F.lit(0)) - own).alias("affected"))
 
 
 def collisions(events: DataFrame, causal: DataFrame | None = None, window_seconds: int = 300) -> DataFrame:
@@ -145,11 +151,21 @@ def route(contradictions: DataFrame, rules: DataFrame, fallback: str = "tech_lea
 def as_of(decisions: DataFrame, times: DataFrame, bucket_days: int = 90) -> DataFrame:
     """t, id: the decisions valid at each time, from half-open intervals [valid_from, valid_until).
 
-    decisions: key, id, valid_from, valid_until (null: open). times: key, t. An equi-join on the key bounds each
-    comparison to one project's history.
+    decisions: key, id, valid_from, valid_until (null: open). times: key, t. Both are cut into buckets of bucket_days,
+    up to the latest time asked for, so the equi-join on key and bucket compares a time with what its bucket holds.
     """
+    last = times.agg(F.max("t")).first()[0]
+    if last is None:
+        return times.join(decisions.select("key", "id"), "key").select("t", "key", "id").limit(0)
+
+    def bucket(at: Column) -> Column:
+        return F.floor(F.unix_micros(at) / F.lit(bucket_days * 86_400_000_000)).cast("long")
+
+    end = F.least(F.coalesce("valid_until", F.lit(last)), F.lit(last))
+    decisions = decisions.filter(F.col("valid_from") <= end).withColumn("bucket", F.explode(F.sequence(bucket(F.col("valid_from")), bucket(end))))
+    times = times.withColumn("bucket", bucket(F.col("t")))
     inside = (F.col("valid_from") <= F.col("t")) & (F.col("valid_until").isNull() | (F.col("t") < F.col("valid_until")))
-    return times.join(decisions, "key").filter(inside).select("t", "key", "id")
+    return times.join(decisions, ["key", "bucket"]).filter(inside).select("t", "key", "id")
 
 
 def compare_fingerprints(fingerprints: DataFrame, threshold: float = 0.7, asked: DataFrame | None = None) -> DataFrame:

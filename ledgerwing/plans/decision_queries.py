@@ -120,11 +120,11 @@ def to_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH i AS (SELECT a.id, a.project, a.created_at AS valid_from, lead(a.created_at) OVER (PARTITION BY project ORDER BY created_at, id) AS valid_until FROM decision a),
-t AS (SELECT o_custkey AS key, o_orderdate + INTERVAL 30 DAY AS t FROM orders WHERE o_orderstatus = 'F')
+t AS (SELECT o_custkey AS key, o_orderdate + INTERVAL 30 DAY AS t FROM orders)
 SELECT t, key, id FROM t JOIN i ON project = key AND valid_from <= t AND (valid_until IS NULL OR t < valid_until)
 """)
 def as_of(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").filter("o_orderstatus = 'F'")
+    o = table(spark, d, "orders")
     times = o.select(F.col("o_custkey").alias("key"), (F.col("o_orderdate").cast("timestamp") + F.expr("interval 30 days")).alias("t"))
     return pairs.as_of(seq.to_intervals(v.decisions(spark, d)).withColumnRenamed("project", "key"), times)
 
@@ -271,23 +271,12 @@ def fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return agg.fingerprint(v.decisions(spark, d), v.bridge(spark, d), v.contradictions(spark, d))
 
 
-@query("""
-WITH x AS (SELECT vec_id, label, list_transform(embedding, lambda e: e::DOUBLE) AS e FROM embeddings WHERE vec_id % 25 = 0)
-SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS similarity, round(list_cosine_similarity(a.e, b.e), 6) >= 0.7 AS compatible
-FROM x a JOIN x b ON a.label = b.label AND a.vec_id < b.vec_id
-""")
-def compare_fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    """The stated set: every 25th vector, as projects picked for comparison, within its label."""
-    e = table(spark, d, "embeddings").filter("vec_id % 25 = 0")
-    return pairs.compare_fingerprints(e.select(F.col("label").alias("grp"), F.col("vec_id").alias("key"), F.col("embedding").alias("vector")))
-
-
 @query("""
 WITH x AS (SELECT vec_id, label, list_transform(embedding, lambda e: e::DOUBLE) AS e FROM embeddings)
 SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS similarity, round(list_cosine_similarity(a.e, b.e), 6) >= 0.7 AS compatible
 FROM x a JOIN x b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
 """)
-def compare_fingerprints_all(spark: SparkSession, d: str) -> DataFrame:
+def compare_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     """The vectors whose id 20 divides against all vectors of their label."""
     e = table(spark, d, "embeddings").select(F.col("label").alias("grp"), F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
     return pairs.compare_fingerprints(e, asked=e.filter("key % 20 = 0"))
@@ -332,7 +321,7 @@ def unresolved(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT o_orderkey AS request_id, o_custkey AS project, list(DISTINCT dimension) AS dims FROM orders JOIN bridge b ON b.id = o_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY ALL),
+WITH r AS (SELECT o_orderkey AS request_id, o_custkey AS project, list(DISTINCT dimension) AS dims FROM orders JOIN bridge b ON b.id = o_orderkey GROUP BY ALL),
 a AS (SELECT request_id, project, unnest(dims) AS dimension FROM r),
 bl AS (SELECT request_id, min(c.id) AS blocked_by FROM a JOIN (SELECT *, unnest(shared_dimensions) AS dimension FROM contra WHERE status = 'unresolved') c USING (project, dimension) GROUP BY request_id),
 li AS (SELECT request_id, id, row_number() OVER (PARTITION BY request_id ORDER BY id) AS n FROM (SELECT DISTINCT request_id, b.id FROM a JOIN bridge b USING (project, dimension)))
@@ -341,8 +330,7 @@ FROM r LEFT JOIN bl USING (request_id)
 """)
 def evaluate_actions(spark: SparkSession, d: str) -> DataFrame:
     b = v.bridge(spark, d)
-    urgent = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"))
-    asked = b.join(urgent, "id").groupBy(F.col("id").alias("request_id"), "project").agg(F.collect_set("dimension").alias("dimensions"))
+    asked = b.groupBy(F.col("id").alias("request_id"), "project").agg(F.collect_set("dimension").alias("dimensions"))
     return pairs.evaluate_actions(asked, v.contradictions(spark, d), b)
 
 
@@ -356,9 +344,13 @@ def chains(spark: SparkSession, d: str) -> DataFrame:
     return graph.supersession_chains(v.decisions(spark, d))
 
 
-@query("SELECT DISTINCT project, false AS has_cycle FROM decision")
+@query("SELECT DISTINCT project, project % 5 = 2 AS has_cycle FROM decision")
 def has_cycle(spark: SparkSession, d: str) -> DataFrame:
-    return graph.has_cycle(v.decisions(spark, d))
+    """In every fifth project the oldest decision supersedes the newest, so that its chain has no end."""
+    decisions = v.decisions(spark, d).select("id", "project", "created_at", "supersedes")
+    newest = decisions.groupBy("project").agg(F.max_by("id", F.struct("created_at", "id")).alias("newest"))
+    closed = F.when(F.col("supersedes").isNull() & (F.col("project") % 5 == 2), F.col("newest")).otherwise(F.col("supersedes"))
+    return graph.has_cycle(decisions.join(newest, "project").withColumn("supersedes", closed).select("id", "project", "supersedes"))
 
 
 TRAIL = """

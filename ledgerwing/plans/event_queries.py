@@ -174,23 +174,12 @@ def merkle_root(spark: SparkSession, d: str) -> DataFrame:
     return integrity.merkle_root(v.audit_log(spark, d))
 
 
-@query("SELECT log, idx, true AS verified FROM audit WHERE log % 10 = 0")
+@query("SELECT log, idx, idx % 97 <> 5 AS verified FROM audit")
 def verify_inclusion(spark: SparkSession, d: str) -> DataFrame:
-    leaves = v.audit_log(spark, d).filter("log % 10 = 0")
-    return integrity.verify_inclusion(integrity.inclusion_proofs(leaves), leaves, integrity.merkle_root(leaves))
-
-
-@query("SELECT log, idx, n AS size, ceil(log2(n))::INT >= 0 AS bounded FROM (SELECT log, idx, count(*) OVER (PARTITION BY log) AS n FROM audit) WHERE log % 10 = 0")
-def inclusion_proofs(spark: SparkSession, d: str) -> DataFrame:
-    found = integrity.inclusion_proofs(v.audit_log(spark, d).filter("log % 10 = 0"))
-    return found.select("log", "idx", "size", (F.size("proof") <= F.ceil(F.log2("size"))).alias("bounded"))
-
-
-@query("SELECT log, idx, true AS verified FROM audit")
-def verify_inclusion_all(spark: SparkSession, d: str) -> DataFrame:
-    """verify_inclusion over every log."""
+    """Every leaf's proof against the root; every 97th leaf has another text than the one that was logged."""
     leaves = v.audit_log(spark, d)
-    return integrity.verify_inclusion(integrity.inclusion_proofs(leaves), leaves, integrity.merkle_root(leaves))
+    shown = leaves.withColumn("data", F.when(F.col("idx") % 97 == 5, F.concat("data", F.lit("!"))).otherwise(F.col("data")))
+    return integrity.verify_inclusion(integrity.inclusion_proofs(leaves), shown, integrity.merkle_root(leaves))
 
 
 @query("""
@@ -208,19 +197,21 @@ proof AS (SELECT a.log, a.idx, count(*) AS steps, string_agg(h, '' ORDER BY a.le
 s AS (SELECT log, count(*) AS size FROM audit GROUP BY log)
 SELECT a.log, a.idx, size, coalesce(steps, 0) AS steps, sha256(coalesce(hashes, '')) AS digest FROM audit a JOIN s USING (log) LEFT JOIN proof p ON p.log = a.log AND p.idx = a.idx
 """)
-def inclusion_proofs_all(spark: SparkSession, d: str) -> DataFrame:
+def inclusion_proofs(spark: SparkSession, d: str) -> DataFrame:
     """Every leaf's proof, as its number of hashes and a digest of them from the leaf up."""
     hashes = F.array_join(F.transform("proof", lambda x: F.lower(F.hex(x))), "")
     digest = F.sha2(hashes.cast("binary"), 256)
     return integrity.inclusion_proofs(v.audit_log(spark, d)).select("log", "idx", "size", F.size("proof").cast("long").alias("steps"), digest.alias("digest"))
 
 
-@query("SELECT log, true AS consistent FROM audit GROUP BY log HAVING count(*) > 5")
+@query("SELECT log, log % 7 <> 3 AS consistent FROM audit GROUP BY log HAVING count(*) > 5")
 def verify_consistency(spark: SparkSession, d: str) -> DataFrame:
+    """Each log against the root of its first half; one log in seven has had its second entry rewritten since."""
     leaves = v.audit_log(spark, d)
     early = leaves.groupBy("log").agg(F.count("*").alias("n")).filter("n > 5").select("log", F.floor(F.col("n") / 2).alias("half"))
     old = integrity.merkle_root(leaves.join(early, "log").filter("idx < half").select("log", "idx", "data"))
-    return integrity.verify_consistency(leaves, old)
+    now = leaves.withColumn("data", F.when((F.col("log") % 7 == 3) & (F.col("idx") == 1), F.concat("data", F.lit("!"))).otherwise(F.col("data")))
+    return integrity.verify_consistency(now, old)
 
 
 @query("""
@@ -237,33 +228,6 @@ def verify_chain(spark: SparkSession, d: str) -> DataFrame:
     return integrity.verify_chain(shown, lambda canonical, previous: F.sha2(canonical.cast("binary"), 256))
 
 
-@query("""
-WITH RECURSIVE walk(seed, node, hops) AS (
-  SELECT event_id, event_id, 0 FROM event WHERE event_id % 50 = 0
-  UNION ALL SELECT seed, event_id, hops + 1 FROM walk JOIN event ON event_id * 2 + 1 = node OR event_id * 2 + 2 = node WHERE hops < 60
-)
-SELECT seed, node, min(hops) AS hops FROM walk GROUP BY ALL
-""")
-def causal_chain(spark: SparkSession, d: str) -> DataFrame:
-    e = v.events(spark, d).select("event_id")
-    edges = e.select(F.col("event_id").alias("source"), F.explode(F.array(F.col("event_id") * 2 + 1, F.col("event_id") * 2 + 2)).alias("target"))
-    return graph.causal_chain(edges, e.filter("event_id % 50 = 0").select(F.col("event_id").alias("seed")))
-
-
-@query("""
-WITH RECURSIVE walk(seed, node, hops) AS (
-  SELECT event_id, event_id, 0 FROM event WHERE event_id % 997 = 3
-  UNION ALL SELECT seed, event_id, hops + 1 FROM walk JOIN event ON event_id = node * 2 + 1 OR event_id = node * 2 + 2 WHERE event_id % 5 <> 0
-)
-SELECT seed, node, hops FROM walk WHERE hops > 0
-""")
-def affected_outputs(spark: SparkSession, d: str) -> DataFrame:
-    e = v.events(spark, d).select("event_id")
-    edges = e.select(F.explode(F.array(F.struct(F.floor((F.col("event_id") - 1) / 2).cast("long").alias("source"), F.col("event_id").alias("target")))).alias("x")).select("x.*")
-    durable = e.filter("event_id % 5 = 0").select(F.col("event_id").alias("node"))
-    return graph.affected_outputs(edges, e.filter("event_id % 997 = 3").select(F.col("event_id").alias("seed")), durable)
-
-
 @query("""
 WITH RECURSIVE walk(seed, node, hops) AS (
   SELECT event_id, event_id, 0 FROM event WHERE event_id % 20 = 0
@@ -271,8 +235,8 @@ WITH RECURSIVE walk(seed, node, hops) AS (
 )
 SELECT seed, node, min(hops) AS hops FROM walk GROUP BY ALL
 """)
-def causal_chain_all(spark: SparkSession, d: str) -> DataFrame:
-    """causal_chain from the seeds whose id 20 divides."""
+def causal_chain(spark: SparkSession, d: str) -> DataFrame:
+    """From the seeds whose id 20 divides."""
     e = v.events(spark, d).select("event_id")
     edges = e.select(F.col("event_id").alias("source"), F.explode(F.array(F.col("event_id") * 2 + 1, F.col("event_id") * 2 + 2)).alias("target"))
     return graph.causal_chain(edges, e.filter("event_id % 20 = 0").select(F.col("event_id").alias("seed")))
@@ -286,8 +250,8 @@ walk(seed, node, hops) AS (
 )
 SELECT seed, node, hops FROM walk WHERE hops > 0
 """)
-def affected_outputs_all(spark: SparkSession, d: str) -> DataFrame:
-    """affected_outputs from the seeds whose id 20 divides."""
+def affected_outputs(spark: SparkSession, d: str) -> DataFrame:
+    """From the seeds whose id 20 divides."""
     e = v.events(spark, d).select("event_id")
     edges = e.filter("event_id > 0").select(F.floor((F.col("event_id") - 1) / 2).cast("long").alias("source"), F.col("event_id").alias("target"))
     durable = e.filter("event_id % 5 = 0").select(F.col("event_id").alias("node"))

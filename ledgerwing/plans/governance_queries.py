@@ -283,12 +283,14 @@ def _item_sets(spark: SparkSession, d: str) -> DataFrame:
 PAIRSETS = f"""{ITEMS}, u AS (SELECT key, unnest(items) AS i FROM items),
 two AS (SELECT [a.i, b.i] AS itemset, count(*) AS freq FROM u a JOIN u b ON a.key = b.key AND a.i < b.i GROUP BY ALL),
 three AS (SELECT [a.i, b.i, c.i] AS itemset, count(*) AS freq FROM u a JOIN u b ON a.key = b.key AND a.i < b.i JOIN u c ON b.key = c.key AND b.i < c.i GROUP BY ALL),
-mined AS (SELECT * FROM (SELECT * FROM two UNION ALL SELECT * FROM three) WHERE freq >= greatest(1, CAST(floor(0.2 * (SELECT count(*) FROM items)) AS INT)))"""
+four AS (SELECT [a.i, b.i, c.i, e.i] AS itemset, count(*) AS freq FROM u a JOIN u b ON a.key = b.key AND a.i < b.i JOIN u c ON b.key = c.key AND b.i < c.i JOIN u e ON c.key = e.key AND c.i < e.i GROUP BY ALL),
+mined AS (SELECT * FROM (SELECT * FROM two UNION ALL SELECT * FROM three UNION ALL SELECT * FROM four) WHERE freq >= greatest(1, CAST(floor(0.2 * (SELECT count(*) FROM items)) AS INT)))"""
 
 
 @query(f"WITH {PAIRSETS} SELECT array_to_string(itemset, ',') AS itemset, freq FROM mined")
 def frequent_itemsets(spark: SparkSession, d: str) -> DataFrame:
-    return risk.frequent_itemsets(_item_sets(spark, d), 0.2, largest=3).select(F.array_join("itemset", ",").alias("itemset"), "freq")
+    """Sets of any size up to the operator's twelve; the SQL stops at four, of which the driver's orders have none."""
+    return risk.frequent_itemsets(_item_sets(spark, d), 0.2).select(F.array_join("itemset", ",").alias("itemset"), "freq")
 
 
 @query(f"""WITH {PAIRSETS}, n AS (SELECT key, itemset, len(list_intersect(items, itemset)) AS hit, list_filter(itemset, lambda x: NOT list_contains(items, x))[1] AS missing FROM items, mined),
@@ -296,7 +298,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY key, missing ORDER BY len(itemse
 SELECT key, array_to_string(itemset, ',') AS itemset, missing FROM r WHERE rn = 1""")
 def missing_patterns(spark: SparkSession, d: str) -> DataFrame:
     sets = _item_sets(spark, d)
-    return gov.missing_patterns(sets, risk.frequent_itemsets(sets, 0.2, largest=3).select("itemset"))
+    return gov.missing_patterns(sets, risk.frequent_itemsets(sets, 0.2).select("itemset"))
 
 
 @query("""

@@ -16,13 +16,12 @@ from ledgerwing.operators import sequences as seq
 from ledgerwing.plans import views as v
 from ledgerwing.plans.catalog import query
 from ledgerwing.plans.governance_queries import ASSUMED, _assumptions
-from ledgerwing.session import table
+from ledgerwing.session import shared_folder, table
 from ledgerwing.sources import readers
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/ledgerwing-tables"
-    return f"{root}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 @query("SELECT id, project, title, created_at FROM decision WHERE valid AND project = 7")
@@ -87,21 +86,12 @@ def assumption_counters(spark: SparkSession, d: str) -> DataFrame:
     return _pipeline(spark, d)[1]
 
 
-@query("""
-WITH t AS (SELECT event_id AS id, json_extract_string(props, '$.k') AS table_name, event_type AS path FROM events)
-SELECT id, table_name FROM t WHERE id % 11 = 0 AND table_name NOT IN (SELECT table_name FROM t WHERE id % 13 = 0 GROUP BY table_name HAVING count(DISTINCT path) > 1)
-""")
-def drop_multi_writer(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "events").select(F.col("event_id").alias("id"), F.get_json_object("props", "$.k").alias("table_name"), F.col("event_type").alias("path"))
-    return review.drop_multi_writer(t.filter("id % 11 = 0").select("id", "table_name"), t.filter("id % 13 = 0").select("path", "table_name"))
-
-
 @query("""
 WITH t AS (SELECT event_id AS id, json_extract_string(props, '$.k') AS table_name, event_type AS path FROM events)
 SELECT id, table_name FROM t WHERE table_name NOT IN (SELECT table_name FROM t WHERE table_name IS NOT NULL GROUP BY table_name HAVING count(DISTINCT path) > 1)
 """)
-def drop_multi_writer_all(spark: SparkSession, d: str) -> DataFrame:
-    """drop_multi_writer of every finding against every write."""
+def drop_multi_writer(spark: SparkSession, d: str) -> DataFrame:
+    """Every finding against every write."""
     t = table(spark, d, "events").select(F.col("event_id").alias("id"), F.get_json_object("props", "$.k").alias("table_name"), F.col("event_type").alias("path"))
     return review.drop_multi_writer(t.select("id", "table_name"), t.select("path", "table_name"))
 
@@ -157,7 +147,7 @@ def affected_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT o_orderkey AS request_id, o_orderkey % 4 AS agent_id, o_custkey AS project, CASE o_orderkey % 3 WHEN 0 THEN 'src/login.py' WHEN 1 THEN 'src/redis.py' ELSE 'etc/x' END AS path FROM orders WHERE o_orderpriority = '2-HIGH'),
+WITH r AS (SELECT o_orderkey AS request_id, o_orderkey % 4 AS agent_id, o_custkey AS project, CASE o_orderkey % 3 WHEN 0 THEN 'src/login.py' WHEN 1 THEN 'src/redis.py' ELSE 'etc/x' END AS path FROM orders),
 a AS (SELECT *, agent_id <> 3 AND starts_with(path, 'src/') AS allowed FROM r),
 q AS (SELECT request_id, project, CASE path WHEN 'src/login.py' THEN unnest(['auth', 'logging']) WHEN 'src/redis.py' THEN unnest(['caching', NULL]) END AS dimension FROM a WHERE allowed),
 h AS (SELECT DISTINCT request_id, d.id, d.created_at FROM q JOIN bridge b ON b.project = q.project AND b.dimension = q.dimension JOIN decision d ON d.id = b.id WHERE d.valid),
@@ -166,34 +156,20 @@ u AS (SELECT project, count(*) AS n FROM contra WHERE status = 'unresolved' AND
 SELECT a.request_id, allowed, coalesce(ids, []) AS decisions, coalesce(u.n, 0) AS unresolved FROM a LEFT JOIN l ON l.request_id = a.request_id LEFT JOIN u ON u.project = a.project
 """)
 def context_for(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").filter("o_orderpriority = '2-HIGH'")
+    o = table(spark, d, "orders")
     path = v.pick(("src/login.py", "src/redis.py", "etc/x"), F.col("o_orderkey") % 3)
     requests = o.select(F.col("o_orderkey").alias("request_id"), (F.col("o_orderkey") % 4).alias("agent_id"), F.col("o_custkey").alias("project"), path.alias("path"))
     agents = spark.createDataFrame([(i, [], ["src/*"]) for i in range(3)], "agent_id long, blocked array<string>, allowed_paths array<string>")
     return review.context_for(requests, v.decisions(spark, d), v.bridge(spark, d), v.contradictions(spark, d), agents)
 
 
-@query("""
-WITH s AS (SELECT id, project, row_number() OVER (PARTITION BY project ORDER BY confidence DESC, id) AS k FROM decision), t AS (SELECT *, CASE WHEN k <= 2 THEN 'always' WHEN k <= 6 THEN 'auto' ELSE 'on-demand' END AS tier FROM s),
-f AS (SELECT c_custkey AS project, 'src/' || lower(c_mktsegment) || '/a.py' AS path FROM customer WHERE c_custkey % 10 = 1)
-SELECT path, id, tier FROM f JOIN t USING (project) WHERE tier = 'always' OR (tier = 'auto' AND path LIKE 'src/' || CASE WHEN id % 2 = 0 THEN 'b' ELSE 'm' END || '%')
-""")
-def decisions_for_file(spark: SparkSession, d: str) -> DataFrame:
-    scored = v.decisions(spark, d).select("id", "project", F.col("confidence").alias("score"))
-    tiers = seq.assign_tiers(scored, scored, always=2, auto=4)
-    c = table(spark, d, "customer").filter("c_custkey % 10 = 1")
-    files = c.select(F.col("c_custkey").alias("project"), F.concat(F.lit("src/"), F.lower("c_mktsegment"), F.lit("/a.py")).alias("path"))
-    globs = scored.select("id", F.when(F.col("id") % 2 == 0, "src/b*").otherwise("src/m*").alias("pattern"))
-    return matching.decisions_for_file(files, tiers, globs)
-
-
 @query("""
 WITH s AS (SELECT id, project, row_number() OVER (PARTITION BY project ORDER BY confidence DESC, id) AS k FROM decision), t AS (SELECT *, CASE WHEN k <= 2 THEN 'always' WHEN k <= 6 THEN 'auto' ELSE 'on-demand' END AS tier FROM s),
 f AS (SELECT c_custkey AS project, 'src/' || lower(c_mktsegment) || '/' || c_custkey || '.py' AS path FROM customer)
 SELECT path, id, tier FROM f JOIN t USING (project) WHERE tier = 'always' OR (tier = 'auto' AND path LIKE 'src/' || CASE WHEN id % 2 = 0 THEN 'b' ELSE 'm' END || '%')
 """)
-def decisions_for_file_all(spark: SparkSession, d: str) -> DataFrame:
-    """decisions_for_file for a file of every customer."""
+def decisions_for_file(spark: SparkSession, d: str) -> DataFrame:
+    """For a file of every customer."""
     scored = v.decisions(spark, d).select("id", "project", F.col("confidence").alias("score"))
     tiers = seq.assign_tiers(scored, scored, always=2, auto=4)
     files = table(spark, d, "customer").select(F.col("c_custkey").alias("project"), F.concat(F.lit("src/"), F.lower("c_mktsegment"), F.lit("/"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("path"))

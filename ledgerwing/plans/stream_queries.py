@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from ledgerwing.plans.catalog import query
 from ledgerwing.plans.event_queries import COLLISION
+from ledgerwing.session import shared_folder
 from ledgerwing.streaming import monitors
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/ledgerwing-streams"
-    return f"{root}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
@@ -33,9 +33,14 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _run(spark: SparkSession, d: str, build: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """Everything that is there now, written to a folder that the result is read from."""
-    built, out = build(_stream(spark, d)), _folder(spark)
+def run(spark: SparkSession, d: str, build: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """What a stream built over the events gives for everything that is there now."""
+    return finished(spark, build(_stream(spark, d)), mode)
+
+
+def finished(spark: SparkSession, built: DataFrame, mode: str = "append") -> DataFrame:
+    """A stream's output, written to a folder that the result is read from."""
+    out = _folder(spark)
 
     def write(batch: DataFrame, n: int) -> None:
         batch.write.mode("append").parquet(out + "/rows")
@@ -50,7 +55,7 @@ WITH s AS (SELECT *, count(*) OVER w AS n, avg(cost_usd) OVER w AS m FROM event
 SELECT agent_id, event_id, k.alert AS alert FROM s, (SELECT unnest([{'alert': 'cost_spike', 'f': 5}, {'alert': 'latency_spike', 'f': 3}]) AS k) WHERE n >= 4 AND m > 0 AND cost_usd > m * k.f
 """)
 def anomaly_stream(spark: SparkSession, d: str) -> DataFrame:
-    return _run(spark, d, monitors.anomaly_stream).select("agent_id", "event_id", "alert")
+    return run(spark, d, monitors.anomaly_stream).select("agent_id", "event_id", "alert")
 
 
 @query("""
@@ -58,25 +63,25 @@ WITH s AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY agent_i
 SELECT agent_id, event_id, 'stall' AS alert FROM s WHERE gap > 43200
 """)
 def stall_stream(spark: SparkSession, d: str) -> DataFrame:
-    found = _run(spark, d, lambda s: monitors.monitor_stream(s, stall_seconds=43200))
+    found = run(spark, d, lambda s: monitors.monitor_stream(s, stall_seconds=43200))
     return found.filter("alert = 'stall'").select("agent_id", "event_id", "alert")
 
 
 @query(COLLISION)
 def collision_stream(spark: SparkSession, d: str) -> DataFrame:
-    return _run(spark, d, lambda s: monitors.collision_stream(s.withColumnRenamed("action", "dimension")))
+    return run(spark, d, lambda s: monitors.collision_stream(s.withColumnRenamed("action", "dimension")))
 
 
 @query("SELECT event_id, ts FROM events")
 def ingest_stream(spark: SparkSession, d: str) -> DataFrame:
     """The table sent twice over: each event comes out once."""
-    return _run(spark, d, lambda s: monitors.ingest_stream(s.select("event_id", F.col("ts")).union(s.select("event_id", "ts")), ["event_id"])).select("event_id", F.col("ts"))
+    return run(spark, d, lambda s: monitors.ingest_stream(s.select("event_id", F.col("ts")).union(s.select("event_id", "ts")), ["event_id"])).select("event_id", F.col("ts"))
 
 
 @query("SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, action, count(*) AS n FROM event GROUP BY ALL")
 def live_counts(spark: SparkSession, d: str) -> DataFrame:
     """Complete counts of all windows, as the stream's last update leaves them."""
-    updates = _run(spark, d, lambda s: monitors.live_counts(s, "6 hours"), mode="update")
+    updates = run(spark, d, lambda s: monitors.live_counts(s, "6 hours"), mode="update")
     return updates.groupBy("window_start", "action").agg(F.max("n").alias("n"))
 
 
@@ -93,4 +98,4 @@ def agent_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def property_stream(spark: SparkSession, d: str) -> DataFrame:
-    return _run(spark, d, lambda s: monitors.property_stream(s, "error", "purchase"))
+    return run(spark, d, lambda s: monitors.property_stream(s, "error", "purchase"))
