@@ -141,7 +141,7 @@ def top_patterns(rows: DataFrame, n: int = 20) -> DataFrame:
     return top.crossJoin(F.broadcast(gate)).select("pattern", "dimension", "occurrences", "orgs", _r(F.col("orgs") / F.col("all_orgs")).alias("adoption"), _r(F.col("c")).alias("avg_confidence"))
 
 
-def insights(per_org: DataFrame, adoption: float = 0.6) -> DataFrame:
+def insights(per_org: DataFrame, adoption: float = 0.7) -> DataFrame:
     """org_id, dimension, kind: dimensions that most organisations use and this one lacks (per_org: org_id, dimension)."""
     used = per_org.select("org_id", "dimension").distinct()
     orgs = used.select("org_id").distinct()
@@ -151,6 +151,37 @@ def insights(per_org: DataFrame, adoption: float = 0.6) -> DataFrame:
     return wanted.join(used, ["org_id", "dimension"], "left_anti").select("org_id", "dimension", "adoption", F.lit("adoption_gap").alias("kind"))
 
 
+def insight_kinds(patterns: DataFrame, rates: DataFrame, orgs: DataFrame, dimensions: list[str], adoption: float = 0.7, hot: float = 0.3, sure: float = 0.8) -> DataFrame:
+    """kind, severity, dimension, pattern, metric: what an organisation of the given dimensions can learn from others.
+
+    patterns: the output of top_patterns. rates: dimension, orgs_using, contradiction_rate. orgs: one row with orgs.
+    Patterns of wide adoption in a dimension that the organisation lacks are adoption gaps, dimensions of many
+    contradictions hotspots, the first five patterns trending where adoption and confidence are high, and dimensions
+    that half of all organisations use and this one does not recommendations. Without dimensions of its own an
+    organisation has neither gaps nor recommendations.
+    """
+    mine = F.col("dimension").isin(*dimensions) if dimensions else F.lit(True)
+    none = F.lit(None)
+    columns = ["kind", "severity", "dimension", "pattern", "metric"]
+
+    def rows(df: DataFrame, kind: str, severity: str, pattern: Column, metric: Column) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), "dimension", pattern.cast("string").alias("pattern"), metric.cast("double").alias("metric")).select(*columns)
+
+    common = F.col("adoption") >= adoption
+    first = patterns.orderBy(F.desc("occurrences"), "pattern", "dimension").limit(5)
+    gaps = rows(patterns.filter(common & ~mine), "adoption_gap", "warning", F.col("pattern"), F.col("adoption"))
+    hotspots = rows(rates.filter(F.col("contradiction_rate") >= hot), "contradiction_hotspot", "critical", none, F.col("contradiction_rate"))
+    trending = rows(first.filter(common & (F.col("avg_confidence") >= sure)), "trending", "info", F.col("pattern"), F.col("adoption"))
+    wanted = rates.crossJoin(orgs.select("orgs")).filter(~mine & (F.col("orgs_using") >= 0.5 * F.col("orgs")))
+    return gaps.unionByName(hotspots).unionByName(trending).unionByName(rows(wanted, "recommendation", "info", none, none))
+
+
+def fingerprint_hash(fingerprints: DataFrame) -> DataFrame:
+    """project, hash: the first 16 hex digits of the SHA-256 of a vector's slots with six places, joined by commas."""
+    slots = F.array_join(F.transform("vector", lambda x: F.format_string("%.6f", x)), ",")
+    return fingerprints.select("project", F.substring(F.sha2(slots.cast("binary"), 256), 1, 16).alias("hash"))
+
+
 def fingerprint(decisions: DataFrame, bridge: DataFrame, contradictions: DataFrame) -> DataFrame:
     """project, vector: a profile of 20 slots: 12 dimension scores, then eight features of the project.
 
@@ -208,7 +239,22 @@ IMPLICATIONS = (
     ("deployment_requires_logging", "deployment", "logging"),
     ("caching_requires_state_mgmt", "caching", "state-management"),
     ("testing_with_error_handling", "testing", "error-handling"),
+    ("concurrency_requires_state_mgmt", "concurrency", "state-management"),
+    ("security_requires_auth", "security", "auth"),
+    ("messaging_requires_error_handling", "messaging", "error-handling"),
 )
+# The words that name an interface style.
+API_STYLES = ("rest", "graphql", "grpc", "soap", "websocket")
+
+
+def api_style_consistency(decisions: DataFrame, bridge: DataFrame) -> DataFrame:
+    """project, styles, satisfied: a project's valid api-style decisions name one style at most, in title or content."""
+    words = F.lower(F.concat_ws(" ", "title", F.coalesce("content", F.lit(""))))
+    named = F.array_compact(F.array(*[F.when(words.contains(x), x) for x in API_STYLES]))
+    api = bridge.filter(F.col("dimension") == "api-style").select("id").distinct()
+    live = decisions.filter("valid").join(api, "id", "left_semi").select("project", F.explode_outer(named).alias("style"))
+    found = live.groupBy("project").agg(F.sort_array(F.collect_set("style")).alias("styles"))
+    return found.select("project", "styles", (F.size("styles") <= 1).alias("satisfied"))
 
 
 def verify_rules(decisions: DataFrame, bridge: DataFrame, rules: tuple[tuple[str, str, str], ...] = IMPLICATIONS) -> DataFrame:

@@ -131,6 +131,67 @@ def evaluate_contracts(events: DataFrame, precondition: str, postcondition: str,
     return agg.select(key, "precondition_met", F.when(F.col("precondition_met"), F.col("post")).alias("postcondition_met"), "in_scope")
 
 
+# What agents of each type are expected to do, and the actions that clauses look for.
+EXPECTED_ACTIONS = {
+    "coding": ("load_context", "get_project_context", "read_file", "file_edit", "write_file", "test_run", "record_decision", "decision", "task_start", "task_end"),
+    "review": ("load_context", "get_project_context", "read_file", "comment", "approve", "request_changes", "task_start", "task_end"),
+}
+LOADS_CONTEXT, EDITS, DECIDES, SCOPES = ("load_context", "get_project_context"), ("file_edit", "write_file"), ("record_decision", "decision"), ("task_start", "load_context")
+
+
+@dataclass(frozen=True)
+class Clause:
+    """A clause of a contract: a Boolean aggregate over one agent's events, true where it holds."""
+
+    name: str
+    kind: str  # precondition, postcondition or invariant
+    holds: Column
+
+
+def default_clauses() -> dict[str, tuple[Clause, ...]]:
+    """The clauses of each agent type; `outside` marks edits of files beyond the agent's scope."""
+    context = Clause("loaded_context", "precondition", F.bool_or(F.col("action").isin(*LOADS_CONTEXT)))
+    edited = F.bool_or(F.col("action").isin(*EDITS) & F.col("target").isNotNull())
+    decided = F.bool_or(F.col("action").isin(*DECIDES) & F.col("target").isNotNull())
+    return {"coding": (context, Clause("decisions_recorded", "postcondition", ~edited | decided), Clause("scope_respected", "invariant", ~F.bool_or("outside"))), "review": (context,)}
+
+
+def contract_breaches(events: DataFrame, contracts: dict[str, tuple[Clause, ...]] | None = None, expected: dict[str, tuple[str, ...]] | None = None, key: str = "agent_id", warning: float = 0.3, stop: float = 0.7) -> DataFrame:
+    """key, clause, clause_type, severity, drift: the clauses that each agent's events break, and its drift.
+
+    events: key, agent_type, action, target, scope (array, on events that set one). Postconditions count only where all
+    preconditions hold. Preconditions and invariants are errors, postconditions warnings; a drift of warning and more
+    is a warning, of stop and more a hard_stop. An agent without a scope is never outside it.
+    """
+    contracts, expected = contracts or default_clauses(), expected or EXPECTED_ACTIONS
+    scopes = events.filter(F.col("action").isin(*SCOPES) & (F.size("scope") > 0)).select(key, F.explode("scope").alias("target")).distinct()
+    scoped = scopes.select(key).distinct().withColumn("_scoped", F.lit(True))
+    inside = scopes.withColumn("_inside", F.lit(True))
+    known = events.join(scoped, key, "left").join(inside, [key, "target"], "left")
+    edit = F.col("action").isin(*EDITS) & (F.coalesce("target", F.lit("")) != "")
+    known = known.withColumn("outside", F.coalesce(edit & F.col("_scoped") & F.col("_inside").isNull(), F.lit(False)))
+    severity = {"precondition": "error", "postcondition": "warning", "invariant": "error"}
+    parts = []
+    for kind, clauses in contracts.items():
+        unexpected = (~F.col("action").isin(*expected.get(kind, ()))).cast("double")
+        held = [F.coalesce(c.holds, F.lit(False)).alias(f"c{n}") for n, c in enumerate(clauses)]
+        per = known.filter(F.col("agent_type") == kind).groupBy(key).agg(*held, (1.0 - F.exp(-3.0 * F.avg(unexpected))).alias("d"))
+        met = F.lit(True)
+        for n, c in enumerate(clauses):
+            met = met & F.col(f"c{n}") if c.kind == "precondition" else met
+
+        def breach(name: str, clause_type: str, grade: str) -> Column:
+            return F.struct(F.lit(name).alias("clause"), F.lit(clause_type).alias("clause_type"), F.lit(grade).alias("severity"))
+
+        broken = [F.when(~F.col(f"c{n}") & (met if c.kind == "postcondition" else F.lit(True)), breach(c.name, c.kind, severity[c.kind])) for n, c in enumerate(clauses)]
+        drift = F.when(F.col("d") >= stop, breach("drift_limit", "drift", "hard_stop")).when(F.col("d") >= warning, breach("drift_warning", "drift", "warning"))
+        parts.append(per.select(key, F.round("d", 6).alias("drift"), F.explode(F.array_compact(F.array(*broken, drift))).alias("b")).select(key, "b.*", "drift"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def drift_score(events: DataFrame, expected: list[str], key: str = "agent_id") -> DataFrame:
     """key, ratio of unexpected actions, drift = 1 - exp(-3 ratio), band: 0.3 warning, 0.7 stop."""
     ratio = events.groupBy(key).agg(F.avg((~F.col("action").isin(expected)).cast("double")).alias("r"))

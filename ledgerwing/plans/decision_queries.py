@@ -251,7 +251,7 @@ def top_patterns(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH used AS (SELECT DISTINCT d.project AS org_id, dimension FROM decision d JOIN bridge b ON b.id = d.id),
 n AS (SELECT count(DISTINCT org_id) AS orgs FROM used),
-common AS (SELECT dimension, round(count(*) / any_value(orgs)::DOUBLE, 6) AS adoption FROM used, n GROUP BY dimension HAVING count(*) >= 0.6 * any_value(orgs))
+common AS (SELECT dimension, round(count(*) / any_value(orgs)::DOUBLE, 6) AS adoption FROM used, n GROUP BY dimension HAVING count(*) >= 0.7 * any_value(orgs))
 SELECT org_id, dimension, adoption, 'adoption_gap' AS kind FROM (SELECT DISTINCT o.org_id, c.dimension, c.adoption FROM used o, common c) w WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.org_id = w.org_id AND u.dimension = w.dimension)
 """)
 def insights(spark: SparkSession, d: str) -> DataFrame:
@@ -353,45 +353,6 @@ def has_cycle(spark: SparkSession, d: str) -> DataFrame:
     return graph.has_cycle(decisions.join(newest, "project").withColumn("supersedes", closed).select("id", "project", "supersedes"))
 
 
-TRAIL = """
-trail AS (
-  SELECT 'c:' || id AS entry_id, created_at AS ts, 'decision_created' AS event_type, made_by AS actor, 'decisions' AS source FROM decision
-  UNION ALL SELECT 's:' || id, created_at, 'decision_superseded', made_by, 'decisions' FROM decision WHERE status = 'superseded'
-  UNION ALL SELECT 'd:' || id, detected_at, 'contradiction_detected', 'system', 'contradictions' FROM contra
-  UNION ALL SELECT 'r:' || id, detected_at, 'contradiction_resolved', 'system', 'contradictions' FROM contra WHERE status = 'resolved'
-)"""
-
-
-def _trail(spark: SparkSession, d: str) -> DataFrame:
-    return timeline.audit_trail(v.decisions(spark, d), v.contradictions(spark, d))
-
-
-@query(f"WITH {TRAIL} SELECT * FROM trail")
-def audit_trail(spark: SparkSession, d: str) -> DataFrame:
-    return _trail(spark, d)
-
-
-@query(f"WITH {TRAIL} SELECT source, event_type, count(*) AS n FROM trail GROUP BY ALL")
-def audit_source_counts(spark: SparkSession, d: str) -> DataFrame:
-    return timeline.source_counts(_trail(spark, d))
-
-
-@query(f"WITH {TRAIL} SELECT * FROM trail WHERE actor <> 'system'")
-def agent_timeline(spark: SparkSession, d: str) -> DataFrame:
-    return timeline.agent_timeline(_trail(spark, d))
-
-
-@query(f"""WITH {TRAIL} SELECT entry_id, CASE event_type WHEN 'decision_created' THEN 'Decision recorded' WHEN 'decision_superseded' THEN 'Decision superseded' WHEN 'contradiction_detected' THEN 'Contradiction detected' ELSE 'Contradiction resolved' END AS label,
-  CASE event_type WHEN 'decision_superseded' THEN 'info' WHEN 'contradiction_detected' THEN 'warning' ELSE 'success' END AS result FROM trail""")
-def audit_labels(spark: SparkSession, d: str) -> DataFrame:
-    return timeline.audit_labels(_trail(spark, d))
-
-
-@query(f"WITH {TRAIL} SELECT *, (SELECT count(*) FROM trail) AS total FROM trail ORDER BY ts DESC, entry_id DESC LIMIT 100 OFFSET 50")
-def audit_page(spark: SparkSession, d: str) -> DataFrame:
-    return seq.page(_trail(spark, d), 100, 50, "ts", "entry_id")
-
-
 @query("""
 WITH p AS (SELECT a_id || '-' || b_id AS pair_id, unnest([{'v': verdict, 'c': confidence}, {'v': CASE WHEN a_id % 2 = 0 THEN 'tension' ELSE verdict END, 'c': confidence / 2}, {'v': 'compatible', 'c': 0.5::DOUBLE}]) AS x FROM contra),
 g AS (SELECT pair_id, x.v AS verdict, count(*) AS n, avg(x.c) AS c FROM p GROUP BY ALL),
