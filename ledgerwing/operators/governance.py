@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerwing.functions.labels import first_match
@@ -49,6 +49,29 @@ STATUS_AFTER = {
     "dismiss": "resolved",
     "update_decision": "deferred",
 }
+# Requirements of two frameworks, with the dimensions that cover each and the controls that stand for it.
+HIPAA = (
+    ("HIPAA-ACCESS-1", ("access-controls", "auth"), ("unique_user_id", "emergency_access", "automatic_logoff", "encryption")),
+    ("HIPAA-AUDIT-1", ("audit-trail", "logging"), ("audit_logging", "access_monitoring", "log_review")),
+    ("HIPAA-INTEGRITY-1", ("phi-handling",), ("data_validation", "error_checking", "authentication_mechanism")),
+    ("HIPAA-TRANSMISSION-1", ("encryption-in-transit",), ("tls_required", "integrity_controls")),
+    ("HIPAA-MINIMUM-1", ("minimum-necessary",), ("role_based_access", "data_segmentation", "field_level_encryption")),
+    ("HIPAA-BREACH-1", ("breach-notification",), ("incident_response_plan", "notification_procedures", "risk_assessment")),
+)
+PCI = (
+    ("PCI-1", ("network-segmentation",), ("firewall_rules", "network_diagram", "dmz")),
+    ("PCI-2", ("security-policy",), ("hardening_standards", "no_default_passwords", "unnecessary_services_disabled")),
+    ("PCI-3", ("cardholder-data", "encryption"), ("encryption_at_rest", "key_management", "data_retention_policy")),
+    ("PCI-4", ("encryption",), ("tls_required", "certificate_management")),
+    ("PCI-5", ("vulnerability-management",), ("antivirus", "malware_detection")),
+    ("PCI-6", ("vulnerability-management", "security-testing"), ("patch_management", "secure_sdlc", "code_review")),
+    ("PCI-7", ("access-control",), ("role_based_access", "least_privilege")),
+    ("PCI-8", ("access-control",), ("unique_user_ids", "mfa", "password_policy")),
+    ("PCI-9", ("cardholder-data",), ("physical_access_controls", "visitor_logs")),
+    ("PCI-10", ("monitoring-logging",), ("audit_logging", "log_review", "time_synchronization")),
+    ("PCI-11", ("security-testing",), ("vulnerability_scanning", "penetration_testing", "ids_ips")),
+    ("PCI-12", ("security-policy",), ("security_policy", "risk_assessment", "security_awareness")),
+)
 # Decisions that each context level lets an agent see; other levels show all.
 CONTEXT_ROWS = {"minimal": 5, "relevant": 10}
 
@@ -296,15 +319,20 @@ def consistency_score(counts: DataFrame) -> DataFrame:
     return counts.select("grp", F.round(F.when(F.col("endpoints") == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("violations") / F.greatest("endpoints", F.lit(1)))), 6).alias("score"))
 
 
+def requirement_table(spark: SparkSession, rows: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...]) -> DataFrame:
+    """One framework as the table that requirements_met takes."""
+    return spark.createDataFrame([(name, list(dims), list(controls)) for name, dims, controls in rows], "requirement string, wanted_dimensions array<string>, controls array<string>")
+
+
 def requirements_met(configs: DataFrame, requirements: DataFrame) -> DataFrame:
     """org, requirement, met: a requirement is met by one of its dimensions or by a mention of one of its controls.
 
     configs: org, dimensions, controls_text. requirements is a reference table of a dozen rows.
     """
-    j = configs.crossJoin(F.broadcast(requirements))
+    j = configs.crossJoin(requirements)
     by_dimension = F.arrays_overlap(j["dimensions"], j["wanted_dimensions"])
-    by_control = F.exists("controls", lambda c: F.lower(F.col("controls_text")).contains(F.lower(c)))
-    return j.select("org", "requirement", F.coalesce(by_dimension | by_control, F.lit(False)).alias("met"))
+    by_control = F.exists("controls", lambda c: F.col("controls_text").contains(c))
+    return j.select("org", "requirement", (F.coalesce(by_dimension, F.lit(False)) | F.coalesce(by_control, F.lit(False))).alias("met"))
 
 
 def compliance_scores(requirements: DataFrame, detections: DataFrame, weight: float, most_penalty: float = 0.5) -> DataFrame:

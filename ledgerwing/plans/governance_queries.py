@@ -332,12 +332,12 @@ def predicted_risk(spark: SparkSession, d: str) -> DataFrame:
     return risk.predict_risk(features, risk.train_risk(features))
 
 
-REQUIREMENTS = [("access control", ["auth"], ["access control"]), ("encryption", ["security"], ["encrypt"]), ("audit", ["logging"], ["audit"]), ("records", [], ["building"])]
+REQUIREMENTS = [("access control", ["auth"], ["access control"]), ("encryption", ["security"], ["encrypt"]), ("audit", ["logging"], ["audit"]), ("records", [], ["BUILDING"])]
 
 
 @query("""
 WITH g AS (SELECT c_nationkey AS org, list(DISTINCT dimension) AS dims, string_agg(DISTINCT c_mktsegment, ' ') AS txt FROM customer JOIN bridge b ON b.project = c_custkey GROUP BY c_nationkey)
-SELECT org, r AS requirement, CASE r WHEN 'access control' THEN list_contains(dims, 'auth') WHEN 'encryption' THEN list_contains(dims, 'security') WHEN 'audit' THEN list_contains(dims, 'logging') ELSE contains(lower(txt), 'building') END AS met
+SELECT org, r AS requirement, CASE r WHEN 'access control' THEN list_contains(dims, 'auth') WHEN 'encryption' THEN list_contains(dims, 'security') WHEN 'audit' THEN list_contains(dims, 'logging') ELSE contains(txt, 'BUILDING') END AS met
 FROM g, (SELECT unnest(['access control', 'encryption', 'audit', 'records']) AS r)
 """)
 def requirements_met(spark: SparkSession, d: str) -> DataFrame:
@@ -347,6 +347,40 @@ def requirements_met(spark: SparkSession, d: str) -> DataFrame:
     return gov.requirements_met(g, rules)
 
 
+TEXTS = ("{'rules': ['tls_required']}", "{'rules': ['role_based_access', 'audit_logging']}", "{'rules': ['security_policy', 'TLS_REQUIRED']}", "{}")
+
+
+def _configs(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer's dimensions, those of its decisions, and one of four texts of rules."""
+    g = v.bridge(spark, d).groupBy(F.col("project").alias("org")).agg(F.collect_set("dimension").alias("dimensions"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("org"), v.pick(TEXTS, F.col("c_custkey") % 4).alias("controls_text")).join(g, "org", "left")
+
+
+FRAMEWORK = "g AS (SELECT c_custkey AS org, c_custkey % 4 AS k, coalesce((SELECT list(dimension) FROM bridge WHERE project = c_custkey), []) AS dims FROM customer), det AS (SELECT c_custkey AS org, c_nationkey % 7 AS n FROM customer WHERE c_nationkey % 2 = 0)"
+
+
+@query(f"""
+WITH {FRAMEWORK}, m AS (SELECT org, list_contains(dims, 'auth')::INT + (list_contains(dims, 'logging') OR k = 1)::INT + (k = 0)::INT + (k = 1)::INT AS met FROM g)
+SELECT org, met, 6 AS total, round(met / 6.0::DOUBLE, 6) AS coverage, round(least(1.0, (6 - met) / 6.0::DOUBLE + least(coalesce(n, 0) * 0.1::DOUBLE, 0.5)), 6) AS risk, met / 6.0 >= 0.8 AS ready FROM m LEFT JOIN det USING (org)
+""")
+def hipaa_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _framework_scores(spark, d, gov.HIPAA, 0.1)
+
+
+@query(f"""
+WITH {FRAMEWORK}, m AS (SELECT org, CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS met FROM g)
+SELECT org, met, 12 AS total, round(met / 12.0::DOUBLE, 6) AS coverage, round(least(1.0, (12 - met) / 12.0::DOUBLE + least(coalesce(n, 0) * 0.15::DOUBLE, 0.5)), 6) AS risk, false AS ready FROM m LEFT JOIN det USING (org)
+""")
+def pci_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _framework_scores(spark, d, gov.PCI, 0.15)
+
+
+def _framework_scores(spark: SparkSession, d: str, framework: tuple, weight: float) -> DataFrame:
+    met = gov.requirements_met(_configs(spark, d), gov.requirement_table(spark, framework))
+    found = table(spark, d, "customer").filter("c_nationkey % 2 = 0").select(F.col("c_custkey").alias("org"), (F.col("c_nationkey") % 7).alias("n"))
+    return gov.compliance_scores(met.select("org", "requirement", F.when(F.col("met"), "met").otherwise("unmet").alias("status")), found, weight)
+
+
 @query("""
 WITH m AS (SELECT user_id % 30 AS org, event_type AS c, count(*) AS n FROM events GROUP BY ALL), det AS (SELECT user_id % 30 AS org, count(*) AS n FROM events WHERE value > 490 AND user_id % 3 = 0 GROUP BY ALL),
 s AS (SELECT org, count(*) FILTER (n > 60) AS met, count(*) FILTER (n > 40 AND n <= 60) AS partial, count(*) FILTER (n <= 40) AS unmet, count(*) AS total FROM m GROUP BY org)
