@@ -107,21 +107,30 @@ class Property:
 
 
 def evaluate_properties(events: DataFrame, properties: list[Property], key: str = "agent_id") -> DataFrame:
-    """key, violated_properties, satisfied_properties, both sorted."""
-    parts = []
-    for p in properties:
+    """key, violated_properties, satisfied_properties, both sorted; all properties in one pass.
+
+    Responses and precedences compare first and last places of actions, which need no sort; absences share one.
+    """
+    place, action = F.struct("ts", "event_id"), F.col("action")
+    states, violated = {}, []
+    for n, p in enumerate(properties):
         if p.kind == "response":
-            found = check_response(events, p.first, p.second, key)
+            asked, answered = (F.max(F.when(action == x, place)) for x in (p.first, p.second))
+            broken = asked.isNotNull() & (answered.isNull() | (asked > answered))
         elif p.kind == "precedence":
-            found = check_precedence(events, p.first, p.second, key)
+            required, guarded = (F.min(F.when(action == x, place)) for x in (p.first, p.second))
+            broken = guarded.isNotNull() & (required.isNull() | (guarded < required))
         else:
-            found = check_absence(events, p.first, p.second, p.third, key)
-        parts.append(found.select(key, "violated", F.lit(p.name).alias("name")))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    names = [F.sort_array(F.collect_set(F.when(c, F.col("name")))) for c in (F.col("violated"), ~F.col("violated"))]
-    return whole.groupBy(key).agg(names[0].alias("violated_properties"), names[1].alias("satisfied_properties"))
+            mark = F.when(action == p.first, 1).when(action == p.second, 0)
+            states[f"_state{n}"] = F.last(mark, ignorenulls=True).over(_ordered(key).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+            broken = F.bool_or((action == p.third) & (F.coalesce(F.col(f"_state{n}"), F.lit(0)) == 1))
+        violated.append(F.struct(F.lit(p.name).alias("name"), F.coalesce(broken, F.lit(False)).alias("violated")))
+    whole = (events.withColumns(states) if states else events).groupBy(key).agg(F.array(*violated).alias("p"))
+
+    def names(hit: bool) -> Column:
+        return F.sort_array(F.transform(F.filter("p", lambda x: x["violated"] == hit), lambda x: x["name"]))
+
+    return whole.select(key, names(True).alias("violated_properties"), names(False).alias("satisfied_properties"))
 
 
 def evaluate_contracts(events: DataFrame, precondition: str, postcondition: str, scope: list[str], key: str = "agent_id") -> DataFrame:
