@@ -36,9 +36,9 @@ def grams_of(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-def brute_languages(rows: list[tuple], longest: int = 5, penalty: float = -7.0) -> list[tuple]:
+def brute_languages(rows: list[tuple], longest: int = 5, penalty: float = -7.0, folds: bool = True) -> list[tuple]:
     def held(key) -> bool:
-        return zlib.crc32(("" if key is None else str(key)).encode()) % 3 == 1
+        return folds and zlib.crc32(("" if key is None else str(key)).encode()) % 3 == 1
 
     counts: dict = collections.defaultdict(collections.Counter)
     learned = {lang for key, _, lang in rows if not held(key) and lang is not None and key is not None}
