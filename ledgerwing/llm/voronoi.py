@@ -39,30 +39,29 @@ def _groups(pivots: np.ndarray, counts: dict[int, int], per_group: int) -> dict[
 
 
 def top_inner_products(
-    rows: DataFrame, is_query: Column, k: int = 10, n_pivots: int = 64, queries_per_group: int = 2048, rows_per_block: int = 8192
+    rows: DataFrame, is_query: Column, k: int = 10, n_pivots: int | None = None, queries_per_group: int = 2048, rows_per_block: int = 8192
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row the k rows of highest inner product, exactly.
 
-    rows has vec_id (long) and v (array<long>). Queries and data each fall to their nearest of n_pivots pivots (a
-    bounded sample). Neighbouring cells of queries make a group with a centre, a radius and a threshold: the least,
+    rows has vec_id (long) and v (array<long>). Queries and data each fall to their nearest of n_pivots pivots, a
+    sample of 64 to 2,048 rows that grows with the square root of all, unless given. Neighbouring cells of queries make a group with a centre, a radius and a threshold: the least,
     over its queries, of the k-th best score among the pivots, which no query's answer can fall below. A cell of
     data, by its pivot and radius, and then a row, by its own length, goes to a group only if
 
         centre . x + radius * |x| >= threshold
 
-    can hold; all else is left behind. Each group meets its rows in blocks of bounded size, so neither a full cell
-    nor a frequent query gathers in one task. Of equal vectors only the k + 1 smallest ids take part, which changes
-    no answer. Rows with a null id or vector take no part, nor vectors of a length other than the greatest; equal
+    can hold; all else is left behind. Each group meets the rows that are left to it in blocks of bounded size, so
+    neither a full cell nor a frequent query gathers in one task, and a query is sent to those blocks alone. Of equal vectors only the k + 1 smallest ids take part, which changes
+    no answer. Rows with a null id or vector take no part, nor vectors of another length than the usual one; equal
     rows count once; ties go to the smaller vec_id. An empty table gives no rows.
     """
     valid = rows.select("vec_id", "v").dropna().dropDuplicates()
     base = materialize(vectors.same_length(valid, "v"), "knn-vectors")
     n = base.count()
-    sample = vectors.by_hash(base, n_pivots, ["v"])
+    sample = vectors.by_hash(base, n_pivots or int(np.clip(2 * n**0.5, 64, 2048)), ["v"])
     if not len(sample):
         return base.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     pivots = vectors.stacked(sample["v"])
-    blocks = max(1, -(-n // rows_per_block))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -118,13 +117,15 @@ def top_inner_products(
                 if len(near):
                     yield pd.DataFrame({"g": np.int32(g), "vec_id": batch["vec_id"].to_numpy()[near], "v": batch["v"].to_numpy()[near]})
 
-    replicas = data.mapInPandas(replicate, "g int, vec_id long, v array<long>")
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    replicas = materialize(data.mapInPandas(replicate, "g int, vec_id long, v array<long>"), "knn-replicas")
+    sizes = {r["g"]: r["count"] for r in replicas.groupBy("g").count().collect()}
+    n_blocks = F.element_at(F.array(*[F.lit(max(1, -(-sizes.get(g, 0) // rows_per_block))) for g in range(n_groups)]), F.col("g") + 1)
+    block = F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int")
     n_parts = F.element_at(F.array(*[F.lit(p) for p in parts]), F.col("g") + 1)
     replicas = replicas.withColumn("block", block).withColumn("part", F.explode(F.sequence(F.lit(0), n_parts - 1)))
     groups = F.create_map(*[F.lit(x) for pair in group_of.items() for x in pair])
     asked = queries.select(F.element_at(groups, F.col("cell")).cast("int").alias("g"), "vec_id", "v")
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), n_parts).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), n_parts).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
 
     def solve(query: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(query) or not len(rows):

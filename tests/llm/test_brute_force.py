@@ -346,3 +346,22 @@ def test_false_readings_are_expected():
     reader = ngramlm.Filter(table, np.array([0]), np.array([bits]), 1, ngramlm.level_values(s.base), s.probes)
     others = textwords.mix(np.arange(10**6, 10**6 + 200_000, dtype=np.uint64))
     assert abs((reader.level(others, 0) > 0).mean() / ngramlm.false_share(table, bits, s.probes) - 1) < 0.1
+
+
+def test_rows_out_of_reach_are_left_behind(spark, monkeypatch):
+    """Queries of one tight cluster among many: their group gets a small part of the rows, and the answer is exact."""
+    from ledgerwing.llm import voronoi
+
+    rng = np.random.default_rng(12)
+    centres = 4000 * rng.standard_normal((40, 6))
+    data = {i: np.floor(centres[i % 40] + 20 * rng.standard_normal(6)).astype(int) for i in range(4000)}
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in data.items()], "vec_id long, v array<long>")
+    sent, write = {}, voronoi.materialize
+    monkeypatch.setattr(voronoi, "materialize", lambda df, name: sent.setdefault(name, write(df, name)))
+    found = voronoi.top_inner_products(rows, F.col("vec_id") % 400 == 0, k=3).collect()
+    expected = []
+    for q in range(0, 4000, 400):
+        best = sorted((-int(data[q] @ v), i) for i, v in data.items() if i != q)[:3]
+        expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in found) == sorted(expected)
+    assert sent["knn-replicas"].count() < 400
