@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwing.plans.catalog import query
+from ledgerwing.plans.catalog import ORACLES, query
 from ledgerwing.plans.event_queries import COLLISION
 from ledgerwing.session import shared_folder
 from ledgerwing.streaming import monitors
@@ -96,6 +96,49 @@ def agent_sessions(spark: SparkSession, d: str) -> DataFrame:
     return monitors.sessions(events(spark, d), "12 hours")
 
 
-@query()
+@query("""
+WITH e AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY ts, event_id) AS seq FROM event),
+a AS (SELECT agent_id, max(ts) AS newest, coalesce(max(seq) FILTER (action = 'purchase'), 0) AS answered FROM e GROUP BY agent_id)
+SELECT agent_id, event_id, 'unanswered' AS alert, 'error' AS detail FROM e JOIN a USING (agent_id) WHERE action = 'error' AND seq > answered AND newest + INTERVAL 1 HOUR < (SELECT max(ts) FROM event) - INTERVAL 10 MINUTE
+""")
 def property_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Errors that no purchase followed, of agents whose hour ran out before the watermark at the stream's end."""
     return run(spark, d, lambda s: monitors.property_stream(s, "error", "purchase"))
+
+
+LAST = "row_number() OVER (PARTITION BY agent_id ORDER BY ts, event_id) AS seq"
+
+
+@query(f"""
+WITH e AS (SELECT *, {LAST} FROM event), f AS (SELECT agent_id, min(seq) AS first FROM e WHERE action = 'signup' GROUP BY agent_id)
+SELECT agent_id, event_id, 'out_of_order' AS alert FROM e LEFT JOIN f USING (agent_id) WHERE action = 'purchase' AND (first IS NULL OR seq < first)
+""")
+def precedence_stream(spark: SparkSession, d: str) -> DataFrame:
+    return run(spark, d, lambda s: monitors.order_stream(s, "precedence", "signup", "purchase")).select("agent_id", "event_id", "alert")
+
+
+@query(f"""
+WITH e AS (SELECT *, {LAST} FROM event), s AS (SELECT *, last_value(CASE action WHEN 'error' THEN 1 WHEN 'view' THEN 0 END IGNORE NULLS) OVER (PARTITION BY agent_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS open FROM e)
+SELECT agent_id, event_id, 'forbidden' AS alert FROM s WHERE action = 'purchase' AND open = 1
+""")
+def absence_stream(spark: SparkSession, d: str) -> DataFrame:
+    return run(spark, d, lambda s: monitors.order_stream(s, "absence", "error", "view", "purchase")).select("agent_id", "event_id", "alert")
+
+
+@query(f"SELECT event_id, signature AS detail FROM ({ORACLES['loops']})")
+def loop_stream(spark: SparkSession, d: str) -> DataFrame:
+    return run(spark, d, monitors.monitor_stream).filter("alert = 'loop'").select("event_id", "detail")
+
+
+@query(f"SELECT event_id FROM ({ORACLES['thrash']})")
+def thrash_stream(spark: SparkSession, d: str) -> DataFrame:
+    found = run(spark, d, lambda s: monitors.monitor_stream(s.withColumn("target", F.lit("x")), threshold=12))
+    return found.filter("alert = 'thrash'").select("event_id")
+
+
+@query(f"SELECT * FROM ({ORACLES['collision_stream']}) c WHERE NOT (a_event % 2 = 0 AND b_event % 2 = 1)")
+def causal_collision_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs with a known link from the earlier event to the later one go; here from every even id to every odd one met."""
+    found = run(spark, d, lambda s: monitors.collision_stream(s.withColumnRenamed("action", "dimension")))
+    links = found.filter("a_event % 2 = 0 and b_event % 2 = 1").select(F.col("a_event").alias("source"), F.col("b_event").alias("target"))
+    return run(spark, d, lambda s: monitors.collision_stream(s.withColumnRenamed("action", "dimension"), causal=links))

@@ -72,17 +72,21 @@ def anomaly_stream(spans: DataFrame, window: int = 20, cost_factor: float = 5, l
     return spans.groupBy("agent_id").applyInPandasWithState(step, ALERTS, RECENT, "append", GroupStateTimeout.NoTimeout)
 
 
-def collision_stream(events: DataFrame, window_seconds: int = 300, delay: str = "10 minutes") -> DataFrame:
+def collision_stream(events: DataFrame, window_seconds: int = 300, delay: str = "10 minutes", causal: DataFrame | None = None) -> DataFrame:
     """a_event, b_event, dimension, gap_seconds: events of one dimension by two agents at most window apart.
 
-    A stream-stream join on the dimension with a time range, so Spark drops state that is two windows old.
+    A stream-stream join on the dimension with a time range, so Spark drops state that is two windows old. causal
+    (source, target), if given, is a table of known links; pairs linked from the earlier event to the later one go.
     """
     base = events.select("event_id", "agent_id", "dimension", "ts")
     a = base.toDF("a_event", "a_agent", "a_dimension", "a_ts").withWatermark("a_ts", delay)
     b = base.toDF("b_event", "b_agent", "dimension", "b_ts").withWatermark("b_ts", delay)
     near = F.expr(f"a_dimension = dimension and a_agent <> b_agent and b_ts >= a_ts and b_ts <= a_ts + interval {window_seconds} seconds and (b_ts > a_ts or a_event < b_event)")
     gap = (F.unix_micros("b_ts") - F.unix_micros("a_ts")) / F.lit(1e6)
-    return a.join(b, near).select("a_event", "b_event", "dimension", F.round(gap, 6).alias("gap_seconds"))
+    pairs = a.join(b, near)
+    if causal is not None:
+        pairs = pairs.join(causal.select(F.col("source").alias("a_event"), F.col("target").alias("b_event")), ["a_event", "b_event"], "left_anti")
+    return pairs.select("a_event", "b_event", "dimension", F.round(gap, 6).alias("gap_seconds"))
 
 
 def property_stream(events: DataFrame, trigger: str, response: str, timeout: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
@@ -112,6 +116,33 @@ def property_stream(events: DataFrame, trigger: str, response: str, timeout: str
     return events.withWatermark("ts", delay).groupBy("agent_id").applyInPandasWithState(step, ALERTS, RECENT, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def order_stream(events: DataFrame, kind: str, first: str, second: str, third: str = "") -> DataFrame:
+    """agent_id, event_id, alert, detail: events that break an ordering property, as they arrive; state: one flag.
+
+    precedence: a second action before any first one is out_of_order. absence: a third action between a first, which
+    opens a scope, and a second, which closes it, is forbidden. Within a micro-batch events are taken by time, then id.
+    """
+    if kind not in ("precedence", "absence"):
+        raise ValueError(f"no such property: {kind}")
+
+    def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        flag = bool(state.get[0]) if state.exists else False
+        out = []
+        for row in _ordered(batches).itertuples():
+            if kind == "precedence":
+                if row.action == second and not flag:
+                    out.append((key[0], row.event_id, "out_of_order", second))
+                flag = flag or row.action == first
+            else:
+                flag = row.action == first or (flag and row.action != second)
+                if row.action == third and flag:
+                    out.append((key[0], row.event_id, "forbidden", third))
+        state.update((flag,))
+        yield pd.DataFrame(out, columns=["agent_id", "event_id", "alert", "detail"])
+
+    return events.groupBy("agent_id").applyInPandasWithState(step, ALERTS, "flag boolean", "append", GroupStateTimeout.NoTimeout)
+
+
 def ingest_stream(lines: DataFrame, keys: list[str], ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
     """Each key once, however often it is sent within the delay."""
     return lines.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
