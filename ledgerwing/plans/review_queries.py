@@ -226,6 +226,20 @@ def score_pairs(spark: SparkSession, d: str) -> DataFrame:
     return risk.score_pairs(p, _by_length)
 
 
+@query("""
+WITH p AS (SELECT a_id || '-' || b_id AS pair_id, a_id, length(a_id::VARCHAR) = length(b_id::VARCHAR) AS same FROM pair WHERE shared_count > 1)
+SELECT pair_id, CASE WHEN same THEN 'compatible' WHEN a_id % 2 = 0 THEN 'contradiction' ELSE 'tension' END AS verdict, CASE WHEN same THEN 0.9 WHEN a_id % 2 = 0 THEN round(0.8 * 2 / 3.0, 3) ELSE 0.5 END::DOUBLE AS confidence, NOT same AND a_id % 2 = 0 AS voted FROM p
+""")
+def settle_votes(spark: SparkSession, d: str) -> DataFrame:
+    """Of every other pair three judges vote, two against one; the scores of sure pairs stand."""
+    p = pairs.candidate_pairs(v.bridge(spark, d)).filter("shared_count > 1")
+    pair_id = F.concat_ws("-", F.col("a_id").cast("string"), F.col("b_id").cast("string")).alias("pair_id")
+    scored = risk.score_pairs(p.select(pair_id, F.lit(0.5).alias("similarity"), F.concat(F.lit("Decision "), "a_id").alias("text_a"), F.concat(F.lit("Decision "), "b_id").alias("text_b")), _by_length)
+    said = F.array(*[F.struct(F.lit(verdict).alias("verdict"), F.lit(c).alias("confidence")) for verdict, c in (("contradiction", 0.9), ("contradiction", 0.7), ("compatible", 0.9))])
+    votes = p.filter("a_id % 2 = 0").select(pair_id, F.explode(said).alias("s")).select("pair_id", "s.*")
+    return risk.settle_votes(scored, votes)
+
+
 @query("""
 SELECT 't' || conv_id || '-' || turn AS timestamp, 'llm_call' AS type, 'm' || conv_id % 3 AS model, turn + 10 + 5 AS input_tokens, length(text) AS output_tokens, text[1:200] AS prompt_preview FROM conversations WHERE role = 'assistant'
 """)

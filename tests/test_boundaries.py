@@ -238,3 +238,14 @@ def test_governance_rules(spark):
     evidence = spark.createDataFrame([(1, 2, "foo.bar", "f"), (2, 2, "x", "f"), (2, 2, "foo", "g"), (3, 2, "fo", "f")], "id int, severity_rank int, module string, file string")
     churned = spark.createDataFrame([("g", 1.5)], "path string, factor double")
     assert {r["id"]: r["priority"] for r in gov.assumption_priority(evidence, modules, churned).collect()} == {1: 3.0, 2: 6.0, 3: 2.0}
+
+
+def test_fold_accuracy(spark):
+    """A feature that tells the label apart is found on rows that the models did not see; noise is not."""
+    from ledgerwing.operators import risk
+
+    rows = [(i, i % 5, float(i % 3), 0.0, i % 4, 1.0, 10, 2, i % 5 >= 3) for i in range(150)]
+    names = [*risk.FEATURES]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{n} double" if k in (1, 2, 4) else f"{n} long" for k, n in enumerate(names)) + ", label boolean").withColumn("label", F.col("label").cast("double"))
+    assert risk.fold_accuracy(df, folds=3, trees=2) == 1.0
+    assert risk.fold_accuracy(df.limit(0), folds=2) == 0.0
