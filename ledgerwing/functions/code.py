@@ -117,7 +117,7 @@ def boundary_violations(files: DataFrame, layers: DataFrame, key: str = "path",
     """key, module, rule: imports that a layer (prefix, forbidden) must not make; layers is a small reference table."""
     imports = extract_imports(files, key, text)
     hit = F.col(key).startswith(F.col("prefix")) & F.col("module").startswith(F.col("forbidden"))
-    return imports.crossJoin(F.broadcast(layers)).filter(hit).select(key, "module", F.concat_ws(" -> ", "prefix", "forbidden").alias("rule"))
+    return imports.crossJoin(layers).filter(hit).select(key, "module", F.concat_ws(" -> ", "prefix", "forbidden").alias("rule"))
 
 
 def await_in_sync(files: DataFrame, key: str = "path", text: str = "source") -> DataFrame:

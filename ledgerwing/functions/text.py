@@ -208,9 +208,9 @@ def extract_endpoints(files: DataFrame, key: str = "path", text: str = "source")
 def auto_detect(docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, dimension, score: summed weights of the rules (dimension, kind, pattern, weight) that a text matches.
 
-    rules is a reference table of a few rows, which is what is broadcast.
+    rules is a reference table of a few rows, whose measured size decides on a broadcast.
     """
     low = F.lower(F.col(text))
     hit = first_match([(F.col("kind") == "keyword", low.contains(F.lower("pattern"))), (F.col("kind") == "regex", F.rlike(F.col(text), F.col("pattern")))], False)
-    joined = docs.select(key, text).crossJoin(F.broadcast(rules)).filter(hit)
+    joined = docs.select(key, text).crossJoin(rules).filter(hit)
     return joined.groupBy(key, "dimension").agg(F.round(F.sum("weight"), 6).alias("score"))

@@ -266,7 +266,7 @@ def churn(commits: DataFrame) -> DataFrame:
     """path, commits, factor = 1 + n / the busiest file's n."""
     per = commits.groupBy("path").agg(F.count("*").alias("commits"))
     most = per.agg(F.max("commits").alias("most"))
-    return per.crossJoin(F.broadcast(most)).select("path", "commits", F.round(1 + F.col("commits") / F.col("most"), 6).alias("factor"))
+    return per.crossJoin(most).select("path", "commits", F.round(1 + F.col("commits") / F.col("most"), 6).alias("factor"))
 
 
 def with_ancestors(modules: DataFrame) -> DataFrame:
@@ -363,8 +363,8 @@ def review_status(changes: DataFrame, most_new: int = 3) -> DataFrame:
 
 def evidence_matrix(features: DataFrame, mapping: DataFrame, criteria: DataFrame) -> DataFrame:
     """org, criterion, evidence: how many of an org's features serve each criterion; criteria without any count 0."""
-    hit = features.join(F.broadcast(mapping), "feature").groupBy("org", "criterion").agg(F.countDistinct("feature").alias("evidence"))
-    whole = features.select("org").distinct().crossJoin(F.broadcast(criteria))
+    hit = features.join(mapping, "feature").groupBy("org", "criterion").agg(F.countDistinct("feature").alias("evidence"))
+    whole = features.select("org").distinct().crossJoin(criteria)
     return whole.join(hit, ["org", "criterion"], "left").select("org", "criterion", F.coalesce("evidence", F.lit(0)).alias("evidence"))
 
 

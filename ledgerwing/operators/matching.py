@@ -37,10 +37,10 @@ def coverage_percent(rows: DataFrame, by: list[str]) -> DataFrame:
 def owners_for(paths: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
     """path, owners: of the rules (pattern, owners, line_number) that match a path, the last one counts.
 
-    rules is one file's worth of lines, which is what is broadcast.
+    rules is one file's worth of lines, whose measured size decides on a broadcast.
     """
     regex = F.rlike(F.col(path), rule_regex(F.col("pattern")))
-    hit = paths.select(path).distinct().crossJoin(F.broadcast(rules)).filter(regex)
+    hit = paths.select(path).distinct().crossJoin(rules).filter(regex)
     return hit.groupBy(path).agg(F.max_by("owners", "line_number").alias("owners"))
 
 
@@ -53,7 +53,7 @@ def rule_regex(pattern: Column) -> Column:
 
 def files_for_dimensions(files: DataFrame, globs: DataFrame, path: str = "path") -> DataFrame:
     """path, dimension: files that a dimension's patterns match (dimension, pattern: a few dozen rows)."""
-    hit = files.select(path).crossJoin(F.broadcast(globs)).filter(F.rlike(F.col(path), glob_to_regex(F.col("pattern"))))
+    hit = files.select(path).crossJoin(globs).filter(F.rlike(F.col(path), glob_to_regex(F.col("pattern"))))
     return hit.select(path, "dimension").distinct()
 
 
@@ -70,7 +70,7 @@ def decisions_for_file(files: DataFrame, tiers: DataFrame, globs: DataFrame, pat
 
 def detect_dimensions(evidence: DataFrame, taxonomy: DataFrame, key: str = "project") -> DataFrame:
     """key, dimension, found, confidence = min(1, 0.4 + 0.15 n): evidence (key, item) met in the taxonomy (dimension, item)."""
-    hits = evidence.join(F.broadcast(taxonomy), "item").groupBy(key, "dimension").agg(F.sort_array(F.collect_set("item")).alias("found"))
+    hits = evidence.join(taxonomy, "item").groupBy(key, "dimension").agg(F.sort_array(F.collect_set("item")).alias("found"))
     return hits.withColumn("confidence", F.round(F.least(F.lit(1.0), 0.4 + 0.15 * F.size("found")), 6))
 
 

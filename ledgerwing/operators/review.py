@@ -98,7 +98,7 @@ def import_violations(files: DataFrame, taxonomy: DataFrame, constraints: DataFr
     taxonomy (module, dimension) and constraints (decision_id, dimension, allowed) are reference tables.
     """
     used = extract_imports(files).withColumn("module", F.regexp_extract("module", r"^([A-Za-z_0-9]+)", 1)).distinct()
-    hit = used.join(F.broadcast(taxonomy), "module").join(F.broadcast(constraints), "dimension").filter(~F.array_contains("allowed", F.col("module")))
+    hit = used.join(taxonomy, "module").join(constraints, "dimension").filter(~F.array_contains("allowed", F.col("module")))
     first = Window.partitionBy("path", "decision_id").orderBy("module")
     return hit.withColumn("n", F.row_number().over(first)).filter("n = 1").select("path", "decision_id", "module")
 
