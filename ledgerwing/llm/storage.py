@@ -3,26 +3,19 @@
 from __future__ import annotations
 
 import contextlib
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
+from ledgerwing.session import shared_folder
+
 #: What holds while a table is written. Spark drops an execution's shuffle files once it ends, which is safe for a
 #: table that has been written; and rows of long texts go to Python in small batches.
 WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a local one only where none is set."""
-    root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    return (root or "file://" + os.path.join(tempfile.gettempdir(), f"ledgerwing-{os.getpid()}")).rstrip("/")
-
-
 @contextlib.contextmanager
 def held(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
     before = {key: spark.conf.get(key, None) for key in settings}
@@ -45,7 +38,7 @@ def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> Data
     go to Python at once, where they are larger than documents.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     with held(spark, WHILE_WRITING | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows)} if batch_rows else {})):
         df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
