@@ -212,6 +212,7 @@ def round_trip_column(text: Column, path: str) -> Column:
         bpe = _bpe(path)
         parts = _encoded(texts, bpe)
         decoded = pa.array([bpe.decode(x).tobytes().decode("utf-8", "replace") for x in parts], pa.string())
+        worker.return_memory()
         return pa.StructArray.from_arrays([_lists(parts), decoded], names=["ids", "decoded"])
 
     return both(F.coalesce(text.cast("binary"), F.lit(b"")))

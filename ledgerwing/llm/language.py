@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerwing.llm import textwords
+from ledgerwing.llm import textwords, worker
 from ledgerwing.llm.storage import WHILE_WRITING, held, id_bucket
 
 UNDETERMINED = "und"
@@ -225,7 +225,7 @@ def fit(
     languages, sample = sample_per_language(labelled, docs_per_language)
     if not languages:
         return LanguageModel([], [])
-    terms = sample.filter(F.col("text").isNotNull()).mapInArrow(_count_terms(languages, longest), "lang int, n int, h long, c long")
+    terms = sample.filter(F.col("text").isNotNull()).mapInArrow(worker.lean(_count_terms(languages, longest)), "lang int, n int, h long, c long")
     with held(docs.sparkSession, WHILE_WRITING):
         rows = terms.groupBy("lang", "n", "h").agg(F.sum("c").alias("c")).toArrow()
     lang, n, h, c = (rows.column(k).to_numpy() for k in ("lang", "n", "h", "c"))
@@ -247,7 +247,9 @@ def predict_column(docs: DataFrame, model: LanguageModel, text: Column) -> Colum
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def predict(texts: pa.Array) -> pa.Array:
+        worker.state("language", dict)  # drops what other functions keep; the model is the broadcast's
         names, scores = shared.value.predict(texts.to_pylist())
+        worker.return_memory()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
     return predict(text)

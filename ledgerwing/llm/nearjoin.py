@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerwing.llm import textwords
+from ledgerwing.llm import textwords, worker
 from ledgerwing.llm.connected import components
 from ledgerwing.llm.storage import materialize
 
@@ -60,7 +60,7 @@ def _frequency_sketch(docs: DataFrame, s: Similarity) -> np.ndarray:
                 total += np.frombuffer(counts, np.uint32)
         yield pd.DataFrame({"block": [key[0]], "counts": [total.tobytes()]})
 
-    partial = docs.select(F.col("text").cast("binary")).mapInArrow(count, "block int, counts binary")
+    partial = docs.select(F.col("text").cast("binary")).mapInArrow(worker.lean(count), "block int, counts binary")
     rows = partial.groupBy("block").applyInPandas(add, "block int, counts binary").collect()
     found = {r["block"]: np.frombuffer(bytes(r["counts"]), np.uint32) for r in rows}
     return np.concatenate([found.get(k, np.zeros(size // SKETCH_BLOCKS, np.uint32)) for k in range(SKETCH_BLOCKS)])
@@ -106,7 +106,7 @@ def _sets(docs: DataFrame, s: Similarity, sketch: np.ndarray) -> DataFrame:
                     names=["doc_id", "n_shingles", "fp1", "fp2", "prefix", "ranges"],
                 )
 
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(describe, SETS)
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(worker.lean(describe), SETS)
 
 
 def _passes(a: str, b: str, s: Similarity) -> Column:
@@ -157,7 +157,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, s: Similarity) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([column[i] for i in found], pa.int64()) for column in ids], names=["a", "b"])
 
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long").distinct(), "links")
+    return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(worker.lean(compare), "a long, b long").distinct(), "links")
 
 
 def link(docs: DataFrame, s: Similarity) -> DataFrame:

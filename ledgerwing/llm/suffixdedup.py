@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwing.llm import textwords
+from ledgerwing.llm import textwords, worker
 from ledgerwing.llm.ngramlm import bucket_of
 from ledgerwing.llm.storage import drop_materialized, materialize, shuffle_width
 
@@ -132,7 +132,7 @@ def _core_runs(docs: DataFrame, buckets: int) -> DataFrame:
         if size:
             yield rows(next(ids), *map(np.concatenate, zip(*held, strict=True)))
 
-    return docs.select("key", "data").mapInArrow(scan, CORES)
+    return docs.select("key", "data").mapInArrow(worker.lean(scan), CORES)
 
 
 def _repeated_cores(runs: DataFrame) -> DataFrame:
@@ -145,6 +145,7 @@ def _repeated_cores(runs: DataFrame) -> DataFrame:
         marked = np.zeros(len(n), bool)
         marked[at[np.concatenate(twice) > 0]] = True
         hit = np.split((n > 1)[at] | marked[at], np.cumsum([len(x) for x in h])[:-1])
+        worker.return_memory()
         return pd.DataFrame({"run": parts["run"], "bucket": parts["bucket"], "hit": [np.packbits(x).tobytes() for x in hit]})
 
     return runs.select("run", "bucket", "hashes", "repeated").groupBy("bucket").applyInPandas(tell, "run long, bucket int, hit binary")
@@ -161,7 +162,7 @@ def _candidates(runs: DataFrame, answers: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)[kept]), pa.array(np.frombuffer(places, np.int32)[kept])], names=["key", "place"])
 
     both = runs.join(answers, ["run", "bucket"]).select("counts", "keys", "places", "hit")
-    return both.mapInArrow(unpack, "key long, place int").groupBy("key").agg(F.collect_set("place").alias("places"))
+    return both.mapInArrow(worker.lean(unpack), "key long, place int").groupBy("key").agg(F.collect_set("place").alias("places"))
 
 
 RUNS = "run long, bucket int, suffixes binary, members binary"
@@ -377,7 +378,7 @@ def _suffix_runs(docs: DataFrame, candidates: DataFrame, buckets: int) -> DataFr
         if held:
             yield from encode(next(ids), held)
 
-    return docs.join(candidates, "key").select("key", "data", "places").mapInArrow(scan, RUNS)
+    return docs.join(candidates, "key").select("key", "data", "places").mapInArrow(worker.lean(scan), RUNS)
 
 
 def _merged_spans(runs: DataFrame) -> DataFrame:
@@ -394,6 +395,7 @@ def _merged_spans(runs: DataFrame) -> DataFrame:
         for r in range(len(opened)):
             mine = of[record] == r
             packed.append(np.stack([index[record[mine]], first[mine], end[mine]]).astype(np.int32).tobytes())
+        worker.return_memory()
         return pd.DataFrame({"run": parts["run"], "bucket": parts["bucket"], "spans": packed})
 
     return runs.select("run", "bucket", "suffixes").groupBy("bucket").applyInPandas(merge, "run long, bucket int, spans binary")
@@ -420,7 +422,7 @@ def _document_spans(runs: DataFrame, spans: DataFrame) -> DataFrame:
                 )
 
     both = runs.join(spans, ["run", "bucket"]).select("members", "spans")
-    rows = both.mapInArrow(unpack, "key long, n_bytes long, start long, end long")
+    rows = both.mapInArrow(worker.lean(unpack), "key long, n_bytes long, start long, end long")
     return rows.groupBy("key", "n_bytes").agg(F.collect_set(F.struct("start", "end")).alias("raw"))
 
 
@@ -437,22 +439,37 @@ def _union(spans: Column) -> Column:
     return F.aggregate(F.sort_array(spans), start, add)
 
 
+def _cut(texts: pa.Array, all_spans: pa.Array) -> list[bytes | None]:
+    out = []
+    for text, spans in zip(texts.to_pylist(), all_spans.to_pylist(), strict=True):
+        if spans:
+            edges = [0, *[x for s in spans for x in (s["start"], s["end"])], len(text)]
+            text = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+        out.append(text)
+    worker.return_memory()
+    return out
+
+
 def kept_bytes(data: Column, spans: Column) -> Column:
     """data without the bytes in spans."""
 
     @F.arrow_udf("binary")
     def cut(texts: pa.Array, all_spans: pa.Array) -> pa.Array:
-        out = []
-        for text, spans in zip(texts.to_pylist(), all_spans.to_pylist(), strict=True):
-            if spans:
-                edges = [0, *[x for s in spans for x in (s["start"], s["end"])], len(text)]
-                text = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            out.append(text)
-        return pa.array(out, pa.binary())
+        return pa.array(_cut(texts, all_spans), pa.binary())
 
     return F.when(F.size(spans) > 0, cut(data, spans)).otherwise(data)
 
 
+def kept_text(data: Column, spans: Column) -> Column:
+    """data without the bytes in spans, as text; what is left of a cut character goes."""
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, all_spans: pa.Array) -> pa.Array:
+        return pa.array([x.decode("utf-8", "ignore") if x is not None else None for x in _cut(texts, all_spans)], pa.string())
+
+    return cut(data, spans)
+
+
 def with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", data_col: str = "data", spans_col: str = "spans") -> DataFrame:
     """docs with two more columns: data_col (the text as bytes) and spans_col (the byte ranges that occur elsewhere too).
 
@@ -505,7 +522,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     data, spans = (unused(columns, x) for x in ("_rep_data", "_rep_spans"))
     found = with_repeats(docs, data_col=data, spans_col=spans)
     some = F.size(spans) > 0
-    found = found.withColumn("text", F.when(some, _valid_text(kept_bytes(F.col(data), F.col(spans)))).otherwise(F.col("text")))
+    found = found.withColumn("text", F.when(some, kept_text(F.col(data), F.col(spans))).otherwise(F.col("text")))
     if "n_chars" in columns:
         found = found.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return found.select(*columns)
@@ -515,10 +532,3 @@ def unused(columns: list[str], name: str) -> str:
     """name, with a number behind it if columns has it."""
     return next(x for x in (name, *[f"{name}{n}" for n in range(len(columns))]) if x not in columns)
 
-
-def _valid_text(data: Column) -> Column:
-    @F.arrow_udf("string")
-    def text(column: pa.Array) -> pa.Array:
-        return pa.array([x.decode("utf-8", "ignore") if x is not None else None for x in column.to_pylist()], pa.string())
-
-    return text(data)
