@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwing.llm import textwords
+from ledgerwing.llm import textwords, worker
 from ledgerwing.llm.storage import WHILE_WRITING, drop_materialized, held, id_bucket, materialize, shuffle_width
 
 END = np.uint64(0x1B873593CC9E2D51)
@@ -21,7 +21,7 @@ UNIGRAM, BIGRAM, CONTEXT = 0, 1, 2
 #: Bits of a segment that a 32-bit place can name.
 MOST_BITS = 1 << 32
 #: Texts travel in chunks of about so many bytes, and n-grams of a segment are looked up in runs of about so many.
-CHUNK = 1 << 20
+CHUNK = 1 << 22
 #: Bytes of text for each bucket of n-grams.
 BUCKET_BYTES = 1 << 21
 #: Rows of an Arrow batch where a row is a chunk.
@@ -38,17 +38,17 @@ class Settings:
 
     Every n-gram takes probes bits for each level of its count in a segment of bits_per_probe times as many bits, so
     the filter grows with the n-grams counted, and none is left out. probes, unless given, grow with the logarithm of
-    the training text, to about one false follower a context. frequent_words bounds the exact counts that are
+    the text, so that a context's false followers do not grow with the words. frequent_words bounds the exact counts that are
     broadcast; all rarer words are looked up by a join.
     """
 
-    bits_per_probe: float = 1.5
+    bits_per_probe: float = 2.0
     probes: int | None = None
     base: float = 1.6
     frequent_words: int = 500_000
 
     def for_bytes(self, total: int) -> Settings:
-        return replace(self, probes=self.probes or int(np.clip(np.ceil(np.log2(max(total // 256, 2))), 8, 40)))
+        return replace(self, probes=self.probes or int(np.clip(np.ceil(np.log2(max(total >> 18, 2))), 8, 40)))
 
 
 def levels(counts: np.ndarray, base: float) -> np.ndarray:
@@ -132,7 +132,7 @@ def frequent_counts(unigrams: DataFrame, most: int) -> tuple[np.ndarray, np.ndar
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()], pa.binary()) for c in batch.columns], names=["h", "c"])
 
-    rows = unigrams.filter(step >= least).mapInArrow(pack, "h binary, c binary").collect()
+    rows = unigrams.filter(step >= least).mapInArrow(worker.lean(pack), "h binary, c binary").collect()
     h, c = [np.frombuffer(b"".join(bytes(r[k]) for r in rows), np.int64) for k in ("h", "c")]
     order = np.argsort(h)
     return h[order], c[order]
@@ -172,6 +172,26 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def keys_in_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """40 bits that tell the hashes of one bucket apart, in their order; a bucket's size does not grow with the data."""
+    with np.errstate(over="ignore"):
+        inside = (h >> np.uint64(32)) * np.uint64(buckets) & np.uint64(0xFFFFFFFF)
+    return (inside << np.uint64(8)) | ((h & np.uint64(0xFFFFFFFF)) >> np.uint64(24))
+
+
+KEY_BYTES = 5
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view(np.uint64).ravel()
+
+
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token hashes with an end after each text, the token before each, and offsets."""
     found = textwords.words(texts)
@@ -219,11 +239,12 @@ def count_ngrams(train: DataFrame, s: Settings, buckets: int) -> DataFrame:
                 c = c.astype(np.uint32)
                 cuts = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))
                 rows = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+                sent = keys_in_bucket(h, buckets) if kind == BIGRAM else h
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([kind] * len(rows), pa.int32()),
                         pa.array([k for k, _, _ in rows], pa.int32()),
-                        pa.array([h[a:b].tobytes() for _, a, b in rows], pa.binary()),
+                        pa.array([packed_keys(sent[a:b]) if kind == BIGRAM else sent[a:b].tobytes() for _, a, b in rows], pa.binary()),
                         pa.array([c[a:b].tobytes() for _, a, b in rows], pa.binary()),
                         pa.array([context[a:b].tobytes() if kind == BIGRAM else b"" for _, a, b in rows], pa.binary()),
                     ],
@@ -234,12 +255,12 @@ def count_ngrams(train: DataFrame, s: Settings, buckets: int) -> DataFrame:
         kind, bucket = int(key[0]), int(key[1])
         h, c, context = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         for part in parts:
-            more = [np.frombuffer(x, np.uint64) for x in part["hashes"]], [np.frombuffer(x, np.uint32).astype(np.int64) for x in part["counts"]], [np.frombuffer(x, np.uint64) for x in part["contexts"]]
+            more = [np.frombuffer(x, np.uint64) if kind == UNIGRAM else unpacked_keys(x) for x in part["hashes"]], [np.frombuffer(x, np.uint32).astype(np.int64) for x in part["counts"]], [np.frombuffer(x, np.uint64) for x in part["contexts"]]
             if kind == UNIGRAM:
                 h, c = _merged(np.concatenate([h, *more[0]]), np.concatenate([c, *more[1]]))
             else:
                 h, c, context = _merged(*[np.concatenate([x, *y]) for x, y in zip((h, c, context), more, strict=True)])
-        bits, table = segment(h, c, MOST_BITS, s)
+        bits, table = segment(keys_in_bucket(h, buckets) if kind == UNIGRAM else h, c, MOST_BITS, s)
         read = values[levels(c, s.base)]
         exact = (h.tobytes(), c.tobytes()) if kind == UNIGRAM else (b"", b"")
         rows = [(kind, bucket, *exact, bits, table.tobytes(), float(read.sum()), false_share(table, bits, s.probes))]
@@ -249,7 +270,7 @@ def count_ngrams(train: DataFrame, s: Settings, buckets: int) -> DataFrame:
             rows += [(CONTEXT, k, of[a:b].tobytes(), total[a:b].tobytes(), None, None, None, None) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
         yield pd.DataFrame(rows, columns=[f.split()[0] for f in COUNTED.split(", ")]).astype({"bits": "Int64"})
 
-    partial = train.select(F.coalesce(F.col("text"), F.lit("")).cast("binary")).mapInArrow(count, "kind int, bucket int, hashes binary, counts binary, contexts binary")
+    partial = train.select(F.coalesce(F.col("text"), F.lit("")).cast("binary")).mapInArrow(worker.lean(count), "kind int, bucket int, hashes binary, counts binary, contexts binary")
     return materialize(partial.groupBy("kind", "bucket").applyInPandas(add, COUNTED), "ngram-counts")
 
 
@@ -283,7 +304,7 @@ def unigram_table(counted: DataFrame) -> DataFrame:
             for h, c in zip(batch.column(0), batch.column(1), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h.as_py(), np.int64)), pa.array(np.frombuffer(c.as_py(), np.int64))], names=["hash", "c"])
 
-    return counted.filter(F.col("kind") == UNIGRAM).select("hashes", "counts").mapInArrow(unpack, "hash long, c long")
+    return counted.filter(F.col("kind") == UNIGRAM).select("hashes", "counts").mapInArrow(worker.lean(unpack), "hash long, c long")
 
 
 def pack_chunks(named: DataFrame) -> DataFrame:
@@ -300,7 +321,7 @@ def pack_chunks(named: DataFrame) -> DataFrame:
                     out.write_batch(batch.slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 1), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "body"])
 
-    return materialize(named.mapInArrow(pack, "chunk long, body binary"), "lm-chunks")
+    return materialize(named.mapInArrow(worker.lean(pack), "chunk long, body binary"), "lm-chunks")
 
 
 def _unpack(body: bytes) -> pa.RecordBatch:
@@ -325,8 +346,9 @@ def look_up(chunks: DataFrame, counted: DataFrame, contexts: DataFrame, false_ma
             for chunk, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h, before, _ = tokens([x or b"" for x in _unpack(body.as_py()).column(3).to_pylist()])
                 for kind, grams in _kinds(h, before):
-                    distinct = np.unique(grams)
+                    distinct = np.sort(pd.unique(grams))
                     cuts = np.searchsorted(bucket_of(distinct, buckets), np.arange(buckets + 1))
+                    keys = keys_in_bucket(distinct, buckets)
                     found = np.flatnonzero(np.diff(cuts))
                     n = len(found)
                     yield pa.RecordBatch.from_arrays(
@@ -334,7 +356,7 @@ def look_up(chunks: DataFrame, counted: DataFrame, contexts: DataFrame, false_ma
                             pa.array(np.full(n, kind, np.int32)),
                             pa.array(found.astype(np.int32)),
                             pa.array(np.full(n, chunk, np.int64)),
-                            pa.array([distinct[cuts[k] : cuts[k + 1]].tobytes() for k in found], pa.binary()),
+                            pa.array([packed_keys(keys[cuts[k] : cuts[k + 1]]) for k in found], pa.binary()),
                             pa.nulls(n, pa.int64()),
                             pa.nulls(n, pa.binary()),
                         ],
@@ -353,7 +375,7 @@ def look_up(chunks: DataFrame, counted: DataFrame, contexts: DataFrame, false_ma
             return denominator_codes(np.where(known[at] == h, total[at], 0), false_mass)
 
         def answer() -> pa.RecordBatch:
-            h = [np.frombuffer(x, np.uint64) for _, x in run]
+            h = [unpacked_keys(x) for _, x in run]
             every = np.concatenate(h)
             level = (held.level(every, 0) if held else np.zeros(len(every), np.int64)).astype(np.uint8)
             cuts = np.cumsum([len(x) for x in h])[:-1]
@@ -377,21 +399,21 @@ def look_up(chunks: DataFrame, counted: DataFrame, contexts: DataFrame, false_ma
                     key, run, size = (kinds[k], places[k]), [], 0
                 if not batch.column(5)[k].is_valid:
                     run.append((chunk_ids[k], batch.column(3)[k].as_py()))
-                    size += len(run[-1][1]) // 8
+                    size += len(run[-1][1])
                 elif sizes[k] is None:
-                    sums = np.frombuffer(batch.column(3)[k].as_py(), np.uint64), np.frombuffer(batch.column(5)[k].as_py(), np.float64)
+                    sums = keys_in_bucket(np.frombuffer(batch.column(3)[k].as_py(), np.uint64), buckets), np.frombuffer(batch.column(5)[k].as_py(), np.float64)
                 else:
                     held = Filter(np.frombuffer(batch.column(5)[k].as_py(), np.uint8), np.array([0]), np.array([sizes[k]]), 1, values, s.probes)
         if run:
             yield answer()
 
-    asked = chunks.mapInArrow(probes, "kind int, bucket int, chunk long, hashes binary, bits long, segment binary")
+    asked = chunks.mapInArrow(worker.lean(probes), "kind int, bucket int, chunk long, hashes binary, bits long, segment binary")
     none = F.lit(None)
     segments = counted.filter(F.col("kind") != CONTEXT).select("kind", "bucket", none.cast("long").alias("chunk"), none.cast("binary").alias("hashes"), "bits", "segment")
     sums = contexts.select(F.lit(UNIGRAM).alias("kind"), "bucket", none.cast("long").alias("chunk"), "hashes", none.cast("long").alias("bits"), F.col("sums").alias("segment"))
     # nulls first: a segment comes before all that is asked of it
     dealt = segments.unionByName(sums).unionByName(asked).repartition(shuffle_width(chunks.sparkSession), "kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk")
-    return materialize(dealt.mapInArrow(levels_of, "chunk long, kind int, bucket int, levels binary"), "lm-levels", CHUNKS_PER_BATCH)
+    return materialize(dealt.mapInArrow(worker.lean(levels_of), "chunk long, kind int, bucket int, levels binary"), "lm-levels", CHUNKS_PER_BATCH)
 
 
 #: Classes of contexts that get a share each, by factors of two of the denominator; class 0 has no followers.
@@ -459,13 +481,21 @@ def tune(train: DataFrame, model: Model) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(CLASSES), len(SHARES))), pa.array(np.tile(np.arange(len(SHARES)), CLASSES)), pa.array(sums.ravel())], names=["level", "k", "ll"])
 
     with held(train.sparkSession, WHILE_WRITING):
-        rows = train.select("own", "pair", "codes").mapInArrow(likelihood, "level long, k long, ll double").groupBy("level", "k").agg(F.sum("ll").alias("ll")).collect()
+        rows = train.select("own", "pair", "codes").mapInArrow(worker.lean(likelihood), "level long, k long, ll double").groupBy("level", "k").agg(F.sum("ll").alias("ll")).collect()
     table = np.zeros((CLASSES, len(SHARES)))
     for r in rows:
         table[r["level"], r["k"]] = r["ll"]
     return SHARES[table.argmax(axis=1)]
 
 
+def _ranks(h: np.ndarray) -> np.ndarray:
+    """The place of each hash among the sorted distinct ones."""
+    codes, distinct = pd.factorize(h)
+    rank = np.empty(len(distinct), np.int64)
+    rank[np.argsort(distinct)] = np.arange(len(distinct))
+    return rank[codes]
+
+
 LEVELLED = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, own binary, pair binary, codes binary, hash long, tf long"
 
 
@@ -484,7 +514,7 @@ def level_documents(chunks: DataFrame, answers: DataFrame, frequent: Broadcast)
             owner = np.repeat(np.arange(n), np.diff(offsets))
             level = {}
             for kind, grams in _kinds(h, before):
-                place = np.unique(grams, return_inverse=True)[1]
+                place = _ranks(grams)
                 width = 3 if kind == UNIGRAM else 1
                 level[kind] = np.frombuffer(b"".join(x[: len(x) // width] for x in parts[kind]), np.uint8)[place]
                 if kind == UNIGRAM:
@@ -525,7 +555,7 @@ def level_documents(chunks: DataFrame, answers: DataFrame, frequent: Broadcast)
     bodies = chunks.select("chunk", F.lit(None).cast("int").alias("kind"), F.lit(None).cast("int").alias("bucket"), F.col("body").alias("levels"))
     # nulls first: a chunk comes before its answers
     dealt = bodies.unionByName(answers).repartition(shuffle_width(chunks.sparkSession), "chunk").sortWithinPartitions("chunk", "kind", "bucket")
-    return materialize(dealt.mapInArrow(levelled, LEVELLED), "lm-scores")
+    return materialize(dealt.mapInArrow(worker.lean(levelled), LEVELLED), "lm-scores")
 
 
 def score_documents(docs: DataFrame, held_out: Column, settings: Settings | None = None) -> DataFrame:
@@ -546,7 +576,7 @@ def score_documents(docs: DataFrame, held_out: Column, settings: Settings | None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
     total_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     s = (settings or Settings()).for_bytes(total_bytes)
-    buckets = max(256, 4 * shuffle_width(spark), total_bytes // BUCKET_BYTES)
+    buckets = max(256, total_bytes // BUCKET_BYTES)
     counted = count_ngrams(rows.filter(~F.col("held_out")), s, buckets)
     unigrams = materialize(unigram_table(counted), "unigrams")
     total, distinct = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -579,7 +609,7 @@ def score_documents(docs: DataFrame, held_out: Column, settings: Settings | None
     log_c = F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)
     joined = counts.groupBy("uid").agg(F.sum(log_c).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
     norm = F.log10(F.lit(float(total)) + 0.5 * (F.lit(float(distinct)) + 1))
-    scored = main.drop("hash", "tf").mapInArrow(score, "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double")
+    scored = main.drop("hash", "tf").mapInArrow(worker.lean(score), "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double")
     return (
         materialize(scored, "lm-sums")
         .join(joined, "uid", "left")
