@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerwing.llm import bpe, language, mixing, multiprobe, nearjoin, ngramlm, sharding, suffixdedup, urlfilter, voronoi
+from ledgerwing.llm import bpe, fptree, language, mixing, multiprobe, nearjoin, ngramlm, repair, sharding, suffixdedup, urlfilter, voronoi
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fptree.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_digests(_read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_repeats": op1_repeats,
@@ -73,6 +81,8 @@ def queries() -> dict[str, Query]:
         "op8_near_join": op8_near_join,
         "op9_url_filter": op9_url_filter,
         "op10_bpe": op10_bpe,
+        "op12_ranked_search": op12_ranked_search,
+        "op13_repair": op13_repair,
     }
 
 
@@ -81,4 +91,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_topk": voronoi.ORACLE_SQL,
         "op5_mixing": mixing.oracle_sql(mixing.CORPUS_MIXTURE),
         "op9_url_filter": urlfilter.ORACLE_SQL,
+        "op12_ranked_search": fptree.ORACLE_SQL,
     }
