@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerwing.llm import bpe, fptree, language, mixing, multiprobe, nearjoin, ngramlm, repair, sharding, suffixdedup, urlfilter, voronoi
+from ledgerwing.llm import bpe, fptree, language, lexpack, mixing, multiprobe, nearjoin, ngramlm, repair, sharding, suffixdedup, urlfilter, voronoi
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexpack.packed_digests(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fptree.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -81,6 +85,7 @@ def queries() -> dict[str, Query]:
         "op8_near_join": op8_near_join,
         "op9_url_filter": op9_url_filter,
         "op10_bpe": op10_bpe,
+        "op11_packing": op11_packing,
         "op12_ranked_search": op12_ranked_search,
         "op13_repair": op13_repair,
     }
