@@ -19,65 +19,175 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwing.llm import worker
-from ledgerwing.llm.bpe import PieceCache
+from ledgerwing.llm.bpe import byte_alphabet
 from ledgerwing.llm.storage import drop_materialized, materialize, shuffle_width
+from ledgerwing.llm.textwords import LOWER, prefix_sums, substring_hashes
 
 WINDOW = 4096
 END_ID = 2
 #: Usual BM25 parameters: how soon a frequency saturates, and how much a document's length counts.
 K1, B = 1.2, 0.75
-#: A shard is closed once its documents have so many distinct tokens between them, counted by document.
-SHARD_POSTINGS = 1 << 17
-#: Characters of a text that are split at once, up to the next blank.
-SPLIT_CHARS = 1 << 17
+#: A shard is closed once its documents have so many tokens between them.
+SHARD_TOKENS = 1 << 18
+#: Bytes of text that are taken apart at once; a longer text goes in parts that end with a blank.
+BLOCK = 1 << 21
+#: Pieces that a worker remembers; then it starts anew.
+REMEMBERED = 800_000
 #: Bits of a sequence id below the partition's number.
 SEQUENCE_BITS = 36
 PART_KEYS = 3
 
-#: Fixed value: the pieces that the vocabulary's file takes words apart into; only for characters below U+0250, where
-#: white space is what is spelled out here.
-PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\x09-\x0D\x20\x85\xA0\p{L}\p{N}]+"""
-BLANKS = r"[\x09-\x0D\x20]"
+SPACE, LETTER, NUMBER, OTHER = range(4)
+#: What a byte belongs to; bytes of characters beyond ASCII are letters, but for those named below.
+CLASS = np.full(256, OTHER, np.uint8)
+CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = LETTER
+CLASS[range(0x30, 0x3A)] = NUMBER
+CLASS[[0x20, *range(0x09, 0x0E)]] = SPACE
+#: Second bytes of the characters U+0080 to U+00BF, and the two signs among U+00C0 to U+00FF.
+FIRST_LATIN = np.full(256, OTHER, np.uint8)
+FIRST_LATIN[[0xAA, 0xB5, 0xBA]] = LETTER
+FIRST_LATIN[[0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = NUMBER
+FIRST_LATIN[[0x85, 0xA0]] = SPACE
+SIGNS = (0x97, 0xB7)
+#: Bytes that a text may have to be taken apart here: those of characters below U+0240.
+USUAL = bytes(range(0xC9))
+#: A capital whose lower case has two characters.
+DOTTED = "İ".encode()
+ENDINGS_1, ENDINGS_2 = np.frombuffer(b"stmd", np.uint8), (b"re", b"ve", b"ll")
+
+
+def pieces(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces that the vocabulary's file takes lower-case text apart into.
+
+    Runs of letters, single numbers and runs of other signs; a lone apostrophe takes one of seven endings with it.
+    """
+    kind = CLASS[data]
+    at = np.flatnonzero(data == 0xC2)
+    kind[at] = kind[at + 1] = FIRST_LATIN[data[at + 1]]
+    at = np.flatnonzero(data == 0xC3)
+    at = at[np.isin(data[at + 1], SIGNS)]
+    kind[at] = kind[at + 1] = OTHER
+    new = np.ones(len(data), bool)
+    new[1:] = kind[1:] != kind[:-1]
+    new |= (kind == NUMBER) & ((data & 0xC0) != 0x80)
+    edges = np.append(np.flatnonzero(new), len(data))
+    starts, ends, kinds = edges[:-1], edges[1:].copy(), kind[edges[:-1]]
+    starts = starts.copy()
+    lone = np.flatnonzero((kinds[:-1] == OTHER) & (ends[:-1] - starts[:-1] == 1) & (data[starts[:-1]] == 0x27) & (kinds[1:] == LETTER))
+    head = starts[lone + 1]
+    taken = np.isin(data[head], ENDINGS_1).astype(np.int64)
+    second = np.minimum(head + 1, ends[lone + 1] - 1)
+    for a, b in ENDINGS_2:
+        taken[(data[head] == a) & (data[second] == b) & (second > head)] = 2
+    ends[lone] += taken
+    starts[lone + 1] += taken
+    keep = (kinds != SPACE) & (ends > starts)
+    return starts[keep], ends[keep]
 
 
 class WordTokens:
-    """Token ids of texts by a tokenizer file with word ends; its pieces are remembered, as most repeat.
+    """Token ids of texts by a tokenizer file with word ends; its pieces are remembered by hash, as most repeat.
 
-    Below U+0250 a text is in normal form as it is and its lower case does not depend on neighbours, so its pieces can be
-    encoded one by one. Other texts, and those that may hold a special token, go to the tokenizer whole.
+    Below U+0240 a text is in normal form as it is and its lower case does not depend on neighbours, so it is taken apart
+    in numpy and only pieces not met before go to the tokenizer's model. Other texts, and those that may hold a special token, go to
+    the tokenizer whole.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.unusual = regex.compile("[^\x00-ɏ]" + "".join("|" + regex.escape(s) for s in specials)).search
-        self.find = regex.compile(PIECES).findall
-        self.blank = regex.compile(BLANKS).search
-        self.cache = PieceCache(lambda piece: self.whole(piece).tobytes())
-
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
-
-    def _parts(self, text: str) -> Iterator[str]:
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.char_of = {byte: char for char, byte in byte_alphabet().items()}
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[int, int] = {}
+        self.first, self.count, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, self.kind)
+        self.used = 0
+
+    def whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind)
+
+    def usual(self, text: bytes) -> bool:
+        return not text.translate(None, USUAL) and DOTTED not in text and not any(s in text for s in self.specials)
+
+    def _learn(self, value: int, piece: bytes) -> int:
+        """Remember a piece's ids; its number."""
+        if piece.isascii():  # in lower case already
+            chars = piece.decode()
+            chars = chars if chars.isprintable() else chars.translate(self.char_of)
+        else:
+            chars = piece.decode("utf-8", "replace").lower().encode().decode("latin-1").translate(self.char_of)
+        ids = [t.id for t in self.tokenizer.model.tokenize(chars)]
+        n = self.place[value] = len(self.place)
+        if n == len(self.first):
+            self.first, self.count = np.resize(self.first, 2 * n), np.resize(self.count, 2 * n)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.first[n], self.count[n] = self.used, len(ids)
+        self.used += len(ids)
+        return n
+
+    def block(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of usual texts, taken apart together."""
+        data = LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
+        starts, ends = pieces(data)
+        if len(self.place) > REMEMBERED:
+            self.forget()
+        distinct, at, inverse = np.unique(substring_hashes(prefix_sums(data), starts, ends), return_index=True, return_inverse=True)
+        get = self.place.get
+        numbers = [get(h) for h in distinct.tolist()]
+        for k, n in enumerate(numbers):
+            if n is None:
+                i = at[k]
+                numbers[k] = self._learn(int(distinct[k]), data[starts[i] : ends[i]].tobytes())
+        number = np.array(numbers, np.int64)[inverse]
+        counts = self.count[number]
+        behind = np.cumsum(counts)
+        ids = self.flat[np.repeat(self.first[number] - (behind - counts), counts) + np.arange(behind[-1] if len(behind) else 0)]
+        borders = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])[:-1])
+        return np.split(ids, np.concatenate([[0], behind])[borders])
+
+    def _parts(self, text: bytes) -> Iterator[bytes]:
         """Parts of a long text, each up to a blank, as no piece spans one."""
         at = 0
         while at < len(text):
-            cut = self.blank(text, at + SPLIT_CHARS)
-            end = cut.end() if cut else len(text)
+            end = text.find(b" ", at + BLOCK)
+            end = len(text) if end < 0 else end + 1
             yield text[at:end]
             at = end
 
-    def ids(self, text: str) -> np.ndarray:
-        kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        if self.unusual(text):
-            return self.whole(text)
-        get = self.cache.__getitem__
-        return np.frombuffer(b"".join([b"".join(map(get, self.find(part.lower()))) for part in self._parts(text)]), kind)
+    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text, short ones in blocks."""
+        out: list[np.ndarray] = [np.zeros(0, self.kind)] * len(texts)
+        run: list[int] = []
+        size = 0
+
+        def flush() -> None:
+            for k, ids in zip(run, self.block([texts[k] for k in run]), strict=True):
+                out[k] = ids
+
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.usual(text):
+                out[k] = self.whole(text)
+            elif len(text) > BLOCK:
+                out[k] = np.concatenate([self.block([part])[0] for part in self._parts(text)])
+            else:
+                run.append(k)
+                size += len(text)
+                if size >= BLOCK:
+                    flush()
+                    run, size = [], 0
+        if run:
+            flush()
+        return out
 
 
 def _tokens(path: str) -> WordTokens:
@@ -85,26 +195,21 @@ def _tokens(path: str) -> WordTokens:
 
 
 def _encoded(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Texts to ids (little-endian uint32 without its upper half where the vocabulary allows), their order key, and a spread."""
+    """Texts to ids with end_id behind them (as bytes), a key by which documents of like tokens stand together, and a place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(path)
-        size = tokens.tokenizer.get_vocab_size()
-        mixed = [np.random.default_rng(20240307 + k).permutation(max(size, end_id + 1)).astype(np.int64) for k in range(PART_KEYS)]
+        size = max(tokens.tokenizer.get_vocab_size(), end_id + 1)
+        mixed = [np.random.default_rng(20240307 + k).permutation(size) for k in range(PART_KEYS)]
         row = TaskContext.get().partitionId() << 40
+        end = np.array([end_id], tokens.kind)
         for batch in batches:
-            ids, keys, counts = [], [], []
-            for text in batch.column("text").to_pylist():
-                own = tokens.ids(text.decode("utf-8", "replace")) if text else np.zeros(0, np.uint16)
-                own = np.append(own, np.array([end_id], own.dtype))
-                distinct = np.unique(own)
-                counts.append(len(distinct))
-                keys.append(sum(int(m[distinct].min()) << 20 * (PART_KEYS - 1 - k) for k, m in enumerate(mixed)))
-                ids.append(own.tobytes())
+            ids = [np.concatenate([own, end]) for own in tokens.ids([text or b"" for text in batch.column("text").to_pylist()])]
+            near = [sum(int(m[own].min()) << 20 * (PART_KEYS - 1 - k) for k, m in enumerate(mixed)) for own in ids]
             spread = np.arange(row, row + batch.num_rows)
             row += batch.num_rows
-            columns = [batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(counts, pa.int32()), pa.array(keys, pa.int64()), pa.array(spread)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "distinct", "near", "spread"])
+            columns = [batch.column("doc_id"), pa.array([own.tobytes() for own in ids], pa.binary()), pa.array(near, pa.int64()), pa.array(spread)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "near", "spread"])
         worker.return_memory(at_once=True)
 
     return run
@@ -248,14 +353,14 @@ def _packed(of: Statistics, kind: np.dtype, window: int) -> Callable[[Iterator[p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(window, TaskContext.get().partitionId() << SEQUENCE_BITS)
         docs: list[tuple[object, np.ndarray]] = []
-        postings = 0
+        held = 0
         for batch in batches:
-            for doc, ids, distinct in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), batch.column("distinct").to_pylist(), strict=True):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 docs.append((doc, np.frombuffer(ids, kind)))
-                postings += distinct
-                if postings >= SHARD_POSTINGS:
+                held += len(ids) // kind.itemsize
+                if held >= SHARD_TOKENS:
                     packer.pack(Shard(docs, of))
-                    docs, postings = [], 0
+                    docs, held = [], 0
                     if packer.out:
                         yield rows(packer.out)
                         packer.out = []
@@ -286,7 +391,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID)
     vocabulary = max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1)
     kind = np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    tokens = materialize(rows.mapInArrow(_encoded(path, end_id), "doc_id long, ids binary, distinct int, near long, spread long"), "pack-tokens")
+    tokens = materialize(rows.mapInArrow(_encoded(path, end_id), "doc_id long, ids binary, near long, spread long"), "pack-tokens")
     counts = {r["token"]: r["n"] for r in tokens.select("ids").mapInArrow(worker.lean(_frequencies(kind, vocabulary)), "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
     n = counts.pop(-1, 0)
     total = counts.pop(-2, 0)
@@ -295,7 +400,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID)
         df[token] = k
     of = Statistics(np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32), total / max(n, 1))
     order = ["near", "doc_id", "spread"]
-    ordered = tokens.repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order).select("doc_id", "ids", "distinct")
+    ordered = tokens.repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order).select("doc_id", "ids")
     packed = ordered.mapInArrow(
         worker.lean(_packed(of, kind, window)), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
     )

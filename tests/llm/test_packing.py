@@ -38,8 +38,9 @@ def ids_of(library, text: str | None) -> np.ndarray:
 
 
 def test_each_token_lies_in_one_piece(spark, library, monkeypatch):
-    monkeypatch.setattr(lexpack, "SHARD_POSTINGS", 4000)
-    monkeypatch.setattr(lexpack, "SPLIT_CHARS", 1000)
+    monkeypatch.setattr(lexpack, "SHARD_TOKENS", 8000)
+    monkeypatch.setattr(lexpack, "BLOCK", 1000)
+    monkeypatch.setattr(lexpack, "REMEMBERED", 50)
     table = spark.createDataFrame(rows(), "doc_id long, text string, ids int").repartition(3)
     found = [tuple(r) for r in lexpack.packed_digests(table, PATH).collect()]
     sequences = collections.defaultdict(list)
@@ -74,6 +75,15 @@ def test_each_token_lies_in_one_piece(spark, library, monkeypatch):
     assert want == collections.Counter({k: n for k, n in pieces.items() if k[0] != 302})
 
 
+def test_ids_are_the_librarys(library):
+    """Every character below U+0250 beside letters, numbers, signs and blanks, and endings after apostrophes."""
+    texts = [f"a{chr(c)}b 1{chr(c)}2 -{chr(c)}-  {chr(c)}{chr(c)} '{chr(c)}S x'{chr(c)}" for c in range(0x250)]
+    texts += ["'s't're'm'll'd''s '' 'lla 'l 'r 've've  can't've --'s x's's 's1 1's é's 'sé 'É ''re 're're", "'", "a'", "'ll", "x 'L", *ODD, *[t or "" for _, t, _ in rows()]]
+    tokens = lexpack.WordTokens(PATH)
+    for text, ids in zip(texts, tokens.ids([t.encode() for t in texts]), strict=True):
+        assert (text[:40], ids.tolist()) == (text[:40], library.encode(text, add_special_tokens=False).ids)
+
+
 def test_empty_table(spark):
     assert lexpack.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 
