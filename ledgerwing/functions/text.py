@@ -128,8 +128,8 @@ def dangerous_commands(command: Column, exit_code: Column) -> Column:
 
 
 def words3(text: Column) -> Column:
-    """Distinct lower-case words of three letters and more."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z]{3,})"), F.lit(1)))
+    """Distinct lower-case words of three word characters and more: letters of any script, digits, underscores."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{3,})"), F.lit(1)))
 
 
 def keyword_jaccard(a: Column, b: Column) -> Column:
@@ -198,11 +198,66 @@ def extract_symbols(files: DataFrame, key: str = "path", text: str = "source") -
     return rows.select(key, "line_number", kind.alias("kind"), F.regexp_extract("line", pattern, 2).alias("name"))
 
 
+# How routes, answers' types, status codes and path parameters are written.
+ROUTE = r"(?i)@(?:app|router)\.(get|post|put|patch|delete|head|options)\s*\(\s*[\"']([^\"']+)[\"']"
+METHODS_ROUTE = r"(?i)@(?:app|blueprint|bp)\s*\.route\s*\(\s*[\"']([^\"']+)[\"']\s*(?:,\s*methods\s*=\s*\[([^\]]*)\])?"
+RETURNS = r"\)\s*->\s*([\w\[\], |]+)\s*:"
+STATUS_CODES = (r"status_code\s*=\s*(\d{3})", r"HTTPException\s*\(\s*(\d{3})")
+PATH_PARAMETERS = (r"\{(\w+)\}", r"<(?:\w+:)?(\w+)>")
+#: Lines below a route that may hold the handler's answer type, and those that may hold its status codes.
+TYPE_LINES, CODE_LINES, HEADER_LINES = 4, 29, 2
+
+
+def response_type(below: Column) -> Column:
+    """html, binary, text or json, by the first answer type that the lines below a route name; json without one."""
+    named = F.get(F.filter(F.slice(below, 1, TYPE_LINES), lambda x: x.rlike(RETURNS)), F.lit(0))
+    kind = F.trim(F.regexp_extract(named, RETURNS, 1))
+    binary = kind.contains("FileResponse") | kind.contains("StreamingResponse")
+    return first_match([(kind.contains("HTML"), F.lit("html")), (binary, F.lit("binary")), (kind == "str", F.lit("text"))], F.lit("json"))
+
+
+def status_codes(below: Column) -> Column:
+    """200 and the codes that a handler names, in order; it ends with the first header or decorator after HEADER_LINES lines."""
+    ends = F.transform(below, lambda x, i: (i >= HEADER_LINES) & F.ltrim(x).rlike(r"^(?:def |class |@)"))
+    end = F.array_position(ends, F.lit(True))
+    own = F.when(end > 0, F.slice(below, 1, end.cast("int"))).otherwise(below)
+
+    def codes(pattern: str) -> Column:
+        return F.flatten(F.transform(own, lambda x: F.regexp_extract_all(x, F.lit(pattern), F.lit(1))))
+
+    named = F.concat(*map(codes, STATUS_CODES))
+    return F.sort_array(F.array_distinct(F.concat(F.array(F.lit(200)), F.transform(named, lambda x: x.cast("int")))))
+
+
 def extract_endpoints(files: DataFrame, key: str = "path", text: str = "source") -> DataFrame:
-    """key, line_number, method, route of decorated handlers."""
-    pattern = r"@\w+\.(get|post|put|delete|patch)\(\s*['\"]([^'\"]+)['\"]"
-    rows = lines(files, key, text).filter(F.col("line").rlike(pattern))
-    return rows.select(key, "line_number", F.upper(F.regexp_extract("line", pattern, 1)).alias("method"), normalize_route(F.regexp_extract("line", pattern, 2)).alias("route"))
+    """key, line_number, method, route, response_type, status_codes, parameters of each handler, two ways of writing them.
+
+    A route of one method is followed to its handler: the answer type within TYPE_LINES lines, codes within CODE_LINES. One
+    that lists methods gives a row each (GET without a list), json and no codes. Routes stay as written; normalize_route
+    makes them comparable. Lines leave the row only as findings.
+    """
+    ls = F.col("_lines")
+
+    def parameters(route: Column) -> Column:
+        return F.concat(*[F.regexp_extract_all(route, F.lit(p), F.lit(1)) for p in PATH_PARAMETERS])
+
+    def endpoint(x: Column, method: Column, route: Column, kind: Column, codes: Column) -> Column:
+        return F.struct((x["at"] + 1).alias("line_number"), F.upper(method).alias("method"), route.alias("route"), kind.alias("response_type"), codes.alias("status_codes"), parameters(route).alias("parameters"))
+
+    def single(x: Column) -> Column:
+        below = F.slice(ls, x["at"] + 2, CODE_LINES)
+        return F.array(endpoint(x, F.regexp_extract(x["line"], ROUTE, 1), F.regexp_extract(x["line"], ROUTE, 2), response_type(below), status_codes(below)))
+
+    def listed(x: Column) -> Column:
+        named = F.regexp_extract_all(F.regexp_extract(x["line"], METHODS_ROUTE, 2), F.lit(r"\"(\w+)\""), F.lit(1))
+        methods = F.when(F.size(named) > 0, named).otherwise(F.array(F.lit("GET")))
+        route = F.regexp_extract(x["line"], METHODS_ROUTE, 1)
+        return F.transform(methods, lambda m: endpoint(x, m, route, F.lit("json"), F.array().cast("array<int>")))
+
+    numbered = F.transform(ls, lambda line, i: F.struct(line.alias("line"), i.alias("at")))
+    hits = F.filter(numbered, lambda x: x["line"].rlike(ROUTE) | x["line"].rlike(METHODS_ROUTE))
+    found = F.flatten(F.transform(hits, lambda x: F.when(x["line"].rlike(ROUTE), single(x)).otherwise(listed(x))))
+    return files.withColumn("_lines", F.split(F.col(text), "\n")).select(key, F.explode(found).alias("e")).select(key, "e.*")
 
 
 def auto_detect(docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

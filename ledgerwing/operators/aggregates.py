@@ -35,13 +35,42 @@ def health(decisions: DataFrame, contradictions: DataFrame) -> DataFrame:
     return joined.withColumn("coherence", _r(F.when(F.col("active") == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("actionable") / F.greatest("active", F.lit(1))))))
 
 
+def band(coherence: Column) -> Column:
+    return F.when(coherence >= 0.8, "healthy").when(coherence >= 0.5, "degraded").otherwise("critical")
+
+
 def triage(decisions: DataFrame, contradictions: DataFrame) -> DataFrame:
-    """project, total, actionable, coherence on all decisions, band: 0.8 and more green, 0.5 and more yellow."""
+    """project, total, actionable, coherence on all decisions, status: 0.8 and more healthy, 0.5 and more degraded, else critical."""
     total = decisions.groupBy("project").agg(F.count("*").alias("total"))
     open_ = contradictions.filter(is_actionable()).groupBy("project").agg(F.count("*").alias("actionable"))
     out = total.join(open_, "project", "left").withColumn("actionable", F.coalesce("actionable", F.lit(0)))
-    out = out.withColumn("coherence", _r(F.greatest(F.lit(0.0), 1 - F.col("actionable") / F.col("total"))))
-    return out.withColumn("band", F.when(F.col("coherence") >= 0.8, "green").when(F.col("coherence") >= 0.5, "yellow").otherwise("red"))
+    coherence = F.greatest(F.lit(0.0), 1 - F.col("actionable") / F.col("total"))
+    return out.withColumn("coherence", _r(coherence)).withColumn("status", band(coherence))
+
+
+def top_contradictions(contradictions: DataFrame, k: int = 5) -> DataFrame:
+    """project, rank, id, verdict, confidence: a project's k gravest unresolved ones: contradictions first, then the surest, then by id."""
+    first = Window.partitionBy("project").orderBy(F.col("verdict") != "contradiction", F.desc("confidence"), "id")
+    open_ = contradictions.filter("status = 'unresolved'").withColumn("rank", F.row_number().over(first))
+    return open_.filter(F.col("rank") <= k).select("project", "rank", "id", "verdict", "confidence")
+
+
+def home(decisions: DataFrame, contradictions: DataFrame, alerts: DataFrame, timeline: DataFrame, assumptions: DataFrame) -> DataFrame:
+    """triage() of every project with active, unresolved, drifting_agent, drift, anomalous_calls, pending.
+
+    alerts: project, agent_id, score; the highest score above 0 counts, ties by agent. timeline: project, action, severity;
+    LLM calls of severity warning or critical are anomalous. assumptions: project, status; proposed ones are pending.
+    """
+    active = decisions.groupBy("project").agg(_n(F.col("status") == "active").alias("active"))
+    unresolved = contradictions.groupBy("project").agg(_n(F.col("status") == "unresolved").alias("unresolved"))
+    worst = alerts.filter("score > 0").groupBy("project").agg(F.max("score").alias("drift"), F.max_by("agent_id", F.struct("score", -F.col("agent_id"))).alias("drifting_agent"))
+    calls = timeline.groupBy("project").agg(_n((F.col("action") == "llm_call") & F.col("severity").isin("warning", "critical")).alias("anomalous_calls"))
+    pending = assumptions.groupBy("project").agg(_n(F.col("status") == "proposed").alias("pending"))
+    out = triage(decisions, contradictions)
+    for part in (active, unresolved, worst, calls, pending):
+        out = out.join(part, "project", "left")
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("active", "unresolved", "anomalous_calls", "pending")]
+    return out.select("project", "total", "actionable", "coherence", "status", *zero, "drifting_agent", F.coalesce("drift", F.lit(0.0)).alias("drift"))
 
 
 def timeline_summary(timeline: DataFrame, by: str = "agent_id") -> DataFrame:
@@ -215,22 +244,33 @@ def recurring_exceptions(exceptions: DataFrame, least: int = 3) -> DataFrame:
 
 
 def majority_vote(votes: DataFrame) -> DataFrame:
-    """pair_id, verdict, votes, agreement, confidence: the most frequent verdict; ties go to the first by name.
+    """pair_id, verdict, votes, agreement, confidence: the most frequent verdict; ties go to the one seen first.
 
-    confidence is the mean of the winning votes' confidence times the agreement.
+    votes: pair_id, round (their order, unique in a pair), verdict, confidence. confidence is the best of the winning votes times the agreement.
     """
-    per = votes.groupBy("pair_id", "verdict").agg(F.count("*").alias("n"), F.avg("confidence").alias("c"))
-    total = F.sum("n").over(Window.partitionBy("pair_id"))
-    rank = F.row_number().over(Window.partitionBy("pair_id").orderBy(F.desc("n"), "verdict"))
-    best = per.withColumn("total", total).withColumn("rank", rank).filter("rank = 1")
-    return best.select("pair_id", "verdict", F.col("n").alias("votes"), F.round(F.col("n") / F.col("total"), 3).alias("agreement"), F.round(F.col("c") * F.col("n") / F.col("total"), 3).alias("confidence"))
+    per = votes.groupBy("pair_id", "verdict").agg(F.count("*").alias("n"), F.max("confidence").alias("c"), F.min("round").alias("first"))
+    best = per.groupBy("pair_id").agg(F.sum("n").alias("total"), F.max_by(F.struct("verdict", "n", "c"), F.struct("n", -F.col("first"))).alias("w"))
+    agreement = F.col("w.n") / F.col("total")
+    return best.select("pair_id", "w.verdict", F.col("w.n").alias("votes"), F.round(agreement, 3).alias("agreement"), F.round(F.col("w.c") * agreement, 3).alias("confidence"))
 
 
 def quality_gate(decisions: DataFrame, bridge: DataFrame, contradictions: DataFrame) -> DataFrame:
-    """project, rule, severity, violations: open contradictions are errors, active decisions without dimension warnings."""
-    against = contradictions.filter(is_actionable()).groupBy("project").agg(F.count("*").alias("violations")).select("project", F.lit("no-new-contradictions").alias("rule"), F.lit("error").alias("severity"), "violations")
-    bare = decisions.filter("status = 'active'").join(bridge.select("id").distinct(), "id", "left_anti").groupBy("project").agg(F.count("*").alias("violations"))
-    return against.unionByName(bare.select("project", F.lit("dimensions-required").alias("rule"), F.lit("warning").alias("severity"), "violations"))
+    """project, rule, severity, field, violations of a project's open contradictions and of its active decisions.
+
+    An open contradiction is an error, an active decision without dimensions too; one without a rationale is a warning.
+    """
+    against = contradictions.filter(is_actionable()).groupBy("project").agg(F.count("*").alias("violations"))
+    tagged = bridge.select("id").distinct().withColumn("tagged", F.lit(True))
+    active = decisions.filter("status = 'active'").join(tagged, "id", "left")
+    told = F.array_compact(
+        F.array(
+            F.when(F.col("tagged").isNull(), F.struct(F.lit("error").alias("severity"), F.lit("dimensions").alias("field"))),
+            F.when(F.trim(F.coalesce("rationale", F.lit(""))) == "", F.struct(F.lit("warning").alias("severity"), F.lit("rationale").alias("field"))),
+        )
+    )
+    bare = active.select("project", F.explode(told).alias("t")).groupBy("project", "t.severity", "t.field").agg(F.count("*").alias("violations"))
+    first = against.select("project", F.lit("no-new-contradictions").alias("rule"), F.lit("error").alias("severity"), F.lit("").alias("field"), "violations")
+    return first.unionByName(bare.select("project", F.lit("decision-metadata").alias("rule"), "severity", "field", "violations"))
 
 
 # A dimension on the left needs one on the right.

@@ -291,19 +291,25 @@ def assumption_priority(findings: DataFrame, modules: DataFrame, churned: DataFr
     return best.crossJoin(most).select("id", F.round(centrality, 6).alias("centrality"), F.round(F.col("severity") * centrality * F.col("churn"), 6).alias("priority"))
 
 
-def missing_patterns(sets: DataFrame, itemsets: DataFrame) -> DataFrame:
-    """key, itemset, missing: sets that hold all of a frequent itemset but one item.
+def missing_patterns(sets: DataFrame, itemsets: DataFrame, least: float = 0.5) -> DataFrame:
+    """key, itemset, present, missing, confidence: frequent itemsets of which a set holds the share least or more, but not all.
 
     sets: key, items. itemsets (itemset: array) is a mined table of bounded size. Sets meet itemsets through the items
-    they share, so nothing is compared that has no item in common; a missing item already reported for a larger
-    itemset of the key is not repeated.
+    they share, so nothing is compared that has no item in common. Of the itemsets found for a key only those stay
+    that lie in no larger one: what a smaller one shows, the larger one shows too.
     """
     exploded = itemsets.select("itemset", F.size("itemset").alias("k"), F.explode("itemset").alias("item"))
-    have = sets.select("key", F.explode("items").alias("item"))
-    near = have.join(exploded, "item").groupBy("key", "itemset", "k").agg(F.count("*").alias("n")).filter("n = k - 1 and k >= 2")
-    found = near.join(sets, "key").select("key", "itemset", "k", F.element_at(F.array_except("itemset", "items"), 1).alias("missing"))
-    best = F.row_number().over(Window.partitionBy("key", "missing").orderBy(F.desc("k"), F.array_join("itemset", ",")))
-    return found.withColumn("rn", best).filter("rn = 1").select("key", F.array_join("itemset", ",").alias("itemset"), "missing")
+    have = sets.select("key", F.explode("items").alias("item")).distinct()
+    near = have.join(exploded, "item").groupBy("key", "itemset", "k").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("item")).alias("present"))
+    near = near.filter((F.col("n") < F.col("k")) & (F.col("n") / F.col("k") >= least))
+    found = near.groupBy("key").agg(F.collect_list(F.struct("itemset", "k", "n", "present")).alias("all"))  # as many as there are itemsets at most
+
+    def largest(x: Column) -> Column:
+        return ~F.exists("all", lambda y: (y["k"] > x["k"]) & (F.size(F.array_except(x["itemset"], y["itemset"])) == 0))
+
+    each = found.select("key", F.explode(F.filter("all", largest)).alias("x"))
+    lists = [F.array_join(c, ",").alias(n) for n, c in (("itemset", F.col("x.itemset")), ("present", F.col("x.present")), ("missing", F.array_except("x.itemset", "x.present")))]
+    return each.select("key", *lists, F.round(F.col("x.n") / F.col("x.k"), 2).alias("confidence"))
 
 
 def provenance_summary(edges: DataFrame) -> DataFrame:

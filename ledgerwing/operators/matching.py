@@ -82,21 +82,41 @@ def contract_violations(endpoints: DataFrame) -> DataFrame:
     return twice.unionByName(differ)
 
 
-# Technologies that exclude each other within one kind, by spelling.
-TECHNOLOGIES = {
-    "store": ("postgresql", "mysql", "sqlite", "mongodb", "dynamodb"),
-    "api": ("rest", "graphql", "grpc", "soap"),
-    "cache": ("redis", "memcached"),
-    "queue": ("kafka", "rabbitmq", "sqs"),
+# Names of technologies in a text, and the one name that several stand for.
+TECHNOLOGY = (
+    r"\b(postgres(?:ql)?|psycopg2?|asyncpg|sqlite\d?|aiosqlite|mysql|mariadb|pymysql|mongodb|pymongo|redis|cassandra|dynamodb|rest|graphql|grpc|websocket"
+    r"|docker|kubernetes|k8s|serverless|lambda|celery|rabbitmq|kafka|nats|sqs|jwt|oauth|saml|react|vue|angular|svelte|fastapi|flask|django|express|next\.?js"
+    r"|pytest|jest|vitest|mocha|asyncio|threading|multiprocessing|sqlalchemy|prisma|typeorm|sequelize)\b"
+)
+CANONICAL = {
+    "psycopg2": "postgresql",
+    "psycopg": "postgresql",
+    "asyncpg": "postgresql",
+    "postgres": "postgresql",
+    "sqlite3": "sqlite",
+    "aiosqlite": "sqlite",
+    "pymysql": "mysql",
+    "mariadb": "mysql",
+    "pymongo": "mongodb",
 }
+CONFLICT_CONFIDENCE = 0.6
 
 
-def tech_conflicts(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """pairs whose texts name different technologies of one kind, with the kind and confidence 0.6."""
-    found = []
-    for kind, names in TECHNOLOGIES.items():
-        pattern = F.lit(r"\b(" + "|".join(names) + r")\b")
-        x, y = [F.array_distinct(F.regexp_extract_all(F.lower(F.col(c)), pattern, F.lit(1))) for c in (a, b)]
-        found.append(F.when((F.size(x) > 0) & (F.size(y) > 0) & ~F.arrays_overlap(x, y), F.lit(kind)))
-    kinds = F.array_compact(F.array(*found))
-    return pairs.withColumn("kinds", kinds).filter(F.size("kinds") > 0).withColumn("confidence", F.lit(0.6))
+def technologies(title: Column, content: Column) -> Column:
+    """The technologies that a decision stands for, sorted: those of its title, and of its content before it says `do not`."""
+    body = F.lower(F.coalesce(content, F.lit("")))
+    stop = F.instr(body, "do not")
+    said = F.when(stop > 1, F.substring(body, F.lit(1), stop - 1)).otherwise(body)
+    found = F.regexp_extract_all(F.concat_ws(" ", F.lower(title), said), F.lit(f"(?U){TECHNOLOGY}"), F.lit(1))
+    names = F.create_map(*[F.lit(x) for pair in CANONICAL.items() for x in pair])
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.coalesce(F.element_at(names, x), x))))
+
+
+def tech_conflicts(pairs: DataFrame) -> DataFrame:
+    """pairs (a_title, a_content, b_title, b_content) whose decisions stand for technologies of which they share none.
+
+    technologies_a, technologies_b, verdict and confidence come in; a decision that names none conflicts with nothing.
+    """
+    both = pairs.withColumn("technologies_a", technologies(F.col("a_title"), F.col("a_content"))).withColumn("technologies_b", technologies(F.col("b_title"), F.col("b_content")))
+    hit = (F.size("technologies_a") > 0) & (F.size("technologies_b") > 0) & ~F.arrays_overlap("technologies_a", "technologies_b")
+    return both.filter(hit).withColumn("verdict", F.lit("contradiction")).withColumn("confidence", F.lit(CONFLICT_CONFIDENCE))

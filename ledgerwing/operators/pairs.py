@@ -49,7 +49,7 @@ def attention_position(rank: Column, n: Column) -> Column:
 def decision_graph(decisions: DataFrame, bridge: DataFrame, contradictions: DataFrame) -> DataFrame:
     """source, target, kind, weight: supersession, contradiction and shared-dimension edges."""
     supersedes = decisions.filter("supersedes is not null").select(F.col("id").alias("source"), F.col("supersedes").alias("target"), F.lit("supersedes").alias("kind"), F.lit(1.0).alias("weight"))
-    against = contradictions.filter("status = 'unresolved'").select(F.col("a_id").alias("source"), F.col("b_id").alias("target"), F.lit("contradiction").alias("kind"), F.col("confidence").alias("weight"))
+    against = contradictions.filter("status = 'unresolved' and verdict = 'contradiction'").select(F.col("a_id").alias("source"), F.col("b_id").alias("target"), F.lit("contradiction").alias("kind"), F.col("confidence").alias("weight"))
     shared = candidate_pairs(bridge).select(F.col("a_id").alias("source"), F.col("b_id").alias("target"), F.lit("shared").alias("kind"), F.col("shared_count").cast("double").alias("weight"))
     return supersedes.unionByName(against).unionByName(shared)
 
@@ -62,7 +62,7 @@ def blast_radius(decisions: DataFrame, bridge: DataFrame, contradictions: DataFr
     live = bridge.join(decisions.filter("valid").select("id"), "id").select("project", "dimension", F.col("id").alias("other"))
     met = bridge.select("project", "dimension", "id").join(live, ["project", "dimension"]).filter("id <> other")
     related = met.select("id", "other").distinct().withColumn("why", F.lit("related"))
-    against = contradictions.filter("status = 'unresolved'").select(F.explode(F.array(F.struct(F.col("a_id").alias("id"), F.col("b_id").alias("other")), F.struct(F.col("b_id").alias("id"), F.col("a_id").alias("other")))).alias("x"))
+    against = contradictions.filter("status = 'unresolved' and verdict = 'contradiction'").select(F.explode(F.array(F.struct(F.col("a_id").alias("id"), F.col("b_id").alias("other")), F.struct(F.col("b_id").alias("id"), F.col("a_id").alias("other")))).alias("x"))
     against = against.select("x.id", "x.other", F.lit("contradicting").alias("why"))
     later = decisions.filter("supersedes is not null").select(F.col("supersedes").alias("id"), F.col("id").alias("other"), F.lit("superseded_by").alias("why"))
     touched = related.unionByName(against).unionByName(later)
@@ -229,16 +229,17 @@ def shadow_servers(servers: DataFrame, known: DataFrame) -> DataFrame:
     return servers.join(k, "server", "left").select("server", F.coalesce("monitored", F.lit(False)).alias("monitored"))
 
 
-def evaluate_actions(requests: DataFrame, contradictions: DataFrame, bridge: DataFrame, most_constraints: int = 5) -> DataFrame:
+def evaluate_actions(requests: DataFrame, contradictions: DataFrame, bridge: DataFrame, decisions: DataFrame, most_constraints: int = 5) -> DataFrame:
     """request_id, allowed, blocked_by, constraints for actions (request_id, project, dimensions).
 
-    An unresolved contradiction of the project that shares a dimension blocks, the first by id; else the decisions of
-    those dimensions constrain the action, at most most_constraints of them by id.
+    An unresolved pair of the project with the verdict contradiction blocks where it shares a dimension, the first by id;
+    else the valid decisions of those dimensions constrain the action, at most most_constraints of them by id.
     """
     asked = requests.select("request_id", "project", F.explode("dimensions").alias("dimension"))
-    against = contradictions.filter("status = 'unresolved'").select("project", "id", F.explode("shared_dimensions").alias("dimension"))
+    against = contradictions.filter("status = 'unresolved' and verdict = 'contradiction'").select("project", "id", F.explode("shared_dimensions").alias("dimension"))
     blocked = asked.join(against, ["project", "dimension"]).groupBy("request_id").agg(F.min("id").alias("blocked_by"))
-    limits = asked.join(bridge, ["project", "dimension"]).select("request_id", "id").distinct()
+    valid = bridge.join(decisions.filter("valid").select("id"), "id", "left_semi")
+    limits = asked.join(valid, ["project", "dimension"]).select("request_id", "id").distinct()
     limits = limits.withColumn("n", F.row_number().over(Window.partitionBy("request_id").orderBy("id"))).filter(F.col("n") <= most_constraints)
     limits = limits.groupBy("request_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     joined = requests.select("request_id").join(blocked, "request_id", "left").join(limits, "request_id", "left")

@@ -124,12 +124,14 @@ def score_pairs(pairs: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame]
 
 
 def settle_votes(scored: DataFrame, votes: DataFrame) -> DataFrame:
-    """pair_id, verdict, confidence, voted: unsure pairs take the majority of their votes, if they have any.
+    """pair_id, verdict, confidence, voted: unsure pairs take the majority of their first verdict and their votes, if they have any.
 
-    scored: the output of score_pairs. votes: pair_id, verdict, confidence, a row a vote.
+    scored: the output of score_pairs. votes: pair_id, round (from 1), verdict, confidence, a row a vote.
     """
-    asked = votes.join(scored.filter("needs_vote").select("pair_id"), "pair_id", "left_semi")
-    won = majority_vote(asked).select("pair_id", F.col("verdict").alias("_verdict"), F.col("confidence").alias("_confidence"))
+    unsure = scored.filter("needs_vote")
+    asked = votes.join(unsure.select("pair_id"), "pair_id", "left_semi")
+    first = unsure.join(votes.select("pair_id"), "pair_id", "left_semi").select("pair_id", F.lit(0).alias("round"), "verdict", "confidence")
+    won = majority_vote(first.unionByName(asked.select("pair_id", "round", "verdict", "confidence"))).select("pair_id", F.col("verdict").alias("_verdict"), F.col("confidence").alias("_confidence"))
     joined = scored.join(won, "pair_id", "left")
     return joined.select("pair_id", F.coalesce("_verdict", "verdict").alias("verdict"), F.coalesce("_confidence", "confidence").alias("confidence"), F.col("_verdict").isNotNull().alias("voted"))
 

@@ -178,13 +178,40 @@ def health(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH a AS (SELECT project, count(*) AS total FROM decision GROUP BY project), o AS ({OPEN}),
-c AS (SELECT project, total, coalesce(actionable, 0) AS actionable, round(greatest(0.0, 1 - coalesce(actionable, 0) / total::DOUBLE), 6) AS coherence FROM a LEFT JOIN o USING (project))
-SELECT *, CASE WHEN coherence >= 0.8 THEN 'green' WHEN coherence >= 0.5 THEN 'yellow' ELSE 'red' END AS band FROM c
+c AS (SELECT project, total, coalesce(actionable, 0) AS actionable, greatest(0.0, 1 - coalesce(actionable, 0) / total::DOUBLE) AS x FROM a LEFT JOIN o USING (project))
+SELECT project, total, actionable, round(x, 6) AS coherence, CASE WHEN x >= 0.8 THEN 'healthy' WHEN x >= 0.5 THEN 'degraded' ELSE 'critical' END AS status FROM c
 """)
 def triage(spark: SparkSession, d: str) -> DataFrame:
     return agg.triage(v.decisions(spark, d), v.contradictions(spark, d))
 
 
+@query("""
+WITH r AS (SELECT project, id, verdict, confidence, row_number() OVER (PARTITION BY project ORDER BY CASE verdict WHEN 'contradiction' THEN 0 ELSE 1 END, confidence DESC, id) AS rank FROM contra WHERE status = 'unresolved')
+SELECT * FROM r WHERE rank <= 5
+""")
+def top_contradictions(spark: SparkSession, d: str) -> DataFrame:
+    return agg.top_contradictions(v.contradictions(spark, d))
+
+
+@query(f"""
+WITH a AS (SELECT project, count(*) AS total, count(*) FILTER (status = 'active') AS active FROM decision GROUP BY project), o AS ({OPEN}),
+u AS (SELECT project, count(*) AS unresolved FROM contra WHERE status = 'unresolved' GROUP BY project),
+w AS (SELECT user_id AS project, event_id % 7 AS agent, value - 100 AS score FROM events), h AS (SELECT project, max(score) AS drift FROM w WHERE score > 0 GROUP BY project),
+b AS (SELECT project, drift, min(agent) AS drifting_agent FROM w JOIN h USING (project) WHERE score = drift GROUP BY ALL),
+e AS (SELECT user_id AS project, count(*) FILTER (event_type = 'click' AND event_id % 3 < 2) AS anomalous_calls, count(*) FILTER (event_id % 4 = 3) AS pending FROM events GROUP BY user_id),
+c AS (SELECT a.*, coalesce(actionable, 0) AS actionable, greatest(0.0, 1 - coalesce(actionable, 0) / total::DOUBLE) AS x FROM a LEFT JOIN o USING (project))
+SELECT project, total, actionable, round(x, 6) AS coherence, CASE WHEN x >= 0.8 THEN 'healthy' WHEN x >= 0.5 THEN 'degraded' ELSE 'critical' END AS status, active, coalesce(unresolved, 0) AS unresolved,
+  coalesce(anomalous_calls, 0) AS anomalous_calls, coalesce(pending, 0) AS pending, drifting_agent, coalesce(drift, 0.0) AS drift FROM c LEFT JOIN u USING (project) LEFT JOIN b USING (project) LEFT JOIN e USING (project)
+""")
+def home(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("project", F.col("user_id"))
+    alerts = e.select("project", (F.col("event_id") % 7).alias("agent_id"), (F.col("value") - 100).alias("score"))
+    action = F.when(F.col("event_type") == "click", "llm_call").otherwise("shell_exec")
+    timeline = e.select("project", action.alias("action"), v.pick(("warning", "critical", "info"), F.col("event_id") % 3).alias("severity"))
+    assumed = e.select("project", v.pick(("validated", "rejected", "detected", "proposed"), F.col("event_id") % 4).alias("status"))
+    return agg.home(v.decisions(spark, d), v.contradictions(spark, d), alerts, timeline, assumed)
+
+
 @query("""
 WITH r AS (SELECT *, (judge_verdict = human_verdict)::INT::DOUBLE AS correct,
   CASE judge_verdict WHEN 'contradiction' THEN 2 WHEN 'tension' THEN 1 ELSE 0 END AS j, CASE human_verdict WHEN 'contradiction' THEN 2 WHEN 'tension' THEN 1 ELSE 0 END AS h,
@@ -284,11 +311,14 @@ def compare_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH g AS ({OPEN.replace('actionable', 'violations')})
-SELECT project, 'no-new-contradictions' AS rule, 'error' AS severity, violations FROM g
-UNION ALL SELECT project, 'dimensions-required', 'warning', count(*) FROM decision WHERE status = 'active' AND id NOT IN (SELECT id FROM bridge) GROUP BY project
+SELECT project, 'no-new-contradictions' AS rule, 'error' AS severity, '' AS field, violations FROM g
+UNION ALL SELECT project, 'decision-metadata', 'error', 'dimensions', count(*) FROM decision WHERE status = 'active' AND (id % 11 = 0 OR id NOT IN (SELECT id FROM bridge)) GROUP BY project
+UNION ALL SELECT project, 'decision-metadata', 'warning', 'rationale', count(*) FROM decision WHERE status = 'active' AND id % 9 < 2 GROUP BY project
 """)
 def quality_gate(spark: SparkSession, d: str) -> DataFrame:
-    return agg.quality_gate(v.decisions(spark, d), v.bridge(spark, d), v.contradictions(spark, d))
+    """Every eleventh decision has lost its dimensions; of nine one has a blank rationale and one none."""
+    rationale = F.when(F.col("id") % 9 == 0, "  ").when(F.col("id") % 9 > 1, "because")
+    return agg.quality_gate(v.decisions(spark, d).withColumn("rationale", rationale), v.bridge(spark, d).filter("id % 11 <> 0"), v.contradictions(spark, d))
 
 
 @query(f"""
@@ -323,15 +353,15 @@ def unresolved(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH r AS (SELECT o_orderkey AS request_id, o_custkey AS project, list(DISTINCT dimension) AS dims FROM orders JOIN bridge b ON b.id = o_orderkey GROUP BY ALL),
 a AS (SELECT request_id, project, unnest(dims) AS dimension FROM r),
-bl AS (SELECT request_id, min(c.id) AS blocked_by FROM a JOIN (SELECT *, unnest(shared_dimensions) AS dimension FROM contra WHERE status = 'unresolved') c USING (project, dimension) GROUP BY request_id),
-li AS (SELECT request_id, id, row_number() OVER (PARTITION BY request_id ORDER BY id) AS n FROM (SELECT DISTINCT request_id, b.id FROM a JOIN bridge b USING (project, dimension)))
-SELECT r.request_id, blocked_by IS NULL AS allowed, blocked_by, CASE WHEN blocked_by IS NULL THEN (SELECT list_sort(list(id)) FROM li WHERE li.request_id = r.request_id AND n <= 5) ELSE [] END AS constraints
+bl AS (SELECT request_id, min(c.id) AS blocked_by FROM a JOIN (SELECT *, unnest(shared_dimensions) AS dimension FROM contra WHERE status = 'unresolved' AND verdict = 'contradiction') c USING (project, dimension) GROUP BY request_id),
+li AS (SELECT request_id, id, row_number() OVER (PARTITION BY request_id ORDER BY id) AS n FROM (SELECT DISTINCT request_id, b.id FROM a JOIN bridge b USING (project, dimension) JOIN decision k ON k.id = b.id WHERE k.valid))
+SELECT r.request_id, blocked_by IS NULL AS allowed, blocked_by, CASE WHEN blocked_by IS NULL THEN coalesce((SELECT list_sort(list(id)) FROM li WHERE li.request_id = r.request_id AND n <= 5), []) ELSE [] END AS constraints
 FROM r LEFT JOIN bl USING (request_id)
 """)
 def evaluate_actions(spark: SparkSession, d: str) -> DataFrame:
     b = v.bridge(spark, d)
     asked = b.groupBy(F.col("id").alias("request_id"), "project").agg(F.collect_set("dimension").alias("dimensions"))
-    return pairs.evaluate_actions(asked, v.contradictions(spark, d), b)
+    return pairs.evaluate_actions(asked, v.contradictions(spark, d), b, v.decisions(spark, d))
 
 
 @query("""
@@ -354,17 +384,18 @@ def has_cycle(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT a_id || '-' || b_id AS pair_id, unnest([{'v': verdict, 'c': confidence}, {'v': CASE WHEN a_id % 2 = 0 THEN 'tension' ELSE verdict END, 'c': confidence / 2}, {'v': 'compatible', 'c': 0.5::DOUBLE}]) AS x FROM contra),
-g AS (SELECT pair_id, x.v AS verdict, count(*) AS n, avg(x.c) AS c FROM p GROUP BY ALL),
-r AS (SELECT *, sum(n) OVER (PARTITION BY pair_id) AS t, row_number() OVER (PARTITION BY pair_id ORDER BY n DESC, verdict) AS k FROM g)
-SELECT pair_id, verdict, n AS votes, round(n / t, 3) AS agreement, round(c * n / t, 3) AS confidence FROM r WHERE k = 1
+WITH p AS (SELECT a_id || '-' || b_id AS pair_id, unnest([{'r': 0, 'v': verdict, 'c': confidence}, {'r': 1, 'v': CASE WHEN a_id % 2 = 0 THEN 'tension' ELSE verdict END, 'c': confidence / 2}, {'r': 2, 'v': 'compatible', 'c': 0.5::DOUBLE}]) AS x FROM contra),
+g AS (SELECT pair_id, x.v AS verdict, count(*) AS n, max(x.c) AS c, min(x.r) AS f FROM p GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY pair_id) AS t, row_number() OVER (PARTITION BY pair_id ORDER BY n DESC, f) AS k FROM g)
+SELECT pair_id, verdict, n AS votes, round(n / t, 3) AS agreement, round(c * (n / t), 3) AS confidence FROM r WHERE k = 1
 """)
 def majority_vote(spark: SparkSession, d: str) -> DataFrame:
+    """Three votes a pair, of which all may differ: then the first one wins."""
     c = v.contradictions(spark, d)
     pair_id = F.concat_ws("-", F.col("a_id").cast("string"), F.col("b_id").cast("string")).alias("pair_id")
     votes = F.array(
-        F.struct(F.col("verdict").alias("v"), F.col("confidence").alias("c")),
-        F.struct(F.when(F.col("a_id") % 2 == 0, "tension").otherwise(F.col("verdict")).alias("v"), (F.col("confidence") / 2).alias("c")),
-        F.struct(F.lit("compatible").alias("v"), F.lit(0.5).alias("c")),
+        F.struct(F.lit(0).alias("r"), F.col("verdict").alias("v"), F.col("confidence").alias("c")),
+        F.struct(F.lit(1).alias("r"), F.when(F.col("a_id") % 2 == 0, "tension").otherwise(F.col("verdict")).alias("v"), (F.col("confidence") / 2).alias("c")),
+        F.struct(F.lit(2).alias("r"), F.lit("compatible").alias("v"), F.lit(0.5).alias("c")),
     )
-    return agg.majority_vote(c.select(pair_id, F.explode(votes).alias("x")).select("pair_id", F.col("x.v").alias("verdict"), F.col("x.c").alias("confidence")))
+    return agg.majority_vote(c.select(pair_id, F.explode(votes).alias("x")).select("pair_id", F.col("x.r").alias("round"), F.col("x.v").alias("verdict"), F.col("x.c").alias("confidence")))

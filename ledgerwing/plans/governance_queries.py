@@ -293,9 +293,10 @@ def frequent_itemsets(spark: SparkSession, d: str) -> DataFrame:
     return risk.frequent_itemsets(_item_sets(spark, d), 0.2).select(F.array_join("itemset", ",").alias("itemset"), "freq")
 
 
-@query(f"""WITH {PAIRSETS}, n AS (SELECT key, itemset, len(list_intersect(items, itemset)) AS hit, list_filter(itemset, lambda x: NOT list_contains(items, x))[1] AS missing FROM items, mined),
-r AS (SELECT *, row_number() OVER (PARTITION BY key, missing ORDER BY len(itemset) DESC, array_to_string(itemset, ',')) AS rn FROM n WHERE hit = len(itemset) - 1)
-SELECT key, array_to_string(itemset, ',') AS itemset, missing FROM r WHERE rn = 1""")
+@query(f"""WITH {PAIRSETS}, n AS (SELECT key, itemset, list_sort(list_intersect(items, itemset)) AS present FROM items, mined),
+f AS (SELECT * FROM n WHERE len(present) < len(itemset) AND len(present) / len(itemset)::DOUBLE >= 0.5)
+SELECT key, array_to_string(itemset, ',') AS itemset, array_to_string(present, ',') AS present, array_to_string(list_filter(itemset, lambda x: NOT list_contains(present, x)), ',') AS missing,
+  round(len(present) / len(itemset)::DOUBLE, 2) AS confidence FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.key = f.key AND len(g.itemset) > len(f.itemset) AND list_has_all(g.itemset, f.itemset))""")
 def missing_patterns(spark: SparkSession, d: str) -> DataFrame:
     sets = _item_sets(spark, d)
     return gov.missing_patterns(sets, risk.frequent_itemsets(sets, 0.2).select("itemset"))
@@ -475,18 +476,27 @@ def contract_violations(spark: SparkSession, d: str) -> DataFrame:
     return matching.contract_violations(p.select(F.col("p_brand").alias("service"), F.col("p_type").alias("method"), F.col("p_name").alias("route"), (F.col("p_size") % 3).alias("response_type")))
 
 
-TECH = ("Use PostgreSQL", "MySQL and Redis", "REST api", "GraphQL on memcached", "nothing")
+TECH = (
+    ("Use PostgreSQL", "Only via psycopg2."),
+    ("Store", "Postgres it is. Do not use MySQL or Redis."),
+    ("React front end", "with Next.js"),
+    ("Vue front end", None),
+    ("No names", "do not use kafka"),
+    ("do not use Celery", "do NOT"),
+)
 
 
 @query(f"""
-WITH p AS (SELECT a_id, b_id, {v._case(TECH, 'a_id % 5')} AS x, {v._case(TECH, 'b_id % 5')} AS y FROM pair),
-k AS (SELECT a_id, b_id, list_filter([CASE WHEN (x LIKE 'Use P%' AND y LIKE 'MySQL%') OR (y LIKE 'Use P%' AND x LIKE 'MySQL%') THEN 'store' END, CASE WHEN (x LIKE 'REST%' AND y LIKE 'Graph%') OR (y LIKE 'REST%' AND x LIKE 'Graph%') THEN 'api' END,
-  CASE WHEN (x LIKE 'MySQL%' AND y LIKE 'Graph%') OR (y LIKE 'MySQL%' AND x LIKE 'Graph%') THEN 'cache' END], lambda e: e IS NOT NULL) AS kinds FROM p)
-SELECT a_id, b_id, kinds, 0.6::DOUBLE AS confidence FROM k WHERE len(kinds) > 0
+WITH t(k, names) AS (VALUES (0, ['postgresql']), (1, ['postgresql']), (2, ['next.js', 'react']), (3, ['vue']), (4, ['kafka']), (5, ['celery']))
+SELECT a_id, b_id, x.names AS technologies_a, y.names AS technologies_b, 'contradiction' AS verdict, 0.6::DOUBLE AS confidence
+FROM pair JOIN t x ON x.k = a_id % 6 JOIN t y ON y.k = b_id % 6 WHERE len(x.names) > 0 AND len(y.names) > 0 AND NOT list_has_any(x.names, y.names)
 """)
 def tech_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    p = pairs.candidate_pairs(v.bridge(spark, d)).select("a_id", "b_id", v.pick(TECH, F.col("a_id") % 5).alias("x"), v.pick(TECH, F.col("b_id") % 5).alias("y"))
-    return matching.tech_conflicts(p, "x", "y").select("a_id", "b_id", "kinds", "confidence")
+    """A prohibition that begins a text is no prohibition, as nothing is said before it."""
+    titles, contents = tuple(t for t, _ in TECH), tuple(c or "" for _, c in TECH)
+    sides = [x for s in ("a", "b") for x in (v.pick(titles, F.col(f"{s}_id") % 6).alias(f"{s}_title"), F.nullif(v.pick(contents, F.col(f"{s}_id") % 6), F.lit("")).alias(f"{s}_content"))]
+    p = pairs.candidate_pairs(v.bridge(spark, d)).select("a_id", "b_id", *sides)
+    return matching.tech_conflicts(p).select("a_id", "b_id", "technologies_a", "technologies_b", "verdict", "confidence")
 
 
 @query("""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwing.functions import text
@@ -55,14 +55,31 @@ def question_text(spark: SparkSession, d: str) -> DataFrame:
     return review.question_text(table(spark, d, "events").select(F.col("event_id").alias("id"), category.alias("category"), F.col("props").alias("match")))
 
 
-@query(f"""WITH {ASSUMED} SELECT id, CASE WHEN id % 6 > 2 THEN status WHEN id % 6 = 0 THEN 'validated' WHEN id % 6 = 2 THEN 'deferred' ELSE 'rejected' END AS status,
-CASE WHEN id % 6 = 2 THEN TIMESTAMP '{v.AS_OF}' + INTERVAL 7 DAY END AS deferred_until FROM assumed""")
+@query(f"""WITH {ASSUMED}, s AS (SELECT id, CASE WHEN id % 8 = 3 THEN 'proposed' ELSE status END AS status, CASE WHEN id % 5 = 0 THEN ['yes', 'no', 'I need MORE context', 'other'] ELSE ['yes', 'no'] END AS options, id % 7 - 1 AS option FROM assumed),
+t AS (SELECT *, status IN ('detected', 'proposed') AND id % 3 < 2 AND option BETWEEN 0 AND len(options) - 1 AS taken FROM s),
+u AS (SELECT *, CASE WHEN NOT taken THEN status WHEN option = 0 THEN 'validated' WHEN option = 2 THEN 'deferred' ELSE 'rejected' END AS after FROM t)
+SELECT id, after AS status, CASE WHEN taken THEN option END AS selected_option, CASE WHEN taken THEN 'lead' END AS resolved_by, CASE WHEN taken THEN 'r' || id END AS rationale,
+  CASE WHEN taken THEN TIMESTAMP '{v.AS_OF}' END AS resolved_at, CASE WHEN taken AND after = 'deferred' THEN TIMESTAMP '{v.AS_OF}' + INTERVAL 7 DAY END AS deferred_until FROM u""")
 def resolve_assumptions(spark: SparkSession, d: str) -> DataFrame:
-    a = _assumptions(spark, d)
-    answers = a.filter("id % 6 < 3").select("id", (F.col("id") % 6).alias("option"))
+    """Two of three assumptions are answered, some with a number that is no option, some that were settled before."""
+    few, many = F.array(F.lit("yes"), F.lit("no")), F.array(F.lit("yes"), F.lit("no"), F.lit("I need MORE context"), F.lit("other"))
+    a = _assumptions(spark, d).withColumn("status", F.when(F.col("id") % 8 == 3, "proposed").otherwise(F.col("status"))).withColumn("options", F.when(F.col("id") % 5 == 0, many).otherwise(few))
+    answers = a.filter("id % 3 < 2").select("id", (F.col("id") % 7 - 1).alias("option"), F.lit("lead").alias("resolved_by"), F.concat(F.lit("r"), F.col("id").cast("string")).alias("rationale"))
     return review.resolve_assumptions(a, answers, v.as_of())
 
 
+KINDS = ("data_scope", "temporal", "access", "completeness", "configuration", "framework")
+
+
+@query(f"""WITH {ASSUMED}, s AS (SELECT id, {v._case(KINDS, 'id % 6')} AS category, repeat('word ' || id || ' ', 20) AS summary, CASE WHEN id % 5 > 0 THEN 'lead' END AS resolved_by FROM assumed WHERE status = 'validated')
+SELECT id AS assumption_id, 'Validated: ' || summary[1:80] AS title, summary || chr(10) || chr(10) || 'This is a validated ' || replace(category, '_', ' ') || ' constraint. Do not change this behavior without explicit approval.' || chr(10) || chr(10) || 'Rationale: Validated assumption: ' || summary AS content,
+  'Validated assumption: ' || summary AS rationale, ['database', 'state-management', 'auth', 'testing', 'deployment', 'api-style'][CAST(id % 6 AS INT) + 1] AS dimension, 'architectural' AS decision_type, coalesce(resolved_by, 'dashboard-user') AS made_by, 'agent' AS source_type FROM s""")
+def decisions_from_assumptions(spark: SparkSession, d: str) -> DataFrame:
+    summary = F.repeat(F.concat(F.lit("word "), F.col("id").cast("string"), F.lit(" ")), 20)
+    a = _assumptions(spark, d).withColumn("category", v.pick(KINDS, F.col("id") % 6)).withColumn("summary", summary).withColumn("resolved_by", F.when(F.col("id") % 5 > 0, "lead"))
+    return review.decisions_from(a)
+
+
 PIPE = f"""{ASSUMED}, keyed AS (SELECT *, category || '::' || file AS dedup_key FROM assumed), sure AS (SELECT * FROM keyed WHERE confidence >= 0.7),
 known AS (SELECT DISTINCT project, dedup_key FROM keyed WHERE id % 50 = 0), fresh AS (SELECT * FROM sure WHERE (project, dedup_key) NOT IN (SELECT (project, dedup_key) FROM known))"""
 
@@ -86,6 +103,48 @@ def assumption_counters(spark: SparkSession, d: str) -> DataFrame:
     return _pipeline(spark, d)[1]
 
 
+RUN = f"""{ASSUMED}, base AS (SELECT * EXCLUDE (category), ['data_scope', 'temporal', 'access'][CAST(id % 3 AS INT) + 1] AS category, 'told ' || id AS summary, 'm' || id AS match, 'k' || id % 400 AS dedup_key FROM assumed),
+known AS (SELECT DISTINCT project, dedup_key, CASE WHEN id % 2 = 0 THEN 'validated' ELSE 'rejected' END AS st FROM base WHERE project < 15 AND id % 9 = 0),
+shadow AS (SELECT pattern_id FROM base GROUP BY pattern_id HAVING pattern_id = 'p1' AND count(*) >= 20),
+told AS (SELECT b.*, CASE WHEN pattern_id IN (SELECT pattern_id FROM shadow) THEN 'shadowed' WHEN confidence < CASE category WHEN 'data_scope' THEN 0.4 ELSE 0.7 END THEN 'below_threshold'
+  WHEN EXISTS (SELECT 1 FROM known k WHERE k.project = b.project AND k.dedup_key = b.dedup_key AND st = 'validated') THEN 'pre_validated'
+  WHEN EXISTS (SELECT 1 FROM known k WHERE k.project = b.project AND k.dedup_key = b.dedup_key) THEN 'deduped' ELSE 'new' END AS outcome FROM base b),
+kf AS (SELECT *, count(*) OVER (PARTITION BY project, pattern_id, file) AS nf FROM told WHERE outcome = 'new'),
+kg AS (SELECT *, project || '::' || pattern_id || '::' || CASE WHEN nf > 10 THEN file ELSE regexp_replace(file, '/?[^/]*$', '') END AS cluster FROM kf),
+kr AS (SELECT *, count(*) OVER (PARTITION BY cluster) AS n, row_number() OVER (PARTITION BY cluster ORDER BY severity_rank DESC, confidence DESC, ts, id) AS rn FROM kg),
+degree AS (SELECT event_type AS module, count(DISTINCT user_id) AS k FROM events GROUP BY event_type), churned AS (SELECT file, 1 + count(*) / max(count(*)) OVER ()::DOUBLE AS factor FROM base GROUP BY file)"""
+
+
+def _run(spark: SparkSession, d: str) -> review.AssumptionRun:
+    e = table(spark, d, "events")
+    key = F.col("id").cast("string")
+    a = _assumptions(spark, d).withColumn("category", v.pick(("data_scope", "temporal", "access"), F.col("id") % 3))
+    a = a.withColumn("summary", F.concat(F.lit("told "), key)).withColumn("match", F.concat(F.lit("m"), key)).withColumn("dedup_key", F.concat(F.lit("k"), (F.col("id") % 400).cast("string")))
+    known = a.filter("project < 15 and id % 9 = 0").select("project", "dedup_key", F.when(F.col("id") % 2 == 0, "validated").otherwise("rejected").alias("status"))
+    told = F.array(F.lit("triggered"), F.when(F.col("pattern_id") == "p1", "rejected").otherwise("validated"))
+    events = a.select(F.col("pattern_id").alias("rule"), F.explode(told).alias("event"))
+    evidence = e.select(F.col("event_id").alias("id"), F.col("event_type").alias("module"))
+    modules = gov.module_in_degree(e.select(F.col("event_type").alias("module"), F.col("user_id").alias("path")))
+    churned = gov.churn(a.select(F.col("file").alias("path")))
+    return review.assumption_run(a, known, events, evidence, modules, churned)
+
+
+@query(f"""WITH {RUN}
+SELECT cluster, id, project, CASE WHEN n > 1 THEN '[' || n || 'x] ' || summary ELSE summary END AS summary, n, project >= 15 AS is_baseline, round(severity_rank * (1 + k / (SELECT max(k) FROM degree)::DOUBLE) * round(factor, 6), 4) AS priority, 'proposed' AS status
+FROM kr JOIN events ON event_id = id JOIN degree ON module = event_type JOIN churned USING (file) WHERE rn = 1""")
+def assumption_proposals(spark: SparkSession, d: str) -> DataFrame:
+    """The whole run; questions have a query of their own."""
+    return _run(spark, d).proposals.drop("question", "options").withColumn("priority", F.round("priority", 4))
+
+
+@query(f"""WITH {RUN}
+SELECT project, count(*) AS detected, count(*) FILTER (outcome = 'shadowed') AS shadowed, count(*) FILTER (outcome = 'below_threshold') AS below_threshold, count(*) FILTER (outcome = 'pre_validated') AS pre_validated,
+  count(*) FILTER (outcome = 'deduped') AS deduped, count(*) FILTER (outcome = 'new') AS new, (SELECT count(DISTINCT cluster) FROM kg WHERE kg.project = told.project) AS clusters,
+  round(coalesce(count(*) FILTER (outcome = 'new') / nullif((SELECT count(DISTINCT cluster) FROM kg WHERE kg.project = told.project), 0)::DOUBLE, 0.0), 6) AS compression FROM told GROUP BY project""")
+def assumption_run_counters(spark: SparkSession, d: str) -> DataFrame:
+    return _run(spark, d).counters
+
+
 @query("""
 WITH t AS (SELECT event_id AS id, json_extract_string(props, '$.k') AS table_name, event_type AS path FROM events)
 SELECT id, table_name FROM t WHERE table_name NOT IN (SELECT table_name FROM t WHERE table_name IS NOT NULL GROUP BY table_name HAVING count(DISTINCT path) > 1)
@@ -136,14 +195,16 @@ def pattern_violations(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH w AS (SELECT p_partkey AS path, unnest(string_split(p_name, ' ')) AS word FROM part), l AS (SELECT c_custkey AS id, unnest(list_distinct(regexp_extract_all(lower(c_mktsegment || ' ring'), '[a-z0-9]{3,}'))) AS word FROM customer WHERE c_custkey % 20 = 0),
-h AS (SELECT DISTINCT id, path FROM l JOIN w USING (word)), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY path) AS n FROM h)
+WITH f AS (SELECT p_partkey AS path, upper(p_name) || p_partkey AS content FROM part),
+l AS (SELECT c_custkey AS id, unnest(CASE c_custkey % 4 WHEN 0 THEN ['ring'] WHEN 1 THEN ['old', 'ear1'] WHEN 2 THEN ['lue'] ELSE [] END) AS word FROM customer WHERE c_custkey % 20 < 4),
+h AS (SELECT DISTINCT id, path FROM l JOIN f ON contains(lower(content), word)), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY path) AS n FROM h)
 SELECT id, path FROM r WHERE n <= 20
 """)
 def affected_files(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "part").select(F.col("p_partkey").alias("path"), F.explode(F.split("p_name", " ")).alias("word"))
-    losers = table(spark, d, "customer").filter("c_custkey % 20 = 0").select(F.col("c_custkey").alias("id"), F.concat("c_mktsegment", F.lit(" ring")).alias("title"))
-    return review.affected_files(losers, words)
+    """Superseded titles with keywords that occur inside longer words, and one of common words alone; of the customers whose id modulo 20 is below four."""
+    files = table(spark, d, "part").select(F.col("p_partkey").alias("path"), F.concat(F.upper("p_name"), F.col("p_partkey").cast("string")).alias("content"))
+    title = v.pick(("Use the RING", "old API for ear1", "lue of in 12", "use the api"), F.col("c_custkey") % 4)
+    return review.affected_files(table(spark, d, "customer").filter("c_custkey % 20 < 4").select(F.col("c_custkey").alias("id"), title.alias("title")), files)
 
 
 @query("""
@@ -228,15 +289,20 @@ def score_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH p AS (SELECT a_id || '-' || b_id AS pair_id, a_id, length(a_id::VARCHAR) = length(b_id::VARCHAR) AS same FROM pair WHERE shared_count > 1)
-SELECT pair_id, CASE WHEN same THEN 'compatible' WHEN a_id % 2 = 0 THEN 'contradiction' ELSE 'tension' END AS verdict, CASE WHEN same THEN 0.9 WHEN a_id % 2 = 0 THEN round(0.8 * 2 / 3.0, 3) ELSE 0.5 END::DOUBLE AS confidence, NOT same AND a_id % 2 = 0 AS voted FROM p
+SELECT pair_id, CASE WHEN same THEN 'compatible' WHEN a_id % 4 = 2 THEN 'contradiction' ELSE 'tension' END AS verdict,
+  CASE WHEN same THEN 0.9 WHEN a_id % 4 = 2 THEN round(0.9 * 2 / 4.0, 3) WHEN a_id % 4 = 0 THEN round(0.8 * 2 / 4.0, 3) ELSE 0.5 END::DOUBLE AS confidence, NOT same AND a_id % 2 = 0 AS voted FROM p
 """)
 def settle_votes(spark: SparkSession, d: str) -> DataFrame:
-    """Of every other pair three judges vote, two against one; the scores of sure pairs stand."""
+    """Of every other pair three judges vote beside the first verdict, tension: two are against it, or one is with it and two tie with both."""
     p = pairs.candidate_pairs(v.bridge(spark, d)).filter("shared_count > 1")
     pair_id = F.concat_ws("-", F.col("a_id").cast("string"), F.col("b_id").cast("string")).alias("pair_id")
     scored = risk.score_pairs(p.select(pair_id, F.lit(0.5).alias("similarity"), F.concat(F.lit("Decision "), "a_id").alias("text_a"), F.concat(F.lit("Decision "), "b_id").alias("text_b")), _by_length)
-    said = F.array(*[F.struct(F.lit(verdict).alias("verdict"), F.lit(c).alias("confidence")) for verdict, c in (("contradiction", 0.9), ("contradiction", 0.7), ("compatible", 0.9))])
-    votes = p.filter("a_id % 2 = 0").select(pair_id, F.explode(said).alias("s")).select("pair_id", "s.*")
+
+    def said(*votes: tuple[str, float]) -> Column:
+        return F.array(*[F.struct(F.lit(n + 1).alias("round"), F.lit(verdict).alias("verdict"), F.lit(c).alias("confidence")) for n, (verdict, c) in enumerate(votes)])
+
+    against, tied = said(("contradiction", 0.9), ("contradiction", 0.7), ("compatible", 0.9)), said(("compatible", 0.9), ("compatible", 0.7), ("tension", 0.8))
+    votes = p.filter("a_id % 2 = 0").select(pair_id, F.explode(F.when(F.col("a_id") % 4 == 2, against).otherwise(tied)).alias("s")).select("pair_id", "s.*")
     return risk.settle_votes(scored, votes)
 
 

@@ -125,14 +125,15 @@ def evidence_bundle(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-#: Configuration files: name, text, and (rule, line number) of each finding.
+#: Configuration files: name, text, and (rule, line number, resource) of each finding.
 INFRA = (
-    ("main.tf", 'cidr = "0.0.0.0/0"\nencrypted = false', (("open_ingress", 1), ("unencrypted", 2))),
-    ("Dockerfile", "FROM x:latest\nUSER app", (("latest_base", 1),)),
-    ("k8s/pod.yaml", "image: web:latest\nprivileged: true\nlimits: 1", (("latest_image", 1), ("privileged", 2))),
-    (".github/workflows/ci.yml", "uses: a/b@main\npermissions: write-all", (("floating_action", 1), ("write_all", 2))),
-    ("app.py", 'cidr = "0.0.0.0/0"', ()),
-    ("api/Dockerfile", "FROM y:1\nADD https://z/k /k", (("no_user", 1), ("remote_add", 2))),
+    ("main.tf", 'password = "hunter22"\n  token = "x"\nactions = ["*"]\ninstance_type = "m5.24xlarge"\ninstance_type = "t3.small"\npublicly_accessible = TRUE', (("hardcoded_credential", 1, ""), ("wildcard_action", 3, ""), ("large_instance", 4, "m5.24xlarge"), ("public_access", 6, ""))),
+    ("Dockerfile", "from Ubuntu:22.04\nFROM debian:slim\nUSER root\nADD https://z/k /k\nADD k /k", (("large_base", 1, "ubuntu:22.04"), ("root_user", 3, ""), ("remote_add", 4, ""))),
+    ("k8s/pod.yaml", "image: web:latest\n  privileged: true\nhostNetwork: true\nresources:\n" + "a: 1\n" * 9 + "limits: 1\nresources:\n" + "a: 1\n" * 10 + "limits: 2", (("latest_image", 1, ""), ("privileged", 2, ""), ("host_network", 3, ""), ("no_limits", 15, ""))),
+    (".github/workflows/ci.yml", "- uses: a/b@main\n- uses: a/c\n  run: Echo ${{ secrets.KEY }}\n  key: ${{ secrets.KEY }}", (("unpinned_action", 2, "a/c"), ("echoed_secret", 3, ""))),
+    ("app.py", 'password = "hunter22"', ()),
+    ("api/Dockerfile.dev", "FROM alpine:3\nUSERS x", (("no_user", 0, ""),)),
+    ("x.yml", "apiVersion: v1\nkind: Pod\nhostNetwork: true", (("host_network", 3, ""),)),
 )
 
 
@@ -143,11 +144,14 @@ def _by_event(spark: SparkSession, d: str, names: tuple[str, ...], sources: tupl
     return table(spark, d, "events").select(path.alias("path"), v.pick(sources, k).alias("source"))
 
 
-@query(f"""WITH r(k, name, rule, line_number) AS (VALUES {', '.join(f"({k}, '{name}', '{rule}', {line})" for k, (name, _, found) in enumerate(INFRA) for rule, line in found)})
-SELECT 'e' || event_id || '/' || name AS path, rule, line_number FROM events JOIN r ON k = event_id % {len(INFRA)}""")
+_INFRA = ", ".join(f"({k}, '{name}', '{rule}', {line}, '{resource}')" for k, (name, _, found) in enumerate(INFRA) for rule, line, resource in found)
+
+
+@query(f"""WITH r(k, name, rule, line_number, resource) AS (VALUES {_INFRA})
+SELECT 'e' || event_id || '/' || name AS path, rule, line_number, resource FROM events JOIN r ON k = event_id % {len(INFRA)}""")
 def scan_infra(spark: SparkSession, d: str) -> DataFrame:
     files = _by_event(spark, d, tuple(x[0] for x in INFRA), tuple(x[1] for x in INFRA))
-    return code.scan_infra(files).select("path", "rule", "line_number")
+    return code.scan_infra(files).select("path", "rule", "line_number", "resource")
 
 
 ASYNC = ("async def f():\n    await x\ndef g():\n    await y\n    return 1", "def f():\n    return 1", "async def f():\n    await x\n    await y")
@@ -158,15 +162,22 @@ def await_in_sync(spark: SparkSession, d: str) -> DataFrame:
     return code.await_in_sync(_by_event(spark, d, ("a.py",) * 3, ASYNC)).select("path", "line_number")
 
 
-ROUTES = ('@app.get("/a/{id}/")\ndef f(): pass\n\n@api.post("/b/:name")\nasync def g(): pass', "x = 1", '@app.route("/c")\ndef h(): pass\n@app.delete("/d/<int:k>/e")\ndef k(): pass')
+ROUTES = (
+    '@app.get("/a/{id}/")\ndef f(id: int,\n      x) -> HTMLResponse:\n    raise HTTPException(404)\n    return X(status_code=201)\n@router.post("/b/<int:k>")\nasync def g(k) -> str: pass\nraise HTTPException(500)\ndef other():\n    raise HTTPException(409)',
+    "x = 1",
+    '@app.route("/c/<name>", methods=["GET", "PUT"])\ndef h(): pass\n@bp.route("/d")\ndef i(): pass\n@api.get("/e")\n@router.head("/f")\n\n\n\n\ndef k() -> str: pass',
+)
 
 
 @query("""
-WITH r(k, line_number, method, route) AS (VALUES (0, 1, 'GET', '/a/{param}'), (0, 4, 'POST', '/b/{param}'), (2, 3, 'DELETE', '/d/{param}/e'))
-SELECT 'e' || event_id || '/a.py' AS path, line_number, method, route FROM events JOIN r ON k = event_id % 3
+WITH r(k, line_number, method, route, response_type, status_codes, parameters) AS (VALUES (0, 1, 'GET', '/a/{id}/', 'html', '200,201,404', 'id'), (0, 6, 'POST', '/b/<int:k>', 'text', '200,500', 'k'),
+  (2, 1, 'GET', '/c/<name>', 'json', '', 'name'), (2, 1, 'PUT', '/c/<name>', 'json', '', 'name'), (2, 3, 'GET', '/d', 'json', '', ''), (2, 6, 'HEAD', '/f', 'json', '200', ''))
+SELECT 'e' || event_id || '/a.py' AS path, r.* EXCLUDE (k) FROM events JOIN r ON k = event_id % 3
 """)
 def extract_endpoints(spark: SparkSession, d: str) -> DataFrame:
-    return text.extract_endpoints(_by_event(spark, d, ("a.py",) * 3, ROUTES)).select("path", "line_number", "method", "route")
+    found = text.extract_endpoints(_by_event(spark, d, ("a.py",) * 3, ROUTES))
+    lists = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("status_codes", "parameters")]
+    return found.select("path", "line_number", "method", "route", "response_type", *lists)
 
 
 SPECS = ("Requests[socks]>=2.0; python_version > '3'", "  numpy", "my.pkg_x==1", "-r other.txt", "Django ~= 4")

@@ -190,7 +190,7 @@ def dangerous_commands(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", found.alias("x")).select("event_id", "x.*")
 
 
-WORDS3 = "list_distinct(regexp_extract_all(lower({0}), '[a-z]{{3,}}'))"
+WORDS3 = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]{{3,}}'))"
 
 
 @query(f"""

@@ -189,9 +189,6 @@ def test_code_rules(spark):
         ("c.py", None),
     ]
     df = spark.createDataFrame(files, "path string, source string")
-    assert sorted((r["path"], r["line_number"], r["rule"]) for r in code.scan_assumptions(df).collect()) == [("a.py", 5, "fixed_wait"), ("a.py", 11, "bare_except")]
-    found = sorted((r["path"], r["line_number"], r["rule"]) for r in code.scan_infra(df).collect())
-    assert found == [("Dockerfile", 1, "latest_base"), ("Dockerfile", 1, "no_user"), ("k8s/a.yaml", 24, "no_limits"), ("k8s/a.yaml", 25, "privileged")]
     assert [(r["path"], r["line_number"]) for r in code.await_in_sync(df).collect()] == [("a.py", 6)]
     features = {r["name"]: r["features"] for r in code.function_features(df).collect()}
     assert features == {"g": ["try_except"]}
