@@ -146,12 +146,13 @@ def assumption_run_counters(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT event_id AS id, json_extract_string(props, '$.k') AS table_name, event_type AS path FROM events)
-SELECT id, table_name FROM t WHERE table_name NOT IN (SELECT table_name FROM t WHERE table_name IS NOT NULL GROUP BY table_name HAVING count(DISTINCT path) > 1)
+WITH t AS (SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 't' || user_id ELSE 'own' || event_id END AS table_name, event_type AS path FROM events)
+SELECT id, table_name FROM t WHERE table_name NOT IN (SELECT table_name FROM t GROUP BY table_name HAVING count(DISTINCT path) > 1)
 """)
 def drop_multi_writer(spark: SparkSession, d: str) -> DataFrame:
-    """Every finding against every write."""
-    t = table(spark, d, "events").select(F.col("event_id").alias("id"), F.get_json_object("props", "$.k").alias("table_name"), F.col("event_type").alias("path"))
+    """Every finding against every write; half of the tables have one writer alone."""
+    name = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("t"), F.col("user_id").cast("string"))).otherwise(F.concat(F.lit("own"), F.col("event_id").cast("string")))
+    t = table(spark, d, "events").select(F.col("event_id").alias("id"), name.alias("table_name"), F.col("event_type").alias("path"))
     return review.drop_multi_writer(t.select("id", "table_name"), t.select("path", "table_name"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwing.plans.catalog import ORACLES, query
@@ -127,7 +127,8 @@ def absence_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT event_id, signature AS detail FROM ({ORACLES['loops']})")
 def loop_stream(spark: SparkSession, d: str) -> DataFrame:
-    return run(spark, d, monitors.monitor_stream).filter("alert = 'loop'").select("event_id", "detail")
+    """As loops: targets are told apart by their first digit."""
+    return run(spark, d, lambda s: monitors.monitor_stream(s.withColumn("target", F.substring("target", 1, 2)))).filter("alert = 'loop'").select("event_id", "detail")
 
 
 @query(f"SELECT event_id FROM ({ORACLES['thrash']})")
@@ -142,3 +143,47 @@ def causal_collision_stream(spark: SparkSession, d: str) -> DataFrame:
     found = run(spark, d, lambda s: monitors.collision_stream(s.withColumnRenamed("action", "dimension")))
     links = found.filter("a_event % 2 = 0 and b_event % 2 = 1").select(F.col("a_event").alias("source"), F.col("b_event").alias("target"))
     return run(spark, d, lambda s: monitors.collision_stream(s.withColumnRenamed("action", "dimension"), causal=links))
+
+
+#: Files of each part of a staged stream; a micro-batch takes one part.
+STAGED_FILES = 4
+
+
+def _staged(spark: SparkSession, d: str, late: Column) -> DataFrame:
+    """The events as a stream of four parts by id, one a micro-batch; rows of the first part that are late come with the last."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    most = events.agg(F.max("event_id")).first()[0] or 0
+    quarter = F.floor(F.col("event_id") * 4 / F.lit(most + 1))
+    part = F.when((quarter == 0) & late, 3).otherwise(quarter)
+    folder = _folder(spark)
+    for k in range(4):  # files are taken in the order of their writing
+        events.filter(part == k).repartition(STAGED_FILES).write.parquet(f"{folder}/part{k}")
+    raw = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", STAGED_FILES).parquet(f"{folder}/part*")
+    return raw.select("event_id", F.col("user_id").alias("agent_id"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query("""
+WITH p AS (SELECT event_id, ts, CASE WHEN event_id * 4 // (max(event_id) OVER () + 1) = 0 AND event_id % 37 = 0 THEN 3 ELSE event_id * 4 // (max(event_id) OVER () + 1) END AS part FROM events),
+w AS (SELECT k.part, (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM p WHERE p.part < k.part - 1) AS mark FROM (SELECT DISTINCT part FROM p) k)
+SELECT count(*) AS read, count(*) FILTER (ts <= mark) AS dropped, count(*) - count(*) FILTER (ts <= mark) AS kept FROM p JOIN w USING (part)
+""")
+def lateness_losses(spark: SparkSession, d: str) -> DataFrame:
+    """Rows read, dropped as late and kept by a stream whose first part has stragglers; a batch is held against the mark that the one before it began with."""
+    stream = monitors.with_lateness(_staged(spark, d, F.col("event_id") % 37 == 0)).dropDuplicatesWithinWatermark(["event_id"])
+    out = _folder(spark)
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("append").parquet(out + "/rows")
+
+    with monitors.Losses(spark) as losses:
+        running = stream.writeStream.foreachBatch(write).option("checkpointLocation", out + "/log").trigger(availableNow=True).start()
+        running.awaitTermination()
+        read, dropped = losses.of(str(running.runId))
+    kept = spark.read.schema(stream.schema).parquet(out + "/rows").agg(F.count("*").alias("kept"))
+    return kept.select(F.lit(read).cast("long").alias("read"), F.lit(dropped).cast("long").alias("dropped"), "kept")
+
+
+@query(f"SELECT * FROM ({ORACLES['agent_sessions']}) WHERE ended <= (SELECT max(ts) FROM event) - INTERVAL 10 MINUTE")
+def session_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions that the watermark has closed by the end of four micro-batches; open ones are held back."""
+    return finished(spark, monitors.sessions(_staged(spark, d, F.lit(False)), "12 hours"))

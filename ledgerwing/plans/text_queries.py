@@ -46,9 +46,13 @@ def _scan_sql(patterns: tuple[tuple[str, str], ...]) -> str:
 hit AS ({' UNION ALL '.join(parts)})"""
 
 
-@query(f"WITH {_scan_sql(text.PHI)} SELECT *, CASE WHEN pattern_name IN ('ssn', 'mrn') THEN 'high' ELSE 'medium' END AS severity FROM hit")
+@query(f"""WITH documents AS (SELECT doc_id, text || CASE WHEN doc_id % 7 = 0 THEN chr(10) || 'ssn 123-45-' || (1000 + doc_id % 9000) || ' mrn: 12345678' WHEN doc_id % 7 = 1 THEN chr(10) || 'DOB 1/2/1990, 555-123-4567, me@clinic.org, e11.9, NPI 1234567890' ELSE '' END AS text FROM documents),
+{_scan_sql(text.PHI)} SELECT *, CASE WHEN pattern_name IN ('ssn', 'mrn') THEN 'high' ELSE 'medium' END AS severity FROM hit""")
 def scan_phi(spark: SparkSession, d: str) -> DataFrame:
-    return text.scan_phi(_docs(spark, d))
+    """Whole documents; two of seven end with a line of planted health data."""
+    number = F.concat(F.lit("\nssn 123-45-"), (F.col("doc_id") % 9000 + 1000).cast("string"), F.lit(" mrn: 12345678"))
+    planted = F.when(F.col("doc_id") % 7 == 0, number).when(F.col("doc_id") % 7 == 1, "\nDOB 1/2/1990, 555-123-4567, me@clinic.org, e11.9, NPI 1234567890").otherwise("")
+    return text.scan_phi(_docs(spark, d).select("doc_id", F.concat("text", planted).alias("text")))
 
 
 LUHN = """(SELECT sum(CASE WHEN i % 2 = 1 THEN x WHEN x * 2 > 9 THEN x * 2 - 9 ELSE x * 2 END) % 10 = 0 FROM (
@@ -222,7 +226,8 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_number FROM documents),
+WITH docs AS (SELECT doc_id, text || CASE WHEN doc_id % 5 = 0 THEN chr(10) || '## Part ' || doc_id || chr(10) || '1. first thing' || chr(10) || '- x' || chr(10) || 'It runs. You must stop! We require more? No.' ELSE '' END AS text FROM documents),
+line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_number FROM docs),
 l AS (SELECT doc_id, line_number, trim(line) AS line, regexp_matches(trim(line), '^#{1,6}\\s+.+$') AS header FROM line),
 s AS (SELECT *, coalesce(last_value(CASE WHEN header THEN trim(regexp_replace(line, '^#{1,6}\\s+', '')) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_number ROWS UNBOUNDED PRECEDING), '') AS section FROM l),
 f AS (SELECT doc_id, line_number, section, CASE WHEN header THEN [] WHEN regexp_matches(line, '^(\\d+[.)]|[-*])\\s+.+$') THEN [trim(regexp_replace(line, '^(\\d+[.)]|[-*])\\s+', ''))]
@@ -231,7 +236,9 @@ e AS (SELECT doc_id, line_number, section, unnest(found) AS requirement, generat
 SELECT doc_id, line_number, CAST(part AS INT) AS part, section, requirement FROM e WHERE length(requirement) >= 5
 """)
 def extract_requirements(spark: SparkSession, d: str) -> DataFrame:
-    return text.extract_requirements(_docs(spark, d))
+    """Whole documents; every fifth ends with a planted section of items and sentences."""
+    planted = F.concat(F.lit("\n## Part "), F.col("doc_id").cast("string"), F.lit("\n1. first thing\n- x\nIt runs. You must stop! We require more? No."))
+    return text.extract_requirements(_docs(spark, d).select("doc_id", F.concat("text", F.when(F.col("doc_id") % 5 == 0, planted).otherwise("")).alias("text")))
 
 
 _ROUTES = ("/a/{id}/", "/a/:name/b", "/x/<int:k>", "/plain")

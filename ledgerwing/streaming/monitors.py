@@ -2,74 +2,152 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import threading
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 ALERTS = "agent_id long, event_id long, alert string, detail string"
 RECENT = "actions array<string>, times array<double>, costs array<double>"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def with_lateness(stream: DataFrame, delay: str = "10 minutes", ts: str = "ts") -> DataFrame:
-    """Rows later than delay behind the newest are dropped; query progress tells how many."""
+    """Rows later than delay behind the newest are dropped; Losses tells how many."""
     return stream.withWatermark(ts, delay)
 
 
+class Losses(StreamingQueryListener):
+    """Rows that came in and rows that watermarks dropped, by query, as their progress reports them.
+
+    Used as a context: queries that run inside are counted. Every stateful operator counts the rows that it drops, so a
+    query with two of them may count one row twice; an aggregation counts groups of its partial sums, not rows.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.read: dict[str, int] = {}
+        self.dropped: dict[str, int] = {}
+        self._ended: dict[str, threading.Event] = {}
+
+    def __enter__(self) -> Losses:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.spark.streams.removeListener(self)
+
+    def onQueryStarted(self, event: Any) -> None:
+        self._ended.setdefault(str(event.runId), threading.Event())
+
+    def onQueryProgress(self, event: Any) -> None:
+        run = str(event.progress.runId)
+        self.read[run] = self.read.get(run, 0) + event.progress.numInputRows
+        self.dropped[run] = self.dropped.get(run, 0) + sum(x.numRowsDroppedByWatermark for x in event.progress.stateOperators)
+
+    def onQueryIdle(self, event: Any) -> None:
+        pass
+
+    def onQueryTerminated(self, event: Any) -> None:
+        self._ended.setdefault(str(event.runId), threading.Event()).set()
+
+    def of(self, run_id: str, wait_seconds: float = 60) -> tuple[int, int]:
+        """Rows read and dropped by a run that has ended; its last report arrives a little after its end."""
+        self._ended.setdefault(run_id, threading.Event()).wait(wait_seconds)
+        return self.read.get(run_id, 0), self.dropped.get(run_id, 0)
+
+
 def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(batches)).sort_values(["ts", "event_id"])
 
 
-def monitor_stream(events: DataFrame, loop_window: int = 10, repeats: int = 3, thrash_window: int = 20, threshold: int = 4, stall_seconds: float = 300) -> DataFrame:
-    """agent_id, event_id, alert (loop, thrash, stall), detail as events arrive; state: an agent's last events.
+class _Recent(StatefulProcessor):
+    """Judges an agent's events one by one beside its last ones, which are state until the agent has been idle for idle_ms.
 
-    Within a micro-batch events are taken by time, then id; one that arrives after later ones were seen joins at the end.
+    judge takes a row and the last (signature, time, cost, latency) tuples, its own included, and yields (alert, detail).
+    A timer of event time moves on with each batch of an agent; when it runs out the list is cleared, so
+    agents that fall silent leave no state behind.
     """
 
-    def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        signatures, times, _ = (list(x) for x in state.get) if state.exists else ([], [], [])
-        out = []
-        for row in _ordered(batches).itertuples():
-            signatures.append(f"{row.action}:{row.target}")
-            times.append(row.ts.timestamp())
-            last = signatures[-loop_window:]
-            best = max(dict.fromkeys(last), key=last.count)
-            if last.count(best) >= repeats:
-                out.append((key[0], row.event_id, "loop", best))
-            if len(signatures) >= 4:
-                recent = signatures[-thrash_window:]
-                steps = list(zip(recent, recent[1:], strict=False))
-                if any(steps.count(p) >= threshold // 2 and steps.count(p[::-1]) >= threshold // 2 for p in set(steps)):
-                    out.append((key[0], row.event_id, "thrash", ""))
-            if len(times) >= 2 and times[-1] - times[-2] > stall_seconds:
-                out.append((key[0], row.event_id, "stall", f"{times[-1] - times[-2]:.3f}"))
-            signatures, times = signatures[-thrash_window:], times[-thrash_window:]
-        state.update((signatures, times, []))
+    def __init__(self, judge: Callable[[Any, list[tuple]], Iterator[tuple[str, str]]], keep: int, idle_ms: int):
+        self.judge, self.keep, self.idle_ms = judge, keep, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.recent = handle.getListState("recent", "signature string, at double, cost double, latency double")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        last = list(self.recent.get()) if self.recent.exists() else []
+        out, newest = [], 0.0
+        for row in _ordered(rows).itertuples():
+            numbers = [0.0 if pd.isna(x) else float(x) for x in (row.cost_usd, row.latency_ms)]
+            last = [*last, (f"{row.action}:{row.target}", row.ts.timestamp(), *numbers)][-self.keep :]
+            newest = max(newest, last[-1][1])
+            out += [(key[0], row.event_id, alert, detail) for alert, detail in self.judge(row, last)]
+        self.recent.put(last)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(int(newest * 1000) + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1))
         yield pd.DataFrame(out, columns=["agent_id", "event_id", "alert", "detail"])
 
-    return events.groupBy("agent_id").applyInPandasWithState(step, ALERTS, RECENT, "append", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.recent.clear()
+        yield pd.DataFrame([], columns=["agent_id", "event_id", "alert", "detail"])
+
+    def close(self) -> None:
+        pass
+
+
+def _judged(events: DataFrame, judge: Callable[[Any, list[tuple]], Iterator[tuple[str, str]]], keep: int, idle: str, delay: str) -> DataFrame:
+    """alerts of a judge over each agent's last events; such state needs the session's RocksDB store, set here for the queries to come."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    recent = _Recent(judge, keep, int(pd.Timedelta(idle).total_seconds() * 1000))
+    keyed = events.withWatermark("ts", delay).groupBy("agent_id")
+    return keyed.transformWithStateInPandas(statefulProcessor=recent, outputStructType=ALERTS, outputMode="Append", timeMode="EventTime")
 
 
-def anomaly_stream(spans: DataFrame, window: int = 20, cost_factor: float = 5, latency_factor: float = 3) -> DataFrame:
+def monitor_stream(
+    events: DataFrame, loop_window: int = 10, repeats: int = 3, thrash_window: int = 20, threshold: int = 4, stall_seconds: float = 300, idle: str = "30 days", delay: str = "10 minutes"
+) -> DataFrame:
+    """agent_id, event_id, alert (loop, thrash, stall), detail as events arrive; state: an agent's last events.
+
+    Within a micro-batch events are taken by time, then id; one that arrives after later ones were seen joins at the end,
+    one later than delay behind the newest is dropped. An agent without an event for idle begins anew.
+    """
+
+    def judge(row: Any, last: list[tuple]) -> Iterator[tuple[str, str]]:
+        signatures, times = [x[0] for x in last], [x[1] for x in last]
+        window = signatures[-loop_window:]
+        best = max(dict.fromkeys(window), key=window.count)
+        if window.count(best) >= repeats:
+            yield "loop", best
+        if len(signatures) >= 4:
+            recent = signatures[-thrash_window:]
+            steps = list(zip(recent, recent[1:], strict=False))
+            if any(steps.count(p) >= threshold // 2 and steps.count(p[::-1]) >= threshold // 2 for p in set(steps)):
+                yield "thrash", ""
+        if len(times) >= 2 and times[-1] - times[-2] > stall_seconds:
+            yield "stall", f"{times[-1] - times[-2]:.3f}"
+
+    return _judged(events, judge, max(loop_window, thrash_window), idle, delay)
+
+
+def anomaly_stream(spans: DataFrame, window: int = 20, cost_factor: float = 5, latency_factor: float = 3, idle: str = "30 days", delay: str = "10 minutes") -> DataFrame:
     """agent_id, event_id, alert (cost_spike, latency_spike), detail: value; state: an agent's last window values."""
 
-    def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        _, latencies, costs = (list(x) for x in state.get) if state.exists else ([], [], [])
-        out = []
-        for row in _ordered(batches).itertuples():
-            for name, values, value, factor in (("cost_spike", costs, row.cost_usd, cost_factor), ("latency_spike", latencies, row.latency_ms, latency_factor)):
-                value = 0.0 if pd.isna(value) else float(value)
-                before = values[-(window - 1) :]
-                if len(before) >= 4 and sum(before) > 0 and value > sum(before) / len(before) * factor:
-                    out.append((key[0], row.event_id, name, repr(value)))
-                values.append(value)
-        state.update(([], latencies[-window:], costs[-window:]))
-        yield pd.DataFrame(out, columns=["agent_id", "event_id", "alert", "detail"])
+    def judge(row: Any, last: list[tuple]) -> Iterator[tuple[str, str]]:
+        for name, place, factor in (("cost_spike", 2, cost_factor), ("latency_spike", 3, latency_factor)):
+            value, before = last[-1][place], [x[place] for x in last[:-1]]
+            if len(before) >= 4 and sum(before) > 0 and value > sum(before) / len(before) * factor:
+                yield name, repr(value)
 
-    return spans.groupBy("agent_id").applyInPandasWithState(step, ALERTS, RECENT, "append", GroupStateTimeout.NoTimeout)
+    return _judged(spans, judge, window, idle, delay)
 
 
 def collision_stream(events: DataFrame, window_seconds: int = 300, delay: str = "10 minutes", causal: DataFrame | None = None) -> DataFrame:

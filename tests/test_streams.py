@@ -48,3 +48,53 @@ def test_a_causal_link_takes_a_collision_out(spark, tmp_path):
     known = spark.createDataFrame([(1, 2)], "source long, target long")
     found = monitors.run_available(monitors.collision_stream(stream, causal=known), "collide", str(tmp_path / "log"))
     assert sorted((r["a_event"], r["b_event"]) for r in found.collect()) == [(1, 3), (2, 3)]
+
+
+SPANS = SCHEMA + ", cost_usd double, latency_ms double"
+
+
+def staged(spark, folder, parts):
+    for n, part in enumerate(parts):
+        rows = [(i, a, action, "t", T0 + datetime.timedelta(minutes=m), c, 1.0) for i, a, action, m, c in part]
+        spark.createDataFrame(rows, SPANS).coalesce(1).write.parquet(f"{folder}/in/part{n}")
+
+    def stream():
+        return spark.readStream.schema(SPANS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+
+    return stream
+
+
+def test_an_idle_agent_leaves_no_state(spark, tmp_path):
+    parts = [[(1, 1, "a", 0, 1.0), (2, 1, "a", 1, 1.0), (3, 2, "b", 0, 1.0)], [(4, 2, "c", 200, 1.0)], [(5, 2, "d", 300, 1.0)], [(6, 1, "a", 400, 1.0), (7, 2, "e", 301, 1.0)]]
+    stream = staged(spark, tmp_path, parts)
+    found = {}
+    for idle in ("30 days", "1 hour"):
+        alerts = monitors.monitor_stream(stream(), stall_seconds=1e9, idle=idle)
+        name = "idle" + idle[0]
+        query = alerts.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        query.awaitTermination()
+        found[idle] = [(r["agent_id"], r["event_id"], r["alert"]) for r in spark.table(name).collect()]
+    assert found == {"30 days": [(1, 6, "loop")], "1 hour": []}  # agent 1 began anew after six hours
+
+
+def test_spikes_against_values_of_earlier_batches(spark, tmp_path):
+    stream = staged(spark, tmp_path, [[(i, 1, "a", i, 1.0) for i in range(4)], [(5, 1, "a", 10, 5.5), (6, 1, "a", 11, None)], [(7, 1, "a", 12, 9.5)]])
+    found = monitors.run_available(monitors.anomaly_stream(stream()), "spikes", str(tmp_path / "log"))
+    assert sorted((r["event_id"], r["alert"], r["detail"]) for r in found.collect()) == [(5, "cost_spike", "5.5"), (7, "cost_spike", "9.5")]
+
+
+def test_losses_are_told_by_progress(spark, tmp_path):
+    parts = [[(1, 1, "a", 0), (2, 1, "a", 60)], [(4, 1, "a", 55)], [(3, 1, "a", 1), (6, 1, "a", 2), (5, 1, "a", 61)]]
+    stream = monitors.with_lateness(batches(spark, tmp_path, parts)).dropDuplicatesWithinWatermark(["event_id"]).select("event_id")
+    with monitors.Losses(spark) as losses:
+        query = stream.writeStream.format("memory").queryName("lost").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert losses.of(str(query.runId)) == (6, 2)
+    assert spark.table("lost").count() == 4
+    assert losses.of("another run", wait_seconds=0) == (0, 0)
+
+
+def test_a_session_stays_open_until_the_watermark_has_passed_it(spark, tmp_path):
+    parts = [[(1, 1, "a", 0), (2, 1, "a", 30)], [(3, 1, "a", 80), (4, 2, "a", 85)], [(5, 1, "a", 200)]]
+    found = monitors.run_available(monitors.sessions(batches(spark, tmp_path, parts)), "session", str(tmp_path / "log"))
+    assert sorted((r["agent_id"], (r["started"] - T0).seconds // 60, (r["ended"] - T0).seconds // 60, r["n"]) for r in found.collect()) == [(1, 0, 140, 3), (2, 85, 145, 1)]
