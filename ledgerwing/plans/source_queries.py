@@ -13,6 +13,7 @@ from ledgerwing.plans import views as v
 from ledgerwing.plans.catalog import query
 from ledgerwing.session import shared_folder, table
 from ledgerwing.sources import readers
+from ledgerwing.sources.snapshots import SnapshotStore
 from ledgerwing.streaming import monitors
 
 
@@ -212,3 +213,30 @@ def dedup_key(spark: SparkSession, d: str) -> DataFrame:
     files = F.when(F.col("event_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("f"), "user_id", F.lit(".py")), F.lit("other.py")))
     summary = F.repeat(F.concat(F.get_json_object("props", "$.k"), F.lit("-")), 60)
     return table(spark, d, "events").select("event_id", labels.dedup_key(F.col("event_type"), files, summary).alias("dedup_key"))
+
+
+@query("""
+SELECT 1 AS version, s_nationkey || '.txt' AS path, true AS hashed, sha256(string_agg(s_name, ',' ORDER BY s_suppkey)) AS content_hash FROM supplier GROUP BY s_nationkey
+UNION ALL SELECT 2, s_nationkey || '.txt', s_nationkey % 3 = 0, sha256(string_agg(s_name, ',' ORDER BY s_suppkey) || CASE WHEN s_nationkey % 3 = 0 THEN '!' ELSE '' END) FROM supplier GROUP BY s_nationkey
+""")
+def snapshot_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Two versions of a tree with a file for each nation's suppliers; between them every third file is written anew."""
+    folder = _folder(spark)
+    names = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name"))), lambda x: x["s_name"]), ",")
+    files = table(spark, d, "supplier").groupBy("s_nationkey").agg(names.alias("value"))
+    jvm = spark.sparkContext._jvm
+    system = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store = SnapshotStore(spark, f"{folder}/store")
+
+    def write(rows: DataFrame) -> None:
+        for r in rows.collect():  # a file a nation
+            out = system.create(jvm.org.apache.hadoop.fs.Path(f"{folder}/tree/{r['s_nationkey']}.txt"), True)
+            out.write(bytearray(r["value"].encode()))
+            out.close()
+
+    write(files)
+    versions = [store.take(f"{folder}/tree")]
+    write(files.filter("s_nationkey % 3 = 0").withColumn("value", F.concat("value", F.lit("!"))))
+    versions.append(store.take(f"{folder}/tree"))
+    first, second = [store.load(n).select(F.lit(n).alias("version"), "path", "hashed", "content_hash") for n in versions]
+    return first.unionByName(second)

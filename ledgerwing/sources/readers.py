@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwing import schemas
+from ledgerwing.functions.assumptions import TEST_PATH
 from ledgerwing.functions.labels import change_category
 
-SKIPPED = ("node_modules", "__pycache__", ".venv", "venv", "dist", "build")
+# Folders that hold no sources; hidden ones are passed over too.
+SKIPPED = (".git", ".hg", ".svn", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", "node_modules", ".venv", "venv", ".tox", ".eggs", "dist", "build", ".nox")
+#: Folders below a root that are gone into.
+MAX_DEPTH = 8
 
 
 def _json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -100,12 +106,37 @@ def invalid_pair_reasons(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair_id", F.array_compact(F.array(*empty, label, same)).alias("reasons"))
 
 
-def read_source_tree(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("py",)) -> DataFrame:
-    """path (below root), source of every file of a tree, without skipped folders and tests."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").text(root, wholetext=True)
-    path = F.regexp_replace(F.col("_metadata.file_path"), "^(file:)?/*" + root.removeprefix("file://").strip("/") + "/", "")
-    skip = path.rlike(r"(^|/)(" + "|".join(x.replace(".", r"\.") for x in SKIPPED) + ")/") | path.rlike(r"(^|/)tests?/|(^|/)test_[^/]*$")
-    return files.select(path.alias("path"), F.col("value").alias("source")).filter(~skip)
+def kept_folders(spark: SparkSession, root: str, skipped: tuple[str, ...] = SKIPPED, max_depth: int | None = MAX_DEPTH) -> list[str]:
+    """root and the folders below it, without hidden and skipped ones: those are never listed, however much they hold.
+
+    Names of folders pass through the driver, level by level, as those of Spark's own file index do; files are not read.
+    """
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    level, found, depth = [top], [], 0
+    while level:
+        found += [p.toString() for p in level]
+        if max_depth is not None and depth >= max_depth:
+            break
+        below = [s.getPath() for p in level for s in files.listStatus(p) if s.isDirectory()]
+        level = [p for p in below if not p.getName().startswith(".") and p.getName() not in skipped]
+        depth += 1
+    return found
+
+
+def below(root: str, path: Column) -> Column:
+    """A file's path below root, whatever scheme and slashes it is given with."""
+    name = root.split("://", 1)[-1].removeprefix("file:").strip("/")
+    return F.regexp_replace(path, "^.*?" + re.escape("/" + name + "/").replace("/", "/+"), "")
+
+
+def read_source_tree(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("py",), max_depth: int = MAX_DEPTH) -> DataFrame:
+    """path (below root), source of every file with one of the suffixes, without tests and skipped folders."""
+    pattern = "*.{" + ",".join(suffixes) + "}"
+    files = spark.read.option("pathGlobFilter", pattern).text(kept_folders(spark, root, max_depth=max_depth), wholetext=True)
+    path = below(root, F.col("_metadata.file_path"))
+    return files.select(path.alias("path"), F.col("value").alias("source")).filter(~F.col("path").rlike(TEST_PATH))
 
 
 def snapshot(spark: SparkSession, root: str) -> DataFrame:
