@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerwing.schemas import DIMENSIONS
+
 MONTH_SECONDS = 2592000.0
 
 
@@ -20,25 +22,54 @@ def candidate_pairs(bridge: DataFrame) -> DataFrame:
     return shared.withColumn("shared_count", F.size("shared_dimensions").cast("long"))
 
 
+def dimension_sets(bridge: DataFrame, names: tuple[str, ...] = DIMENSIONS) -> DataFrame:
+    """project, id, dims: each decision's dimensions as bits in the order of names, at most 63 of them; another name is an error.
+
+    A project has few different sets, however many decisions.
+    """
+    bit = F.raise_error(F.concat(F.lit("no such dimension: "), F.col("dimension"))).cast("long")
+    for n, name in enumerate(names):
+        bit = F.when(F.col("dimension") == name, F.lit(1 << n).cast("long")).otherwise(bit)
+    return bridge.groupBy("project", "id").agg(F.bit_or(bit).alias("dims"))
+
+
+def overlapping_sets(left: DataFrame, right: DataFrame) -> DataFrame:
+    """project, dims, shared_count and the columns of right but its dims: sets of left (project, dims) that have dimensions in common with those of right."""
+    a, b = left.select("project", "dims").distinct(), right.withColumnRenamed("dims", "other_dims")
+    met = a.join(b, "project").filter(F.col("dims").bitwiseAND(F.col("other_dims")) != 0)
+    return met.withColumn("shared_count", F.bit_count(F.col("dims").bitwiseAND(F.col("other_dims"))).cast("long")).drop("other_dims")
+
+
 def recency(created_at: Column, as_of: Column) -> Column:
     """1 / (1 + age in months of 30 days)."""
     return 1.0 / (1.0 + (F.unix_micros(as_of) - F.unix_micros(created_at)) / F.lit(1e6) / MONTH_SECONDS)
 
 
-def find_related(decisions: DataFrame, bridge: DataFrame, as_of: Column, k: int = 5) -> DataFrame:
+def find_related(decisions: DataFrame, bridge: DataFrame, as_of: Column, k: int = 5, names: tuple[str, ...] = DIMENSIONS) -> DataFrame:
     """id, related_id, rank, position, shared_count, score: for every decision its k related ones of highest score.
 
     Related: valid, of the same project, sharing a dimension. Score: shared dimensions times recency, at most 1 as
     reported; ties go to the smaller id. position puts the second best last, where readers look again.
+
+    Decisions with equal dimensions have equal answers but for themselves, and of those with equal dimensions only the
+    k + 1 newest can be in an answer. So sets of dimensions meet sets with their newest decisions, the best k + 1 are
+    kept for each set, and each decision leaves itself out: the work is linear in the decisions however large a project is.
     """
-    left = bridge.select("project", "dimension", "id").distinct()
-    valid = decisions.filter("valid").select("id", "created_at")
-    right = left.join(valid, "id").select("project", "dimension", F.col("id").alias("related_id"), "created_at")
-    shared = left.join(right, ["project", "dimension"]).filter("id <> related_id")
-    scored = shared.groupBy("id", "related_id").agg(F.count("*").alias("shared_count"), F.first("created_at").alias("created_at")).withColumn("raw", F.col("shared_count") * recency(F.col("created_at"), as_of))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("raw"), "related_id"))).filter(F.col("rank") <= k)
-    position = attention_position(F.col("rank"), F.count("*").over(Window.partitionBy("id")))
-    return ranked.select("id", "related_id", "rank", position.alias("position"), "shared_count", F.round(F.least(F.lit(1.0), "raw"), 6).alias("score"))
+    own = dimension_sets(bridge, names)
+    valid = own.join(decisions.filter("valid").select("id", "created_at"), "id")
+    newest = Window.partitionBy("project", "dims").orderBy(F.desc("created_at"), "id")
+    heads = valid.withColumn("n", F.row_number().over(newest)).filter(F.col("n") <= k + 1)
+    heads = heads.groupBy("project", "dims").agg(F.collect_list(F.struct("id", "created_at")).alias("heads"))
+    met = overlapping_sets(own, heads).select("project", "dims", "shared_count", F.explode("heads").alias("h"))
+    raw = F.col("shared_count") * recency(F.col("h.created_at"), as_of)
+    scored = met.select("project", "dims", F.struct((-raw).alias("order"), F.col("h.id").alias("related_id"), "shared_count", raw.alias("raw")).alias("b"))
+    first = Window.partitionBy("project", "dims").orderBy("b")
+    best = scored.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1)
+    best = best.groupBy("project", "dims").agg(F.sort_array(F.collect_list("b")).alias("best"))
+    answer = F.slice(F.filter("best", lambda b: b["related_id"] != F.col("id")), 1, k)
+    told = own.join(best, ["project", "dims"]).select("id", answer.alias("a")).select("id", F.size("a").alias("n"), F.posexplode("a").alias("at", "b"))
+    rank = (F.col("at") + 1).cast("int")
+    return told.select("id", "b.related_id", rank.alias("rank"), attention_position(rank, F.col("n")).alias("position"), "b.shared_count", F.round(F.least(F.lit(1.0), F.col("b.raw")), 6).alias("score"))
 
 
 def attention_position(rank: Column, n: Column) -> Column:
@@ -49,33 +80,43 @@ def attention_position(rank: Column, n: Column) -> Column:
 def decision_graph(decisions: DataFrame, bridge: DataFrame, contradictions: DataFrame) -> DataFrame:
     """source, target, kind, weight: supersession, contradiction and shared-dimension edges."""
     supersedes = decisions.filter("supersedes is not null").select(F.col("id").alias("source"), F.col("supersedes").alias("target"), F.lit("supersedes").alias("kind"), F.lit(1.0).alias("weight"))
-    against = contradictions.filter("status = 'unresolved' and verdict = 'contradiction'").select(F.col("a_id").alias("source"), F.col("b_id").alias("target"), F.lit("contradiction").alias("kind"), F.col("confidence").alias("weight"))
+    against = contradictions.filter("status = 'unresolved'").select(F.col("a_id").alias("source"), F.col("b_id").alias("target"), F.lit("contradiction").alias("kind"), F.col("confidence").alias("weight"))
     shared = candidate_pairs(bridge).select(F.col("a_id").alias("source"), F.col("b_id").alias("target"), F.lit("shared").alias("kind"), F.col("shared_count").cast("double").alias("weight"))
     return supersedes.unionByName(against).unionByName(shared)
 
 
-def blast_radius(decisions: DataFrame, bridge: DataFrame, contradictions: DataFrame) -> DataFrame:
+def blast_radius(decisions: DataFrame, bridge: DataFrame, contradictions: DataFrame, names: tuple[str, ...] = DIMENSIONS) -> DataFrame:
     """id, related, contradicting, superseded_by, impact: how many decisions a change of each would touch.
 
-    impact = min(1, distinct decisions touched / active decisions of its project).
+    impact = min(1, distinct decisions touched / active decisions of its project). Related ones are valid, of the same
+    project, and share a dimension: they are counted by sets of dimensions. Only those that a contradiction or a
+    succession names are looked at one by one, to leave out the ones that are related too.
     """
-    live = bridge.join(decisions.filter("valid").select("id"), "id").select("project", "dimension", F.col("id").alias("other"))
-    met = bridge.select("project", "dimension", "id").join(live, ["project", "dimension"]).filter("id <> other")
-    related = met.select("id", "other").distinct().withColumn("why", F.lit("related"))
-    against = contradictions.filter("status = 'unresolved' and verdict = 'contradiction'").select(F.explode(F.array(F.struct(F.col("a_id").alias("id"), F.col("b_id").alias("other")), F.struct(F.col("b_id").alias("id"), F.col("a_id").alias("other")))).alias("x"))
-    against = against.select("x.id", "x.other", F.lit("contradicting").alias("why"))
-    later = decisions.filter("supersedes is not null").select(F.col("supersedes").alias("id"), F.col("id").alias("other"), F.lit("superseded_by").alias("why"))
-    touched = related.unionByName(against).unionByName(later)
-
-    def n(kind: str) -> Column:
-        return F.count(F.when(F.col("why") == kind, 1)).alias(kind)
-
-    counts = touched.groupBy("id").agg(n("related"), n("contradicting"), n("superseded_by"), F.countDistinct("other").alias("touched"))
+    own = dimension_sets(bridge, names)
+    live = own.join(decisions.filter("valid").select("id"), "id")
+    kinds = live.groupBy("project", "dims").agg(F.count("*").alias("n"))
+    counts = overlapping_sets(own, kinds).groupBy("project", "dims").agg(F.sum("n").alias("met"))
+    is_live = live.select("id", F.lit(1).alias("live"))
+    related = own.join(counts, ["project", "dims"]).join(is_live, "id", "left").select("id", (F.col("met") - F.coalesce("live", F.lit(0))).alias("related")).filter("related > 0")
+
+    against = contradictions.filter("status = 'unresolved'").select(F.explode(F.array(F.struct(F.col("a_id").alias("id"), F.col("b_id").alias("other")), F.struct(F.col("b_id").alias("id"), F.col("a_id").alias("other")))).alias("x"))
+    later = decisions.filter("supersedes is not null").select(F.col("supersedes").alias("id"), F.col("id").alias("other"), F.lit(0).alias("c"), F.lit(1).alias("s"))
+    named = against.select("x.id", "x.other", F.lit(1).alias("c"), F.lit(0).alias("s")).unionByName(later)
+    named = named.groupBy("id", "other").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
+    mine = own.select("id", F.col("project").alias("p"), F.col("dims").alias("d"))
+    theirs = live.select(F.col("id").alias("other"), F.col("project").alias("q"), F.col("dims").alias("e"))
+    too = F.coalesce((F.col("p") == F.col("q")) & (F.col("d").bitwiseAND(F.col("e")) != 0) & (F.col("id") != F.col("other")), F.lit(False))
+    named = named.join(mine, "id", "left").join(theirs, "other", "left")
+    extra = named.groupBy("id").agg(F.sum("c").alias("contradicting"), F.sum("s").alias("superseded_by"), F.count(F.when(~too, 1)).alias("new"))
+
+    touched = related.join(extra, "id", "full_outer")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("related", "contradicting", "superseded_by", "new")}
     active = decisions.filter("valid").groupBy("project").agg(F.count("*").alias("active"))
+    share = (zero["related"] + zero["new"]) / F.greatest(F.coalesce("active", F.lit(1)), F.lit(1))
     return (
-        counts.join(decisions.select("id", "project"), "id")
+        touched.join(decisions.select("id", "project"), "id")
         .join(active, "project", "left")
-        .select("id", "related", "contradicting", "superseded_by", F.round(F.least(F.lit(1.0), F.col("touched") / F.greatest(F.coalesce("active", F.lit(1)), F.lit(1))), 6).alias("impact"))
+        .select("id", *[zero[c].alias(c) for c in ("related", "contradicting", "superseded_by")], F.round(F.least(F.lit(1.0), share), 6).alias("impact"))
     )
 
 

@@ -104,3 +104,37 @@ def test_a_run_equals_its_parts(spark):
     told = {r["id"]: (r["summary"], r["n"], r["is_baseline"], r["priority"], r["status"]) for r in run.proposals.collect()}
     assert told == {1: ("[2x] s1", 2, False, 6.0, "proposed"), 5: ("s5", 1, True, 2.0, "proposed")}
     assert all(r["question"] and r["options"] for r in run.proposals.collect())
+
+
+def test_related_decisions_of_one_large_project(spark):
+    """Against every pair of it; equal dimensions and equal times come up often, and invalid decisions ask but are no answers."""
+    names = ("auth", "caching", "logging", "testing")
+    rows = [(i, "p", T0 + datetime.timedelta(days=i % 7), i % 5 > 0, [names[k] for k in range(4) if (i * 7 + 1) % 15 >> k & 1]) for i in range(120)] + [(500, "q", T0, True, ["auth"]), (501, "p", T0, True, [])]
+    decisions = spark.createDataFrame([r[:4] + (None,) for r in rows], "id long, project string, created_at timestamp, valid boolean, supersedes long")
+    bridge = spark.createDataFrame([(r[0], r[1], x) for r in rows for x in r[4]], "id long, project string, dimension string")
+    as_of = T0 + datetime.timedelta(days=30)
+    found: dict[int, list] = {}
+    for r in pairs.find_related(decisions, bridge, F.lit(as_of), k=3).orderBy("id", "rank").collect():
+        found.setdefault(r["id"], []).append((r["related_id"], r["shared_count"]))
+
+    def related(a):
+        out = [(-len(set(a[4]) & set(b[4])) / (1 + (as_of - b[2]).days / 30), b[0], len(set(a[4]) & set(b[4]))) for b in rows if b[1] == a[1] and b[0] != a[0] and b[3] and set(a[4]) & set(b[4])]
+        return [(b, n) for _, b, n in sorted(out)[:3]]
+
+    assert found == {r[0]: related(r) for r in rows if related(r)}
+    none = spark.createDataFrame([(1, 2, "unresolved", "contradiction"), (1, 5, "unresolved", "tension"), (3, 500, "resolved", "contradiction")], "a_id long, b_id long, status string, verdict string")
+    radius = {r["id"]: (r["related"], r["contradicting"], r["impact"]) for r in pairs.blast_radius(decisions, bridge, none).collect()}
+    active = {p: sum(r[3] for r in rows if r[1] == p) for p in "pq"}
+    for r in rows:
+        near = {b[0] for b in rows if b[1] == r[1] and b[0] != r[0] and b[3] and set(r[4]) & set(b[4])}
+        against = {1: {2, 5}, 2: {1}, 5: {1}}.get(r[0], set())
+        assert radius.get(r[0], (0, 0, 0.0)) == (len(near), len(against), round(min(1.0, len(near | against) / active[r[1]]), 6))
+
+
+def test_a_dimension_without_a_bit_is_an_error(spark):
+    import pytest
+
+    bridge = spark.createDataFrame([(1, "p", "weather")], "id long, project string, dimension string")
+    assert pairs.dimension_sets(bridge, ("weather",)).first()["dims"] == 1
+    with pytest.raises(Exception, match="no such dimension: weather"):
+        pairs.dimension_sets(bridge).collect()
