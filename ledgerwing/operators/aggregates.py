@@ -78,11 +78,56 @@ def timeline_summary(timeline: DataFrame, by: str = "agent_id") -> DataFrame:
     return timeline.groupBy(by, "action").agg(F.count("*").alias("n"), _r(F.sum("cost_usd")).alias("cost"), F.countDistinct("target").alias("targets"))
 
 
+def timeline_facets(timeline: DataFrame) -> DataFrame:
+    """project, facet (action, severity, agent), value, n: what a project's timeline is made of, from one pass of grouping sets.
+
+    timeline: project, agent_id, action, severity. A null action is `unknown`, a null severity `info`; empty agents do not count.
+    """
+    facets = {"action": F.coalesce("action", F.lit("unknown")), "severity": F.coalesce("severity", F.lit("info")), "agent": F.nullif(F.col("agent_id").cast("string"), F.lit(""))}
+    rows = timeline.select("project", *[c.alias(n) for n, c in facets.items()])
+    counted = rows.groupingSets([["project", n] for n in facets], "project", *facets).agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
+    facet, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for place, n in enumerate(facets):
+        mine = F.col("g") == (7 & ~(4 >> place))
+        facet, value = F.when(mine, n).otherwise(facet), F.when(mine, F.col(n)).otherwise(value)
+    return counted.select("project", facet.alias("facet"), value.alias("value"), "n").filter("value is not null")
+
+
+def llm_totals(spans: DataFrame, calls: DataFrame, cost: Column) -> DataFrame:
+    """project, cost_usd, tokens_in, tokens_out, providers, models of a project's spans and of its traced calls.
+
+    spans: project, provider, model, cost_usd, tokens_in, tokens_out. calls: project, model, cost_usd, input_tokens,
+    output_tokens; a call without a cost, or with none, takes cost, a column over it. Only spans name providers and models.
+    """
+    none = F.lit(None).cast("string")
+    number = lambda c: F.coalesce(c, F.lit(0))
+    own = spans.select("project", number("cost_usd").cast("double").alias("cost_usd"), number("tokens_in").alias("tokens_in"), number("tokens_out").alias("tokens_out"), "provider", "model")
+    known = F.nullif("cost_usd", F.lit(0.0))
+    traced = calls.select("project", F.coalesce(known, cost).cast("double").alias("cost_usd"), number("input_tokens").alias("tokens_in"), number("output_tokens").alias("tokens_out"), none.alias("provider"), none.alias("model"))
+    return own.unionByName(traced).groupBy("project").agg(
+        _r(F.sum("cost_usd")).alias("cost_usd"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sort_array(F.collect_set("provider")).alias("providers"), F.sort_array(F.collect_set("model")).alias("models")
+    )
+
+
 def usage_counts(events: DataFrame) -> DataFrame:
     """agent_id, calls, unique_targets, action_kinds."""
     return events.groupBy("agent_id").agg(F.count("*").alias("calls"), F.countDistinct("target").alias("unique_targets"), F.countDistinct("action").alias("action_kinds"))
 
 
+def usage_by(events: DataFrame) -> DataFrame:
+    """by (category, agent), value, calls of tool calls (agent_id, category), in one pass; an empty agent or category is `unknown`."""
+    rows = events.select(*[F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("unknown")).alias(n) for n, c in (("category", "category"), ("agent", "agent_id"))])
+    counted = rows.groupingSets([["category"], ["agent"]], "category", "agent").agg(F.count("*").alias("calls"), F.grouping_id().alias("g"))
+    return counted.select(F.when(F.col("g") == 1, "category").otherwise("agent").alias("by"), F.coalesce("category", "agent").alias("value"), "calls")
+
+
+def trajectory_actions(events: DataFrame, keys: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """keys, actions (action -> count), length of each trajectory (keys, action)."""
+    per = events.groupBy(*keys, "action").agg(F.count("*").alias("n"))
+    counts = F.map_from_entries(F.sort_array(F.collect_list(F.struct("action", "n")))).alias("actions")
+    return per.groupBy(*keys).agg(counts, F.sum("n").alias("length"))
+
+
 def change_signals(changes: DataFrame, many: int = 50, configs: int = 3) -> DataFrame:
     """grp, signal, n: large change batches, many config changes, dependency changes (grp, category rows)."""
     counts = changes.groupBy("grp").agg(F.count("*").alias("total"), _n(F.col("category") == "config").alias("config"), _n(F.col("category") == "dependency").alias("dependency"))

@@ -122,8 +122,10 @@ def context_cut(decisions: DataFrame, agents: DataFrame) -> DataFrame:
     return ranked.filter(most.isNull() | (F.col("rank") <= most)).select("agent_id", "id", "rank")
 
 
-def auto_resolve(pairs: DataFrame, excluded: tuple[str, ...] = ("security", "auth"), least_confidence: float = 0.8, most_blast: int = 3) -> DataFrame:
-    """id, eligible, rejection, winner: the first rule that rejects a pair, else the more confident, then newer, decision.
+def auto_resolve(pairs: DataFrame, as_of: Column, excluded: tuple[str, ...] = ("security", "auth"), least_confidence: float = 0.85, most_blast: int = 3, override_hours: int = 48) -> DataFrame:
+    """id, eligible, rejection, winner, loser, deadline: the first rule that rejects a pair, else the more confident, then newer, decision.
+
+    Until the deadline, override_hours after as_of, people may decide otherwise.
 
     pairs: id, verdict, shared_dimensions, confidence, blast, a_id, b_id, a_confidence, b_confidence, a_at, b_at,
     a_dependents, b_dependents.
@@ -140,8 +142,10 @@ def auto_resolve(pairs: DataFrame, excluded: tuple[str, ...] = ("security", "aut
         ],
         F.lit(None).cast("string"),
     )
-    out = pairs.select("id", rejection.alias("rejection"), F.when(a_wins, F.col("a_id")).otherwise(F.col("b_id")).alias("w"))
-    return out.select("id", F.col("rejection").isNull().alias("eligible"), "rejection", F.when(F.col("rejection").isNull(), F.col("w")).alias("winner"))
+    out = pairs.select("id", rejection.alias("rejection"), F.when(a_wins, F.col("a_id")).otherwise(F.col("b_id")).alias("w"), F.when(a_wins, F.col("b_id")).otherwise(F.col("a_id")).alias("l"))
+    free = F.col("rejection").isNull()
+    deadline = F.timestamp_micros(F.unix_micros(as_of) + override_hours * 3_600_000_000)
+    return out.select("id", free.alias("eligible"), "rejection", F.when(free, F.col("w")).alias("winner"), F.when(free, F.col("l")).alias("loser"), F.when(free, deadline).alias("deadline"))
 
 
 def negotiate(contradictions: DataFrame, critical: tuple[str, ...] = CRITICAL_DIMENSIONS) -> DataFrame:
@@ -181,6 +185,30 @@ def check_tokens(requests: DataFrame, tokens: DataFrame) -> DataFrame:
     return j.select("request_id", (reason == "valid").alias("valid"), reason.alias("reason"))
 
 
+def find_agents(agents: DataFrame, agent_type: str | None = None, organization: str | None = None, capability: str | None = None) -> DataFrame:
+    """agents (agent_id, agent_type, organization, trust, extra) of a type, an organisation and with a capability, as far as given.
+
+    An agent has the capabilities of its trust level and those granted beside.
+    """
+    found = agents
+    if agent_type is not None:
+        found = found.filter(F.col("agent_type") == agent_type)
+    if organization is not None:
+        found = found.filter(F.col("organization") == organization)
+    if capability is not None:
+        levels = [level for level, has in TRUST.items() if capability in has]
+        found = found.filter(F.col("trust").isin(*levels) | F.coalesce(F.array_contains("extra", capability), F.lit(False)))
+    return found
+
+
+def check_federation(requests: DataFrame, tokens: DataFrame, members: DataFrame) -> DataFrame:
+    """request_id, valid, reason for uses of federation tokens at a time (request_id, token, at): unknown, expired, or of an
+    organisation that is no member or no active one. tokens: token, org_id, expires_at. members: org_id, active."""
+    j = requests.join(tokens.select("token", "org_id", "expires_at"), "token", "left").join(members.select("org_id", "active"), "org_id", "left")
+    reason = first_match([(F.col("expires_at").isNull(), "unknown"), (F.col("expires_at") <= F.col("at"), "expired"), (~F.coalesce("active", F.lit(False)), "inactive organisation")], "valid")
+    return j.select("request_id", (reason == "valid").alias("valid"), reason.alias("reason"))
+
+
 def approval_status(requests: DataFrame, approvals: DataFrame) -> DataFrame:
     """request_id, pending_roles, dissent, approved: every required role has answered; dissent is told apart.
 
@@ -199,31 +227,58 @@ def resolution_paths(contradictions: DataFrame) -> DataFrame:
     return offered.select("id", "way.action", "way.impact", (F.col("n") + 1).alias("rank"))
 
 
+# What the note of each action says before the rationale; {side} is the decision that stays.
+NOTES = {
+    "pick_a": "Winner: {side}. ",
+    "pick_b": "Winner: {side}. ",
+    "accept_exception": "Accepted as exception. ",
+    "defer": "Deferred. ",
+    "dismiss": "Dismissed as false positive. ",
+    "update_decision": "Pending reconciliation. ",
+}
+
+
 def apply_resolutions(contradictions: DataFrame, decisions: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Contradictions and decisions after actions (id, action).
+    """Contradictions and decisions after actions (id, action, actor, rationale, at).
 
-    Picking a side supersedes the other decision, which loses its validity. Actions of other names change nothing.
+    Contradictions get resolved_by, resolution_note and resolved_at, the time only where they are settled. Picking a
+    side supersedes the other decision, which loses its validity. Actions of other names change nothing.
     """
-    c = contradictions.join(actions, "id", "left")
+    said = actions.select("id", "action", "actor", "rationale", "at")
+    c = contradictions.join(said, "id", "left")
+    known = F.col("action").isin(*STATUS_AFTER)
     status = first_match([(F.col("action") == a, F.lit(after)) for a, after in STATUS_AFTER.items()], F.col("status"))
     lost = c.filter(F.col("action").isin("pick_a", "pick_b")).select(F.when(F.col("action") == "pick_a", F.col("b_id")).otherwise(F.col("a_id")).alias("id")).distinct()
     marked = decisions.join(lost.withColumn("_lost", F.lit(True)), "id", "left")
     kept = marked.withColumn("valid", F.col("valid") & F.col("_lost").isNull()).withColumn("status", F.when(F.col("_lost"), "superseded").otherwise(F.col("status"))).drop("_lost")
-    return c.withColumn("status", status).select(*contradictions.columns), kept
+    side = F.when(F.col("action") == "pick_a", F.col("a_id")).otherwise(F.col("b_id")).cast("string")
+    note = first_match([(F.col("action") == a, F.replace(F.lit(text), F.lit("{side}"), side)) for a, text in NOTES.items()], F.lit(None).cast("string"))
+    settled = status.isin("resolved", "ignored")
+    after = c.select(
+        *[F.col(x) if x != "status" else status.alias("status") for x in contradictions.columns if x not in ("resolved_by", "resolution_note", "resolved_at")],
+        F.when(known, F.col("actor")).alias("resolved_by"),
+        F.concat(note, F.coalesce("rationale", F.lit(""))).alias("resolution_note"),
+        F.when(known & settled, F.col("at")).alias("resolved_at"),
+    )
+    return after, kept
 
 
-def rule_stats(events: DataFrame, by: str = "rule") -> DataFrame:
+def rule_stats(events: DataFrame, by: str = "rule", stored: DataFrame | None = None) -> DataFrame:
     """rule, triggered, validated, rejected, roi, mode: a rule whose resolved hits are rejected over 90 % is a shadow.
 
-    It takes 20 triggers to be one. roi = validated / (0.1 triggered).
+    It takes 20 triggers to be one. A rule that is a shadow in stored (rule, mode), if given, stays one, whatever its
+    counts; one of stored without events has counts of 0. roi = validated / (0.1 triggered).
     """
 
     def n(kind: str) -> Column:
         return F.count(F.when(F.col("event") == kind, 1)).alias(kind)
 
-    s = events.groupBy(by).agg(n("triggered"), n("validated"), n("rejected"))
+    s = events.groupBy(by).agg(n("triggered"), n("validated"), n("rejected")).withColumn("stored", F.lit("active"))
+    if stored is not None:
+        kept = stored.select(by, F.col("mode").alias("stored"))
+        s = s.drop("stored").join(kept, by, "full_outer").select(by, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("triggered", "validated", "rejected")], "stored")
     ratio = F.try_divide(F.col("rejected"), F.col("rejected") + F.col("validated"))
-    shadow = (F.col("triggered") >= 20) & F.coalesce(ratio > 0.9, F.lit(False))
+    shadow = ((F.col("triggered") >= 20) & F.coalesce(ratio > 0.9, F.lit(False))) | F.coalesce(F.col("stored") == "shadow", F.lit(False))
     return s.select(by, "triggered", "validated", "rejected", F.round(F.coalesce(F.try_divide(F.col("validated"), F.col("triggered") * 0.1), F.lit(0.0)), 6).alias("roi"), F.when(shadow, "shadow").otherwise("active").alias("mode"))
 
 
@@ -238,10 +293,25 @@ def assumption_stats(assumptions: DataFrame) -> DataFrame:
 
 
 def assumption_metrics(assumptions: DataFrame, by: str = "project") -> DataFrame:
-    """by, total, resolved, first_value_seconds: from the first detection to the first validation."""
+    """by, total, resolved, first_value_seconds: from the first detection to the first validation; and what each tier gives.
+
+    architectural, implementation, validated_architectural, validated_implementation count assumptions by tier (of another tier or none:
+    implementation). value_ratio: validated architectural ones for each validated implementation one; infinite
+    without the latter, 0 without either.
+    """
     first = F.min(F.when(F.col("status") == "validated", F.col("resolved_at")))
-    out = assumptions.groupBy(by).agg(F.count("*").alias("total"), F.count(F.when(F.col("status").isin("validated", "rejected"), 1)).alias("resolved"), F.min("detected_at").alias("start"), first.alias("hit"))
-    return out.select(by, "total", "resolved", F.round((F.unix_micros("hit") - F.unix_micros("start")) / F.lit(1e6), 6).alias("first_value_seconds"))
+    high, done = F.coalesce(F.col("tier") == "architectural", F.lit(False)), F.col("status") == "validated"
+    tiers = {"architectural": high, "implementation": ~high, "validated_architectural": high & done, "validated_implementation": ~high & done}
+    out = assumptions.groupBy(by).agg(
+        F.count("*").alias("total"),
+        F.count(F.when(F.col("status").isin("validated", "rejected"), 1)).alias("resolved"),
+        F.min("detected_at").alias("start"),
+        first.alias("hit"),
+        *[F.count_if(c).alias(n) for n, c in tiers.items()],
+    )
+    a, b = F.col("validated_architectural"), F.col("validated_implementation")
+    ratio = F.when(b > 0, F.round(a / b, 6)).when(a > 0, F.lit(float("inf"))).otherwise(0.0)
+    return out.select(by, "total", "resolved", F.round((F.unix_micros("hit") - F.unix_micros("start")) / F.lit(1e6), 6).alias("first_value_seconds"), *tiers, ratio.alias("value_ratio"))
 
 
 def cluster(findings: DataFrame, per_file: int = 10) -> DataFrame:

@@ -28,9 +28,9 @@ def coverage(requirements: DataFrame, decisions: DataFrame, req_id: str, req_tex
     return whole.select(F.col("r").alias(req_id), F.col("d").alias("best_id"), F.round(F.coalesce("j", F.lit(0.0)), 6).alias("score"), status.alias("status"))
 
 
-def coverage_percent(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Share of implemented ones plus half of partial ones, in percent."""
-    part = F.when(F.col("status") == "implemented", 1.0).when(F.col("status") == "partial", 0.5).otherwise(0.0)
+def coverage_percent(rows: DataFrame, by: list[str], partial_weight: float = 0.5) -> DataFrame:
+    """Share of implemented ones plus partial_weight of partial ones, in percent; 0 gives the share of implemented ones alone."""
+    part = F.when(F.col("status") == "implemented", 1.0).when(F.col("status") == "partial", partial_weight).otherwise(0.0)
     return rows.groupBy(*by).agg(F.round(100 * F.sum(part) / F.count("*"), 6).alias("percent"))
 
 

@@ -270,6 +270,13 @@ def shadow_servers(servers: DataFrame, known: DataFrame) -> DataFrame:
     return servers.join(k, "server", "left").select("server", F.coalesce("monitored", F.lit(False)).alias("monitored"))
 
 
+def server_coverage(servers: DataFrame, known: DataFrame, by: str = "project") -> DataFrame:
+    """by, total, monitored, unmonitored, coverage: the share of a project's servers (by, server) that are known ones."""
+    watched = servers.join(known.select("server").distinct().withColumn("m", F.lit(1)), "server", "left")
+    out = watched.groupBy(by).agg(F.count("*").alias("total"), F.count("m").alias("monitored"))
+    return out.select(by, "total", "monitored", (F.col("total") - F.col("monitored")).alias("unmonitored"), F.round(F.col("monitored") / F.col("total"), 6).alias("coverage"))
+
+
 def evaluate_actions(requests: DataFrame, contradictions: DataFrame, bridge: DataFrame, decisions: DataFrame, most_constraints: int = 5) -> DataFrame:
     """request_id, allowed, blocked_by, constraints for actions (request_id, project, dimensions).
 

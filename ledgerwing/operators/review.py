@@ -220,10 +220,11 @@ def affected_files(losers: DataFrame, files: DataFrame, most: int = 20) -> DataF
 
 
 def context_for(requests: DataFrame, decisions: DataFrame, bridge: DataFrame, contradictions: DataFrame, agents: DataFrame, most: int = 5) -> DataFrame:
-    """request_id, allowed, decisions, unresolved: what an agent should know before it changes a file.
+    """request_id, allowed, decisions, unresolved, deferred: what an agent should know before it changes a file.
 
     requests: request_id, agent_id, project, path. A blocked path gives no decisions. Relevant are the project's valid
-    decisions of a dimension that the path suggests, the newest first; unresolved counts the project's open ones.
+    decisions of a dimension that the path suggests, the newest first; unresolved counts the project's open ones, deferred
+    those that deferred_warnings tells of.
     """
     access = labels.path_access(F.col("path"), F.col("blocked"), F.col("allowed_paths"))
     r = requests.join(agents, "agent_id", "left").withColumn("allowed", F.coalesce(access, F.lit(False)))
@@ -232,7 +233,15 @@ def context_for(requests: DataFrame, decisions: DataFrame, bridge: DataFrame, co
     hit = asked.join(live, ["project", "dimension"]).select("request_id", "id", "created_at").distinct()
     top = hit.withColumn("n", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("created_at"), "id"))).filter(F.col("n") <= most)
     lists = top.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("n", "id"))).alias("x"))
-    open_ = contradictions.filter("status = 'unresolved' and not is_baseline").groupBy("project").agg(F.count("*").alias("unresolved"))
+    open_ = contradictions.groupBy("project").agg(F.count_if(F.expr("status = 'unresolved' and not is_baseline")).alias("unresolved"), F.count_if(F.col("status") == "deferred").alias("deferred"))
     j = r.join(lists, "request_id", "left").join(open_, "project", "left")
     ids = F.coalesce(F.transform("x", lambda e: e["id"]), F.array().cast("array<bigint>"))
-    return j.select("request_id", "allowed", ids.alias("decisions"), F.coalesce("unresolved", F.lit(0)).alias("unresolved"))
+    return j.select("request_id", "allowed", ids.alias("decisions"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("unresolved", "deferred")])
+
+
+def deferred_warnings(contradictions: DataFrame, decisions: DataFrame) -> DataFrame:
+    """project, id, warning: a line for each contradiction that people have put off, naming both decisions."""
+    title = decisions.select("id", "title")
+    put_off = contradictions.filter("status = 'deferred'").join(title.toDF("a_id", "a_title"), "a_id").join(title.toDF("b_id", "b_title"), "b_id")
+    text = F.format_string("DEFERRED CONTRADICTION: %s vs %s. Human has not yet decided. Proceed with caution.", "a_title", "b_title")
+    return put_off.select("project", "id", text.alias("warning"))

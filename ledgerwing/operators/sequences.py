@@ -222,6 +222,23 @@ def word_overlap(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(*words)), F.size(words[0]))
 
 
+def intent_drift(tasks: DataFrame, actions: DataFrame, threshold: float = 0.2) -> DataFrame:
+    """agent_id, overlap, drifted: the share of a task's words (agent_id, task) that the agent's actions (agent_id, action) name.
+
+    Words go by blanks, in lower case; an agent drifts below the threshold. Agents without a task's words or without
+    actions are left out. Words are aggregated before they meet, so a busy agent sends each word once a partition.
+    """
+    def words(col: str) -> Column:
+        return F.explode(F.array_distinct(F.filter(F.split(F.lower(col), r"\s+"), lambda w: w != "")))
+
+    wanted = tasks.select("agent_id", words("task").alias("word")).distinct()
+    done = actions.select("agent_id", words("action").alias("word")).distinct()
+    met = wanted.join(done.withColumn("named", F.lit(1)), ["agent_id", "word"], "left").groupBy("agent_id").agg(F.count("*").alias("n"), F.count("named").alias("hit"))
+    overlap = F.col("hit") / F.col("n")
+    acting = actions.select("agent_id").distinct()
+    return met.join(acting, "agent_id", "left_semi").select("agent_id", F.round(overlap, 6).alias("overlap"), (overlap < threshold).alias("drifted"))
+
+
 def path_words(path: Column) -> Column:
     return F.translate(path, "/_-.", "    ")
 

@@ -294,3 +294,50 @@ SELECT grp, 'file_changes' AS signal, total AS n FROM c WHERE total > 50 UNION A
 def change_signals(spark: SparkSession, d: str) -> DataFrame:
     category = F.when(F.col("action") == "error", "config").when(F.col("action") == "signup", "dependency").otherwise("source")
     return agg.change_signals(v.events(spark, d).select(F.col("agent_id").alias("grp"), category.alias("category")))
+
+
+@query("""
+WITH t AS (SELECT user_id % 20 AS project, CASE WHEN event_id % 9 = 0 THEN '' ELSE 'u' || user_id END AS agent, CASE WHEN event_id % 7 > 0 THEN event_type ELSE 'unknown' END AS action, ['info', 'warning', 'critical', 'info'][CAST(event_id % 4 AS INT) + 1] AS severity FROM events)
+SELECT project, 'action' AS facet, action AS value, count(*) AS n FROM t GROUP BY ALL UNION ALL SELECT project, 'severity', severity, count(*) FROM t GROUP BY ALL UNION ALL SELECT project, 'agent', agent, count(*) FROM t WHERE agent <> '' GROUP BY ALL
+""")
+def timeline_facets(spark: SparkSession, d: str) -> DataFrame:
+    """Some events have no action, some no severity, some an empty agent."""
+    e = table(spark, d, "events")
+    agent = F.when(F.col("event_id") % 9 == 0, "").otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    severity = F.when(F.col("event_id") % 4 == 1, "warning").when(F.col("event_id") % 4 == 2, "critical").when(F.col("event_id") % 4 == 3, "info")
+    return agg.timeline_facets(e.select((F.col("user_id") % 20).alias("project"), agent.alias("agent_id"), F.when(F.col("event_id") % 7 > 0, F.col("event_type")).alias("action"), severity.alias("severity")))
+
+
+@query("""
+WITH s AS (SELECT user_id % 20 AS project, value AS cost, event_id % 100 AS i, event_id % 30 AS o, 'p' || event_id % 3 AS provider, 'm' || user_id % 4 AS model FROM events WHERE event_id % 2 = 0
+UNION ALL SELECT user_id % 20, CASE WHEN event_id % 5 > 1 THEN value ELSE (event_id % 50) * 0.25 END, event_id % 50, event_id % 20, NULL, NULL FROM events WHERE event_id % 2 = 1)
+SELECT project, round(sum(cost), 6) AS cost_usd, sum(i)::BIGINT AS tokens_in, sum(o)::BIGINT AS tokens_out, coalesce(list_sort(list(DISTINCT provider) FILTER (provider IS NOT NULL)), []) AS providers, coalesce(list_sort(list(DISTINCT model) FILTER (model IS NOT NULL)), []) AS models FROM s GROUP BY project
+""")
+def llm_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Even events are spans, odd ones traced calls, of which some have no cost and some a cost of 0."""
+    e, n = table(spark, d, "events").withColumn("project", F.col("user_id") % 20), F.col("event_id")
+    spans = e.filter(n % 2 == 0).select("project", F.concat(F.lit("p"), (n % 3).cast("string")).alias("provider"), F.concat(F.lit("m"), (F.col("user_id") % 4).cast("string")).alias("model"), F.col("value").alias("cost_usd"), (n % 100).alias("tokens_in"), (n % 30).alias("tokens_out"))
+    cost = F.when(n % 5 > 1, F.col("value")).when(n % 5 == 1, 0.0)
+    calls = e.filter(n % 2 == 1).select("project", F.lit("m").alias("model"), cost.alias("cost_usd"), (n % 50).alias("input_tokens"), (n % 20).alias("output_tokens"))
+    return agg.llm_totals(spans, calls, F.col("input_tokens") * 0.25)
+
+
+@query("""
+WITH t AS (SELECT CASE WHEN event_id % 9 > 0 THEN 'u' || user_id ELSE 'unknown' END AS agent, CASE WHEN event_id % 7 > 0 THEN event_type ELSE 'unknown' END AS category FROM events)
+SELECT 'category' AS by, category AS value, count(*) AS calls FROM t GROUP BY ALL UNION ALL SELECT 'agent', agent, count(*) FROM t GROUP BY ALL
+""")
+def usage_by(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    agent = F.when(F.col("event_id") % 9 > 0, F.concat(F.lit("u"), F.col("user_id").cast("string"))).otherwise("")
+    return agg.usage_by(e.select(agent.alias("agent_id"), F.when(F.col("event_id") % 7 > 0, F.col("event_type")).alias("category")))
+
+
+@query("""
+WITH t AS (SELECT user_id AS agent_id, event_id // 100 AS session_id, event_type AS action, count(*) AS n FROM events GROUP BY ALL)
+SELECT agent_id, session_id, array_to_string(list_sort(list(action || ':' || n)), ',') AS actions, sum(n)::BIGINT AS length FROM t GROUP BY ALL
+""")
+def trajectory_actions(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(F.col("user_id").alias("agent_id"), F.floor(F.col("event_id") / 100).alias("session_id"), F.col("event_type").alias("action"))
+    found = agg.trajectory_actions(e, ("agent_id", "session_id"))
+    listed = F.transform(F.map_entries("actions"), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string")))
+    return found.select("agent_id", "session_id", F.array_join(F.array_sort(listed), ",").alias("actions"), "length")

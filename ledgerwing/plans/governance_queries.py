@@ -61,17 +61,17 @@ def context_cut(spark: SparkSession, d: str) -> DataFrame:
     return gov.context_cut(decisions, agents)
 
 
-@query("""
+@query(f"""
 WITH x AS (SELECT c.id, c.verdict, c.shared_dimensions AS s, c.confidence, c.a_id % 5 AS blast, c.a_id, c.b_id, a.confidence AS ac, b.confidence AS bc, a.created_at AS aa, b.created_at AS ba
   FROM contra c JOIN decision a ON a.id = a_id JOIN decision b ON b.id = b_id),
 y AS (SELECT *, ac > bc OR (ac = bc AND aa >= ba) AS w FROM x),
-z AS (SELECT id, CASE WHEN verdict <> 'tension' THEN 'verdict' WHEN list_contains(s, 'security') OR list_contains(s, 'auth') THEN 'excluded_dimension' WHEN confidence < 0.8 THEN 'confidence'
-  WHEN blast > 3 THEN 'blast_radius' WHEN CASE WHEN w THEN b_id % 2 ELSE a_id % 2 END > 0 THEN 'dependents' END AS rejection, CASE WHEN w THEN a_id ELSE b_id END AS win FROM y)
-SELECT id, rejection IS NULL AS eligible, rejection, CASE WHEN rejection IS NULL THEN win END AS winner FROM z
+z AS (SELECT id, CASE WHEN verdict <> 'tension' THEN 'verdict' WHEN list_contains(s, 'security') OR list_contains(s, 'auth') THEN 'excluded_dimension' WHEN confidence < 0.85 THEN 'confidence'
+  WHEN blast > 3 THEN 'blast_radius' WHEN CASE WHEN w THEN b_id % 2 ELSE a_id % 2 END > 0 THEN 'dependents' END AS rejection, CASE WHEN w THEN a_id ELSE b_id END AS win, CASE WHEN w THEN b_id ELSE a_id END AS lose FROM y)
+SELECT id, rejection IS NULL AS eligible, rejection, CASE WHEN rejection IS NULL THEN win END AS winner, CASE WHEN rejection IS NULL THEN lose END AS loser, CASE WHEN rejection IS NULL THEN TIMESTAMP '{v.AS_OF}' + INTERVAL 48 HOUR END AS deadline FROM z
 """)
 def auto_resolve(spark: SparkSession, d: str) -> DataFrame:
     c = _sides(spark, d)
-    return gov.auto_resolve(c.withColumn("blast", F.col("a_id") % 5).withColumn("a_dependents", F.col("a_id") % 2).withColumn("b_dependents", F.col("b_id") % 2))
+    return gov.auto_resolve(c.withColumn("blast", F.col("a_id") % 5).withColumn("a_dependents", F.col("a_id") % 2).withColumn("b_dependents", F.col("b_id") % 2), v.as_of())
 
 
 def _sides(spark: SparkSession, d: str) -> DataFrame:
@@ -174,27 +174,35 @@ def apply_resolutions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH act AS ({TAKEN}) SELECT c.id, CASE action WHEN 'pick_a' THEN 'resolved' WHEN 'pick_b' THEN 'resolved' WHEN 'dismiss' THEN 'resolved' WHEN 'accept_exception' THEN 'ignored' WHEN 'defer' THEN 'deferred'
-  WHEN 'update_decision' THEN 'deferred' ELSE status END AS status FROM contra c LEFT JOIN act ON act.id = c.id
+WITH act AS ({TAKEN}), j AS (SELECT c.*, action, CASE action WHEN 'pick_a' THEN 'resolved' WHEN 'pick_b' THEN 'resolved' WHEN 'dismiss' THEN 'resolved' WHEN 'accept_exception' THEN 'ignored' WHEN 'defer' THEN 'deferred' WHEN 'update_decision' THEN 'deferred' ELSE status END AS after,
+  CASE action WHEN 'pick_a' THEN 'Winner: ' || c.a_id || '. ' WHEN 'pick_b' THEN 'Winner: ' || c.b_id || '. ' WHEN 'accept_exception' THEN 'Accepted as exception. ' WHEN 'defer' THEN 'Deferred. ' WHEN 'dismiss' THEN 'Dismissed as false positive. ' WHEN 'update_decision' THEN 'Pending reconciliation. ' END AS note
+  FROM contra c LEFT JOIN act ON act.id = c.id)
+SELECT id, after AS status, CASE WHEN note IS NOT NULL THEN 'lead' END AS resolved_by, note || CASE WHEN a_id % 2 = 0 THEN 'because ' || b_id ELSE '' END AS resolution_note,
+  CASE WHEN note IS NOT NULL AND after IN ('resolved', 'ignored') THEN TIMESTAMP '{v.AS_OF}' END AS resolved_at FROM j
 """)
 def resolved_contradictions(spark: SparkSession, d: str) -> DataFrame:
-    return _applied(spark, d)[0].select("id", "status")
+    return _applied(spark, d)[0].select("id", "status", "resolved_by", "resolution_note", "resolved_at")
 
 
 def _applied(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = v.contradictions(spark, d)
-    actions = c.filter("status = 'unresolved' and b_id % 3 = 0").select("id", v.pick(ACTIONS, F.col("a_id") % 7).alias("action"))
+    why = F.when(F.col("a_id") % 2 == 0, F.concat(F.lit("because "), F.col("b_id").cast("string")))
+    actions = c.filter("status = 'unresolved' and b_id % 3 = 0").select("id", v.pick(ACTIONS, F.col("a_id") % 7).alias("action"), F.lit("lead").alias("actor"), why.alias("rationale"), v.as_of().alias("at"))
     return gov.apply_resolutions(c, v.decisions(spark, d), actions)
 
 
 @query("""
-WITH s AS (SELECT user_id % 40 AS rule, count(*) FILTER (event_type IN ('view', 'click')) AS triggered, count(*) FILTER (event_type = 'signup') AS validated, count(*) FILTER (event_type = 'error') AS rejected FROM events GROUP BY ALL)
+WITH s AS (SELECT user_id % 40 AS rule, count(*) FILTER (event_type IN ('view', 'click')) AS triggered, count(*) FILTER (event_type = 'signup') AS validated, count(*) FILTER (event_type = 'error') AS rejected FROM events GROUP BY ALL),
+m AS (SELECT r AS rule, CASE WHEN r % 5 = 0 THEN 'shadow' ELSE 'active' END AS mode FROM (SELECT unnest(range(35, 45)) AS r)),
+j AS (SELECT rule, coalesce(triggered, 0) AS triggered, coalesce(validated, 0) AS validated, coalesce(rejected, 0) AS rejected, mode FROM s FULL JOIN m USING (rule))
 SELECT rule, triggered, validated, rejected, round(coalesce(validated / nullif(triggered * 0.1::DOUBLE, 0), 0.0), 6) AS roi,
-  CASE WHEN triggered >= 20 AND coalesce(rejected / nullif(rejected + validated, 0)::DOUBLE > 0.9, false) THEN 'shadow' ELSE 'active' END AS mode FROM s
+  CASE WHEN coalesce(mode = 'shadow', false) OR (triggered >= 20 AND coalesce(rejected / nullif(rejected + validated, 0)::DOUBLE > 0.9, false)) THEN 'shadow' ELSE 'active' END AS mode FROM j
 """)
 def rule_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Two of ten stored modes are shadows, one of a rule without events."""
     kind = F.when(F.col("event_type").isin("view", "click"), "triggered").when(F.col("event_type") == "signup", "validated").when(F.col("event_type") == "error", "rejected")
-    return gov.rule_stats(table(spark, d, "events").select((F.col("user_id") % 40).alias("rule"), kind.alias("event")))
+    stored = spark.range(35, 45).select(F.col("id").alias("rule"), F.when(F.col("id") % 5 == 0, "shadow").otherwise("active").alias("mode"))
+    return gov.rule_stats(table(spark, d, "events").select((F.col("user_id") % 40).alias("rule"), kind.alias("event")), stored=stored)
 
 
 STATUS4 = ("validated", "rejected", "deferred", "detected")
@@ -228,10 +236,15 @@ def assumption_stats(spark: SparkSession, d: str) -> DataFrame:
     return gov.assumption_stats(_assumptions(spark, d))
 
 
-@query(f"""WITH {ASSUMED} SELECT project, count(*) AS total, count(*) FILTER (status IN ('validated', 'rejected')) AS resolved,
-round((epoch_us(min(ts + INTERVAL 1 HOUR) FILTER (status = 'validated')) - epoch_us(min(ts))) / 1000000.0::DOUBLE, 6) AS first_value_seconds FROM assumed GROUP BY project""")
+@query(f"""WITH {ASSUMED}, t AS (SELECT *, project % 3 > 0 AND id % 8 < 4 AS high, project <> 4 OR id % 8 < 4 AS counts FROM assumed),
+m AS (SELECT project, count(*) AS total, count(*) FILTER (status IN ('validated', 'rejected')) AS resolved, round((epoch_us(min(ts + INTERVAL 1 HOUR) FILTER (status = 'validated')) - epoch_us(min(ts))) / 1000000.0::DOUBLE, 6) AS first_value_seconds,
+  count(*) FILTER (high) AS architectural, count(*) FILTER (NOT high) AS implementation, count(*) FILTER (high AND status = 'validated') AS validated_architectural, count(*) FILTER (NOT high AND status = 'validated') AS validated_implementation
+  FROM t WHERE counts GROUP BY project)
+SELECT *, CASE WHEN validated_implementation > 0 THEN round(validated_architectural / validated_implementation::DOUBLE, 6) WHEN validated_architectural > 0 THEN 'inf'::DOUBLE ELSE 0.0 END AS value_ratio FROM m""")
 def assumption_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return gov.assumption_metrics(_assumptions(spark, d))
+    """Some projects have no architectural assumptions, one has no others; a tier of null is as good as implementation."""
+    tier = F.when((F.col("project") % 3 > 0) & (F.col("id") % 8 < 4), "architectural").when(F.col("id") % 2 == 0, "implementation")
+    return gov.assumption_metrics(_assumptions(spark, d).withColumn("tier", tier).filter("project <> 4 or id % 8 < 4"))
 
 
 CLUSTERS = f"""{ASSUMED}, f AS (SELECT *, count(*) OVER (PARTITION BY project, pattern_id, file) AS n_file FROM assumed),
@@ -517,3 +530,36 @@ def dedupe_known(spark: SparkSession, d: str) -> DataFrame:
     known = e.filter("project % 5 <> 4 and id % 3 = 0").withColumn("status", F.when(F.col("id") % 2 == 0, "validated").otherwise("rejected"))
     return pairs.dedupe_known(e, known.drop("id"))
 
+
+@query("SELECT s_suppkey AS agent_id FROM supplier WHERE s_suppkey % 3 = 1 AND s_nationkey % 4 = 2 AND (s_suppkey % 5 IN (3, 4) OR s_suppkey % 10 = 0)")
+def find_agents(spark: SparkSession, d: str) -> DataFrame:
+    """Agents of a type and an organisation that may execute code, by trust or by grant."""
+    s = table(spark, d, "supplier")
+    agents = s.select(
+        F.col("s_suppkey").alias("agent_id"), v.pick(("coding", "review", "scan"), F.col("s_suppkey") % 3).alias("agent_type"), F.concat(F.lit("org"), (F.col("s_nationkey") % 4).cast("string")).alias("organization"),
+        v.pick(LEVELS5, F.col("s_suppkey") % 5).alias("trust"), F.when(F.col("s_suppkey") % 10 == 0, F.array(F.lit("execute_code"))).alias("extra"),
+    )
+    return gov.find_agents(agents, "review", "org2", "execute_code").select("agent_id")
+
+
+@query("""
+WITH t AS (SELECT o_orderkey AS token, o_custkey % 40 AS org, o_orderdate + INTERVAL 60 DAY AS x FROM orders),
+r AS (SELECT l_orderkey || '-' || l_linenumber AS request_id, l_orderkey + CASE WHEN l_linenumber = 7 THEN 100000000 ELSE 0 END AS token, l_shipdate AS at_time FROM lineitem),
+y AS (SELECT request_id, CASE WHEN x IS NULL THEN 'unknown' WHEN x <= at_time THEN 'expired' WHEN org >= 30 OR org % 4 = 0 THEN 'inactive organisation' ELSE 'valid' END AS reason FROM r LEFT JOIN t USING (token))
+SELECT request_id, reason = 'valid' AS valid, reason FROM y
+""")
+def check_federation(spark: SparkSession, d: str) -> DataFrame:
+    """Of forty organisations thirty are members, and every fourth of them is inactive."""
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    expires = F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + 60 * 86_400_000_000)
+    tokens = o.select(F.col("o_orderkey").alias("token"), (F.col("o_custkey") % 40).alias("org_id"), expires.alias("expires_at"))
+    members = spark.range(30).select(F.col("id").alias("org_id"), (F.col("id") % 4 != 0).alias("active"))
+    token = F.col("l_orderkey") + F.when(F.col("l_linenumber") == 7, 100000000).otherwise(0)
+    uses = li.select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("request_id"), token.alias("token"), F.col("l_shipdate").cast("timestamp").alias("at"))
+    return gov.check_federation(uses, tokens, members)
+
+
+@query("SELECT s_nationkey AS project, count(*) AS total, count(*) FILTER (s_suppkey % 4 <> 0) AS monitored, count(*) FILTER (s_suppkey % 4 = 0) AS unmonitored, round(count(*) FILTER (s_suppkey % 4 <> 0) / count(*)::DOUBLE, 6) AS coverage FROM supplier GROUP BY s_nationkey")
+def server_coverage(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("project"), F.concat(F.lit("s"), "s_suppkey").alias("server"), "s_suppkey")
+    return pairs.server_coverage(s, s.filter("s_suppkey % 4 <> 0").select("server"))

@@ -214,8 +214,8 @@ a AS (SELECT *, agent_id <> 3 AND starts_with(path, 'src/') AS allowed FROM r),
 q AS (SELECT request_id, project, CASE path WHEN 'src/login.py' THEN unnest(['auth', 'logging']) WHEN 'src/redis.py' THEN unnest(['caching', NULL]) END AS dimension FROM a WHERE allowed),
 h AS (SELECT DISTINCT request_id, d.id, d.created_at FROM q JOIN bridge b ON b.project = q.project AND b.dimension = q.dimension JOIN decision d ON d.id = b.id WHERE d.valid),
 t AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY created_at DESC, id) AS n FROM h), l AS (SELECT request_id, list(id ORDER BY n) AS ids FROM t WHERE n <= 5 GROUP BY request_id),
-u AS (SELECT project, count(*) AS n FROM contra WHERE status = 'unresolved' AND NOT is_baseline GROUP BY project)
-SELECT a.request_id, allowed, coalesce(ids, []) AS decisions, coalesce(u.n, 0) AS unresolved FROM a LEFT JOIN l ON l.request_id = a.request_id LEFT JOIN u ON u.project = a.project
+u AS (SELECT project, count(*) FILTER (status = 'unresolved' AND NOT is_baseline) AS n, count(*) FILTER (status = 'deferred') AS put_off FROM contra GROUP BY project)
+SELECT a.request_id, allowed, coalesce(ids, []) AS decisions, coalesce(u.n, 0) AS unresolved, coalesce(put_off, 0) AS deferred FROM a LEFT JOIN l ON l.request_id = a.request_id LEFT JOIN u ON u.project = a.project
 """)
 def context_for(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
@@ -225,6 +225,11 @@ def context_for(spark: SparkSession, d: str) -> DataFrame:
     return review.context_for(requests, v.decisions(spark, d), v.bridge(spark, d), v.contradictions(spark, d), agents)
 
 
+@query("SELECT project, id, 'DEFERRED CONTRADICTION: Decision ' || a_id || ' vs Decision ' || b_id || '. Human has not yet decided. Proceed with caution.' AS warning FROM contra WHERE status = 'deferred'")
+def deferred_warnings(spark: SparkSession, d: str) -> DataFrame:
+    return review.deferred_warnings(v.contradictions(spark, d), v.decisions(spark, d))
+
+
 @query("""
 WITH s AS (SELECT id, project, row_number() OVER (PARTITION BY project ORDER BY confidence DESC, id) AS k FROM decision), t AS (SELECT *, CASE WHEN k <= 2 THEN 'always' WHEN k <= 6 THEN 'auto' ELSE 'on-demand' END AS tier FROM s),
 f AS (SELECT c_custkey AS project, 'src/' || lower(c_mktsegment) || '/' || c_custkey || '.py' AS path FROM customer)

@@ -297,3 +297,15 @@ def dimension_access(spark: SparkSession, d: str) -> DataFrame:
     dims = v.bridge(spark, d).groupBy("id").agg(F.collect_set("dimension").alias("dims"))
     allowed = F.array(*[F.lit(x) for x in ("auth", "caching", "logging", "testing", "database", "messaging")])
     return dims.select("id", labels.dimension_access(F.col("dims"), F.array(F.lit("security")), allowed).alias("allowed"))
+
+
+@query("""
+WITH a AS (SELECT user_id, list_distinct(string_split('fix the purchase error in user' || user_id % 3 || ' then stop', ' ')) AS t, list_distinct(list(event_type) || list('user' || event_id % 40)) AS f FROM events WHERE event_id % 9 = 0 GROUP BY user_id)
+SELECT user_id, round(len(list_intersect(t, f)) / len(t)::DOUBLE, 6) AS overlap, len(list_intersect(t, f)) / len(t)::DOUBLE < 0.2 AS drifted FROM a
+""")
+def intent_drift(spark: SparkSession, d: str) -> DataFrame:
+    from ledgerwing.operators.sequences import intent_drift as operator
+
+    tasks = table(spark, d, "events").select(F.col("user_id").alias("agent_id")).distinct().withColumn("task", F.format_string("Fix the purchase error in user%s THEN stop", F.col("agent_id") % 3))
+    actions = table(spark, d, "events").filter("event_id % 9 = 0").select(F.col("user_id").alias("agent_id"), F.concat(F.upper("event_type"), F.lit("  user"), (F.col("event_id") % 40).cast("string")).alias("action"))
+    return operator(tasks, actions).select(F.col("agent_id").alias("user_id"), "overlap", "drifted")
