@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwing.llm import textwords, worker
-from ledgerwing.llm.storage import WHILE_WRITING, held, id_bucket
+from ledgerwing.llm.storage import WHILE_WRITING, held, id_bucket, unused
 
 UNDETERMINED = "und"
 #: Words are taken from stretches of about so many characters.
@@ -200,7 +200,7 @@ def sample_per_language(labelled: DataFrame, limit: int) -> tuple[list[str], Dat
     thinned = ids.filter(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).distinct()
     by_hash = Window.partitionBy("lang").orderBy("h", "doc_id")
     chosen = thinned.withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= limit).select("doc_id").distinct()
-    return sorted(counts), labelled.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
+    return sorted(counts), labelled.join(chosen, "doc_id", "left_semi").select("lang", "text")
 
 
 def fit(
@@ -267,8 +267,9 @@ def identify(docs: DataFrame, model: LanguageModel, held_out: Column, text_col:
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least_score: float) -> DataFrame:
     """The documents, all columns, whose language is found with at least least_score; `und` goes."""
-    p = docs.withColumn("_language", predict_column(docs, model, F.col("text")))
-    return p.filter((F.col("_language.lang_pred") != UNDETERMINED) & (F.col("_language.score") >= least_score)).drop("_language")
+    told = unused(docs.columns, "_language")
+    p = docs.withColumn(told, predict_column(docs, model, F.col("text")))
+    return p.filter((F.col(f"{told}.lang_pred") != UNDETERMINED) & (F.col(f"{told}.score") >= least_score)).drop(told)
 
 
 def held_out_languages(docs: DataFrame, folds: int = 3, fold: int = 1, **parameters) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerwing.llm.storage import materialize
+from ledgerwing.llm.storage import materialize, unused
 
 LEVELS = ("domain", "lang", "source")
 UNKNOWN = "unknown"
@@ -159,11 +159,12 @@ def select_documents(docs: DataFrame, mixture: Mixture) -> DataFrame:
 
     The plan holds one row a leaf, so texts meet it by a join on the leaf and are never shuffled by id.
     """
-    planned = plan(docs, mixture).select(*[F.col(c).alias(f"_mix_{c}") for c in (*LEVELS, "epochs", "cut")])
+    mine = {c: unused(docs.columns, f"_mix_{c}") for c in (*LEVELS, "epochs", "cut")}
+    planned = plan(docs, mixture).select(*[F.col(c).alias(name) for c, name in mine.items()])
     leaf = leaves_of(docs)
-    on = [leaf[k] == F.col(f"_mix_{c}") for k, c in enumerate(LEVELS)]
-    key = epoch_key(mixture, F.col("_mix_epochs"))
-    joined = docs.join(planned, on).filter((F.col("_mix_epochs") > 0) | (key <= F.col("_mix_cut")))
+    on = [leaf[k] == F.col(mine[c]) for k, c in enumerate(LEVELS)]
+    key = epoch_key(mixture, F.col(mine["epochs"]))
+    joined = docs.join(planned, on).filter((F.col(mine["epochs"]) > 0) | (key <= F.col(mine["cut"])))
     return joined.filter(F.coalesce(F.regexp_instr("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) > 0).select(*docs.columns)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerwing.llm import textwords, worker
 from ledgerwing.llm.connected import components
-from ledgerwing.llm.storage import materialize
+from ledgerwing.llm.storage import materialize, unused
 
 #: Counters of the frequency sketch that orders shingles; its size is the same whatever the data.
 SKETCH_BITS = 20
@@ -213,5 +213,6 @@ def keep_one(docs: DataFrame, s: Similarity) -> DataFrame:
 
     Rows of one doc_id count as one document and stay together; rows with a null doc_id stay.
     """
-    found = link(docs, s).filter("component_id <> doc_id").select(F.col("doc_id").alias("_near_id")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("_near_id"), "left_anti")
+    gone = unused(docs.columns, "_near_id")
+    found = link(docs, s).filter("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(found, F.col("doc_id").cast("long") == F.col(gone), "left_anti")

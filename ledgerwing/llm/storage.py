@@ -65,3 +65,9 @@ def id_bucket(col: Column, n: int) -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def unused(columns: list[str], name: str) -> str:
+    """name, with a number behind it if columns has it; case does not count."""
+    taken = {c.lower() for c in columns}
+    return next(x for x in (name, *[f"{name}{n}" for n in range(len(columns))]) if x.lower() not in taken)

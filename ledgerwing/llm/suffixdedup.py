@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ledgerwing.llm import textwords, worker
 from ledgerwing.llm.ngramlm import bucket_of
-from ledgerwing.llm.storage import drop_materialized, materialize, shuffle_width
+from ledgerwing.llm.storage import drop_materialized, materialize, shuffle_width, unused
 
 LENGTH = 200
 CORE = 100
@@ -493,11 +493,12 @@ def with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     drop_materialized(cores)
     found = materialize(_document_spans(runs, _merged_spans(runs)), "spans")
     drop_materialized(runs)
-    named = found.select(F.col("key").alias("_rep_key"), F.col("n_bytes").alias("_rep_bytes"), _union(F.col("raw")).alias(spans_col))
+    rep_key, rep_bytes = (unused([*docs.columns, data_col, spans_col], x) for x in ("_rep_key", "_rep_bytes"))
+    named = found.select(F.col("key").alias(rep_key), F.col("n_bytes").alias(rep_bytes), _union(F.col("raw")).alias(spans_col))
     rows = docs.withColumn(data_col, data)
     key = F.xxhash64(F.col(id_col), F.col(id_col).isNull(), F.col(data_col))
-    joined = rows.join(named, (key == F.col("_rep_key")) & (F.octet_length(data_col) == F.col("_rep_bytes")), "left")
-    return joined.drop("_rep_key", "_rep_bytes").withColumn(spans_col, F.coalesce(spans_col, F.array().cast("array<struct<start:bigint,end:bigint>>")))
+    joined = rows.join(named, (key == F.col(rep_key)) & (F.octet_length(data_col) == F.col(rep_bytes)), "left")
+    return joined.drop(rep_key, rep_bytes).withColumn(spans_col, F.coalesce(spans_col, F.array().cast("array<struct<start:bigint,end:bigint>>")))
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
@@ -526,9 +527,3 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     if "n_chars" in columns:
         found = found.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return found.select(*columns)
-
-
-def unused(columns: list[str], name: str) -> str:
-    """name, with a number behind it if columns has it."""
-    return next(x for x in (name, *[f"{name}{n}" for n in range(len(columns))]) if x not in columns)
-

@@ -102,3 +102,22 @@ def test_each_stage_against_brute_force(spark):
 
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), "").count() == 0, name
+
+
+def test_stages_keep_columns_of_the_names_that_they_use(spark):
+    """Names that operators give their own columns, in any case, stay as they came."""
+    from pyspark.sql import functions as F
+
+    from tests.llm.test_operators import corpus
+
+    names = ["_language", "_language0", "_near_id", "_mix_domain", "_MIX_lang", "_mix_source", "_mix_epochs", "_mix_cut", "_rep_key", "_rep_bytes", "_rep_data", "_REP_spans", "key", "n", "text_key"]
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, lang string, source string, shard int").drop("shard")
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{k}-"), F.col("doc_id").cast("string")))
+    docs = materialize(docs, "clash-in")
+    for k, (stage, f) in enumerate(corpus_pipeline.STAGES[:4]):
+        after = materialize(f(spark, docs, ""), f"clash{k}")
+        assert after.columns == docs.columns, stage
+        wrong = [F.col(f"`{n}`") != F.concat(F.lit(f"{j}-"), F.col("doc_id").cast("string")) for j, n in enumerate(names)]
+        assert after.count() > 0 and after.filter(F.greatest(*[w.cast("int") for w in wrong]) == 1).count() == 0, stage
+        docs = after
