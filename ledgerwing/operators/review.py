@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerwing.functions import labels
 from ledgerwing.functions.labels import first_match
+from ledgerwing.functions.questions import question_text
 from ledgerwing.functions.text import extract_imports
 from ledgerwing.operators.governance import assumption_priority, cluster, rule_stats
 from ledgerwing.operators.keywords import containing
@@ -50,22 +51,6 @@ def rule_text(assumptions: DataFrame) -> DataFrame:
     return assumptions.select("id", text.alias("text"))
 
 
-QUESTIONS = {
-    "data_scope": "Is {match} the only place that writes this data?",
-    "temporal": "Is the time in {match} fixed for good?",
-    "configuration": "May {match} differ between environments?",
-    "access": "Can more roles than the one in {match} do this?",
-    "completeness": "What should happen beyond {match}?",
-}
-
-
-def question_text(findings: DataFrame) -> DataFrame:
-    """id, question, options for a finding by its category, with the matched text, at most 60 characters of it."""
-    template = F.create_map(*[x for k, q in QUESTIONS.items() for x in (F.lit(k), F.lit(q))])
-    asked = F.coalesce(F.element_at(template, F.col("category")), F.lit("Does {match} hold everywhere?"))
-    return findings.select("id", F.replace(asked, F.lit("{match}"), F.substring("match", 1, 60)).alias("question"), F.array(F.lit("Yes"), F.lit("No"), F.lit("It depends on context")).alias("options"))
-
-
 def resolve_assumptions(assumptions: DataFrame, answers: DataFrame, as_of: Column) -> DataFrame:
     """id, status, selected_option, resolved_by, rationale, resolved_at, deferred_until of all assumptions after answers.
 
@@ -144,7 +129,7 @@ def finding_outcomes(findings: DataFrame, known: DataFrame, rule_events: DataFra
 def assumption_run(findings: DataFrame, known: DataFrame, rule_events: DataFrame, evidence: DataFrame, modules: DataFrame, churned: DataFrame, per_file: int = 10) -> AssumptionRun:
     """Findings to proposals: shadow rules, tiers, known ones, clusters, priorities and questions in one plan.
 
-    findings: id, project, category, pattern_id, file, summary, match, dedup_key, severity_rank, confidence, ts. known:
+    findings: id, project, category, pattern_id, file, summary, snippet, dedup_key, severity_rank, confidence, ts. known:
     project, dedup_key, status. rule_events: rule, event. evidence: id, module. modules, churned: as assumption_priority
     takes them. Counters come from the same pass over the findings as the proposals. A project without known
     assumptions freezes what it has as its baseline.
@@ -152,11 +137,10 @@ def assumption_run(findings: DataFrame, known: DataFrame, rule_events: DataFrame
     told = finding_outcomes(findings, known, rule_events)
     new = told.filter("outcome = 'new'")
     clusters = cluster(new, per_file)
-    chosen = clusters.join(new.select("id", "project", "category", "summary", "match", "file", "severity_rank", "is_baseline"), clusters["representative"] == new["id"])
-    summary = F.when(F.col("n") > 1, F.format_string("[%sx] %s", "n", "summary")).otherwise(F.col("summary"))
-    chosen = chosen.withColumn("summary", summary)
+    chosen = clusters.join(new.select("id", "project", "pattern_id", "category", "summary", "snippet", "file", "severity_rank", "is_baseline"), clusters["representative"] == new["id"])
+    chosen = chosen.withColumn("summary", F.when(F.col("n") > 1, F.format_string("[%sx] %s", "n", "summary")).otherwise(F.col("summary")))
     urgent = assumption_priority(chosen.select("id", "severity_rank", "file").join(evidence, "id", "left"), modules, churned).select("id", "priority")
-    asked = question_text(chosen.select("id", "category", "match"))
+    asked = question_text(chosen.select("id", "pattern_id", "category", "summary", "snippet"))
     proposals = chosen.join(urgent, "id").join(asked, "id").select("cluster", "id", "project", "summary", "n", "is_baseline", "priority", "question", "options", F.lit("proposed").alias("status"))
     counts = told.groupBy("project").agg(F.count("*").alias("detected"), *[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES])
     groups = chosen.groupBy("project").agg(F.count("*").alias("clusters"))

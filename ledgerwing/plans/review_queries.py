@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwing.functions import text
+from ledgerwing.functions import questions, text
 from ledgerwing.operators import aggregates as agg
 from ledgerwing.operators import governance as gov
 from ledgerwing.operators import matching, pairs, review, risk
@@ -46,13 +46,32 @@ def rule_text(spark: SparkSession, d: str) -> DataFrame:
     return review.rule_text(a)
 
 
-@query("""
-SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'Is ' || props || ' the only place that writes this data?' WHEN 'click' THEN 'Is the time in ' || props || ' fixed for good?' ELSE 'Does ' || props || ' hold everywhere?' END AS question,
- ['Yes', 'No', 'It depends on context'] AS options FROM events
-""")
+#: Findings (rule, category, snippet), and the beginning of the question and the first two options that they lead to.
+ASKED = (
+    ("single_source_write", "data_scope", "def save(x): db.run(INSERT INTO `users` VALUES)", "The code restricts writes to 'users' from save().", "A) Correct — only save() should write to users", "B) Incomplete — external webhooks/APIs should also write to users", 5),
+    ("narrow_where_clause", "data_scope", "select a from t WHERE b = 3 ;", "This query filters t with WHERE b = 3. Does", "A) Correct — only this subset is ever needed", "B) Incomplete — other filter values will be needed later", 4),
+    ("single_role_access", "access", "if allowed(\"Viewer\", \"x y\")", "This endpoint requires role 'Viewer'. Should", "A) Correct — only Viewer should access this", "B) Incomplete — other roles (e.g., superadmin, service accounts) need access", 4),
+    ("incomplete_enum", "completeness", "status in (OPEN, CLOSED )", "This code handles statuses: OPEN, CLOSED. Are", "A) Yes — these are the only valid states", "B) No — additional states will be needed (e.g., closed, archived)", 4),
+    ("env_no_fallback", "configuration", "os.environ.get(\"HOME\")", "This code reads os.environ['HOME'] without", "A) Yes — deployment always sets HOME", "B) No — needs a sensible default for local development", 4),
+    ("single_endpoint", "access", "@app.get(\"/api/v2/orders/{id}\")", "Resource 'orders' is only", "A) Yes — one access path is intentional", "B) No — other endpoints should also expose this data", 4),
+    ("own_rule", "data_scope", "x", "This code makes a data scope assumption: told", "A) The current scope is correct and complete", "B) The scope is too narrow — additional data sources are needed", 5),
+    ("own_rule", "other", "x", "This code assumes: told", "A) Yes — this assumption is correct", "B) Partially — the assumption is too narrow", 4),
+)
+
+
+def _quote(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+@query(f"""WITH t(k, start, a, b, n) AS (VALUES {', '.join(f"({k}, {_quote(start)}, {_quote(a)}, {_quote(b)}, {n})" for k, (_, _, _, start, a, b, n) in enumerate(ASKED))})
+SELECT event_id AS id, start AS question, a, b, n FROM events JOIN t ON k = event_id % {len(ASKED)}""")
 def question_text(spark: SparkSession, d: str) -> DataFrame:
-    category = F.when(F.col("event_type") == "view", "data_scope").when(F.col("event_type") == "click", "temporal").otherwise("other")
-    return review.question_text(table(spark, d, "events").select(F.col("event_id").alias("id"), category.alias("category"), F.col("props").alias("match")))
+    """The question as far as the list has it, its first two options, and how many there are."""
+    k = F.col("event_id") % len(ASKED)
+    rule, category, snippet, start = (v.pick(tuple(x[c] for x in ASKED), k) for c in range(4))
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), rule.alias("pattern_id"), category.alias("category"), snippet.alias("snippet"), F.concat(F.lit("told "), "event_id").alias("summary"))
+    found = questions.question_text(e).join(table(spark, d, "events").select(F.col("event_id").alias("id"), F.length(start).alias("w")), "id")
+    return found.select("id", F.expr("substring(question, 1, w)").alias("question"), F.col("options")[0].alias("a"), F.col("options")[1].alias("b"), F.size("options").alias("n"))
 
 
 @query(f"""WITH {ASSUMED}, s AS (SELECT id, CASE WHEN id % 8 = 3 THEN 'proposed' ELSE status END AS status, CASE WHEN id % 5 = 0 THEN ['yes', 'no', 'I need MORE context', 'other'] ELSE ['yes', 'no'] END AS options, id % 7 - 1 AS option FROM assumed),
@@ -103,7 +122,7 @@ def assumption_counters(spark: SparkSession, d: str) -> DataFrame:
     return _pipeline(spark, d)[1]
 
 
-RUN = f"""{ASSUMED}, base AS (SELECT * EXCLUDE (category), ['data_scope', 'temporal', 'access'][CAST(id % 3 AS INT) + 1] AS category, 'told ' || id AS summary, 'm' || id AS match, 'k' || id % 400 AS dedup_key FROM assumed),
+RUN = f"""{ASSUMED}, base AS (SELECT * EXCLUDE (category), ['data_scope', 'temporal', 'access'][CAST(id % 3 AS INT) + 1] AS category, 'told ' || id AS summary, 'm' || id AS snippet, 'k' || id % 400 AS dedup_key FROM assumed),
 known AS (SELECT DISTINCT project, dedup_key, CASE WHEN id % 2 = 0 THEN 'validated' ELSE 'rejected' END AS st FROM base WHERE project < 15 AND id % 9 = 0),
 shadow AS (SELECT pattern_id FROM base GROUP BY pattern_id HAVING pattern_id = 'p1' AND count(*) >= 20),
 told AS (SELECT b.*, CASE WHEN pattern_id IN (SELECT pattern_id FROM shadow) THEN 'shadowed' WHEN confidence < CASE category WHEN 'data_scope' THEN 0.4 ELSE 0.7 END THEN 'below_threshold'
@@ -119,7 +138,7 @@ def _run(spark: SparkSession, d: str) -> review.AssumptionRun:
     e = table(spark, d, "events")
     key = F.col("id").cast("string")
     a = _assumptions(spark, d).withColumn("category", v.pick(("data_scope", "temporal", "access"), F.col("id") % 3))
-    a = a.withColumn("summary", F.concat(F.lit("told "), key)).withColumn("match", F.concat(F.lit("m"), key)).withColumn("dedup_key", F.concat(F.lit("k"), (F.col("id") % 400).cast("string")))
+    a = a.withColumn("summary", F.concat(F.lit("told "), key)).withColumn("snippet", F.concat(F.lit("m"), key)).withColumn("dedup_key", F.concat(F.lit("k"), (F.col("id") % 400).cast("string")))
     known = a.filter("project < 15 and id % 9 = 0").select("project", "dedup_key", F.when(F.col("id") % 2 == 0, "validated").otherwise("rejected").alias("status"))
     told = F.array(F.lit("triggered"), F.when(F.col("pattern_id") == "p1", "rejected").otherwise("validated"))
     events = a.select(F.col("pattern_id").alias("rule"), F.explode(told).alias("event"))

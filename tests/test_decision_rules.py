@@ -93,7 +93,7 @@ def test_a_run_equals_its_parts(spark):
         (6, "p", "temporal", "shady", "b.py", "s6", "m", "k6", 1, 0.8, T0),
         (7, "p", "temporal", "r2", "b.py", "s7", "m", "k7", 1, 0.8, T0),
     ]
-    table = spark.createDataFrame(findings, "id int, project string, category string, pattern_id string, file string, summary string, match string, dedup_key string, severity_rank int, confidence double, ts timestamp")
+    table = spark.createDataFrame(findings, "id int, project string, category string, pattern_id string, file string, summary string, snippet string, dedup_key string, severity_rank int, confidence double, ts timestamp")
     known = spark.createDataFrame([("p", "k4", "validated"), ("p", "k7", "rejected")], "project string, dedup_key string, status string")
     events = spark.createDataFrame([("shady", "triggered")] * 30 + [("shady", "rejected")] * 20, "rule string, event string")
     evidence = spark.createDataFrame([(1, "app.core")], "id int, module string")
