@@ -263,9 +263,38 @@ def extract_endpoints(files: DataFrame, key: str = "path", text: str = "source")
 def auto_detect(docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, dimension, score: summed weights of the rules (dimension, kind, pattern, weight) that a text matches.
 
-    rules is a reference table of a few rows, whose measured size decides on a broadcast.
+    A keyword is looked for as it is, a glob with * for any run within a line, a regex as written; none minds the case. A kind of
+    another name matches nothing. rules is a reference table of a few rows, whose measured size decides on a broadcast.
     """
     low = F.lower(F.col(text))
-    hit = first_match([(F.col("kind") == "keyword", low.contains(F.lower("pattern"))), (F.col("kind") == "regex", F.rlike(F.col(text), F.col("pattern")))], False)
+    escaped = F.regexp_replace(F.col("pattern"), r"([^\w*])", r"\\$1")
+    glob = F.concat(F.lit("(?i)"), F.replace(escaped, F.lit("*"), F.lit(".*")))
+    regex = F.concat(F.lit("(?i)"), F.col("pattern"))
+    hit = first_match([(F.col("kind") == "keyword", low.contains(F.lower("pattern"))), (F.col("kind") == "glob", F.rlike(F.col(text), glob)), (F.col("kind") == "regex", F.rlike(F.col(text), regex))], False)
     joined = docs.select(key, text).crossJoin(rules).filter(hit)
     return joined.groupBy(key, "dimension").agg(F.round(F.sum("weight"), 6).alias("score"))
+
+
+# What an anonymous decision keeps as it is, what it keeps as a hash, and what it keeps redacted.
+KEPT = ("dimensions", "confidence", "decision_type", "source_type")
+HASHED = ("made_by", "project")
+REDACTED = ("title", "content", "rationale")
+
+
+def anonymize(decisions: DataFrame, salt: str) -> DataFrame:
+    """Decisions with people and projects as salted hashes and texts redacted; other columns than those of a fixed list go."""
+    have = set(decisions.columns)
+    hashed = {"made_by": hash_id(F.col("made_by"), salt), "project": F.concat(F.lit("org-"), hash_id(F.col("project"), salt))}
+    columns = [*[F.col(c) for c in ("id", *KEPT) if c in have], *[hashed[c].alias(c) for c in HASHED if c in have], *[redact(F.col(c)).alias(c) for c in REDACTED if c in have]]
+    return decisions.select(*columns)
+
+
+def anonymized_fields(decisions: DataFrame, by: str = "project") -> DataFrame:
+    """by, original_fields, redacted_fields, hashed_identifiers: fields with a value, those of them that anonymize leaves out, and those that it hashes."""
+    def present(names: list[str]) -> Column:
+        return F.sum(sum((F.col(c).isNotNull().cast("long") for c in names), F.lit(0)))
+
+    gone = [c for c in decisions.columns if c not in (*KEPT, *HASHED, *REDACTED)]
+    return decisions.groupBy(by).agg(
+        present(decisions.columns).alias("original_fields"), present(gone).alias("redacted_fields"), present([c for c in HASHED if c in decisions.columns]).alias("hashed_identifiers")
+    )

@@ -77,11 +77,23 @@ def attention_position(rank: Column, n: Column) -> Column:
     return F.when(n <= 2, rank).when(rank == 1, 1).when(rank == 2, n).otherwise(rank - 1).cast("int")
 
 
+LABEL_CHARS = 50
+
+
+def graph_nodes(decisions: DataFrame, bridge: DataFrame) -> DataFrame:
+    """id, label, decision_type, dimensions, confidence, status of every valid decision; one without dimensions has an empty list."""
+    dims = bridge.groupBy("id").agg(F.sort_array(F.collect_set("dimension")).alias("dimensions"))
+    nodes = decisions.filter("valid").join(dims, "id", "left")
+    return nodes.select("id", F.substring("title", 1, LABEL_CHARS).alias("label"), "decision_type", F.coalesce("dimensions", F.array().cast("array<string>")).alias("dimensions"), "confidence", "status")
+
+
 def decision_graph(decisions: DataFrame, bridge: DataFrame, contradictions: DataFrame) -> DataFrame:
-    """source, target, kind, weight: supersession, contradiction and shared-dimension edges."""
-    supersedes = decisions.filter("supersedes is not null").select(F.col("id").alias("source"), F.col("supersedes").alias("target"), F.lit("supersedes").alias("kind"), F.lit(1.0).alias("weight"))
-    against = contradictions.filter("status = 'unresolved'").select(F.col("a_id").alias("source"), F.col("b_id").alias("target"), F.lit("contradiction").alias("kind"), F.col("confidence").alias("weight"))
-    shared = candidate_pairs(bridge).select(F.col("a_id").alias("source"), F.col("b_id").alias("target"), F.lit("shared").alias("kind"), F.col("shared_count").cast("double").alias("weight"))
+    """source, target, kind, weight: edges of valid decisions to what they supersede, unresolved pairs by verdict, and valid decisions that share dimensions."""
+    valid = decisions.filter("valid")
+    supersedes = valid.filter("supersedes is not null").select(F.col("id").alias("source"), F.col("supersedes").alias("target"), F.lit("supersedes").alias("kind"), F.lit(1.0).alias("weight"))
+    against = contradictions.filter("status = 'unresolved'").select(F.col("a_id").alias("source"), F.col("b_id").alias("target"), F.col("verdict").alias("kind"), F.col("confidence").alias("weight"))
+    live = candidate_pairs(bridge.join(valid.select("id"), "id", "left_semi"))
+    shared = live.select(F.col("a_id").alias("source"), F.col("b_id").alias("target"), F.lit("shared").alias("kind"), F.col("shared_count").cast("double").alias("weight"))
     return supersedes.unionByName(against).unionByName(shared)
 
 
@@ -226,6 +238,23 @@ def compare_fingerprints(fingerprints: DataFrame, threshold: float = 0.7, asked:
     return pairs.select("a", "b", F.round(F.when(norm == 0, 0.0).otherwise(dot("va", "vb") / norm), 6).alias("similarity")).withColumn("compatible", F.col("similarity") >= threshold)
 
 
+def fingerprint_notes(pairs: DataFrame, names: tuple[str, ...] = DIMENSIONS) -> DataFrame:
+    """pairs (a_vector, b_vector) with similarities (dimension -> 0 to 1) and notes on the dimensions in which two projects differ.
+
+    The first slots of a fingerprint are scores by dimension. Both without a dimension agree in it; else the gap counts
+    by the greater score. Under 0.3 is a major divergence, under 0.6 a moderate difference.
+    """
+    likeness = []
+    for n in range(len(names)):
+        a, b = F.col("a_vector")[n], F.col("b_vector")[n]
+        likeness.append(F.when((a == 0) & (b == 0), 1.0).otherwise(1 - F.abs(a - b) / F.greatest(a, b, F.lit(0.001))))
+    slots = F.array(*[F.struct(F.lit(name).alias("name"), x.alias("x")) for name, x in zip(names, likeness, strict=True)])
+    kept = F.filter(slots, lambda s: s["x"] < 0.6)
+    note = F.transform(kept, lambda s: F.when(s["x"] < 0.3, F.concat(F.lit("Major divergence in '"), s["name"], F.lit("' — review required"))).otherwise(F.concat(F.lit("Moderate difference in '"), s["name"], F.lit("'"))))
+    similar = F.map_from_entries(F.transform(slots, lambda s: F.struct(s["name"], F.round(s["x"], 6))))
+    return pairs.withColumn("similarities", similar).withColumn("notes", note)
+
+
 def dedupe_known(new: DataFrame, known: DataFrame) -> DataFrame:
     """new rows with known_status: `validated`, `known` or `new`, by the dedup key; baseline where a project has none."""
     had = known.select("project").distinct().withColumn("has_known", F.lit(True))

@@ -9,7 +9,7 @@ from ledgerwing.operators import aggregates as agg
 from ledgerwing.operators import graph, pairs, timeline
 from ledgerwing.operators import sequences as seq
 from ledgerwing.plans import views as v
-from ledgerwing.plans.catalog import query
+from ledgerwing.plans.catalog import ORACLES, query
 from ledgerwing.schemas import DIMENSIONS
 from ledgerwing.session import table
 
@@ -38,14 +38,24 @@ def find_related(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT id AS source, supersedes AS target, 'supersedes' AS kind, 1.0::DOUBLE AS weight FROM decision WHERE supersedes IS NOT NULL
-UNION ALL SELECT a_id, b_id, 'contradiction', confidence FROM contra WHERE status = 'unresolved'
-UNION ALL SELECT a_id, b_id, 'shared', CAST(shared_count AS DOUBLE) FROM pair
+SELECT id AS source, supersedes AS target, 'supersedes' AS kind, 1.0::DOUBLE AS weight FROM decision WHERE supersedes IS NOT NULL AND valid
+UNION ALL SELECT a_id, b_id, verdict, confidence FROM contra WHERE status = 'unresolved'
+UNION ALL SELECT a_id, b_id, 'shared', CAST(shared_count AS DOUBLE) FROM pair JOIN decision x ON x.id = a_id JOIN decision y ON y.id = b_id WHERE x.valid AND y.valid
 """)
 def decision_graph(spark: SparkSession, d: str) -> DataFrame:
     return pairs.decision_graph(v.decisions(spark, d), v.bridge(spark, d), v.contradictions(spark, d))
 
 
+@query("""
+WITH s AS (SELECT id, list_sort(list(dimension)) AS dims FROM bridge WHERE id % 9 > 0 GROUP BY id)
+SELECT d.id, repeat(title || ' ', 4)[1:50] AS label, decision_type, coalesce(dims, []) AS dimensions, confidence, status FROM decision d LEFT JOIN s ON s.id = d.id WHERE valid
+""")
+def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Titles longer than a label; every ninth decision has lost its dimensions."""
+    title = F.repeat(F.concat("title", F.lit(" ")), 4)
+    return pairs.graph_nodes(v.decisions(spark, d).withColumn("title", title), v.bridge(spark, d).filter("id % 9 > 0"))
+
+
 @query("""
 WITH touched AS (
   SELECT a_id AS id, b_id AS other, 'related' AS why FROM pair JOIN decision o ON o.id = b_id WHERE o.valid
@@ -399,3 +409,17 @@ def majority_vote(spark: SparkSession, d: str) -> DataFrame:
         F.struct(F.lit(2).alias("r"), F.lit("compatible").alias("v"), F.lit(0.5).alias("c")),
     )
     return agg.majority_vote(c.select(pair_id, F.explode(votes).alias("x")).select("pair_id", F.col("x.r").alias("round"), F.col("x.v").alias("verdict"), F.col("x.c").alias("confidence")))
+
+
+@query(f"""
+WITH f AS ({ORACLES['fingerprint']}), p AS (SELECT a.project AS a, b.project AS b, a.vector AS x, b.vector AS y FROM f a JOIN f b ON b.project = a.project + 1),
+s AS (SELECT a, b, list_transform(range(1, 13), lambda i: CASE WHEN x[i] = 0 AND y[i] = 0 THEN 1.0 ELSE 1 - abs(x[i] - y[i]) / greatest(x[i], y[i], 0.001) END) AS l FROM p)
+SELECT a, b, round(list_sum(list_transform(l, lambda z: round(z, 6))), 4) AS total, list_filter(list_transform(range(1, 13), lambda i: CASE WHEN l[i] < 0.3 THEN 'Major divergence in ''' || {v._case(DIMENSIONS, "i - 1")} || ''' — review required' WHEN l[i] < 0.6 THEN 'Moderate difference in ''' || {v._case(DIMENSIONS, "i - 1")} || '''' END), lambda n: n IS NOT NULL) AS notes FROM s
+""")
+def fingerprint_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Each project beside the next one by number; total sums the likeness in all dimensions."""
+    f = agg.fingerprint(v.decisions(spark, d), v.bridge(spark, d), v.contradictions(spark, d))
+    a, b = f.select(F.col("project").alias("a"), F.col("vector").alias("a_vector")), f.select(F.col("project").alias("b"), F.col("vector").alias("b_vector"))
+    found = pairs.fingerprint_notes(a.join(b, F.col("b") == F.col("a") + 1))
+    total = F.aggregate(F.map_values("similarities"), F.lit(0.0), lambda t, x: t + x)
+    return found.select("a", "b", F.round(total, 4).alias("total"), "notes")

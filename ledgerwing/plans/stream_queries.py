@@ -187,3 +187,12 @@ def lateness_losses(spark: SparkSession, d: str) -> DataFrame:
 def session_stream(spark: SparkSession, d: str) -> DataFrame:
     """Sessions that the watermark has closed by the end of four micro-batches; open ones are held back."""
     return finished(spark, monitors.sessions(_staged(spark, d, F.lit(False)), "12 hours"))
+
+
+@query("""
+SELECT w AS window_start, action, count(*) AS n FROM (SELECT action, unnest([time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 2 HOUR, time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 4 HOUR]) AS w FROM event) GROUP BY ALL
+""")
+def sliding_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of six hours, one every two, so that each event counts in three."""
+    updates = run(spark, d, lambda s: monitors.live_counts(s, "6 hours", slide="2 hours"), mode="update")
+    return updates.groupBy("window_start", "action").agg(F.max("n").alias("n"))

@@ -36,8 +36,13 @@ def redact(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT id, left(sha256('s:' || made_by), 16) AS made_by, 'org-' || left(sha256('s:' || project), 16) AS project, confidence, decision_type, source_type, title FROM decision")
 def anonymize(spark: SparkSession, d: str) -> DataFrame:
-    o = v.decisions(spark, d)
-    return o.select("id", text.hash_id(F.col("made_by"), "s").alias("made_by"), F.concat(F.lit("org-"), text.hash_id(F.col("project"), "s")).alias("project"), "confidence", "decision_type", "source_type", text.redact(F.col("title")).alias("title"))
+    return text.anonymize(v.decisions(spark, d), "s")
+
+
+@query("SELECT project, sum(10 + (supersedes IS NOT NULL)::INT)::BIGINT AS original_fields, sum(4 + (supersedes IS NOT NULL)::INT)::BIGINT AS redacted_fields, 2 * count(*) AS hashed_identifiers FROM decision GROUP BY project")
+def anonymized_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Of eleven columns one may be null; id, time, validity, status and what is superseded go."""
+    return text.anonymized_fields(v.decisions(spark, d))
 
 
 def _scan_sql(patterns: tuple[tuple[str, str], ...]) -> str:
@@ -250,12 +255,13 @@ def normalize_route(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH r(dimension, kind, pattern, weight) AS (VALUES ('database', 'keyword', 'the', 0.5), ('database', 'regex', '[0-9]{3}', 0.25), ('auth', 'keyword', 'der', 1.0))
-SELECT doc_id, dimension, round(sum(weight), 6)::DOUBLE AS score FROM documents, r WHERE CASE kind WHEN 'keyword' THEN contains(lower(text), lower(pattern)) ELSE regexp_matches(text, pattern) END GROUP BY ALL
+WITH r(dimension, kind, pattern, weight) AS (VALUES ('database', 'keyword', 'THE', 0.5), ('database', 'regex', '[0-9]{3}', 0.25), ('auth', 'keyword', 'der', 1.0), ('auth', 'regex', '\\bTH[ae]', 0.125), ('logging', 'glob', 'Th*. To', 2.0), ('logging', 'glob', 'a+*', 4.0), ('logging', 'other', 'the', 9.0))
+SELECT doc_id, dimension, round(sum(weight), 6)::DOUBLE AS score FROM documents, r
+WHERE CASE kind WHEN 'keyword' THEN contains(lower(text), lower(pattern)) WHEN 'regex' THEN regexp_matches(text, '(?i)' || pattern) WHEN 'glob' THEN regexp_matches(text, CASE WHEN weight = 2.0 THEN '(?i)Th.*\\. To' ELSE '(?i)a\\+.*' END) ELSE false END GROUP BY ALL
 """)
 def auto_detect(spark: SparkSession, d: str) -> DataFrame:
-    rules = spark.createDataFrame([("database", "keyword", "the", 0.5), ("database", "regex", "[0-9]{3}", 0.25), ("auth", "keyword", "der", 1.0)], "dimension string, kind string, pattern string, weight double")
-    return text.auto_detect(_docs(spark, d), rules)
+    rows = [("database", "keyword", "THE", 0.5), ("database", "regex", "[0-9]{3}", 0.25), ("auth", "keyword", "der", 1.0), ("auth", "regex", r"\bTH[ae]", 0.125), ("logging", "glob", "Th*. To", 2.0), ("logging", "glob", "a+*", 4.0), ("logging", "other", "the", 9.0)]
+    return text.auto_detect(_docs(spark, d), spark.createDataFrame(rows, "dimension string, kind string, pattern string, weight double"))
 
 
 @query("""

@@ -226,9 +226,10 @@ def ingest_stream(lines: DataFrame, keys: list[str], ts: str = "ts", delay: str
     return lines.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def live_counts(events: DataFrame, width: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
-    """window_start, action, n by tumbling windows of event time."""
-    counted = events.withWatermark("ts", delay).groupBy(F.window("ts", width), "action").agg(F.count("*").alias("n"))
+def live_counts(events: DataFrame, width: str = "10 minutes", delay: str = "10 minutes", slide: str | None = None) -> DataFrame:
+    """window_start, action, n by windows of event time: tumbling ones, or with slide one that begins every so often."""
+    windows = F.window("ts", width, slide) if slide else F.window("ts", width)
+    counted = events.withWatermark("ts", delay).groupBy(windows, "action").agg(F.count("*").alias("n"))
     return counted.select(F.col("window.start").alias("window_start"), "action", "n")
 
 
