@@ -83,12 +83,14 @@ def scan_assumptions(spark: SparkSession, d: str) -> DataFrame:
     return assumptions.scan(_snippets(spark, d)).select("path", "line_number", "rule", told.alias("told"))
 
 
-@query("""WITH w AS (SELECT event_id, 't' || user_id AS t FROM events WHERE event_id % 3 = 0), s AS (SELECT t FROM w GROUP BY t HAVING count(*) > 1)
+@query("""WITH w AS (SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 't' || user_id % 9 ELSE 'last' || event_id || CASE WHEN event_id % 2 = 0 THEN '_t' || user_id ELSE '' END END AS t FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0), s AS (SELECT t FROM w GROUP BY t HAVING count(*) > 1)
 SELECT 'e' || event_id || '.py' AS path FROM w WHERE NOT EXISTS (SELECT 1 FROM s WHERE contains('write to ' || w.t || ' found in one location — assumes no external write sources', s.t))""")
 def lone_writers(spark: SparkSession, d: str) -> DataFrame:
-    """Files whose writes to a table stay findings: a table's name that others write too may lie inside another name."""
-    name = F.concat(F.lit("t"), F.col("user_id").cast("string"))
-    files = table(spark, d, "events").filter("event_id % 3 = 0").select(F.format_string("e%s.py", "event_id").alias("path"), F.concat(F.lit("UPDATE "), F.upper(name), F.lit(" SET a = 1")).alias("source"))
+    """Files whose writes to a table stay findings: the name of a table that others write too may lie inside another name."""
+    n, user = F.col("event_id"), F.col("user_id")
+    own = F.concat(F.lit("last"), n.cast("string"), F.when(n % 2 == 0, F.concat(F.lit("_t"), user.cast("string"))).otherwise(""))
+    name = F.when(n % 6 == 0, F.concat(F.lit("t"), (user % 9).cast("string"))).otherwise(own)
+    files = table(spark, d, "events").filter((n % 2 == 0) | (n % 3 == 0)).select(F.format_string("e%s.py", "event_id").alias("path"), F.concat(F.lit("UPDATE "), F.upper(name), F.lit(" SET a = 1")).alias("source"))
     return assumptions.drop_shared_writes(assumptions.scan(files), files).filter("rule = 'single_source_write'").select("path")
 
 

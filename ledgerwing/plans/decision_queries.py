@@ -414,7 +414,7 @@ def majority_vote(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
 WITH f AS ({ORACLES['fingerprint']}), p AS (SELECT a.project AS a, b.project AS b, a.vector AS x, b.vector AS y FROM f a JOIN f b ON b.project = a.project + 1),
 s AS (SELECT a, b, list_transform(range(1, 13), lambda i: CASE WHEN x[i] = 0 AND y[i] = 0 THEN 1.0 ELSE 1 - abs(x[i] - y[i]) / greatest(x[i], y[i], 0.001) END) AS l FROM p)
-SELECT a, b, round(list_sum(list_transform(l, lambda z: round(z, 6))), 4) AS total, list_filter(list_transform(range(1, 13), lambda i: CASE WHEN l[i] < 0.3 THEN 'Major divergence in ''' || {v._case(DIMENSIONS, "i - 1")} || ''' — review required' WHEN l[i] < 0.6 THEN 'Moderate difference in ''' || {v._case(DIMENSIONS, "i - 1")} || '''' END), lambda n: n IS NOT NULL) AS notes FROM s
+SELECT a, b, round(list_sum(list_transform(l, lambda z: round(z, 6))) + 1e-8, 4) AS total, list_filter(list_transform(range(1, 13), lambda i: CASE WHEN l[i] < 0.3 THEN 'Major divergence in ''' || {v._case(DIMENSIONS, "i - 1")} || ''' — review required' WHEN l[i] < 0.6 THEN 'Moderate difference in ''' || {v._case(DIMENSIONS, "i - 1")} || '''' END), lambda n: n IS NOT NULL) AS notes FROM s
 """)
 def fingerprint_notes(spark: SparkSession, d: str) -> DataFrame:
     """Each project beside the next one by number; total sums the likeness in all dimensions."""
@@ -422,4 +422,4 @@ def fingerprint_notes(spark: SparkSession, d: str) -> DataFrame:
     a, b = f.select(F.col("project").alias("a"), F.col("vector").alias("a_vector")), f.select(F.col("project").alias("b"), F.col("vector").alias("b_vector"))
     found = pairs.fingerprint_notes(a.join(b, F.col("b") == F.col("a") + 1))
     total = F.aggregate(F.map_values("similarities"), F.lit(0.0), lambda t, x: t + x)
-    return found.select("a", "b", F.round(total, 4).alias("total"), "notes")
+    return found.select("a", "b", F.round(total + 1e-8, 4).alias("total"), "notes")
