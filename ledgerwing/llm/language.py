@@ -186,6 +186,10 @@ def _count_terms(languages: list[str], longest: int):
     return count
 
 
+#: Sampled ids that may be broadcast, 8 bytes each; a noisy label column may give more.
+BROADCAST_IDS = 1_000_000
+
+
 def sample_per_language(labelled: DataFrame, limit: int) -> tuple[list[str], DataFrame]:
     """The languages, and (lang, text) of at most limit documents of each, those of smallest hashed id.
 
@@ -200,6 +204,8 @@ def sample_per_language(labelled: DataFrame, limit: int) -> tuple[list[str], Dat
     thinned = ids.filter(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).distinct()
     by_hash = Window.partitionBy("lang").orderBy("h", "doc_id")
     chosen = thinned.withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= limit).select("doc_id").distinct()
+    if limit * len(counts) <= BROADCAST_IDS:  # else the texts travel to the ids
+        chosen = F.broadcast(chosen)
     return sorted(counts), labelled.join(chosen, "doc_id", "left_semi").select("lang", "text")
 
 
