@@ -15,14 +15,14 @@ from ledgerwing.operators.aggregates import majority_vote
 
 # The number of each agent type; other types count as custom.
 AGENT_TYPES = {"coding": 0, "review": 1, "scan": 2, "orchestrator": 3, "custom": 4, "human": 5}
-FEATURES = ("dimension_overlap_count", "decision_density", "historical_contradiction_rate", "agent_type_numeric", "hours_since_last", "total_active", "dimension_count")
+FEATURES = ("dimension_overlap_count", "decision_density", "historical_contradiction_rate", "agent_type_numeric", "time_since_last_same_dimension", "total_active_decisions", "dimension_count")
 
 
 def risk_features(decisions: DataFrame, bridge: DataFrame, contradictions: DataFrame, as_of: Column) -> DataFrame:
     """id, the seven features, and label (1: part of a contradiction) of every decision up to as_of.
 
     decisions has agent_type. A dimension's density and contradiction rate are those of the project; both come from
-    per-dimension aggregates that join back on (project, dimension). hours_since_last is the time since the project's
+    per-dimension aggregates that join back on (project, dimension). time_since_last_same_dimension is the hours since the project's
     latest earlier decision with one of the dimensions, 0 if there is none; decisions of one time follow their ids.
     """
     decisions = decisions.filter(F.col("created_at") <= as_of)
@@ -37,7 +37,7 @@ def risk_features(decisions: DataFrame, bridge: DataFrame, contradictions: DataF
         F.avg(F.coalesce("rate", F.lit(0.0))).alias("historical_contradiction_rate"),
         F.count("*").alias("dimension_count"),
     )
-    active = decisions.filter("valid").groupBy("project").agg(F.count("*").alias("total_active"))
+    active = decisions.filter("valid").groupBy("project").agg(F.count("*").alias("total_active_decisions"))
     sides = contradictions.filter("verdict = 'contradiction'").select(F.explode(F.array("a_id", "b_id")).alias("id")).distinct().withColumn("label", F.lit(1))
     base = decisions.join(agg, "id").join(active, "project", "left").join(sides, "id", "left")
     in_order = Window.partitionBy("project", "dimension").orderBy("created_at", "id")
@@ -51,8 +51,8 @@ def risk_features(decisions: DataFrame, bridge: DataFrame, contradictions: DataF
         F.round("decision_density", 6).alias("decision_density"),
         F.round("historical_contradiction_rate", 6).alias("historical_contradiction_rate"),
         kind.alias("agent_type_numeric"),
-        F.round(hours, 6).alias("hours_since_last"),
-        F.coalesce("total_active", F.lit(0)).alias("total_active"),
+        F.round(hours, 6).alias("time_since_last_same_dimension"),
+        F.coalesce("total_active_decisions", F.lit(0)).alias("total_active_decisions"),
         "dimension_count",
         F.coalesce("label", F.lit(0)).alias("label"),
     )

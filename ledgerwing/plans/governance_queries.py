@@ -322,7 +322,7 @@ a AS (SELECT b.id, count(*) FILTER (n > 0) AS o, avg(coalesce(n, 0)) AS dens, av
 act AS (SELECT project, count(*) AS total FROM decision WHERE valid GROUP BY project), hit AS (SELECT DISTINCT unnest([a_id, b_id]) AS id FROM contra WHERE verdict = 'contradiction'),
 gap AS (SELECT id, min(g) AS g FROM (SELECT b.id, epoch_us(created_at) - epoch_us(lag(created_at) OVER (PARTITION BY b.project, dimension ORDER BY created_at, b.id)) AS g FROM bridge b JOIN decision d ON d.id = b.id) GROUP BY id)
 SELECT d.id, o AS dimension_overlap_count, round(dens, 6) AS decision_density, round(r, 6) AS historical_contradiction_rate, CASE d.project % 7 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 5 THEN 5 ELSE 4 END AS agent_type_numeric,
-  round(coalesce(g / 3600000000.0::DOUBLE, 0.0), 6) AS hours_since_last, coalesce(total, 0) AS total_active, k AS dimension_count, CASE WHEN hit.id IS NULL THEN 0 ELSE 1 END AS label
+  round(coalesce(g / 3600000000.0::DOUBLE, 0.0), 6) AS time_since_last_same_dimension, coalesce(total, 0) AS total_active_decisions, k AS dimension_count, CASE WHEN hit.id IS NULL THEN 0 ELSE 1 END AS label
 FROM decision d JOIN a ON a.id = d.id LEFT JOIN gap ON gap.id = d.id LEFT JOIN act USING (project) LEFT JOIN hit ON hit.id = d.id
 """)
 def risk_features(spark: SparkSession, d: str) -> DataFrame:
