@@ -22,28 +22,36 @@ def supersession_chains(decisions: DataFrame, most_rounds: int = 40) -> DataFram
     """id, root, depth, cyclic: the oldest decision that each one leads back to and how many steps away it is.
 
     Pointer doubling: after round r every id knows its ancestor 2^r steps back, so a chain of n takes log2(n)
-    joins. Ids whose pointer never ends are on a cycle or lead into one; they have neither root nor depth.
+    joins. Only pointers that are still open move; ids that have reached their root are written once. Ids whose pointer
+    never ends are on a cycle or lead into one; they have neither root nor depth.
     """
     known = decisions.select(F.col("id").alias("k"))
-    links = decisions.select("id", F.col("supersedes").alias("next")).join(known, F.col("next") == F.col("k"), "left")
-    state = _cut(links.select("id", F.col("k").alias("next"), F.when(F.col("k").isNull(), F.col("id")).otherwise(F.col("k")).alias("root"), F.when(F.col("k").isNull(), 0).otherwise(1).cast("long").alias("depth")))
-    total, open_ = state.agg(F.count("*"), F.count("next")).first()
-    # pointers that are still open after log2(n) doublings are on a cycle or lead into one
-    for _ in range(min(most_rounds, max(1, total).bit_length() + 1)):
-        if not open_:
+    linked = decisions.select("id", F.col("supersedes").alias("next"))
+    found = linked.filter("next is not null").join(known, F.col("next") == F.col("k"), "left").select("id", F.col("k").alias("next"))
+    first = found.unionByName(linked.filter("next is null"))
+    open_ = _cut(first.select("id", "next", F.coalesce("next", "id").alias("root"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    closed, left = None, None
+    for _ in range(most_rounds):
+        ended = open_.filter("next is null")
+        closed = ended if closed is None else closed.unionByName(ended)
+        open_ = open_.filter("next is not null")
+        # a chain of 2^r steps or more has an id at each smaller depth, so if none was closed in a round all others go round
+        before, left = left, open_.count()
+        if left in (0, before):
             break
-        ahead = state.select(F.col("id").alias("next"), F.col("next").alias("n2"), F.col("root").alias("r2"), F.col("depth").alias("d2"))
-        moved = state.join(ahead, "next", "left")
-        state = _cut(moved.select("id", F.col("n2").alias("next"), F.coalesce("r2", "root").alias("root"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")))
-        open_ = state.agg(F.count("next")).first()[0]
-    cyclic = F.col("next").isNotNull()
-    return state.select("id", F.when(~cyclic, F.col("root")).alias("root"), F.when(~cyclic, F.col("depth")).alias("depth"), cyclic.alias("cyclic"))
+        ahead = closed.unionByName(open_).select(F.col("id").alias("next"), F.col("next").alias("n2"), F.col("root").alias("r2"), F.col("depth").alias("d2"))
+        moved = open_.join(ahead, "next")
+        open_ = _cut(moved.select("id", F.col("n2").alias("next"), F.col("r2").alias("root"), (F.col("depth") + F.col("d2")).alias("depth")))
+    none = F.lit(None).cast("long")
+    cyclic = open_.filter("next is not null").select("id", none.cast(open_.schema["root"].dataType).alias("root"), none.alias("depth"), F.lit(True).alias("cyclic"))
+    return closed.select("id", "root", "depth", F.lit(False).alias("cyclic")).unionByName(cyclic)
 
 
 def has_cycle(decisions: DataFrame) -> DataFrame:
     """project, has_cycle."""
-    chains = supersession_chains(decisions).select("id", "cyclic")
-    return decisions.select("id", "project").join(chains, "id").groupBy("project").agg(F.bool_or("cyclic").alias("has_cycle"))
+    own = _cut(decisions.select("id", "project", "supersedes"))
+    cyclic = supersession_chains(own).filter("cyclic").select("id", "cyclic")
+    return own.select("id", "project").join(cyclic, "id", "left").groupBy("project").agg(F.bool_or(F.coalesce("cyclic", F.lit(False))).alias("has_cycle"))
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
