@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-
-from ledgerwing.operators import graph
+from ledgerwing.operators import graph, review
 
 
 def plan(df):
@@ -20,3 +19,12 @@ def test_cycles_end_once_no_chain_ends(spark, monkeypatch):
     assert found == {i: (i - i % 4, i % 4, False) if i < 1000 else (None, None, True) for i in range(1003)}
     assert len(cuts) <= 5  # not a round for each doubling up to the number of ids
     assert {r["project"] for r in graph.has_cycle(d).filter("has_cycle").collect()} == {500}
+
+
+def test_a_shared_keyword_brings_its_first_files_alone(spark):
+    losers = spark.createDataFrame([(i, "ring or bell" if i % 2 else "bell") for i in range(40)], "id long, title string")
+    files = spark.createDataFrame([(f"f{i:03}", "SPRING" if i % 3 else "bell") for i in range(90)], "path string, content string")
+    found = review.affected_files(losers, files, most=2)
+    rings, bells = ["f001", "f002"], ["f000", "f003"]
+    assert sorted((r["id"], r["path"]) for r in found.collect()) == [(i, p) for i in range(40) for p in (sorted(rings + bells)[:2] if i % 2 else bells)]
+    assert "dense_rank(path" in plan(found)  # files are ranked before they meet the decisions
