@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from ledgerwing.operators import graph, review
+from ledgerwing.streaming import monitors
+from tests.test_streams import batches
 
 
 def plan(df):
@@ -28,3 +30,11 @@ def test_a_shared_keyword_brings_its_first_files_alone(spark):
     rings, bells = ["f001", "f002"], ["f000", "f003"]
     assert sorted((r["id"], r["path"]) for r in found.collect()) == [(i, p) for i in range(40) for p in (sorted(rings + bells)[:2] if i % 2 else bells)]
     assert "dense_rank(path" in plan(found)  # files are ranked before they meet the decisions
+
+
+def test_streamed_events_meet_in_buckets_of_the_window(spark, tmp_path):
+    parts = [[(1, 1, "d", 4), (2, 2, "d", 6), (3, 3, "d", 9)], [(4, 4, "d", 10), (5, 5, "e", 10), (6, 6, "d", 16)]]
+    built = monitors.collision_stream(batches(spark, tmp_path, parts).withColumnRenamed("action", "dimension"))
+    assert "(a_bucket#" in built._jdf.queryExecution().analyzed().toString()  # a part of the join's key
+    found = monitors.run_available(built, "buckets", str(tmp_path / "log"))
+    assert sorted((r["a_event"], r["b_event"]) for r in found.collect()) == [(1, 2), (1, 3), (2, 3), (2, 4), (3, 4)]
