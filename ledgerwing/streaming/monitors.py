@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import threading
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -144,7 +146,8 @@ def anomaly_stream(spans: DataFrame, window: int = 20, cost_factor: float = 5, l
     def judge(row: Any, last: list[tuple]) -> Iterator[tuple[str, str]]:
         for name, place, factor in (("cost_spike", 2, cost_factor), ("latency_spike", 3, latency_factor)):
             value, before = last[-1][place], [x[place] for x in last[:-1]]
-            if len(before) >= 4 and sum(before) > 0 and value > sum(before) / len(before) * factor:
+            total = functools.reduce(operator.add, before, 0.0)  # rounded at each step, as avg does; sum would carry what is lost
+            if len(before) >= 4 and total > 0 and value > total / len(before) * factor:
                 yield name, repr(value)
 
     return _judged(spans, judge, window, idle, delay)

@@ -98,3 +98,10 @@ def test_a_session_stays_open_until_the_watermark_has_passed_it(spark, tmp_path)
     parts = [[(1, 1, "a", 0), (2, 1, "a", 30)], [(3, 1, "a", 80), (4, 2, "a", 85)], [(5, 1, "a", 200)]]
     found = monitors.run_available(monitors.sessions(batches(spark, tmp_path, parts)), "session", str(tmp_path / "log"))
     assert sorted((r["agent_id"], (r["started"] - T0).seconds // 60, (r["ended"] - T0).seconds // 60, r["n"]) for r in found.collect()) == [(1, 0, 140, 3), (2, 85, 145, 1)]
+
+
+def test_a_mean_is_rounded_as_avg_rounds_it(spark, tmp_path):
+    staged(spark, tmp_path, [[(i, 1, "a", i, 3.03 if i < 19 else 15.15) for i in range(20)]])
+    stream = spark.readStream.schema(SPANS).parquet(f"{tmp_path}/in/*")
+    found = monitors.run_available(monitors.anomaly_stream(stream), "means", str(tmp_path / "log"))
+    assert found.collect() == []  # added one by one, 19 times 3.03 come to a little over 57.57
