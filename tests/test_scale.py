@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerwing.operators import graph, review
+import datetime
+
+from ledgerwing.operators import graph, pairs, review
 from ledgerwing.streaming import monitors
-from tests.test_streams import batches
+from tests.test_streams import T0, batches
 
 
 def plan(df):
@@ -38,3 +40,14 @@ def test_streamed_events_meet_in_buckets_of_the_window(spark, tmp_path):
     assert "(a_bucket#" in built._jdf.queryExecution().analyzed().toString()  # a part of the join's key
     found = monitors.run_available(built, "buckets", str(tmp_path / "log"))
     assert sorted((r["a_event"], r["b_event"]) for r in found.collect()) == [(1, 2), (1, 3), (2, 3), (2, 4), (3, 4)]
+
+
+def test_linked_collisions_go_without_a_shuffle_of_pairs(spark):
+    at = [(1, 1, 0), (2, 2, 0), (3, 3, 299), (4, 4, 300), (5, 5, 601), (6, 1, 10)]
+    events = spark.createDataFrame([(i, a, "d", T0 + datetime.timedelta(seconds=s)) for i, a, s in at], "event_id long, agent_id long, dimension string, ts timestamp")
+    links = spark.createDataFrame([(1, 2), (1, 4), (1, 4), (2, 1), (3, 5), (9, 9), (None, 4)], "source long, target long")
+    every = {(a, b) for a, ka, sa in at for b, kb, sb in at if ka != kb and (sa, a) < (sb, b) and sb - sa <= 300}
+    found = pairs.collisions(events, links)
+    assert sorted((r["a_event"], r["b_event"]) for r in found.collect()) == sorted(every - {(1, 2), (1, 4)})
+    assert "LeftAnti" not in plan(found)
+    assert {(r["a_event"], r["b_event"]) for r in pairs.collisions(events).collect()} == every
