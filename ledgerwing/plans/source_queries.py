@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwing.functions import code, labels, text
@@ -21,9 +21,19 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
+#: Files that a task writes, and moves to their place when it is done.
+FILES_A_TASK = 250
+
+
+def _one_a_file(rows: DataFrame) -> DataFrameWriter:
+    """A writer of a file for each row: tasks share the rows and move their own files, not the driver all of them."""
+    tasks = max(1, -(-rows.count() // FILES_A_TASK))
+    return rows.repartition(tasks).write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+
+
 def _documents(rows: DataFrame, folder: str) -> str:
     """One JSON document a file."""
-    rows.write.option("maxRecordsPerFile", 1).json(folder)
+    _one_a_file(rows).json(folder)
     return folder
 
 
@@ -93,7 +103,7 @@ def _tree(spark: SparkSession, d: str) -> str:
     """A file for each supplier, and for each nation one in a folder that readers pass over."""
     folder = _folder(spark)
     body = F.concat(F.lit("import "), F.regexp_replace(F.lower("s_name"), "#", "_"))
-    table(spark, d, "supplier").select(body.alias("value")).write.option("maxRecordsPerFile", 1).text(f"{folder}/src")
+    _one_a_file(table(spark, d, "supplier").select(body.alias("value"))).text(f"{folder}/src")
     table(spark, d, "nation").select("n_name").write.option("maxRecordsPerFile", 1).text(f"{folder}/node_modules")
     return folder
 

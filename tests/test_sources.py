@@ -7,6 +7,7 @@ import os
 
 import pytest
 
+from ledgerwing.plans import source_queries
 from ledgerwing.sources import readers
 from ledgerwing.sources.snapshots import SnapshotStore
 
@@ -71,3 +72,13 @@ def test_a_half_written_version_does_not_count(spark, tmp_path):
     store.take(str(root))
     (tmp_path / "store" / "v7").mkdir()
     assert store.versions() == [1]
+
+
+def test_documents_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(source_queries, "FILES_A_TASK", 2)
+    rows = spark.range(5).coalesce(1).selectExpr("'s' || id as id", "'t' as title")
+    folder = source_queries._documents(rows, str(tmp_path / "documents"))
+    files = [f for f in os.listdir(folder) if f.endswith(".json")]
+    assert len(files) == 5 and len({f.split("-")[1] for f in files}) > 1
+    assert sorted(r["id"] for r in readers.read_decisions(spark, folder).collect()) == ["s0", "s1", "s2", "s3", "s4"]
+    assert source_queries._documents(rows.limit(0), str(tmp_path / "none"))
