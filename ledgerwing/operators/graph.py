@@ -57,16 +57,20 @@ def has_cycle(decisions: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """seed, node, hops: every node that a seed reaches along edges (source, target), the seed itself at 0.
 
-    Runs until no new node is met, which is after as many rounds as the longest of the shortest ways.
+    Runs until no new node is met, which is after as many rounds as the longest of the shortest ways. Edges are computed
+    once, and each round writes only the nodes that it has met.
     """
-    seen = _cut(seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("hops")).distinct())
-    frontier = seen
+    edges = _cut(edges.select("source", "target"))
+    frontier = _cut(seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("hops")).distinct())
+    seen = frontier
     for hop in itertools.count(1):
         step = frontier.join(edges, frontier["node"] == edges["source"]).select("seed", F.col("target").alias("node")).distinct()
         frontier = _cut(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
             break
-        seen = _cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
+        if hop % 16 == 0:  # many short rounds would make a plan of many parts
+            seen = _cut(seen)
     return seen
 
 

@@ -51,3 +51,13 @@ def test_linked_collisions_go_without_a_shuffle_of_pairs(spark):
     assert sorted((r["a_event"], r["b_event"]) for r in found.collect()) == sorted(every - {(1, 2), (1, 4)})
     assert "LeftAnti" not in plan(found)
     assert {(r["a_event"], r["b_event"]) for r in pairs.collisions(events).collect()} == every
+
+
+def test_a_walk_writes_each_round_once(spark, monkeypatch):
+    cuts = []
+    cut = graph._cut
+    monkeypatch.setattr(graph, "_cut", lambda df: cuts.append(1) or cut(df))
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "source long, target long")
+    found = graph.reachable(edges, spark.createDataFrame([(1,), (4,), (9,)], "seed long"))
+    assert sorted((r["seed"], r["node"], r["hops"]) for r in found.collect()) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (1, 4, 3), (4, 4, 0), (9, 9, 0)]
+    assert len(cuts) == 6  # edges, seeds, and four rounds, the last of which meets nothing
