@@ -61,3 +61,22 @@ def test_a_walk_writes_each_round_once(spark, monkeypatch):
     found = graph.reachable(edges, spark.createDataFrame([(1,), (4,), (9,)], "seed long"))
     assert sorted((r["seed"], r["node"], r["hops"]) for r in found.collect()) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (1, 4, 3), (4, 4, 0), (9, 9, 0)]
     assert len(cuts) == 6  # edges, seeds, and four rounds, the last of which meets nothing
+
+
+def test_vectors_of_a_group_meet_in_blocks(spark):
+    rows = [(f"k{i:03}", i % 2 if i else None, None if i == 7 else [1.0, None] if i == 9 else [1.0] if i == 11 else [0.0, 0.0] if i == 13 else [float(i % 5), float(i % 7)]) for i in range(600)]
+    table = spark.createDataFrame(rows, "key string, grp int, vector array<float>")
+
+    def cosine(u, v):
+        if u is None or v is None or None in u + v or len(u) != len(v):
+            return None
+        norm = sum(x * x for x in u) ** 0.5 * sum(x * x for x in v) ** 0.5
+        return 0.0 if norm == 0 else sum(x * y for x, y in zip(u, v, strict=True)) / norm
+
+    for asked, wanted in ((None, lambda a, b: a < b), (table.filter("key like '%3'"), lambda a, b: a != b and a.endswith("3"))):
+        compared = pairs.compare_fingerprints(table, asked=asked)
+        found = [tuple(r) for r in compared.collect()]
+        every = {(a, b): cosine(u, v) for a, g, u in rows for b, h, v in rows if g == h and g is not None and wanted(a, b)}
+        assert len(found) == len(every)
+        assert all((s is None and c is None and every[a, b] is None) or (abs(s - every[a, b]) < 1e-6 and c == (s >= 0.7)) for a, b, s, c in found)
+        assert "MapInArrow" in plan(compared)  # not a row of two vectors a pair
