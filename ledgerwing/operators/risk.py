@@ -21,28 +21,32 @@ FEATURES = ("dimension_overlap_count", "decision_density", "historical_contradic
 def risk_features(decisions: DataFrame, bridge: DataFrame, contradictions: DataFrame, as_of: Column) -> DataFrame:
     """id, the seven features, and label (1: part of a contradiction) of every decision up to as_of.
 
-    decisions has agent_type. A dimension's density and contradiction rate are those of the project; both come from
-    per-dimension aggregates that join back on (project, dimension). time_since_last_same_dimension is the hours since the project's
+    decisions has agent_type. A dimension's density and contradiction rate are those of the project. time_since_last_same_dimension is the hours since the project's
     latest earlier decision with one of the dimensions, 0 if there is none; decisions of one time follow their ids.
     """
     decisions = decisions.filter(F.col("created_at") <= as_of)
-    live = bridge.join(decisions.filter("valid").select("id"), "id")
-    density = live.groupBy("project", "dimension").agg(F.count("*").alias("n"))
+    # rows and pairs of a project lie together, so that nothing but labels leaves its task before a decision's features are whole
+    rows = bridge.join(decisions.select("id", "created_at", "valid"), "id").repartition("project")
     per = contradictions.select("project", F.explode("shared_dimensions").alias("dimension"), (F.col("verdict") == "contradiction").cast("double").alias("c"))
-    rates = per.groupBy("project", "dimension").agg(F.avg("c").alias("rate"))
-    dims = bridge.join(density, ["project", "dimension"], "left").join(rates, ["project", "dimension"], "left")
-    agg = dims.groupBy("id").agg(
+    rates = per.groupBy("project", "dimension").agg(F.avg("c").alias("rate")).filter("dimension is not null")
+    rates = rates.groupBy("project").agg(F.map_from_entries(F.collect_list(F.struct("dimension", "rate"))).alias("rates"))
+    in_project = Window.partitionBy("project", "dimension")
+    in_order = in_project.orderBy("created_at", "id")
+    named = F.col("project").isNotNull() & F.col("dimension").isNotNull()
+    dims = rows.withColumn("gap", F.unix_micros("created_at") - F.unix_micros(F.lag("created_at").over(in_order)))
+    dims = dims.withColumn("n", F.when(named, F.count(F.when(F.col("valid"), 1)).over(in_project)).otherwise(0)).join(rates, "project", "left")
+    agg = dims.groupBy("project", "id").agg(
         F.count(F.when(F.col("n") > 0, 1)).alias("dimension_overlap_count"),
-        F.avg(F.coalesce("n", F.lit(0))).alias("decision_density"),
-        F.avg(F.coalesce("rate", F.lit(0.0))).alias("historical_contradiction_rate"),
+        F.avg("n").alias("decision_density"),
+        F.avg(F.coalesce(F.col("rates")[F.col("dimension")], F.lit(0.0))).alias("historical_contradiction_rate"),
         F.count("*").alias("dimension_count"),
-    )
+        F.min("gap").alias("gap"),
+    ).drop("project")
     active = decisions.filter("valid").groupBy("project").agg(F.count("*").alias("total_active_decisions"))
-    sides = contradictions.filter("verdict = 'contradiction'").select(F.explode(F.array("a_id", "b_id")).alias("id")).distinct().withColumn("label", F.lit(1))
-    base = decisions.join(agg, "id").join(active, "project", "left").join(sides, "id", "left")
-    in_order = Window.partitionBy("project", "dimension").orderBy("created_at", "id")
-    gaps = bridge.join(decisions.select("id", "created_at"), "id").withColumn("gap", F.unix_micros("created_at") - F.unix_micros(F.lag("created_at").over(in_order)))
-    base = base.join(gaps.groupBy("id").agg(F.min("gap").alias("gap")), "id", "left")
+    against = contradictions.filter("verdict = 'contradiction'").select("project", F.explode(F.array("a_id", "b_id")).alias("id"))
+    # within a project first, where pairs lie together, then over all
+    sides = against.groupBy("project", "id").agg(F.lit(1).alias("label")).groupBy("id").agg(F.max("label").alias("label"))
+    base = decisions.join(agg, "id").join(sides, "id", "left").join(active, "project", "left")
     hours = F.coalesce(F.col("gap") / F.lit(3600e6), F.lit(0.0))
     kind = first_match([(F.col("agent_type") == name, F.lit(n)) for name, n in AGENT_TYPES.items()], F.lit(AGENT_TYPES["custom"]))
     return base.select(

@@ -265,9 +265,17 @@ def assign_tiers(scored: DataFrame, with_globs: DataFrame, always: int = 15, aut
     return ranked.join(has, "id", "left").select("id", "project", "score", "rank", tier.alias("tier"))
 
 
-def backlog(contradictions: DataFrame, affected: DataFrame, as_of: Column, max_age_days: float = 90) -> DataFrame:
-    """id, project, priority, rank: open contradictions and tensions by 0.3 confidence + 0.25 impact + 0.25 age + 0.2 severity."""
-    open_ = contradictions.filter("status = 'unresolved' and not is_baseline and verdict <> 'compatible'").join(affected, "id")
+#: Contradictions that stand in a backlog.
+OPEN = "status = 'unresolved' and not is_baseline and verdict <> 'compatible'"
+
+
+def backlog(contradictions: DataFrame, affected: DataFrame | None, as_of: Column, max_age_days: float = 90) -> DataFrame:
+    """id, project, priority, rank: open contradictions and tensions by 0.3 confidence + 0.25 impact + 0.25 age + 0.2 severity.
+
+    affected: id, affected; None if contradictions have that column.
+    """
+    open_ = contradictions.filter(OPEN)
+    open_ = open_ if affected is None else open_.join(affected, "id")
     days = (F.unix_micros(as_of) - F.unix_micros("detected_at")) / F.lit(86400e6)
     impact, age = F.least(F.lit(1.0), F.col("affected") / 5.0), F.least(F.lit(1.0), days / max_age_days)
     severity = F.when(F.col("verdict") == "contradiction", 1.0).otherwise(0.5)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime
 
-from ledgerwing.operators import graph, pairs, review
+from pyspark.sql import functions as F
+
+from ledgerwing.operators import graph, pairs, review, risk
 from ledgerwing.streaming import monitors
 from tests.test_streams import T0, batches
 
@@ -91,3 +93,23 @@ def test_pairs_are_neither_grouped_nor_shuffled(spark):
     assert plan(found).index("Join") < plan(found).index("Aggregate")  # decisions are grouped before they meet, pairs are not
     facts = spark.createDataFrame([(1, 0.5), (2, 0.25), (4, 1.0)], "id long, confidence double")
     assert [tuple(r) for r in pairs.candidate_pairs(bridge, facts).select("a_id", "b_id", "a_confidence", "b_confidence").collect()] == [(1, 2, 0.5, 0.25)]
+
+
+def test_affected_decisions_are_looked_up_where_pairs_lie(spark):
+    bridge = spark.createDataFrame([("x", i, d) for i, ds in ((1, "ab"), (2, "ab"), (3, "bc"), (4, "c"), (5, "a")) for d in ds], "project string, id long, dimension string")
+    decisions = spark.createDataFrame([(i, i != 2) for i in range(1, 6)], "id long, valid boolean")
+    against = pairs.candidate_pairs(bridge, decisions).select(F.concat_ws("-", "a_id", "b_id").alias("id"), "project", "a_id", "b_id", "shared_dimensions", "a_valid", "b_valid")
+    wanted = {("1-2", 2), ("1-3", 0), ("1-5", 0), ("2-3", 1), ("2-5", 1), ("3-4", 0)}
+    found = pairs.with_affected(against, decisions, bridge)
+    assert {(r["id"], r["affected"]) for r in found.collect()} == wanted
+    assert {tuple(r) for r in pairs.affected_count(against.drop("a_valid", "b_valid"), decisions, bridge).collect()} == wanted
+
+
+def test_features_of_a_project_are_made_in_one_place(spark):
+    bridge = spark.createDataFrame([("x", 1, "a"), ("x", 2, "a"), ("x", 2, "b"), ("x", 3, None)], "project string, id long, dimension string")
+    at = [datetime.timedelta(hours=h) for h in (0, 5, 9)]
+    decisions = spark.createDataFrame([(i + 1, "x", T0 + h, i != 1, "scan") for i, h in enumerate(at)], "id long, project string, created_at timestamp, valid boolean, agent_type string")
+    against = spark.createDataFrame([("x", 1, 2, ["a"], "contradiction"), ("x", 1, 3, ["a"], "tension")], "project string, a_id long, b_id long, shared_dimensions array<string>, verdict string")
+    found = risk.risk_features(decisions, bridge, against, F.lit(T0 + datetime.timedelta(days=1)))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, 1.0, 0.5, 2, 0.0, 2, 1, 1), (2, 1, 0.5, 0.25, 2, 5.0, 2, 2, 1), (3, 0, 0.0, 0.0, 2, 0.0, 2, 1, 0)]
+    assert plan(found).count("Join") <= 5  # densities, rates and gaps do not come back by joins on dimensions
