@@ -364,13 +364,14 @@ def assumption_priority(findings: DataFrame, modules: DataFrame, churned: DataFr
 def missing_patterns(sets: DataFrame, itemsets: DataFrame, least: float = 0.5) -> DataFrame:
     """key, itemset, present, missing, confidence: frequent itemsets of which a set holds the share least or more, but not all.
 
-    sets: key, items. itemsets (itemset: array) is a mined table of bounded size. Sets meet itemsets through the items
-    they share, so nothing is compared that has no item in common. Of the itemsets found for a key only those stay
-    that lie in no larger one: what a smaller one shows, the larger one shows too.
+    sets: key, items. itemsets (itemset: array) is a mined table of bounded size, which goes to all tasks. Sets meet itemsets
+    through the items they share, so nothing is compared that has no item in common, and whole sets are shuffled, not what they share. Of
+    the itemsets found for a key only those stay that lie in no larger one: what a smaller one shows, the larger one shows too.
     """
     exploded = itemsets.select("itemset", F.size("itemset").alias("k"), F.explode("itemset").alias("item"))
-    have = sets.select("key", F.explode("items").alias("item")).distinct()
-    near = have.join(exploded, "item").groupBy("key", "itemset", "k").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("item")).alias("present"))
+    have = sets.select("key", "items").repartition("key").select("key", F.explode(F.array_distinct("items")).alias("item"))
+    met = have.join(F.broadcast(exploded), "item").groupBy("key", "itemset", "k")
+    near = met.agg(F.sort_array(F.collect_set("item")).alias("present")).withColumn("n", F.size("present"))
     near = near.filter((F.col("n") < F.col("k")) & (F.col("n") / F.col("k") >= least))
     found = near.groupBy("key").agg(F.collect_list(F.struct("itemset", "k", "n", "present")).alias("all"))  # as many as there are itemsets at most
 

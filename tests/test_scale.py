@@ -6,7 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from ledgerwing.operators import graph, pairs, review, risk
+from ledgerwing.operators import governance, graph, pairs, review, risk
 from ledgerwing.streaming import monitors
 from tests.test_streams import T0, batches
 
@@ -113,3 +113,11 @@ def test_features_of_a_project_are_made_in_one_place(spark):
     found = risk.risk_features(decisions, bridge, against, F.lit(T0 + datetime.timedelta(days=1)))
     assert sorted(tuple(r) for r in found.collect()) == [(1, 1, 1.0, 0.5, 2, 0.0, 2, 1, 1), (2, 1, 0.5, 0.25, 2, 5.0, 2, 2, 1), (3, 0, 0.0, 0.0, 2, 0.0, 2, 1, 0)]
     assert plan(found).count("Join") <= 5  # densities, rates and gaps do not come back by joins on dimensions
+
+
+def test_whole_sets_are_shuffled_once_for_patterns(spark):
+    sets = spark.createDataFrame([("f", ["a", "b", "b"]), ("g", ["a"]), ("h", ["c", None])], "key string, items array<string>")
+    mined = spark.createDataFrame([(["a", "b", "c"],), (["a", "b"],), (["c", "d"],)], "itemset array<string>")
+    found = governance.missing_patterns(sets, mined)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(tuple(r) for r in found.collect()) == [("f", "a,b,c", "a,b", "c", 0.67), ("g", "a,b", "a", "b", 0.5), ("h", "c,d", "c", "d", 0.5)]
