@@ -34,11 +34,16 @@ def _paired(level: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(level) - 1) / 2).cast("int")), up)
 
 
+def _leaf_nodes(leaves: DataFrame) -> DataFrame:
+    """log, idx, hash, n of the lowest nodes, each of one leaf."""
+    return leaves.select("log", "idx", leaf_hash(F.col("data")).alias("hash"), F.lit(1).cast("long").alias("n"))
+
+
 def _blocks(nodes: DataFrame) -> DataFrame:
-    """log, block, hashes: runs of 2^FOLD neighbouring nodes (log, idx, hash) in order."""
+    """log, block, hashes, n: runs of 2^FOLD neighbouring nodes (log, idx, hash, n) in order, and the leaves below them."""
     block = F.shiftright("idx", FOLD)
-    runs = nodes.groupBy("log", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("idx", "hash"))).alias("run"))
-    return runs.select("log", "block", F.transform("run", lambda x: x["hash"]).alias("hashes"))
+    runs = nodes.groupBy("log", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("idx", "hash"))).alias("run"), F.sum("n").alias("n"))
+    return runs.select("log", "block", F.transform("run", lambda x: x["hash"]).alias("hashes"), "n")
 
 
 def tree_levels(leaves: DataFrame) -> DataFrame:
@@ -47,18 +52,18 @@ def tree_levels(leaves: DataFrame) -> DataFrame:
     A group folds 2^FOLD neighbouring nodes up by FOLD levels and puts all of them out, so a log of n leaves takes
     log(n) / FOLD shuffles; what is above them starts from their tops alone.
     """
-    nodes, low, out = leaves.select("log", "idx", leaf_hash(F.col("data")).alias("hash")), 0, None
+    nodes, low, out = _leaf_nodes(leaves), 0, None
     size = (leaves.agg(F.max("idx")).first()[0] or 0) + 1
     while True:
         empty = F.array().cast(f"array<{_HASHES}>")
         start = F.struct(F.col("hashes").alias("now"), empty.alias("all"))
         folded = F.aggregate(F.sequence(F.lit(1), F.lit(FOLD)), start, lambda s, _: F.struct(_paired(s["now"]).alias("now"), F.concat(s["all"], F.array(s["now"])).alias("all")))
-        blocks = _blocks(nodes).select("log", "block", folded.alias("f")).select("log", "block", "f.now", "f.all")
+        blocks = _blocks(nodes).select("log", "block", folded.alias("f"), "n").select("log", "block", "f.now", "f.all", "n")
         each = blocks.select("log", "block", F.posexplode("all").alias("up", "level_hashes")).select("log", "block", "up", F.posexplode("level_hashes").alias("at", "hash"))
         # above a block's top there is nothing left to fold in it
         height = min(FOLD, max(0, (size - 1).bit_length()))
         kept = each.filter(F.col("up") < max(height, 1)).select("log", (F.col("up") + low).alias("level"), (F.expr(f"shiftleft(block, {FOLD} - up)") + F.col("at")).cast("long").alias("idx"), "hash")
-        tops = blocks.select("log", F.col("block").alias("idx"), F.get("now", F.lit(0)).alias("hash"))
+        tops = blocks.select("log", F.col("block").alias("idx"), F.get("now", F.lit(0)).alias("hash"), "n")
         out = kept if out is None else out.unionByName(kept)
         if size <= 1 << FOLD:
             if height:
@@ -67,17 +72,19 @@ def tree_levels(leaves: DataFrame) -> DataFrame:
         nodes, low, size = tops, low + FOLD, -(-size // (1 << FOLD))
 
 
-def merkle_root(leaves: DataFrame) -> DataFrame:
-    """log, size, root (hex) of every log; FOLD levels a shuffle."""
-    nodes = leaves.select("log", "idx", leaf_hash(F.col("data")).alias("hash"))
-    sizes = leaves.groupBy("log").agg(F.count("*").alias("size"))
-    size = (leaves.agg(F.max("idx")).first()[0] or 0) + 1
+def merkle_root(leaves: DataFrame, longest: int | None = None) -> DataFrame:
+    """log, size, root (hex) of every log; FOLD levels a shuffle. longest: leaves of the longest log, counted if not given.
+
+    Sizes are summed on the way up, so that leaves are read once and no log is joined.
+    """
+    size = (leaves.agg(F.max("idx")).first()[0] or 0) + 1 if longest is None else longest
+    nodes = _leaf_nodes(leaves)
     while True:
         top = F.aggregate(F.sequence(F.lit(1), F.lit(FOLD)), F.col("hashes"), lambda level, _: _paired(level))
-        nodes = _blocks(nodes).select("log", F.col("block").alias("idx"), F.get(top, F.lit(0)).alias("hash"))
+        nodes = _blocks(nodes).select("log", F.col("block").alias("idx"), F.get(top, F.lit(0)).alias("hash"), "n")
         size = -(-size // (1 << FOLD))
         if size <= 1:
-            return nodes.join(sizes, "log").select("log", "size", F.lower(F.hex("hash")).alias("root"))
+            return nodes.select("log", F.col("n").alias("size"), F.lower(F.hex("hash")).alias("root"))
 
 
 def inclusion_proofs(leaves: DataFrame) -> DataFrame:
@@ -112,9 +119,13 @@ def verify_inclusion(proofs: DataFrame, leaves: DataFrame, roots: DataFrame) ->
 
 
 def verify_consistency(leaves: DataFrame, old: DataFrame) -> DataFrame:
-    """log, consistent: whether the first leaves of a log still give the root that was noted (log, size, root)."""
+    """log, consistent: whether the first leaves of a log still give the root that was noted (log, size, root).
+
+    old is read several times, so it should be a written table.
+    """
+    longest = old.agg(F.max("size")).first()[0] or 0
     prefix = leaves.join(old.select("log", "size"), "log").filter("idx < size").select("log", "idx", "data")
-    again = merkle_root(prefix).select("log", F.col("size").alias("found"), F.col("root").alias("now"))
+    again = merkle_root(prefix, longest).select("log", F.col("size").alias("found"), F.col("root").alias("now"))
     joined = old.join(again, "log", "left")
     return joined.select("log", F.coalesce((F.col("size") == F.col("found")) & (F.col("root") == F.col("now")), F.lit(False)).alias("consistent"))
 

@@ -6,7 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from ledgerwing.operators import governance, graph, pairs, review, risk
+from ledgerwing.operators import governance, graph, integrity, pairs, review, risk
 from ledgerwing.streaming import monitors
 from tests.test_streams import T0, batches
 
@@ -121,3 +121,16 @@ def test_whole_sets_are_shuffled_once_for_patterns(spark):
     found = governance.missing_patterns(sets, mined)
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted(tuple(r) for r in found.collect()) == [("f", "a,b,c", "a,b", "c", 0.67), ("g", "a,b", "a", "b", 0.5), ("h", "c,d", "c", "d", 0.5)]
+
+
+def test_leaves_are_read_once_and_sizes_summed_on_the_way_up(spark, monkeypatch):
+    monkeypatch.setattr(integrity, "FOLD", 2)
+    leaves = spark.createDataFrame([(n, i, f"{n}-{i}") for n in (1, 2, 5, 16, 17, 40) for i in range(n)], "log long, idx long, data string")
+    roots = integrity.merkle_root(leaves)
+    assert "Join" not in plan(roots) and {r["log"]: r["size"] for r in roots.collect()} == {n: n for n in (1, 2, 5, 16, 17, 40)}
+    heads = spark.createDataFrame([tuple(r) for r in integrity.merkle_root(leaves.filter("idx < 17"), 17).collect()], "log long, size long, root string")
+    heads = heads.unionByName(spark.createDataFrame([(99, 1, "00")], heads.schema))
+    changed = leaves.filter("log <> 5 or idx <> 4").withColumn("data", F.when((F.col("log") == 16) & (F.col("idx") == 15), "x").otherwise(F.col("data")))
+    checked = integrity.verify_consistency(changed, heads)
+    assert {r["log"]: r["consistent"] for r in checked.collect()} == {1: True, 2: True, 5: False, 16: False, 17: True, 40: True, 99: False}
+    assert integrity.verify_consistency(leaves, heads.limit(0)).count() == 0
