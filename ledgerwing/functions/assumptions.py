@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwing.operators.keywords import containing
+from ledgerwing.operators.keywords import without
+from ledgerwing.session import written
 
 #: Marks put into a text: a line that begins in a docstring, a docstring's delimiter, and around a match's text.
 IN_DOC, DELIMITER, FROM, TO = "\x01", "\x02", "\x03", "\x04"
@@ -271,9 +272,18 @@ def written_tables(files: DataFrame, key: str = "path", text: str = "source") ->
     return files.select(key, F.explode(F.array_distinct(F.transform(F.filter(names, lambda x: x != ""), F.lower))).alias("table_name"))
 
 
+def shared_tables(files: DataFrame, key: str = "path", text: str = "source") -> DataFrame:
+    """table_name of the tables that two or more files write. Files are told apart by 128 bits of hashes, so only tables are grouped."""
+    of = F.when(F.col(key).isNotNull(), F.xxhash64(key)), F.when(F.col(key).isNotNull(), F.xxhash64(key, F.lit(1)))
+    ends = [f(h).alias(f"{n}{k}") for k, h in enumerate(of) for n, f in (("low", F.min), ("high", F.max))]
+    return written_tables(files, key, text).groupBy("table_name").agg(*ends).filter("low0 <> high0 or low1 <> high1").select("table_name")
+
+
 def drop_shared_writes(findings: DataFrame, files: DataFrame, key: str = "path", text: str = "source") -> DataFrame:
-    """Findings without single_source_write ones whose summary holds the name of a table that two or more files write."""
-    shared = written_tables(files, key, text).groupBy("table_name").agg(F.count_distinct(key).alias("n")).filter("n > 1").select("table_name")
-    lone = findings.filter("rule = 'single_source_write'").withColumn("_summary", F.lower("summary"))
-    hit = containing(lone.select("_summary").distinct(), shared, "_summary", "table_name").select("_summary").distinct()
-    return findings.filter("rule <> 'single_source_write'").unionByName(lone.join(hit, "_summary", "left_anti").drop("_summary"))
+    """Findings without single_source_write ones whose summary holds the name of a table that two or more files write.
+
+    The names of shared tables are written once; findings are read once and stay where they lie.
+    """
+    shared = written(shared_tables(files, key, text), "shared-tables")
+    told = findings.withColumn("_summary", F.when(F.col("rule") == "single_source_write", F.lower("summary")))
+    return without(told, shared, "_summary", "table_name").drop("_summary")

@@ -91,7 +91,8 @@ def lone_writers(spark: SparkSession, d: str) -> DataFrame:
     own = F.concat(F.lit("last"), n.cast("string"), F.when(n % 2 == 0, F.concat(F.lit("_t"), user.cast("string"))).otherwise(""))
     name = F.when(n % 6 == 0, F.concat(F.lit("t"), (user % 9).cast("string"))).otherwise(own)
     files = table(spark, d, "events").filter((n % 2 == 0) | (n % 3 == 0)).select(F.format_string("e%s.py", "event_id").alias("path"), F.concat(F.lit("UPDATE "), F.upper(name), F.lit(" SET a = 1")).alias("source"))
-    return assumptions.drop_shared_writes(assumptions.scan(files), files).filter("rule = 'single_source_write'").select("path")
+    writes = tuple(r for r in assumptions.RULES if r.rule == "single_source_write")
+    return assumptions.drop_shared_writes(assumptions.scan(files, writes), files).select("path")
 
 
 #: Source files, and what is to be found in them: line, last line, kind, name, parent, decorators.

@@ -6,6 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from ledgerwing.functions import assumptions
 from ledgerwing.operators import governance, graph, integrity, pairs, review, risk
 from ledgerwing.streaming import monitors
 from tests.test_streams import T0, batches
@@ -134,3 +135,13 @@ def test_leaves_are_read_once_and_sizes_summed_on_the_way_up(spark, monkeypatch)
     checked = integrity.verify_consistency(changed, heads)
     assert {r["log"]: r["consistent"] for r in checked.collect()} == {1: True, 2: True, 5: False, 16: False, 17: True, 40: True, 99: False}
     assert integrity.verify_consistency(leaves, heads.limit(0)).count() == 0
+
+
+def test_shared_writes_go_where_findings_lie(spark, monkeypatch):
+    rows = [("a.py", "INSERT INTO users x"), ("b.py", "update Users set x"), ("c.py", "INSERT INTO logs"), ("c.py", "INSERT INTO logs"), ("d.py", "INSERT INTO old_users_2"), ("e.py", "x.all()"), (None, "INSERT INTO logs"), ("f.py", "INSERT INTO pets; INSERT INTO t_9"), ("g.py", "UPDATE pets SET a")]
+    files = spark.createDataFrame(rows, "path string, source string")
+    for size in (1 << 22, 4):
+        monkeypatch.setattr("ledgerwing.operators.keywords.PASS_BYTES", size)
+        left = assumptions.drop_shared_writes(assumptions.scan(files), files)
+        assert sorted((r["path"], r["rule"]) for r in left.collect()) == [("c.py", "single_source_write"), ("c.py", "single_source_write"), ("e.py", "no_pagination")]
+        assert "Exchange" not in left._jdf.queryExecution().executedPlan().toString()  # neither joined nor made distinct
