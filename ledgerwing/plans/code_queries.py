@@ -64,9 +64,11 @@ SNIPPETS = (
 
 
 def _snippets(spark: SparkSession, d: str) -> DataFrame:
+    """Rules cost far more than reading, so rows are dealt evenly before they become files, four tasks a core."""
     k = F.col("event_id") % len(SNIPPETS)
     path = F.concat(F.lit("e"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 13 == 0, "/tests/a.py").otherwise("/a.py"))
-    return table(spark, d, "events").select(path.alias("path"), v.pick(tuple(s for s, _ in SNIPPETS), k).alias("source"))
+    dealt = table(spark, d, "events").select("event_id").repartition(4 * spark.sparkContext.defaultParallelism)
+    return dealt.select(path.alias("path"), v.pick(tuple(s for s, _ in SNIPPETS), k).alias("source"))
 
 
 _FOUND = ", ".join(f"({k}, {line}, '{rule}')" for k, (_, found) in enumerate(SNIPPETS) for line, rule, _ in found)
