@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ledgerwing.functions import assumptions
-from ledgerwing.operators import governance, graph, integrity, pairs, review, risk
+from ledgerwing.operators import governance, graph, integrity, meetings, pairs, review, risk
 from ledgerwing.streaming import monitors
 from ledgerwing.plans import load_all
 from tests.test_streams import T0, batches
@@ -161,3 +163,40 @@ def test_a_match_is_looked_for_once_a_group(spark):
 
 def test_small_files_are_dealt_evenly(spark, sf_dir):
     assert "Repartition" in plan(QUERIES["scan_assumptions"](spark, sf_dir))
+
+
+def test_events_are_shuffled_once_and_swept_in_order(spark):
+    seconds = [-3601, -3600, -1, 0, 0, 0, 0, 299, 300, 300.000001, 3300, 3599.5, 3600, 3600, 3899.5, 3900, 3900.1, 7199, 7200, 7200, None]
+    events = [(i if i % 9 else None, f"agent{i % 4}" if i % 7 else None, "de"[i % 5 == 0] if i % 11 else None, s) for i, s in enumerate(seconds * 2)]
+    table = spark.createDataFrame([(i, k, d, None if s is None else datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=s)) for i, k, d, s in events], "event_id long, agent_id string, dimension string, ts timestamp")
+    ids = [i for i, *_ in events if i is not None]
+    links = [(a, b) for a in ids for b in ids if (a + 2 * b) % 5 == 0]
+
+    def pairs_of(linked):
+        near = [(a, b, d, round(t - s, 6)) for a, k, d, s in events for b, m, e, t in events if None not in (s, t, k, m, d, e) and k != m and d == e and 0 <= t - s <= 300 and (s < t or (None not in (a, b) and a < b))]
+        return sorted((x for x in near if x[:2] not in linked), key=repr)
+
+    known = spark.createDataFrame([*links, (None, 1), (1, None)], "source int, target long")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for n in (size, "3"):  # windows also reach over what comes at a time
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        try:
+            assert sorted(map(tuple, pairs.collisions(table).collect()), key=repr) == pairs_of(set())
+            assert sorted(map(tuple, pairs.collisions(table, known).collect()), key=repr) == pairs_of(set(links))
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    found = pairs.collisions(table)
+    assert "Join" not in plan(found) and found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    dealt = meetings.slices(spark.range(36000).selectExpr("id event_id", "id agent_id", "'d' dimension", "timestamp_seconds(id) ts"), 300)
+    assert dealt.count() == 36000 + 3000  # one in SLICE_WINDOWS goes to two slices
+
+
+def test_pairs_of_a_window_are_made_some_at_a_time(monkeypatch):
+    monkeypatch.setattr(meetings, "PAIRS", 50)
+    at = np.arange(300) // 3
+    rows = pa.table({"event_id": pa.array(range(300)), "agent_id": pa.array([i % 2 for i in range(300)])})
+    links = pa.table({"source": pa.array([i for i in range(0, 290, 7)]), "target": pa.array([i + 3 for i in range(0, 290, 7)])})
+    made = list(meetings.met(rows, at, np.arange(1, 300, 2), links, 20))
+    every = {(a, b) for b in range(1, 300, 2) for a in range(0, b, 2) if at[b] - at[a] <= 20 and not (a % 7 == 0 and a < 290 and b == a + 3)}
+    assert {(a, b) for x, y in made for a, b in zip(x.tolist(), y.tolist(), strict=True)} == every
+    assert sum(len(x) for x, _ in made) == len(every) and max(len(x) for x, _ in made) <= 60
