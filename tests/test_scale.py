@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerwing.functions import assumptions
 from ledgerwing.operators import governance, graph, integrity, meetings, pairs, review, risk
 from ledgerwing.streaming import monitors
-from ledgerwing.plans import load_all
+from ledgerwing.plans import load_all, stream_queries
 from tests.test_streams import T0, batches
 
 
@@ -200,3 +200,15 @@ def test_pairs_of_a_window_are_made_some_at_a_time(monkeypatch):
     every = {(a, b) for b in range(1, 300, 2) for a in range(0, b, 2) if at[b] - at[a] <= 20 and not (a % 7 == 0 and a < 290 and b == a + 3)}
     assert {(a, b) for x, y in made for a, b in zip(x.tolist(), y.tolist(), strict=True)} == every
     assert sum(len(x) for x, _ in made) == len(every) and max(len(x) for x, _ in made) <= 60
+
+
+def test_streamed_pairs_are_not_written(spark, tmp_path, monkeypatch):
+    n = 1500  # of one window, so that there are a million pairs
+    events = spark.range(n).selectExpr("id event_id", "timestamp_micros(1704067200000000 + id * 190000) ts", "id % 7 user_id", "'view' event_type", "1.0D value", "'{\"k\": 1}' props")
+    events.repartition(4).write.parquet(f"{tmp_path}/in/events.parquet")
+    monkeypatch.setattr(stream_queries, "_folder", lambda spark: f"{tmp_path}/out/{len(list(tmp_path.glob('out/*')))}")
+    size = 300_000_000 // 190_000
+    every = sum((j - i) % 7 != 0 for j in range(n) for i in range(max(0, j - size), j))
+    found = QUERIES["collision_stream"](spark, f"{tmp_path}/in")
+    assert found.count() == every > 900_000
+    assert sum(x.stat().st_size for x in tmp_path.glob("out/*/rows/*.parquet")) < 100_000  # grows with the events

@@ -105,3 +105,20 @@ def test_a_mean_is_rounded_as_avg_rounds_it(spark, tmp_path):
     stream = spark.readStream.schema(SPANS).parquet(f"{tmp_path}/in/*")
     found = monitors.run_available(monitors.anomaly_stream(stream), "means", str(tmp_path / "log"))
     assert found.collect() == []  # added one by one, 19 times 3.03 come to a little over 57.57
+
+
+def test_pairs_over_batches_come_once(spark, tmp_path):
+    far, big = 600, 2**53  # minutes; an id that a float would round
+    parts = [[(big + 1, 1, "d", 0), (None, 2, "d", 2), (3, None, "d", 2)], [(4, 2, "d", 1), (5, 3, "d", 5), (6, 1, "d", 7), (6, 2, "d", 7)], [(8, 2, "d", 57), (9, 1, "e", 58), (10, 1, "d", 62)], [(11, 1, "d", far), (12, 2, "d", far + 1)], [(13, 3, "d", far + 1)]]
+    rows = [x for part in parts for x in part]
+    links = {(big + 1, 4), (4, 5), (12, 11), (8, 10), (11, 13)}
+    near = [(a, b) for a, k, d, s in rows for b, m, e, t in rows if k and m and k != m and d == e and 0 <= t - s <= 5 and (s < t or (a and b and a < b))]
+    for n, known in enumerate((set(), links)):
+        stream = batches(spark, tmp_path / str(n), parts).withColumnRenamed("action", "dimension")
+        causal = spark.createDataFrame([*known, (None, 5), (big + 1, None)], "source long, target long") if known else None
+        built = monitors.collision_stream(stream, causal=causal)
+        assert "LeftAnti" not in built._jdf.queryExecution().analyzed().toString()  # links go to events, not to pairs
+        query = built.writeStream.format("memory").queryName(f"once{n}").option("checkpointLocation", str(tmp_path / f"log{n}")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert sorted(((r["a_event"], r["b_event"]) for r in spark.table(f"once{n}").collect()), key=repr) == sorted((x for x in near if x not in known), key=repr)
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4  # the slices of the first hours are gone
