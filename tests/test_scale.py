@@ -202,13 +202,23 @@ def test_pairs_of_a_window_are_made_some_at_a_time(monkeypatch):
     assert sum(len(x) for x, _ in made) == len(every) and max(len(x) for x, _ in made) <= 60
 
 
-def test_streamed_pairs_are_not_written(spark, tmp_path, monkeypatch):
-    n = 1500  # of one window, so that there are a million pairs
-    events = spark.range(n).selectExpr("id event_id", "timestamp_micros(1704067200000000 + id * 190000) ts", "id % 7 user_id", "'view' event_type", "1.0D value", "'{\"k\": 1}' props")
+def crowd(spark, tmp_path, monkeypatch):
+    """1500 events of one window, which make a million pairs, and all pairs by two agents."""
+    events = spark.range(1500).selectExpr("id event_id", "timestamp_micros(1704067200000000 + id * 190000) ts", "id % 7 user_id", "'view' event_type", "1.0D value", "'{\"k\": 1}' props")
     events.repartition(4).write.parquet(f"{tmp_path}/in/events.parquet")
     monkeypatch.setattr(stream_queries, "_folder", lambda spark: f"{tmp_path}/out/{len(list(tmp_path.glob('out/*')))}")
-    size = 300_000_000 // 190_000
-    every = sum((j - i) % 7 != 0 for j in range(n) for i in range(max(0, j - size), j))
-    found = QUERIES["collision_stream"](spark, f"{tmp_path}/in")
-    assert found.count() == every > 900_000
+    return f"{tmp_path}/in", [(i, j) for j in range(1500) for i in range(j) if (j - i) % 7]
+
+
+def test_streamed_pairs_are_not_written(spark, tmp_path, monkeypatch):
+    folder, every = crowd(spark, tmp_path, monkeypatch)
+    assert QUERIES["collision_stream"](spark, folder).count() == len(every) > 900_000
     assert sum(x.stat().st_size for x in tmp_path.glob("out/*/rows/*.parquet")) < 100_000  # grows with the events
+
+
+def test_streamed_pairs_do_not_meet_their_links(spark, tmp_path, monkeypatch):
+    folder, every = crowd(spark, tmp_path, monkeypatch)
+    found = QUERIES["causal_collision_stream"](spark, folder)
+    wanted = [i * 1500 + j for i, j in every if i % 2 or not j % 2]
+    assert tuple(found.agg(F.count("*"), F.sum(F.col("a_event") * 1500 + F.col("b_event"))).first()) == (len(wanted), sum(wanted))
+    assert sum(x.stat().st_size for x in tmp_path.glob("out/*/rows/*.parquet")) < 300_000  # of both streams
